@@ -1,10 +1,470 @@
-"""Queries of the library, one or more per operator of the survey, and the SQL with the same result."""
+"""Queries of the library, one or more per operator of the survey, and the SQL with the same result.
+
+Names begin with the operator's number in the survey's inventory. ``_sql`` registers text that Spark and DuckDB both run, but for the few
+macros of ``_DIALECTS``; ``_df`` registers a DataFrame query with its SQL.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenvec.functions import text as tx
+from lumenvec.functions import vec
+from lumenvec.operators import search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Macro: (Spark, DuckDB). ``name[a;b]`` puts a and b in the places {0} and {1}.
+_DIALECTS = {
+    "HASH": ("cast(conv(substr(md5(cast({0} as string)), 1, 8), 16, 10) as bigint)", "cast('0x' || substr(md5(cast({0} as varchar)), 1, 8) as bigint)"),
+    "QUANT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
+    "INTDIV": ("({0} div {1})", "({0} // {1})"),
+    "FILTER": ("filter({0}, x -> {1})", "list_filter({0}, lambda x: {1})"),
+    "MAP": ("transform({0}, x -> {1})", "list_transform({0}, lambda x: {1})"),
+    "SPLIT": ("split({0}, '{1}')", "string_split({0}, '{1}')"),
+    "ITEMS": ("collect_list({0})", "list({0})"),
+    "LEN": ("size({0})", "len({0})"),
+    "SERIES": ("sequence({0}, {1})", "generate_series({0}, {1})"),
+    "EACH": ("explode({0})", "unnest({0})"),
+    "RLIKE": ("{0} rlike '{1}'", "regexp_matches({0}, '{1}')"),
+    "JSON": ("get_json_object({0}, '$.{1}')", "json_extract_string({0}, '$.{1}')"),
+    "VEC": ("cast({0} as array<double>)", "cast({0} as double[])"),
+    "SUM": ("aggregate({0}, 0D, (a, x) -> a + x)", "list_sum({0})"),
+    "PART": ("slice({0}, {1}, {2})", "list_slice({0}, {1}, {1} + {2} - 1)"),
+}
+
+
+def _expand(sql: str, which: int) -> str:
+    pattern = re.compile(r"\b(" + "|".join(_DIALECTS) + r")\[([^\[\]]*)\]")
+    while m := list(pattern.finditer(sql)):
+        m = m[-1]
+        sql = sql[: m.start()] + _DIALECTS[m[1]][which].format(*m[2].split(";")) + sql[m.end() :]
+    return sql
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _sql(name: str, sql: str) -> None:
+    used = [t for t in _TABLES if re.search(rf"\b{t}\b", sql)]
+    template = re.sub(rf"\b({'|'.join(_TABLES)})\b", r"{\1}", _expand(sql, 0))
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(template, **{t: _table(spark, d, t) for t in used})
+
+    QUERIES[name], ORACLE_SQL[name] = run, _expand(sql, 1)
+
+
+def _df(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = _expand(sql, 1)
+        return f
+
+    return register
+
+
+# Scans and sources
+_sql("sc01_scan", "select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey")
+_sql("sc02_key_range", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey >= 100 and l_orderkey < 900")
+_sql("sc03_keyset_page", "select doc_id, lang from documents where doc_id > 40 order by doc_id limit 25")
+_sql("sc10_numbers", "select n, n * n as square from (select EACH[SERIES[0;99]] as n) t")
+_sql("sc17_json_path", "select event_id, JSON[props;k] as k, JSON[props;page] as page, length(props) as n from events")
+_sql("sc23_size_by_path", "select lang, source, count(*) as n, cast(sum(length(text)) as bigint) as chars from documents group by lang, source")
+
+
+@_df("sc04_parquet_glob", "select count(*) as n, min(o_orderkey) as lo, max(o_orderkey) as hi from orders")
+def _(spark, d):
+    return spark.read.schema("o_orderkey long").parquet(f"{d}/order*.parquet").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@_df("sc06_binary_files")
+def _(spark, d):
+    return spark.read.format("binaryFile").load(f"{d}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.length("content").alias("n"))
+
+
+# Projection, filter, predicates
+_sql("pf01_project", "select p_partkey, p_size * 2 + 1 as twice, p_retailprice / 2 as half from part")
+_sql("pf02_where", "select c_custkey from customer where (c_acctbal > 0 and c_mktsegment <> 'BUILDING') or not c_nationkey < 20")
+_sql("pf03_like_chain", "select page_id from pages where url like '%spam%' or url like '%cheap%' or url like '%/de/%' or url like '%casino%'")
+_sql("pf04_ilike", "select doc_id from documents where text ilike '%THE %' and text not ilike '%idiot%'")
+_sql("pf05_in_not_in", "select o_orderkey from orders where o_orderstatus in ('O', 'P') and o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+_sql("pf06_not_empty", "select conv_id, turn from conversations where text <> '' and length(role) > 4")
+_sql("pf07_starts_with", "select page_id, url from pages where left(url, 8) = 'https://'")
+_sql("pf08_match", "select doc_id from documents where RLIKE[text;(and|the) th.*ing]")
+_sql("pf09_hash_sample", "select vec_id from embeddings where HASH[vec_id] % 7 = 0")
+_sql("pf10_hash_split", "select vec_id, HASH[vec_id] % 4 <> 0 as train from embeddings")
+_sql("pf11_hash_order_sample", "select vec_id, HASH[vec_id] as h from embeddings order by h, vec_id limit 20")
+_sql("pf12_first_n_by_key", "select doc_id from documents where doc_id < (select min(k) from (select doc_id as k from documents order by doc_id limit 1 offset 50) t)")
+_sql("pf13_multi_branch", "select c_custkey, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' else 'much' end as band from customer")
+_sql("pf14_if_null", "select d.doc_id, coalesce(l.toxic, -1) as toxic from documents d left join labels l on d.doc_id = l.doc_id")
+_sql("pf16_tolerant_cast", "select doc_id, coalesce(try_cast(substr(source, 4) as int), 0) as k, try_cast(lang as double) as none from documents")
+
+
+@_df("pf15_parameters", "select l_orderkey, l_linenumber from lineitem where l_quantity > 40 and l_returnflag = 'R'")
+def _(spark, d):
+    return spark.sql("select l_orderkey, l_linenumber from {t} where l_quantity > :q and l_returnflag = :f", args={"q": 40, "f": "R"}, t=_table(spark, d, "lineitem"))
+
+
+# Joins
+_sql("jn01_inner", "select o_orderkey, c_mktsegment from orders join customer on o_custkey = c_custkey")
+_sql("jn04_computed_key", "select e.event_id, c.c_custkey from events e join customer c on e.user_id + 1 = c.c_custkey")
+_sql("jn05_preaggregated", "select c_custkey, n, top from customer join (select o_custkey, count(*) as n, max(o_totalprice) as top from orders group by o_custkey) o on o_custkey = c_custkey")
+_sql("jn07_cross_constants", "select doc_id, round((n_chars - lo) / nullif(hi - lo, 0), 6) as share from documents cross join (select cast(min(n_chars) as double) as lo, cast(max(n_chars) as double) as hi from documents) s")
+_sql("jn08_epochs", "select e.n as epoch, count(*) as c from (select EACH[SERIES[1;3]] as n) e cross join labels group by e.n")
+_sql("jn10_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+_sql("jn12_all_pairs", "select a.n_nationkey as a, b.n_nationkey as b, abs(a.n_regionkey - b.n_regionkey) as gap from nation a cross join nation b where a.n_nationkey < b.n_nationkey")
+
+
+@_df("jn02_merge_hint", "select l_orderkey, o_orderdate, sum(l_quantity) as q from lineitem join orders on l_orderkey = o_orderkey group by l_orderkey, o_orderdate")
+def _(spark, d):
+    o = _table(spark, d, "orders").hint("merge")
+    return _table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "o_orderdate").agg(F.sum("l_quantity").alias("q"))
+
+
+@_df("jn03_using", "select doc_id, lang, quality from documents join labels using (doc_id)")
+def _(spark, d):
+    return _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "quality")
+
+
+@_df("jn09_lookup_default", "select s_suppkey, coalesce(n_name, '') as nation from supplier left join nation on s_nationkey = n_nationkey and n_regionkey < 3")
+def _(spark, d):
+    n = _table(spark, d, "nation").where("n_regionkey < 3")
+    s = _table(spark, d, "supplier")
+    return s.join(F.broadcast(n.limit(10_000)), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("nation"))
+
+
+# Aggregation
+_sql("ag01_counts", "select l_returnflag, count(*) as n, count_if(l_discount > 0.05) as big from lineitem group by l_returnflag")
+_sql("ag02_sum_avg_min_max", "select l_linestatus, round(sum(l_quantity), 4) as s, round(avg(l_extendedprice), 4) as m, min(l_shipdate) as lo, max(l_tax) as hi from lineitem group by l_linestatus")
+_sql("ag03_stddev", "select event_type, round(stddev_pop(value), 6) as sd from events group by event_type")
+_sql("ag04_quantiles", "select event_type, round(QUANT[value;0.01], 6) as p01, round(QUANT[value;0.5], 6) as p50, round(QUANT[value;0.99], 6) as p99 from events group by event_type")
+_sql("ag05_count_distinct", "select count(distinct user_id) as users, count(distinct event_type) as types from events")
+_sql("ag06_distinct", "select distinct lang, source from documents")
+_sql("ag07_any", "select o_custkey, min(o_orderpriority) as p from orders group by o_custkey")
+_sql("ag08_arg_max", "select o_custkey, max_by(o_orderkey, o_totalprice) as best, max_by(o_orderstatus, o_totalprice) as status from orders group by o_custkey")
+_sql("ag09_latest_version", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1")
+_sql("ag10_summing", "select l_partkey, cast(sum(l_linenumber) as bigint) as n from (select l_partkey, l_linenumber from lineitem union all select p_partkey, 1 from part) t group by l_partkey")
+_sql("ag13_having", "select lang, count(*) as n from documents group by lang having count(*) > 110")
+_sql("ag14_two_level", "select round(QUANT[n;0.9], 6) as q from (select user_id, cast(count(*) as double) as n from events group by user_id) t")
+_sql("ag15_average_of_metric", "select o_orderpriority, round(avg(n), 6) as m from (select o_orderpriority, o_custkey, count(*) as n from orders group by 1, 2) t group by o_orderpriority")
+_sql("ag17_size_survey", "select source, round(avg(n_chars), 4) as mean, round(QUANT[cast(n_chars as double);0.5], 4) as median, max(n_chars) as most from documents group by source")
+_sql("ag18_best_by_priority", "select conv_id, role, turn from (select *, row_number() over (partition by conv_id order by case role when 'system' then 0 when 'assistant' then 1 else 2 end, turn) as rn from conversations) t where rn = 1")
+_sql("ag22_most_common", "select event_type, count(*) as n from events group by event_type order by n desc, event_type limit 3")
+
+
+@_df("ag21_mean_sd_by_position", "select pos, round(avg(x), 6) as mu, round(stddev_pop(x), 6) as sd from (select unnest(range(1, 65)) as pos, unnest(cast(embedding as double[])) as x from embeddings) t group by pos")
+def _(spark, d):
+    e = _table(spark, d, "embeddings").select(F.posexplode(vec.doubles(F.col("embedding"))).alias("p", "x"))
+    return e.groupBy((F.col("p") + 1).cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("mu"), F.round(F.stddev_pop("x"), 6).alias("sd"))
+
+
+@_df("ag11_grouped_arrays", "select l_orderkey, array_to_string(list_slice(list(l_partkey order by l_extendedprice, l_partkey), 1, 3), ',') as cheapest from lineitem group by l_orderkey")
+def _(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey")
+    small = _table(spark, d, "lineitem").withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+    items = F.array_sort(F.collect_list(F.struct("rn", "l_partkey")))
+    return small.groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda t: t["l_partkey"].cast("string")), ",").alias("cheapest"))
+
+
+@_df("ag19_bootstrap")
+def _(spark, d):
+    """A Poisson bootstrap: every row weighs by a hashed draw per replicate, so that no row is shuffled more than once."""
+    u = F.pmod(F.xxhash64("doc_id", "b"), F.lit(1_000_003)) / 1_000_003.0
+    weight = sum((u > p).cast("int") for p in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941))
+    docs = _table(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
+    per = docs.groupBy("b").agg((F.sum(F.col("n_chars") * weight) / F.sum(weight)).alias("m"))
+    return per.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+# Top-k, order, sets
+_sql("tk02_top_k", "select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 10")
+_sql("tk03_top_n_by_key", "select user_id, event_id, value from (select *, row_number() over (partition by user_id order by value desc, event_id) as rn from events) t where rn <= 2")
+_sql("tk05_dedup_by_value", "select min(doc_id) as doc_id, count(*) as copies from documents group by text")
+_sql("tk06_limit_offset", "select p_partkey from part order by p_retailprice desc, p_partkey limit 10 offset 20")
+_sql("tk07_row_numbers", "select vec_id, row_number() over (order by label, vec_id) - 1 as rn from embeddings")
+_sql("tk08_equi_depth", "select b, min(doc_id) as first_key, count(*) as n from (select doc_id, INTDIV[row_number() over (order by doc_id) - 1;40] as b from documents) t group by b")
+_sql("tk09_dense_fill", "select s.n as pos, coalesce(c, 0) as c from (select EACH[SERIES[0;63]] as n) s left join (select HASH[vec_id] % 64 as p, count(*) as c from embeddings group by 1) t on t.p = s.n order by pos")
+_sql("tk11_average_rank", "select doc_id, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0e0 as r from documents")
+_sql("so01_difference", "select c_custkey as k from customer except select o_custkey from orders")
+_sql("so02_last_source_wins", "select k, v from (select k, v, row_number() over (partition by k order by src desc) as rn from (select doc_id as k, quality as v, 1 as src from labels union all select doc_id, toxic, 2 from labels where quality = 0) u) t where rn = 1")
+_sql("so03_stack", "select doc_id, 1 as y from labels where toxic = 1 union all select doc_id, 0 from labels where toxic = 0 and HASH[doc_id] % 3 = 0")
+_sql("so04_intersection", "select doc_id as k from documents intersect select doc_id from labels")
+
+# Arrays
+_sql("ar01_map_filter_sum", "select vec_id, round(SUM[MAP[FILTER[VEC[embedding];x > 0];x * 2]], 6) as s, LEN[FILTER[embedding;x < 0]] as neg from embeddings")
+
+
+@_df("ar05_slice_max", "select vec_id, round(cast(list_max(embedding[1:16]) as double), 6) as m from embeddings")
+def _(spark, d):
+    return _table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(F.slice("embedding", 1, 16)).cast("double"), 6).alias("m"))
+
+
+_sql("ar09_explode", "select doc_id, w from (select doc_id, EACH[SPLIT[substr(text, 1, 60); ]] as w from documents) t where w <> ''")
+
+
+@_df("ar06_sort_distinct_join", r"select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 200)), '[^\p{L}\p{N}]+'), lambda x: x <> ''))), ' ') as words from documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(tx.tokens(F.substring("text", 1, 200)))), " ").alias("words"))
+
+
+@_df("ar08_intersect_contains", "select o_orderkey, len(list_intersect([o_custkey % 5, o_custkey % 7, 3], [1, 2, 3])) as n, list_contains([1, 2], o_custkey % 4) as has, coalesce(list_position([0, 1, 2], o_custkey % 4), 0) as at from orders")
+def _(spark, d):
+    k = F.col("o_custkey")
+    lit = lambda *xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    return _table(spark, d, "orders").select("o_orderkey", F.size(F.array_intersect(F.array(k % 5, k % 7, F.lit(3).cast("long")), lit(1, 2, 3))).alias("n"), F.array_contains(lit(1, 2), k % 4).alias("has"), F.array_position(lit(0, 1, 2), k % 4).cast("int").alias("at"))
+
+
+# Strings, URLs, hashes
+_sql("st01_strings", "select doc_id, concat(lang, ':', substr(text, 1, 5)) as a, lower(substr(text, 1, 9)) as b, trim(replace(substr(text, 1, 12), 'e', ' ')) as c from documents")
+_sql("st08_md5", "select page_id, md5(url) as h, concat(substr(md5(url), 1, 3), '/', substr(md5(url), 4, 3), '/', md5(url), '.jpg') as path from pages")
+_sql("st17_buckets", "select p_partkey, case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as b from part")
+
+
+@_df("st05_regexp_one", r"select page_id, regexp_replace(url, '^(https?)://([^/]+).*$', '\2') as host from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.regexp_replace("url", r"^(https?)://([^/]+).*$", "$2").alias("host"))
+
+
+@_df("st06_stripped_md5", "select page_id, array_to_string(list_transform(range(0, 16), lambda i: CASE WHEN substr(md5(url), cast(2 * i + 1 as bigint), 1) = '0' THEN substr(md5(url), cast(2 * i + 2 as bigint), 1) ELSE substr(md5(url), cast(2 * i + 1 as bigint), 2) END), '') as h from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.stripped_md5(F.col("url")).alias("h"))
+
+
+@_df("st10_url_decode", "select page_id, url_decode(replace(concat(url, '%20a+b'), '+', ' ')) as u from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.try_url_decode(F.concat("url", F.lit("%20a+b"))).alias("u"))
+
+
+_HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@_df("st11_html_text", f"select page_id, {_HTML} as t from pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("t"))
+
+
+# Text corpus
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@_df("tx02_token_counts", f"select token, count(*) as cnt from (select unnest({_TOKENS}) as token from documents) t group by token")
+def _(spark, d):
+    return _table(spark, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+
+
+_IDF = f"with c as (select token, count(*) as cnt from (select unnest({_TOKENS}) as token from documents) t group by token), idf as (select token, ln(sum(cnt) over () / cnt) as idf, cnt from c)"
+
+
+def _idf(docs: DataFrame, least: int) -> DataFrame:
+    counts = docs.select(F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    total = counts.agg(F.sum("cnt").alias("total"))
+    return counts.where(F.col("cnt") >= least).crossJoin(F.broadcast(total)).select("token", F.log(F.col("total") / F.col("cnt")).alias("idf"))
+
+
+@_df("tx03_idf", f"{_IDF} select token, round(idf, 6) as idf from idf where cnt >= 20")
+def _(spark, d):
+    return _idf(_table(spark, d, "documents"), 20).select("token", F.round("idf", 6).alias("idf"))
+
+
+@_df("tx04_top_words", f"{_IDF}, w as (select distinct doc_id, unnest({_TOKENS}) as token from documents), r as (select doc_id, w.token, row_number() over (partition by doc_id order by round(idf, 9) desc, w.token) as rn from w join idf on w.token = idf.token where cnt >= 20) select doc_id, rn as rank, token from r where rn <= 5")
+def _(spark, d):
+    docs = _table(spark, d, "documents")
+    words = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token")).join(_idf(docs, 20), "token")
+    w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("idf", 9)), "token")
+    return words.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "rank", "token")
+
+
+@_df("ve28_bag_of_words", f"with t as (select doc_id, cast('0x' || substr(md5(token), 1, 8) as bigint) % 8192 as bucket, count(*) as n from (select doc_id, unnest({_TOKENS}) as token from documents) t group by 1, 2) select doc_id, bucket, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) as w from t")
+def _(spark, d):
+    t = _table(spark, d, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("doc_id", (vec.hash_int(F.col("token")) % 8192).alias("bucket")).agg(F.count("*").alias("n"))
+    return t.select("doc_id", "bucket", F.round(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id"))), 6).alias("w"))
+
+
+# Vectors
+_PAIRS = "pairs as (select q.vec_id as qid, p.vec_id as key, list_cosine_distance(cast(p.embedding as double[]), cast(q.embedding as double[])) as dist from embeddings p, embeddings q where q.vec_id < {q} and p.vec_id <> q.vec_id)"
+
+
+def _pool(spark, d):
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
+
+
+def _asked(spark, d, n: int):
+    return _table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("ref"))
+
+
+@_df("se02_batch_knn", f"with {_PAIRS.format(q=5)}, r as (select *, row_number() over (partition by qid order by dist, key) as rank from pairs) select qid, key, round(dist, 6) as dist, cast(rank as integer) as rank from r where rank <= 10")
+def _(spark, d):
+    return search.exact(_pool(spark, d), _asked(spark, d, 5), 10).select("qid", "key", F.round("dist", 6).alias("dist"), "rank")
+
+
+@_df("se01_single_knn", f"with {_PAIRS.format(q=1)} select key, round(dist, 6) as dist from pairs order by pairs.dist, key limit 10")
+def _(spark, d):
+    pairs = search.pair_up(_pool(spark, d), _asked(spark, d, 1)).withColumn("dist", vec.cosine_distance(F.col("vec"), F.col("ref")))
+    return pairs.orderBy("dist", "key").limit(10).select("key", F.round("dist", 6).alias("dist"))
+
+
+@_df("se14_range_search", f"with {_PAIRS.format(q=20)} select qid, key, round(dist, 6) as dist from pairs where pairs.dist < 0.7")
+def _(spark, d):
+    pairs = search.pair_up(_pool(spark, d), _asked(spark, d, 20)).withColumn("dist", vec.cosine_distance(F.col("vec"), F.col("ref")))
+    return pairs.where("dist < 0.7").select("qid", "key", F.round("dist", 6).alias("dist"))
+
+
+@_df("rp04_exactness_control", "select 1.0e0 as recall")
+def _(spark, d):
+    truth = search.exact(_pool(spark, d), _asked(spark, d, 20), 10)
+    return search.recall(search.two_stage(_pool(spark, d), _asked(spark, d, 20), 10, 100), truth, 10)
+
+
+_CODED = "coded as (select q.vec_id as qid, p.vec_id as key, -list_sum(list_transform(range(1, 65), lambda i: (CASE WHEN p.embedding[i] < 0 THEN -1.0 ELSE 1.0 END) * cast(q.embedding[i] as double))) as code, list_cosine_distance(cast(p.embedding as double[]), cast(q.embedding as double[])) as dist from embeddings p, embeddings q where q.vec_id < 20 and p.vec_id <> q.vec_id), cand as (select *, row_number() over (partition by qid order by round(code, 10), key) as c, row_number() over (partition by qid order by dist, key) as t from coded)"
+
+
+@_df("se04_two_stage", f"with {_CODED}, r as (select qid, key, row_number() over (partition by qid order by dist, key) as rank from cand where c <= 50) select qid, key, cast(rank as integer) as rank from r where rank <= 10")
+def _(spark, d):
+    return search.two_stage(_pool(spark, d), _asked(spark, d, 20), 10, 5).select("qid", "key", "rank")
+
+
+@_df("rp03_codec_recall", f"with {_CODED} select cast(5 as integer) as multiplier, round(avg(r), 6) as recall from (select qid, count_if(c <= 50 and t <= 10) / 10.0e0 as r from cand group by qid) s")
+def _(spark, d):
+    truth = search.exact(_pool(spark, d), _asked(spark, d, 20), 10)
+    found = search.two_stage(_pool(spark, d), _asked(spark, d, 20), 10, 5)
+    return search.recall(found, truth, 10).select(F.lit(5).alias("multiplier"), "recall")
+
+
+@_df("se03_truncated_grid")
+def _(spark, d):
+    pool, asked = _pool(spark, d), _asked(spark, d, 20)
+    truth = search.exact(pool, asked, 10)
+    out = None
+    for bits in (2, 4, 8, 12, 16):
+        for dims in (32, 64):
+            r = search.recall(search.truncated(pool, asked, 10, vec.to_bf16(F.col("vec"), bits), dims), truth, 10).select(F.lit("bf16").alias("type"), F.lit(bits).alias("bits"), F.lit(dims).alias("dims"), "recall", F.lit(bits * dims // 8).alias("bytes"))
+            out = r if out is None else out.unionByName(r)
+    for bits in (1, 4, 8):
+        cut = vec.from_int8(vec.to_int8(vec.hadamard_rotate(F.col("vec"), 64), 8.0), bits)
+        turned = asked.withColumn("ref", vec.hadamard_rotate(F.col("ref"), 64))
+        r = search.recall(search.truncated(pool, turned, 10, cut, 64), truth, 10).select(F.lit("int8_rotated").alias("type"), F.lit(bits).alias("bits"), F.lit(64).alias("dims"), "recall", F.lit(bits * 8).alias("bytes"))
+        out = out.unionByName(r)
+    return search.pareto(out, "bytes", "recall")
+
+
+@_df("ve02_dot_norm", "select vec_id, round(sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))), 6) as n, round(list_inner_product(cast(embedding as double[]), list_reverse(cast(embedding as double[]))), 6) as d from embeddings")
+def _(spark, d):
+    e = F.col("embedding")
+    return _table(spark, d, "embeddings").select("vec_id", F.round(vec.norm(e), 6).alias("n"), F.round(vec.dot(e, F.reverse(e)), 6).alias("d"))
+
+
+@_df("ve10_int8", "select vec_id, list_sum(list_transform(cast(embedding as double[]), lambda x: round(127 * ((exp(x * 8) - 1) / (exp(x * 8) + 1))))) as s from embeddings")
+def _(spark, d):
+    return _table(spark, d, "embeddings").select("vec_id", vec.total(F.transform(vec.to_int8(F.col("embedding"), 8.0), lambda q: q.cast("double"))).alias("s"))
+
+
+@_df("ve11_hadamard", "select vec_id, pos, round(x, 6) as x from (select vec_id, unnest(range(0, 64)) as pos, unnest(list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: cast(embedding[j + 1] as double) * (case when list_contains(FLIP, j) then -1 else 1 end) * (case when bit_count(cast(i & j as bigint)) % 2 = 0 then 1 else -1 end))) / 8)) as x from embeddings where vec_id < 50) t".replace("FLIP", str([j for j, s in enumerate(vec.signs(64)) if s < 0])))
+def _(spark, d):
+    e = _table(spark, d, "embeddings").where("vec_id < 50")
+    return e.select("vec_id", F.posexplode(vec.hadamard_rotate(F.col("embedding"), 64)).alias("p", "x")).select("vec_id", F.col("p").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@_df("ve27_project3", "with p as (select vec_id, list_sum(cast(embedding[1:21] as double[])) as a, list_sum(cast(embedding[22:42] as double[])) as b, list_sum(cast(embedding[43:64] as double[])) as c from embeddings), s as (select min(a) as la, max(a) as ha, min(b) as lb, max(b) as hb from p) select vec_id, round(c, 6) as c, cast(floor((a - la) / (ha - la) * 1023.5) as bigint) as x, cast(floor((b - lb) / (hb - lb) * 1023.5) as bigint) as y from p, s")
+def _(spark, d):
+    a, b, c = vec.project3(F.col("embedding"), [(1, 21), (22, 21), (43, 22)])
+    p = _table(spark, d, "embeddings").select("vec_id", a.alias("a"), b.alias("b"), c.alias("c"))
+    s = p.agg(F.min("a").alias("la"), F.max("a").alias("ha"), F.min("b").alias("lb"), F.max("b").alias("hb"))
+    cell = lambda v, lo, hi: F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * 1023.5)
+    return p.crossJoin(F.broadcast(s)).select("vec_id", F.round("c", 6).alias("c"), cell("a", "la", "ha").alias("x"), cell("b", "lb", "hb").alias("y"))
+
+
+@_df("mt05_morton", "select p_partkey, cast(" + " + ".join(f"(((p_partkey >> {i}) & 1) << {2 * i}) + (((cast(p_size as bigint) >> {i}) & 1) << {2 * i + 1})" for i in range(16)) + " as bigint) as z from part")
+def _(spark, d):
+    return _table(spark, d, "part").select("p_partkey", vec.morton(F.col("p_partkey") * 2, F.col("p_size").cast("long") * 2).alias("z"))
+
+
+# Maps
+@_df("mp01_tile", "with p as (select list_sum(cast(embedding[1:32] as double[])) as a, list_sum(cast(embedding[33:64] as double[])) as b, label from embeddings), c as (select cast(floor(greatest(0, least(0.999999, (a + 4) / 8)) * 32) as bigint) * 32 + cast(floor(greatest(0, least(0.999999, (b + 4) / 8)) * 32) as bigint) as pos, label from p), g as (select pos, count(*) as n, avg(label) as z from c group by pos) select s.pos, coalesce(n, 0) as n, round(coalesce(z, 0), 6) as z from (select unnest(range(0, 1024)) as pos) s left join g on g.pos = s.pos")
+def _(spark, d):
+    a, b = vec.project3(F.col("embedding"), [(1, 32), (33, 32)])
+    cell = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(0.999999), (v + 4) / 8)) * 32)
+    g = _table(spark, d, "embeddings").groupBy((cell(a) * 32 + cell(b)).alias("pos")).agg(F.count("*").alias("n"), F.avg("label").alias("z"))
+    return spark.range(1024).withColumnRenamed("id", "pos").join(g, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("z", F.lit(0.0)), 6).alias("z"))
+
+
+_sql("mp03_representative", "select HASH[vec_id] % 50 as cell, min_by(vec_id, HASH[vec_id] * 1000000 + vec_id) as key from embeddings group by 1")
+_sql("mp05_render_constants", "select min(value) as lo, max(value) as hi, round((min(value) + max(value)) / 2, 6) as centre from events")
+_sql("mp08_quantile_hue", "select event_id, round(greatest(0e0, least(1e0, (value - lo) / (hi - lo))), 6) as hue from events cross join (select QUANT[value;0.01] as lo, QUANT[value;0.99] as hi from events) s")
+_sql("mp09_edge_clamp", "select round(100e0 * count_if(value <= lo or value >= hi) / count(*), 6) as pct from events cross join (select QUANT[value;0.001] as lo, QUANT[value;0.999] as hi from events) s")
+
+# Models and evaluation
+_sql("ml08_evaluate", "select round(avg(case when (p > 0.5) = (toxic = 1) then 1e0 else 0e0 end), 6) as acc, round(avg(p), 6) as mean, round(stddev_pop(p), 6) as sd from (select toxic, 1 / (1 + exp(-(n_chars / 1000e0 - 2))) as p from documents join labels on documents.doc_id = labels.doc_id) t")
+_sql("ml11_majority", "select label, count(*) as n from embeddings group by label order by n desc, label limit 1")
+_sql("ml12_auc", "select round((sum(case when toxic = 1 then r else 0 end) - np * (np + 1) / 2e0) / (np * nn), 6) as auc from (select toxic, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2e0 as r, sum(toxic) over () as np, sum(1 - toxic) over () as nn from documents join labels on documents.doc_id = labels.doc_id) t group by np, nn")
+_sql("ml09_confusion", "select toxic, quality, count(*) as n from labels group by toxic, quality")
+_sql("ml14_weak_labels", "select page_id, case when url like '%spam%' or url like '%pills%' then 1 else 0 end as y from pages where url like '%spam%' or url like '%pills%' or HASH[page_id] % 4 = 0")
+
+
+@_df("ml05_sigmoid_scores", "select vec_id, round(1 / (1 + exp(-(list_inner_product(cast(embedding as double[]), list_transform(range(0, 64), lambda i: (i % 5 - 2) / 2.0e0)) + 0.1))), 6) as p from embeddings")
+def _(spark, d):
+    w = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 5 - 2) / 2.0).alias("w"), F.lit(0.1).alias("b"))
+    return _table(spark, d, "embeddings").crossJoin(F.broadcast(w)).select("vec_id", F.round(1 / (1 + F.exp(-(vec.dot(F.col("embedding"), F.col("w")) + F.col("b")))), 6).alias("p"))
+
+
+@_df("ml01_logits_argmax_softmax", "with z as (select vec_id, list_transform([1, 2, 3], lambda c: list_inner_product(cast(embedding as double[]), list_transform(range(0, 64), lambda i: ((i * c) % 7 - 3) / 2.0e0))) as l from embeddings) select vec_id, cast(list_position(l, list_max(l)) as integer) as cls, round(exp(list_max(l) - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) as p from z")
+def _(spark, d):
+    weights = lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i * c) % 7 - 3) / 2.0)
+    w = spark.range(1).select(F.array(weights(1), weights(2), weights(3)).alias("w"))
+    e = _table(spark, d, "embeddings").crossJoin(F.broadcast(w)).select("vec_id", F.transform("w", lambda x: vec.dot(F.col("embedding"), x)).alias("l"))
+    top = F.array_max("l")
+    return e.select("vec_id", F.array_position("l", top).cast("int").alias("cls"), F.round(1 / vec.total(F.transform("l", lambda x: F.exp(x - top))), 6).alias("p"))
+
+
+@_df("ml10_nearest_centroid", "with m as (select label, list(x order by i) as c from (select label, i, avg(x) as x from (select label, unnest(range(1, 65)) as i, unnest(cast(embedding as double[])) as x from embeddings) t group by label, i) u group by label), s as (select vec_id, e.label as y, m.label as guess, row_number() over (partition by vec_id order by round(list_cosine_distance(cast(e.embedding as double[]), m.c), 12), m.label) as rn from embeddings e, m) select round(avg(case when y = guess then 1e0 else 0e0 end), 6) as acc from s where rn = 1")
+def _(spark, d):
+    e = _table(spark, d, "embeddings")
+    means = e.select("label", F.posexplode(vec.doubles(F.col("embedding"))).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    c = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select(F.col("label").alias("guess"), F.transform("s", lambda t: t["x"]).alias("c"))
+    w = Window.partitionBy("vec_id").orderBy("dist", "guess")
+    s = e.crossJoin(F.broadcast(c)).select("vec_id", "label", "guess", F.round(vec.cosine_distance(F.col("embedding"), F.col("c")), 12).alias("dist"))
+    return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").agg(F.round(F.avg((F.col("label") == F.col("guess")).cast("double")), 6).alias("acc"))
+
+
+@_df("ml07_train_logistic")
+def _(spark, d):
+    """L-BFGS logistic regression on a hash split; accuracy on the held-out quarter."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    e = _table(spark, d, "embeddings").select((F.col("label") < 5).cast("double").alias("label"), array_to_vector(vec.doubles(F.col("embedding"))).alias("features"), (vec.hash_int(F.col("vec_id")) % 4 != 0).alias("train"))
+    model = LogisticRegression(maxIter=50, regParam=0.01).fit(e.where("train"))
+    return model.transform(e.where("not train")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"), F.count("*").alias("n"))
+
+
+# Representation studies
+@_df("rp12_rank_correlation", f"with {_PAIRS.format(q=20)}, h as (select p.vec_id as key, q.vec_id as qid, list_cosine_distance(cast(p.embedding[1:32] as double[]), cast(q.embedding[1:32] as double[])) as half from embeddings p, embeddings q where q.vec_id < 20 and p.vec_id <> q.vec_id), r as (select qid, rank() over (partition by qid order by round(dist, 12)) as a, rank() over (partition by qid order by round(half, 12)) as b from pairs join h using (qid, key)) select qid, round(corr(a, b), 6) as spearman from r group by qid")
+def _(spark, d):
+    pairs = search.pair_up(_pool(spark, d), _asked(spark, d, 20))
+    pairs = pairs.select("qid", F.round(vec.cosine_distance(F.col("vec"), F.col("ref")), 12).alias("dist"), F.round(vec.cosine_distance(F.slice("vec", 1, 32), F.slice("ref", 1, 32)), 12).alias("half"))
+    r = pairs.select("qid", *[F.rank().over(Window.partitionBy("qid").orderBy(c)).alias(n) for c, n in (("dist", "a"), ("half", "b"))])
+    return r.groupBy("qid").agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
+
+
+@_df("se10_knn_overlap", f"with {_PAIRS.format(q=20)}, h as (select p.vec_id as key, q.vec_id as qid, list_cosine_distance(cast(p.embedding[1:32] as double[]), cast(q.embedding[1:32] as double[])) as half from embeddings p, embeddings q where q.vec_id < 20 and p.vec_id <> q.vec_id), r as (select qid, row_number() over (partition by qid order by dist, key) as a, row_number() over (partition by qid order by half, key) as b from pairs join h using (qid, key)) select round(avg(o), 6) as recall from (select qid, count_if(a <= 10 and b <= 10) / 10.0e0 as o from r group by qid) t")
+def _(spark, d):
+    half = lambda df, c: df.withColumn(c, F.slice(c, 1, 32))
+    truth = search.exact(_pool(spark, d), _asked(spark, d, 20), 10)
+    return search.recall(search.exact(half(_pool(spark, d), "vec"), half(_asked(spark, d, 20), "ref"), 10), truth, 10)
+
+
+_sql("rp05_pareto", "select bytes, v, v >= coalesce(max(v) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from (select p_size as bytes, max(p_retailprice) as v from part group by p_size) t")
+_sql("rp10_bytes_per_vector", "select b.n as bits, d.n as dims, INTDIV[b.n * d.n;8] as bytes from (select EACH[SERIES[1;16]] as n) b cross join (select EACH[SERIES[1;8]] * 8 as n) d")
+
+
+@_df("rp07_pivot", "select l_returnflag, count_if(l_linestatus = 'F') as \"F\", count_if(l_linestatus = 'O') as \"O\" from lineitem group by l_returnflag")
+def _(spark, d):
+    return _table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)
