@@ -171,8 +171,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     classes = materialize(small.groupBy("digest", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("cls"), "vector", "ids"), "classes")
     asked = materialize(rows.where(F.col("vec_id") % every == 0).join(classes.select(F.xxhash64("vector").alias("digest"), "vector", "cls"), ["digest", "vector"]).select("vec_id", "cls"), "asked")
     count = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(FIT_ROWS).select("vector").toPandas()["vector"]
-    index = Index(np.stack(sample.to_list()).astype(np.float64), count, k + 1, seed=seed)
+    sample = classes.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(FIT_ROWS).select(F.col("vector").cast("array<float>")).toArrow().column(0).combine_chunks()
+    index = Index(_matrix(sample), count, k + 1, seed=seed)
     listed = materialize(classes.mapInArrow(_assign(index), "cls long, vector array<double>, ids array<long>, list int"), "lists")
     heads = asked.select("cls").distinct()
     probes = materialize(classes.join(heads, "cls", "left_semi").select("cls", "vector").mapInArrow(_probe(index, k + 1), "cls long, vector array<double>, lists array<int>, bound double").select("cls", "vector", "bound", F.explode("lists").alias("list")), "probes")

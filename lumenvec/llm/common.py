@@ -72,6 +72,18 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held several times over between the JVM and Python.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

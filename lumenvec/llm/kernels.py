@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 U = np.uint64
 _MUL = U(0x9E3779B97F4A7C15)
 #: ASCII white space: space and \t to \r.
@@ -39,6 +43,13 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and n + 1 offsets; null texts are empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -55,7 +66,7 @@ def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 18):
     """Ranges of documents of about so many bytes; a longer document is a range of its own."""
     lo = 0
     while lo < len(offsets) - 1:

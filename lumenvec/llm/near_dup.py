@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import BROADCAST_ROWS, materialize
+from lumenvec.llm.common import BROADCAST_ROWS, materialize, small_batches
 from lumenvec.llm.components import UnionFind, connected_components
 
 #: Documents of one comparison block, and shingles of their sets together.
@@ -35,6 +35,7 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
                 d2 = np.array([int(K.mix(s).sum(dtype=K.U)) for s in sets], K.U).view(np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array([x.tobytes() for x in short], pa.binary()), listed], schema=schema)
+        K.release()
 
     return run
 
@@ -87,6 +88,7 @@ def _alike(least: float, ratio: float):
                 done.update(new)
             if new:
                 yield pd.DataFrame(new, columns=["a", "b"], dtype="int64")
+        K.release()
 
     return run
 
@@ -134,6 +136,8 @@ def _confirm(width: int, percent: int):
             out = [(p, q) for p, q in zip(ids[left[x]].tolist(), ids[right[y]].tolist(), strict=True) if p != q and joined.union(p, q)]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            del data, sets, both, union
+        K.release()
 
     return run
 
@@ -162,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     and share its fate. A null doc_id can't be named by a component: its component is its class's, if any other row has one, and it is
     kept only if there is none. An empty table gives an empty result; other columns are not looked at.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = materialize(source.mapInArrow(_signatures(width, bands, rows, seed), "doc_id long, n long, d1 long, d2 long, sig binary, keys array<long>"), "marks")
     classes = materialize(marks.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")

@@ -13,6 +13,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenvec.llm.common import small_batches
+from lumenvec.llm.kernels import release
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that parts a text before byte pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,6 +154,7 @@ def _pack_partition(ranks: bytes, row_tokens: int, pool_tokens: int, pad: int):
                         yield from emit()
                         size = 0
         yield from emit()
+        release()
 
     return run
 
@@ -167,6 +171,7 @@ def pack_documents(docs: DataFrame, row_tokens: int = ROW_TOKENS, tokenizer: str
     ``doc_ids``; repeated rows are packed as often as they come. The vocabulary, of at most 65,536 ids, is read on the driver and shipped.
     An empty table gives an empty result; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     ranks = Path(tokenizer).read_bytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_pack_partition(ranks, row_tokens, pool_tokens, pad), SHAPE)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import BROADCAST_ROWS, materialize
+from lumenvec.llm.common import BROADCAST_ROWS, materialize, small_batches
 from lumenvec.llm.suffix_sort import deep_shallow
 
 LENGTH, GRAM = 200, 64
@@ -75,6 +75,7 @@ def _scan(length: int, gram: int):
             for lo in range(0, len(out), 500):
                 part = out[lo : lo + 500]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in part])) for j in range(3)], schema=schema)
+        K.release()
 
     return run
 
@@ -193,6 +194,8 @@ def _sort(length: int, gram: int):
                         held = held[-1:]
         if held:
             yield solve(held)
+        held = []
+        K.release()
 
     return run
 
@@ -245,6 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gian
     under one id too, are occurrences like any other. Null ids stay. An empty table gives an empty result; other columns are not
     looked at. ``length`` - ``gram`` must be below 255.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     marks = materialize(rows.select("key", "text").mapInArrow(_scan(length, gram), "key long, hash long, spot long"), "anchors")
