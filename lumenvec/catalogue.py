@@ -34,7 +34,7 @@ _DIALECTS = {
     "EACH": ("explode({0})", "unnest({0})"),
     "RLIKE": ("{0} rlike '{1}'", "regexp_matches({0}, '{1}')"),
     "JSON": ("get_json_object({0}, '$.{1}')", "json_extract_string({0}, '$.{1}')"),
-    "VEC": ("cast({0} as array<double>)", "cast({0} as double[])"),
+    "VEC": ("cast({0} as array<double>)", "list_transform({0}, lambda y: cast(y as double))"),
     "SUM": ("aggregate({0}, 0D, (a, x) -> a + x)", "list_sum({0})"),
     "PART": ("slice({0}, {1}, {2})", "list_slice({0}, {1}, {1} + {2} - 1)"),
 }
@@ -200,7 +200,7 @@ _sql("so03_stack", "select doc_id, 1 as y from labels where toxic = 1 union all
 _sql("so04_intersection", "select doc_id as k from documents intersect select doc_id from labels")
 
 # Arrays
-_sql("ar01_map_filter_sum", "select vec_id, round(SUM[MAP[FILTER[VEC[embedding];x > 0];x * 2]], 6) as s, LEN[FILTER[embedding;x < 0]] as neg from embeddings")
+_sql("ar01_map_filter_sum", "select vec_id, round(SUM[MAP[FILTER[VEC[embedding]; x > 0]; x * 2]], 6) as s, LEN[FILTER[embedding;x < 0]] as neg from embeddings")
 
 
 @_df("ar05_slice_max", "select vec_id, round(cast(list_max(embedding[1:16]) as double), 6) as m from embeddings")
@@ -462,7 +462,7 @@ def _(spark, d):
 
 
 _sql("rp05_pareto", "select bytes, v, v >= coalesce(max(v) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from (select p_size as bytes, max(p_retailprice) as v from part group by p_size) t")
-_sql("rp10_bytes_per_vector", "select b.n as bits, d.n as dims, INTDIV[b.n * d.n;8] as bytes from (select EACH[SERIES[1;16]] as n) b cross join (select EACH[SERIES[1;8]] * 8 as n) d")
+_sql("rp10_bytes_per_vector", "select b.n as bits, d.n as dims, INTDIV[b.n * d.n;8] as bytes from (select EACH[SERIES[1;16]] as n) b cross join (select m * 8 as n from (select EACH[SERIES[1;8]] as m) e) d")
 
 
 @_df("rp07_pivot", "select l_returnflag, count_if(l_linestatus = 'F') as \"F\", count_if(l_linestatus = 'O') as \"O\" from lineitem group by l_returnflag")
