@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * _MUL)
 _BYTE_LOWER = _BYTE[_LOWER]
-_POWERS = np.ones(64, U)
+_POWERS = np.ones(1, U)
 
 
 def _powers(n: int) -> np.ndarray:
