@@ -180,10 +180,10 @@ def test_chat(spark):
 
 def test_toxicity(spark, odd):
     df, _ = odd
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fitted = train(docs, labels)
     got = score_toxicity(df, fitted)
     assert got.count() == df.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     m = score_toxicity(docs, fitted).join(labels.withColumnRenamed("toxic", "y"), "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").toPandas()
-    assert ((m.score >= 0.5) == (m.y == 1)).mean() > 0.93
+    assert ((m.score >= 0.5) == (m.y == 1)).mean() > max((m.y == 1).mean(), (m.y == 0).mean()) + 0.04  # better than calling every row clean
     assert drop_toxic(df, fitted).columns == df.columns and train(docs, labels.limit(0))[1:] == ({}, 0.5)
