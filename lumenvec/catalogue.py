@@ -36,6 +36,9 @@ _DIALECTS = {
     "JSON": ("get_json_object({0}, '$.{1}')", "json_extract_string({0}, '$.{1}')"),
     "VEC": ("cast({0} as array<double>)", "list_transform({0}, lambda y: cast(y as double))"),
     "SUM": ("aggregate({0}, 0D, (a, x) -> a + x)", "list_sum({0})"),
+    "AT": ("element_at({0}, {1})", "list_extract({0}, {1})"),
+    "DOT": ("aggregate(zip_with(slice({0}, 1, {2}), slice({1}, 1, {2}), (y, z) -> y * z), 0D, (a, x) -> a + x)", "list_inner_product(list_slice({0}, 1, {2}), list_slice({1}, 1, {2}))"),
+    "MAXOF": ("array_max({0})", "list_max({0})"),
     "PART": ("slice({0}, {1}, {2})", "list_slice({0}, {1}, {1} + {2} - 1)"),
 }
 
@@ -208,12 +211,12 @@ def _(spark, d):
     return _table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(F.slice("embedding", 1, 16)).cast("double"), 6).alias("m"))
 
 
-_sql("ar09_explode", "select doc_id, w from (select doc_id, EACH[SPLIT[substr(text, 1, 60); ]] as w from documents) t where w <> ''")
+_sql("ar09_explode", "select doc_id, w from (select doc_id, EACH[SPLIT[text; ]] as w from documents) t where w <> ''")
 
 
-@_df("ar06_sort_distinct_join", r"select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 200)), '[^\p{L}\p{N}]+'), lambda x: x <> ''))), ' ') as words from documents")
+@_df("ar06_sort_distinct_join", r"select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))), ' ') as words from documents")
 def _(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(tx.tokens(F.substring("text", 1, 200)))), " ").alias("words"))
+    return _table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(tx.tokens(F.col("text")))), " ").alias("words"))
 
 
 @_df("ar08_intersect_contains", "select o_orderkey, len(list_intersect([o_custkey % 5, o_custkey % 7, 3], [1, 2, 3])) as n, list_contains([1, 2], o_custkey % 4) as has, coalesce(list_position([0, 1, 2], o_custkey % 4), 0) as at from orders")
@@ -367,9 +370,9 @@ def _(spark, d):
     return _table(spark, d, "embeddings").select("vec_id", vec.total(F.transform(vec.to_int8(F.col("embedding"), 8.0), lambda q: q.cast("double"))).alias("s"))
 
 
-@_df("ve11_hadamard", "select vec_id, pos, round(x, 6) as x from (select vec_id, unnest(range(0, 64)) as pos, unnest(list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: cast(embedding[j + 1] as double) * (case when list_contains(FLIP, j) then -1 else 1 end) * (case when bit_count(cast(i & j as bigint)) % 2 = 0 then 1 else -1 end))) / 8)) as x from embeddings where vec_id < 50) t".replace("FLIP", str([j for j, s in enumerate(vec.signs(64)) if s < 0])))
+@_df("ve11_hadamard", "select vec_id, pos, round(x, 6) as x from (select vec_id, unnest(range(0, 64)) as pos, unnest(list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda j: cast(embedding[j + 1] as double) * (case when list_contains(FLIP, j) then -1 else 1 end) * (case when bit_count(cast(i & j as bigint)) % 2 = 0 then 1 else -1 end))) / 8)) as x from embeddings) t".replace("FLIP", str([j for j, s in enumerate(vec.signs(64)) if s < 0])))
 def _(spark, d):
-    e = _table(spark, d, "embeddings").where("vec_id < 50")
+    e = _table(spark, d, "embeddings")
     return e.select("vec_id", F.posexplode(vec.hadamard_rotate(F.col("embedding"), 64)).alias("p", "x")).select("vec_id", F.col("p").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
