@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lumenvec import catalogue
-from lumenvec.functions import vec
+from lumenvec.functions import colour, quant, vec
+from lumenvec.operators import gram, images
 from lumenvec.plans.sinks import write_chunk
 from lumenvec.sources import binary
 
@@ -19,7 +20,7 @@ def rows(values):
     return sorted(tuple("%.6g" % v if isinstance(v, float) else str(v) for v in r) for r in values)
 
 
-@pytest.mark.parametrize("name", ["se02_batch_knn", "se04_two_stage", "ve11_hadamard", "tx04_top_words", "ag09_latest_version", "mp01_tile", "ml12_auc", "rp05_pareto", "st11_html_text", "pf16_tolerant_cast"])
+@pytest.mark.parametrize("name", ["se02_batch_knn", "se04_two_stage", "ve11_hadamard", "tx04_top_words", "ag09_latest_version", "mp01_tile", "ml12_auc", "rp05_pareto", "st11_html_text", "pf16_tolerant_cast", "ve07_truncated_distance", "ve15_encode", "ve18_float8", "rp11_cka", "rp14_triplets", "mp02_colour", "se09_contrasting_labels", "sc05_text_lines", "sk06_chunk_once", "sk09_z_order", "sk11_resume"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -63,3 +64,41 @@ def test_chunks_load_once(spark, tmp_path):
     for _ in range(2):
         write_chunk(df, str(tmp_path / "t"), "chunk")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_codebooks_contain_one_another(spark):
+    x = np.random.default_rng(5).standard_normal(400)
+    df = spark.createDataFrame([(x.tolist(),), ([],), (None,)], "v array<double>")
+    codes = {b: df.select(quant.encode(F.col("v"), b, 1.0)).collect() for b in (2, 8)}
+    assert np.array_equal(np.array(codes[8][0][0]) >> 6, codes[2][0][0]) and codes[8][1][0] == [] and codes[8][2][0] is None
+    back = df.limit(1).select(quant.decode(quant.encode(F.col("v"), 8, 1.0), 8, 1.0)).first()[0]
+    assert np.abs(np.array(back) - x).mean() < 0.02
+
+
+def test_float8_nearest(spark):
+    grid = np.array([0.0] + [(1 + m / 8) * 2.0**e for e in range(-6, 9) for m in range(8)] + [m * 2.0**-9 for m in range(1, 8)])
+    grid = np.sort(grid[grid <= 448])
+    x = np.random.default_rng(6).standard_normal(300) * 10
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").select(quant.float8(F.col("x"), 3, -6, 448.0)).toPandas().iloc[:, 0].to_numpy()
+    assert np.array_equal(np.abs(got), [grid[np.abs(grid - abs(v)).argmin()] for v in x]) and (got * x >= 0).all()
+
+
+def test_axes_and_alignment(spark):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((300, 4)) * [5, 1, 3, 0.1] + 7
+    df = spark.createDataFrame([(v.tolist(), (2 * v).tolist()) for v in x] + [(None, [1.0] * 4)], "a array<double>, b array<double>")
+    want = np.linalg.svd(x - x.mean(0))[2][:2]
+    assert np.allclose(np.abs(gram.principal_axes(df, F.col("a"), 2)), np.abs(want))
+    assert abs(gram.linear_cka(df, F.col("a"), F.col("b")).first().cka - 1) < 1e-9
+
+
+def test_rasters(spark):
+    flat, wrong = bytes([10, 200, 77] * 25), b"abc"
+    df = spark.createDataFrame([(0, flat), (1, wrong), (2, None)], "i int, r binary")
+    got = df.orderBy("i").select(images.shrink_area(F.col("r"), 5, 3).alias("a"), images.shrink_nearest(F.col("r"), 5, 2).alias("n")).collect()
+    assert bytes(got[0].a) == flat[:27] and bytes(got[0].n) == flat[:12] and got[1].a is None and got[2].n is None
+
+
+def test_grey_has_no_hue(spark):
+    r = spark.range(1).select(*colour.oklch_to_srgb(F.lit(0.6), F.lit(0.0), F.lit(0.3))).first()
+    assert max(r) - min(r) < 1e-5
