@@ -102,3 +102,11 @@ def test_rasters(spark):
 def test_grey_has_no_hue(spark):
     r = spark.range(1).select(*colour.oklch_to_srgb(F.lit(0.6), F.lit(0.0), F.lit(0.3))).first()
     assert max(r) - min(r) < 1e-5
+
+
+def test_truth_and_sparse_files():
+    raw = np.array([2, 2], "<u4").tobytes() + np.array([5, 6, 7, 8], "<u4").tobytes() + np.arange(4, dtype="<f4").tobytes()
+    ids, dist = binary.parse_truth(raw)
+    assert ids.tolist() == [[5, 6], [7, 8]] and dist.tolist() == [[0, 1], [2, 3]]
+    raw = np.array([2, 9, 3], "<i8").tobytes() + np.array([0, 1, 3], "<i8").tobytes() + np.array([4, 0, 8], "<i4").tobytes() + np.ones(3, "<f4").tobytes()
+    assert [x.tolist() for x in binary.parse_csr(raw)[0]] == [[4], [0, 8]]
