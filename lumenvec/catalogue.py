@@ -39,6 +39,8 @@ _DIALECTS = {
     "AT": ("element_at({0}, {1})", "list_extract({0}, {1})"),
     "DOT": ("aggregate(zip_with(slice({0}, 1, {2}), slice({1}, 1, {2}), (y, z) -> y * z), 0D, (a, x) -> a + x)", "list_inner_product(list_slice({0}, 1, {2}), list_slice({1}, 1, {2}))"),
     "MAXOF": ("array_max({0})", "list_max({0})"),
+    "DISTINCT": ("array_distinct({0})", "list_distinct({0})"),
+    "PLACE": ("array_position({0}, {1})", "list_position({0}, {1})"),
     "PART": ("slice({0}, {1}, {2})", "list_slice({0}, {1}, {1} + {2} - 1)"),
 }
 
@@ -146,7 +148,7 @@ def _(spark, d):
 
 
 # Aggregation
-_sql("ag01_counts", "select l_returnflag, count(*) as n, count_if(l_discount > 0.05) as big from lineitem group by l_returnflag")
+_sql("ag01_counts", "select l_returnflag, count(*) as n, cast(count_if(l_discount > 0.05) as bigint) as big from lineitem group by l_returnflag")
 _sql("ag02_sum_avg_min_max", "select l_linestatus, round(sum(l_quantity), 4) as s, round(avg(l_extendedprice), 4) as m, min(l_shipdate) as lo, max(l_tax) as hi from lineitem group by l_linestatus")
 _sql("ag03_stddev", "select event_type, round(stddev_pop(value), 6) as sd from events group by event_type")
 _sql("ag04_quantiles", "select event_type, round(QUANT[value;0.01], 6) as p01, round(QUANT[value;0.5], 6) as p50, round(QUANT[value;0.99], 6) as p99 from events group by event_type")
@@ -468,6 +470,6 @@ _sql("rp05_pareto", "select bytes, v, v >= coalesce(max(v) over (order by bytes
 _sql("rp10_bytes_per_vector", "select b.n as bits, d.n as dims, INTDIV[b.n * d.n;8] as bytes from (select EACH[SERIES[1;16]] as n) b cross join (select m * 8 as n from (select EACH[SERIES[1;8]] as m) e) d")
 
 
-@_df("rp07_pivot", "select l_returnflag, count_if(l_linestatus = 'F') as \"F\", count_if(l_linestatus = 'O') as \"O\" from lineitem group by l_returnflag")
+@_df("rp07_pivot", "select l_returnflag, cast(count_if(l_linestatus = 'F') as bigint) as \"F\", cast(count_if(l_linestatus = 'O') as bigint) as \"O\" from lineitem group by l_returnflag")
 def _(spark, d):
     return _table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)

@@ -22,7 +22,7 @@ _sql("ar13_count_equal", "select doc_id, LEN[FILTER[SPLIT[lower(text); ];x = 'th
 _sql("ar17_divide", "select vec_id, round(SUM[MAP[VEC[embedding];x / 2e0]], 6) as s from embeddings")
 _sql("st13_tag_list", "select page_id, LEN[FILTER[SPLIT[url;/];x <> '']] as n from pages")
 _sql("st14_casts", "select o_orderkey, cast(floor(o_totalprice) as int) as whole, cast(o_custkey as string) as c, cast(o_orderkey as double) / 4 as q from orders")
-_sql("st15_dates", "select event_id, cast(ts as date) as day, coalesce(try_cast(event_type as timestamp), ts) as t from events")
+_sql("st15_dates", "select event_id, cast(cast(ts as date) as string) as day, coalesce(try_cast(event_type as timestamp), ts) as t from events")
 _sql("st19_split_part", "select page_id, split_part(split_part(url, '://', 2), '/', 1) as host from pages")
 _sql("mt01_scalars", "select event_id, round(sqrt(abs(value)), 6) as r, round(ln(1 + abs(value)), 6) as l, round(exp(-abs(value) / 100), 6) as e, cast(sign(value) as int) as s from events")
 _sql("mt02_clamp", "select event_id, greatest(10e0, least(value, 60e0)) as v from events")

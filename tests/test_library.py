@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lumenvec import catalogue
-from lumenvec.functions import colour, quant, vec
+from lumenvec.functions import colour, projections, quant, vec
 from lumenvec.operators import gram, images
 from lumenvec.plans.sinks import write_chunk
 from lumenvec.sources import binary
@@ -110,3 +110,32 @@ def test_truth_and_sparse_files():
     assert ids.tolist() == [[5, 6], [7, 8]] and dist.tolist() == [[0, 1], [2, 3]]
     raw = np.array([2, 9, 3], "<i8").tobytes() + np.array([0, 1, 3], "<i8").tobytes() + np.array([4, 0, 8], "<i4").tobytes() + np.ones(3, "<f4").tobytes()
     assert [x.tolist() for x in binary.parse_csr(raw)[0]] == [[4], [0, 8]]
+
+
+def test_projections_keep_lengths_and_nulls(spark):
+    x = np.random.default_rng(3).standard_normal((200, 24))
+    for kind in projections.KINDS:
+        rows = projections.matrix(kind, 48, 24)
+        ratio = ((x @ rows.T) ** 2).sum(1) / (x * x).sum(1)
+        assert rows.shape == (48, 24) and abs(ratio.mean() - 1) < 0.25, kind
+    assert np.allclose(projections.matrix("orthogonal", 48, 24).T @ projections.matrix("orthogonal", 48, 24), np.eye(24))
+    df = spark.createDataFrame([(0, x[0].tolist()), (1, None), (2, [1.0]), (3, [0.0] * 24)], "i int, v array<double>")
+    h = projections.hadamard_rows(24, 20)
+    got = {r.i: (r.p, r.h, r.c) for r in df.select("i", projections.project(F.col("v"), h).alias("p"), projections.subsampled_hadamard(F.col("v"), 24, 20).alias("h"), projections.project(F.col("v"), h, codes=True).alias("c")).collect()}
+    assert np.allclose(got[0][0], h @ x[0]) and np.allclose(got[0][1], h @ x[0])
+    assert got[1] == got[2] == (None, None, None) and set(got[3][2]) == {1.0} and set(got[3][1]) == {0.0}
+
+
+def test_sampled_codebook_is_near_the_best_quantizer():
+    assert np.allclose(projections.sampled_codebook(1), [-0.7979, 0.7979], atol=0.01)
+    assert np.allclose(projections.sampled_codebook(2), [-1.5104, -0.4528, 0.4528, 1.5104], atol=0.02)
+
+
+def test_lanczos_keeps_flat_colour_and_crops(spark):
+    flat = bytes([10, 120, 250]) * 6 * 8
+    edged = np.zeros((6, 8, 3), np.uint8)
+    edged[:, 1:7] = 200
+    rows = [(0, flat), (1, edged.tobytes()), (2, None), (3, b"abc"), (4, b"")]
+    got = {r.i: r.t for r in spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in rows], "i int, b binary").select("i", images.shrink_lanczos(F.col("b"), 6, 8, 2).alias("t")).collect()}
+    assert bytes(got[0]) == bytes([10, 120, 250]) * 4 and bytes(got[1]) == bytes([200]) * 12
+    assert got[2] is None and got[3] is None and got[4] is None
