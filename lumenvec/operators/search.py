@@ -12,10 +12,14 @@ from lumenvec.functions import vec
 BROADCAST_QUERIES = 10_000
 
 
+def against(pool: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every query (qid, ref) against every pool row (key, vec), its own too."""
+    return pool.crossJoin(F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries)
+
+
 def pair_up(pool: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every query (qid, ref) against every pool row (key, vec) but its own."""
-    side = F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries
-    return pool.crossJoin(side).where("key <> qid")
+    """``against`` without the pairs of a row with itself."""
+    return against(pool, queries).where("key <> qid")
 
 
 def top_k(pairs: DataFrame, k: int, dist: str = "dist") -> DataFrame:

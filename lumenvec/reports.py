@@ -59,7 +59,7 @@ def _aside(spark, d):
 @_df("se11_cross_size", f"with {_ASIDE}, r as (select *, row_number() over (partition by qid order by dist, key) as rk from c) select round(avg(case when rk <= 1 then 1e0 else 0e0 end), 6) as at1, round(avg(case when rk <= 5 then 1e0 else 0e0 end), 6) as at5 from r where key = qid")
 def _(spark, d):
     pool, asked, score = _aside(spark, d)
-    found = search.top_k(score(pool.crossJoin(F.broadcast(asked))), 5).where("key = qid").select("qid", "rank")
+    found = search.top_k(score(search.against(pool, asked)), 5).where("key = qid").select("qid", "rank")
     ranks = asked.select("qid").join(found, "qid", "left")
     return ranks.agg(*[F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"at{k}") for k in (1, 5)])
 
@@ -68,7 +68,7 @@ def _(spark, d):
 def _(spark, d):
     pool, asked, score = _aside(spark, d)
     own, cosine = F.col("key") == F.col("qid"), 1 - F.col("dist")
-    by = score(pool.crossJoin(F.broadcast(asked))).groupBy("qid").agg((F.min_by("key", "dist") == F.col("qid")).alias("hit"), F.max(F.when(own, cosine)).alias("own"), F.avg(F.when(~own, cosine)).alias("others"))
+    by = score(search.against(pool, asked)).groupBy("qid").agg((F.min_by("key", "dist") == F.col("qid")).alias("hit"), F.max(F.when(own, cosine)).alias("own"), F.avg(F.when(~own, cosine)).alias("others"))
     m, o = F.avg("own"), F.avg("others")
     return by.agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("at1"), F.round(m, 6).alias("matching"), F.round(o, 6).alias("others"), F.round(m - o, 6).alias("gap"))
 
