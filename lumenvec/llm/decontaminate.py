@@ -71,21 +71,32 @@ def _pair(x: str, y: str) -> str:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, width, windows, ipos, anchor, k, islots): an item shorter than ``window`` tokens is one window of its own width; none without tokens."""
+    """(item_id, width, windows, ipos, anchor, k, islots, iat): an item shorter than ``window`` tokens is one window of its own width; none without tokens.
+
+    ``iat`` has the places of the slots in the item, in the order of ``islots``.
+    """
     items = benchmark.select(F.col(id_col).alias("item_id"), canonical_tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0").distinct()
     items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window))).withColumn("windows", F.size("tokens") - F.col("width") + 1)
     items = items.select("item_id", "width", "windows", F.posexplode(F.expr("transform(sequence(1, windows), i -> slice(tokens, i, width))")).alias("ipos", "w"))
     items = items.withColumn("x", F.expr(_window("w"))).withColumn("at", F.expr(_ANCHOR))
     items = items.withColumn("anchor", F.expr(_pair("get(w, at)", "coalesce(get(w, at + 1), '')")))
-    return items.select("item_id", "width", "windows", "ipos", "anchor", F.col("x.k").alias("k"), F.col("x.slots").alias("islots"))
+    places = F.expr(f"filter(transform(w, (x, i) -> if({_SLOT}, ipos + i, null)), i -> i is not null)")
+    return items.select("item_id", "width", "windows", "ipos", "anchor", F.col("x.k").alias("k"), F.col("x.slots").alias("islots"), places.alias("iat"))
+
+
+#: SQL for the one-to-one part of an alignment's ``slots``, one struct (iat, islots, slots) per place: the pairs of values that stand at
+#: most of the places of the item's value and at most of the places of the document's.
+_MAPPING = """case when size(pairs) = size(array_distinct(pairs.islots)) and size(pairs) = size(array_distinct(pairs.slots)) then pairs
+    else filter(pairs, p -> 2 * size(filter(slots, q -> q.islots = p.islots and q.slots = p.slots)) > greatest(size(filter(slots, q -> q.islots = p.islots)), size(filter(slots, q -> q.slots = p.slots)))) end"""
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, n_slots, reparameterised): the documents that hold a benchmark item.
 
-    A leak has at least ``coverage`` of the item's windows. Along one alignment (document position less item position) the values in the
-    item's slots and those in the document's must map one to one, else the alignment doesn't count. ``reparameterised`` says that some
-    value differs, so that the text is the item with other numbers, names or units.
+    A leak has at least ``coverage`` of the item's windows. A window whose slots hold the item's own values counts as it is. Along one
+    alignment (document position less item position) the values in the item's slots and those in the document's must map one to one; where
+    they don't, a pair of values stands if it fills most of the places of both, and the other windows with values of no such pair don't count.
+    ``reparameterised`` says that some value differs, so that the text is the item with other numbers, names or units.
 
     All is native SQL. Each benchmark window has an anchor, its longest word and the one behind; documents' word pairs are joined with the anchors,
     and only windows around those that meet one are hashed and joined with the benchmark's. Both benchmark sides are broadcast while they are few,
@@ -106,9 +117,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     found = found.select("doc_id", "body", F.col("x.pos").alias("pos"), F.col("x.w").alias("w")).withColumn("x", F.expr(_window("w")))
     part = found.select("doc_id", "body", "pos", F.size("w").alias("width"), F.col("x.k").alias("k"), F.col("x.slots").alias("slots"))
     out = part.join(maybe_broadcast(bench.drop("anchor"), known), ["k", "width"])
-    hits = out.select("doc_id", "body", "item_id", "windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.arrays_zip("islots", "slots").alias("pairs"))
-    lined = hits.groupBy("doc_id", "body", "item_id", "windows", "diagonal").agg(F.collect_set("ipos").alias("ipos"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    lined = lined.where("size(pairs) = size(array_distinct(pairs.islots)) and size(pairs) = size(array_distinct(pairs.slots))")
+    hits = out.select("doc_id", "body", "item_id", "windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.arrays_zip("iat", "islots", "slots").alias("slots"))
+    lined = hits.groupBy("doc_id", "body", "item_id", "windows", "diagonal").agg(F.collect_set(F.struct("ipos", "slots")).alias("met"))
+    lined = lined.withColumn("slots", F.expr("array_distinct(flatten(met.slots))")).withColumn("pairs", F.expr("array_distinct(transform(slots, p -> struct(p.islots, p.slots)))"))
+    lined = lined.withColumn("mapping", F.expr(_MAPPING))
+    lined = lined.withColumn("met", F.expr("filter(met, m -> forall(m.slots, p -> p.islots = p.slots) or forall(m.slots, p -> array_contains(mapping, struct(p.islots, p.slots))))")).where("size(met) > 0")
+    lined = lined.select("doc_id", "body", "item_id", "windows", F.col("met.ipos").alias("ipos"), F.expr("array_distinct(transform(flatten(met.slots), p -> struct(p.islots, p.slots)))").alias("pairs"))
     judged = lined.groupBy("doc_id", "body", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("matched"), F.max(F.size("pairs")).alias("n_slots"), F.max(F.exists("pairs", lambda p: p["islots"] != p["slots"])).alias("reparameterised"))
     judged = judged.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "windows", "n_slots", "reparameterised")).alias("b"))

@@ -157,6 +157,20 @@ def test_leaks(spark, odd):
     assert drop_leaks(df, bench).count() == df.count() and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_with_one_changed_slot(spark):
+    """A value that the item holds twice and the copy once changed: only the windows with the change go."""
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    item = [*words[:20], "5", *words[20:40], "5", *words[40:]]
+    copy = [*item[:41], "6", *item[42:]]
+    thrice = [*words[:15], "5", *words[15:30], "5", *words[30:45], "5", *words[45:]]
+    other = [{"5": "8"}.get(w, w) for w in thrice]
+    other[47] = "9"
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(thrice))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(copy)), (2, " ".join(other))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.windows, r.reparameterised) for r in find_leaks(docs, bench).collect()}
+    assert got[1, 1] == (47, 55, False) and got[2, 2] == (48, 56, True)
+
+
 def test_neighbours_brute(spark):
     v = np.random.default_rng(3).standard_normal((300, 8))
     v[200:260] = v[0]
