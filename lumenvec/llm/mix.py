@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Blocks have so many words at most, and at least so few that no source has over 2**30 of them.
 BLOCK_WORDS = 2048
-#: Blocks that the smallest target should be worth, if that leaves a block at least one word.
+#: Blocks that a source's target should be worth, if that leaves a block at least one word.
 FINE = 256
 SHARDS = 8
 #: Hash ranges in which a source's documents are summed before they are put in order.
@@ -68,20 +68,22 @@ def shard_quotas(targets: DataFrame, seats: int, shards: int = SHARDS) -> DataFr
     return now.select("source", "shard", (F.col("upto") - F.coalesce(F.lag("upto").over(last), F.lit(0))).alias("quota"))
 
 
-def _times(b: Column, whole: Column, extra: Column, blocks: Column, step: Column, start: Column) -> Column:
-    """How often block b is taken: in every whole pass, and once more if a seeded permutation puts it among the first ``extra``."""
-    return whole + (F.pmod(step * b + start, blocks) < extra).cast("long")
+def _taken(block: Column) -> Column:
+    """Whether this ``pass`` takes a block: every whole pass does, the last one if the seeded permutation puts it among the first ``extra``."""
+    return (F.col("pass") < F.col("whole")) | (F.pmod(F.col("step") * block + F.col("start"), F.col("blocks")) < F.col("extra"))
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: (doc_id, source, size, source_size, target, taken, first_word, block_words, whole, extra, blocks, step, start).
 
     Size counts words (runs of bytes that aren't ASCII white space). A source's documents are put in a seeded order and cut end to end
-    into blocks of equal words; Sainte-Lague quotas say how many blocks each source gives (repeats after all its blocks are used), and a
-    seeded permutation of the block numbers which. ``taken`` counts a document's words in taken blocks.
+    into blocks of equal words; Sainte-Lague quotas in words say how many blocks each source gives (repeats after all its blocks are
+    used), and a seeded permutation of the block numbers which. ``taken`` counts a document's words in taken blocks. A source has blocks
+    of ``block_words``, whatever the others' size; only one whose own target is worth fewer than 256 of them has finer blocks, and gives
+    a run of these from a seeded start, as blocks shorter than a document would otherwise leave scattered pieces of each.
 
     The order needs no global sort: sums over 1024 hash ranges of each source give every range its offset. Targets and quotas are tables
-    with a row per source. Blocks shrink so that the smallest target is still worth 256 of them. Null ids and texts are fine: a null
+    with a row per source. Null ids and texts are fine: a null
     text has size 0 and is never taken; a null source is a source, last in order. Equal rows are interchangeable. An empty table gives an
     empty result.
     """
@@ -92,20 +94,20 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS,
     narrow = base if keep else materialize(base, "sizes")
     ranges = materialize(narrow.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
     targets = materialize(source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size"))), "targets")
-    total, least = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
-    block = max(1, min(block_words, int((least or 0) / FINE)), -(-int(total) // 2**30))
-    quotas = apportion(targets, round(total / block))
-    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / block))
-    plan = quotas.withColumn("blocks", blocks).withColumn("quota", F.least(F.col("quota"), 2 * F.col("blocks")))
-    step = F.coalesce(*[F.when(F.col("blocks") % p != 0, F.pmod(F.lit(p), F.col("blocks"))) for p in PRIMES])
-    plan = plan.select("source", "source_size", "target", "blocks", F.expr("quota div blocks").alias("whole"), (F.col("quota") % F.col("blocks")).alias("extra"), step.alias("step"), F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source"), F.col("blocks")).alias("start"))
+    total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    block = F.greatest(F.least(F.lit(block_words).cast("long"), F.floor(F.col("target") / FINE)), F.lit(max(1, -(-int(total) // 2**30))).cast("long"))
+    plan = apportion(targets, round(total)).withColumn("block_words", block)
+    plan = plan.withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / F.col("block_words"))))
+    plan = plan.withColumn("quota", F.least(F.round(F.col("quota") / F.col("block_words")).cast("long"), 2 * F.col("blocks")))
+    step = F.coalesce(F.when(F.col("block_words") < block_words, F.lit(1).cast("long")), *[F.when(F.col("blocks") % p != 0, F.pmod(F.lit(p), F.col("blocks"))) for p in PRIMES])
+    plan = plan.select("source", "source_size", "target", "block_words", "blocks", F.expr("quota div blocks").alias("whole"), (F.col("quota") % F.col("blocks")).alias("extra"), step.alias("step"), F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source"), F.col("blocks")).alias("start"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     spots = offsets.withColumnRenamed("source", "__s").join(plan.withColumnRenamed("source", "__p"), F.col("__s").eqNullSafe(F.col("__p"))).drop("__p").withColumnRenamed("range", "__r")
     inside = Window.partitionBy("source", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(spots, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
-    placed = placed.withColumn("first_word", F.col("offset") + F.col("in_range")).withColumn("block_words", F.lit(block).cast("long"))
+    placed = placed.withColumn("first_word", F.col("offset") + F.col("in_range"))
     taken = F.expr("""case when size = 0 then 0L else aggregate(sequence(first_word div block_words, (first_word + size - 1) div block_words), 0L, (acc, b) -> acc
         + (whole + if(pmod(step * b + start, blocks) < extra, 1L, 0L)) * (least(first_word + size, (b + 1) * block_words) - greatest(first_word, b * block_words))) end""")
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "first_word", "block_words", "whole", "extra", "blocks", "step", "start", *[F.col(f"__keep_{c}").alias(c) for c in keep])
@@ -124,7 +126,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WO
     every = F.expr("size(used) = (first_word + size - 1) div block_words - first_word div block_words + 1")
     rows = rows.withColumn("__text", F.col(f"__all.{text_col}"))
     words = F.expr(f"regexp_extract_all(__text, '{WORD}', 0)".replace("\\", "\\\\"))
-    cut = F.array_join(F.flatten(F.transform("used", lambda b: F.slice(words, (F.greatest(b * F.col("block_words") - F.col("first_word"), F.lit(0)) + 1).cast("int"), (F.least(F.col("size"), (b + 1) * F.col("block_words") - F.col("first_word")) - F.greatest(b * F.col("block_words") - F.col("first_word"), F.lit(0))).cast("int")))), " ")
+    cut = F.array_join(F.filter(words, lambda w, i: _taken(F.floor((F.col("first_word") + i) / F.col("block_words")))), " ")
     text = F.when(every, F.col("__text")).otherwise(cut)
     rows = rows.withColumn("__new", text)
     out = [F.col("__new").alias(c) if c == text_col else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__all.`{c}`").alias(c) for c in names]

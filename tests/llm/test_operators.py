@@ -117,6 +117,21 @@ def test_mix(spark, odd):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_mix_with_a_tail_source(spark):
+    """A source of a few words neither shrinks the blocks of the others nor has a source's documents come out as scattered words."""
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(int(r.integers(200, 600)))), f"s{i % 3}", 0) for i in range(300)] + [(900, "one two three four", "tail", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = mix_sources(df).toPandas()
+    assert (got[got.source != "tail"].block_words > 100).all()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 2 * g.block_words.iloc[0]
+    made = mixed_documents(df).toPandas()
+    whole = {i: t for i, t, _, _ in rows}
+    cut = [m for m in made.itertuples() if m.text != whole[m.doc_id]]
+    assert max(Counter(c.source for c in cut).values()) <= 4 and made.text.str.split().str.len().sum() == got.taken.sum()
+
+
 def test_packing_round_trip(spark, odd):
     df, rows = odd
     e = Encoder(open(TOKENIZER, "rb").read())
