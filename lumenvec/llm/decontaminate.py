@@ -103,6 +103,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     so that documents don't move. Null and empty texts and items match nothing; equal rows of a document count once; rows that share
     an id are judged each on its own, and the best match is returned. Null ids stay null. Empty tables give an empty result.
     """
+    best = _judged(docs, benchmark, window, coverage, id_col, text_col).groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "windows", "n_slots", "reparameterised")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), "b.windows", "b.coverage", "b.n_slots", "b.reparameterised")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The leaks of each text of an id: the columns of ``find_leaks`` and ``body``, the text's hash."""
     bench = materialize(benchmark_windows(benchmark, window), "windows")
     known = bench.count()
     starts = bench.select(F.col("anchor").alias("h"), "width").distinct()
@@ -124,12 +130,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     lined = lined.withColumn("met", F.expr("filter(met, m -> forall(m.slots, p -> p.islots = p.slots) or forall(m.slots, p -> array_contains(mapping, struct(p.islots, p.slots))))")).where("size(met) > 0")
     lined = lined.select("doc_id", "body", "item_id", "windows", F.col("met.ipos").alias("ipos"), F.expr("array_distinct(transform(flatten(met.slots), p -> struct(p.islots, p.slots)))").alias("pairs"))
     judged = lined.groupBy("doc_id", "body", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("matched"), F.max(F.size("pairs")).alias("n_slots"), F.max(F.exists("pairs", lambda p: p["islots"] != p["slots"])).alias("reparameterised"))
-    judged = judged.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "windows", "n_slots", "reparameterised")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), "b.windows", "b.coverage", "b.n_slots", "b.reparameterised")
+    return judged.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, every column as it is. A null doc_id can't be named and stays."""
-    gone = find_leaks(docs, benchmark, **more).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, every column as it is. The text alone decides, whatever the id."""
+    gone = materialize(_judged(docs, benchmark, text_col=text_col, **more).select(F.col("body").alias("__gone")).distinct(), "leaks")
+    return docs.join(maybe_broadcast(gone, gone.count()), F.xxhash64(docs[text_col]) == gone["__gone"], "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import BROADCAST_ROWS, materialize, small_batches
+from lumenvec.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast, small_batches
 from lumenvec.llm.components import UnionFind, connected_components
 
 #: Documents of one comparison block, and shingles of their sets together.
@@ -193,7 +193,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80, **more) -> DataFrame:
-    """``docs`` with one document of each component of near duplicates; every column stays as it is."""
-    gone = near_duplicates(docs, percent, **more).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", **more) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates; every column stays as it is.
+
+    Rows are judged each on its own, under a written row number: rows of one id may fall to different components, and null ids are like any
+    other. A component keeps the row of its least id (nulls last), the first written of these. Rows without shingles all stay.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    marks = materialize(near_duplicates(numbered, percent, id_col="__row", **more).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component")), "components")
+    joint = materialize(marks.groupBy("__component").agg(F.count("*").alias("c")).where("c > 1").select("__component"), "joint")
+    members = materialize(marks.join(maybe_broadcast(joint, joint.count()), "__component"), "members")
+    place = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    first = numbered.select("__row", id_col).join(members, "__row").groupBy("__component").agg(F.min(place).alias("__first")).select(F.col("__first.row").alias("__row"))
+    gone = materialize(members.select("__row").join(first, "__row", "left_anti"), "gone")
+    return numbered.join(maybe_broadcast(gone, gone.count()), "__row", "left_anti").drop("__row").select(*[F.col(f"`{c}`") for c in docs.columns])

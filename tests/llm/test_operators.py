@@ -10,7 +10,7 @@ from lumenvec.llm.chat import rotate_perspectives
 from lumenvec.llm.components import connected_components
 from lumenvec.llm.decontaminate import drop_leaks, find_leaks
 from lumenvec.llm.mix import mix_sources, mixed_documents
-from lumenvec.llm.near_dup import near_duplicates
+from lumenvec.llm.near_dup import drop_near_duplicates, near_duplicates
 from lumenvec.llm.packing import TOKENIZER, CapacityTree, Encoder, pack, pack_documents
 from lumenvec.llm.repeats import remove_repeats
 from lumenvec.llm.shard import plan_map, shard_documents
@@ -55,6 +55,19 @@ def test_near_duplicates_brute(spark, odd):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), up[r.doc_id], up[r.doc_id] == r.doc_id)
 
 
+def test_stages_judge_rows_without_id(spark):
+    """Null and shared ids: one row of each group stays, and leaks go whatever their id."""
+    r = np.random.default_rng(4)
+    a, b, c, item = (" ".join(r.choice(["w%d" % i for i in range(300)], 100)) for _ in range(4))
+    rows = [(None, a), (None, a + " tail"), (None, a), (7, b), (7, b), (7, c), (None, b + " tail"), (7, ""), (None, None), (None, None), (7, "x " + item), (None, "y " + item)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = drop_near_duplicates(df, 80).collect()
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept if x.text and item not in x.text and a not in x.text) == sorted([(7, b), (7, c)])
+    assert sum(a in (x.text or "") for x in kept) == 1 and sum(not x.text for x in kept) == 3 and sum(item in (x.text or "") for x in kept) == 1
+    clean = drop_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert Counter(tuple(x) for x in clean) == Counter(rows[:-2])
+
+
 def test_superminhash_estimates():
     a, b = np.arange(1, 901, dtype=K.U), np.arange(101, 1001, dtype=K.U)
     s = K.superminhash([K.mix(a), K.mix(b)], 512)
