@@ -16,13 +16,15 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; in a local session that names none, one of our own. A cluster without one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if (now := sc._jsc.sc().getCheckpointDir()).isDefined():
         return now.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='lumenvec-')}"
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -93,5 +95,29 @@ def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= bound else df
 
 
+#: A key is hot if it has more than one in so many rows; at most so many keys can be.
+HOT_SHARE = 1_000
+
+
+def hot_keys(counts: DataFrame, rows: int, n: str = "c") -> DataFrame:
+    """The rows of ``counts`` with over 1 / ``HOT_SHARE`` of ``rows``; there are fewer than ``HOT_SHARE``, so they may be broadcast."""
+    return counts.where(F.col(n) * HOT_SHARE > rows)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join where ``left`` has the hot keys ``hot`` and ``right`` has few rows a key: the hot ones' side is broadcast, the rest is shuffled."""
+    hot = F.broadcast(hot.select(*on))
+    kept = F.broadcast(right.join(hot, on, "left_semi"))
+    return left.join(kept, on).unionByName(left.join(hot, on, "left_anti").join(right, on))
+
+
+def python_tasks(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Tasks for a stage whose time goes into Python: the session's number of shuffle partitions, and more where ``rows`` ask for it.
+
+    A repartition by a given number isn't coalesced by its bytes, which say little about such a stage's time.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
 def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import drop_scratch, materialize
+from lumenvec.llm.common import drop_scratch, hot_keys, join_hot, materialize
 
 
 class UnionFind:
@@ -59,20 +59,24 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b: long) to (node, component): component is the least node that can be reached.
 
     Only nodes other than their component's least one are returned. Edges are first contracted by union-find within each partition.
-    Then large-star and small-star rounds run until no parent has a parent; each round is a written table, so lineage stays short.
+    Then large-star and small-star rounds run until no parent has a parent; each round is a written table, so lineage stays short. Nodes
+    with over a thousandth of a round's rows, such as the head of a large group, have their least neighbour broadcast, so that their
+    rows stay where they are.
     Null ids and loops are ignored; repeated edges count once; an empty table gives an empty one.
     """
     tidy = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a is not null and b is not null and a > b")
     now = materialize(tidy.mapInPandas(_local, "a long, b long").distinct(), "edges")
     for _ in range(most_rounds):
-        if now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
+        if now.select("b").distinct().join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        rows = now.count()
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        star = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
+        large = join_hot(both, star.drop("c"), ["a"], hot_keys(star, 2 * rows)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = materialize(large, "stars")
+        star = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = join_hot(large, star.drop("c"), ["a"], hot_keys(star, large.count())).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         new = materialize(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a > b").distinct().mapInPandas(_local, "a long, b long").distinct(), "edges")
-        drop_scratch(now)
+        drop_scratch(now, large)
         now = new
     raise RuntimeError("components did not settle")

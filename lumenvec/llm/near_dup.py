@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast, small_batches
+from lumenvec.llm.common import drop_scratch, hot_keys, join_hot, materialize, maybe_broadcast, python_tasks, small_batches
 from lumenvec.llm.components import UnionFind, connected_components
 
 #: Documents of one comparison block, and shingles of their sets together.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Rows of a task that compares signatures of buckets, and of one that compares full sets.
+BUCKET_TASK, SET_TASK = 20_000, 2_000
 
 
 def _signatures(width: int, bands: int, rows: int, seed: int):
@@ -60,30 +62,58 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held)
 
 
-def _alike(least: float, ratio: float):
-    """Pairs of a bucket whose signatures agree enough, as the edges of a spanning forest."""
+#: (payloads, set sizes, left places, right places, whether both are one group) to the places of the pairs that are alike.
+Test = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
+
+
+def _signatures_agree(least: float, ratio: float) -> Test:
+    """Signatures agree in a share of ``least`` of their places, and the sizes allow a similarity of ``ratio``."""
+
+    def test(payloads, n, left, right, within):
+        sig = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1)
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in left.tolist():
+            others = right[right > x] if within else right
+            others = others[np.minimum(n[others], n[x]) >= ratio * np.maximum(n[others], n[x])]
+            hit = others[(sig[others] == sig[x]).sum(1) >= least * sig.shape[1]]
+            xs.append(np.full(len(hit), x))
+            ys.append(hit)
+        return np.concatenate(xs), np.concatenate(ys)
+
+    return test
+
+
+def _sets_overlap(percent: int) -> Test:
+    """100 * intersection >= percent * union of full shingle sets."""
+
+    def test(payloads, n, left, right, within):
+        both = _overlaps([np.frombuffer(p, K.U) for p in payloads], left, right).astype(np.int64)
+        union = n[left][:, None] + n[right][None, :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (both > 0))
+        return left[x], right[y]
+
+    return test
+
+
+#: Columns of the rows that are compared: group, member, size of its set, signature or set. Blocks add ``i`` and ``j``, the numbers of the
+#: left and right block, and ``side``.
+MEMBER = "g long, id long, n long, payload binary"
+
+
+def _links(test: Test):
+    """Pairs that are alike within each group (side -1) or between the sides of a pair of blocks, as the edges of a spanning forest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[tuple[int, int]] = set()
-        for g in _groups(batches, ["key", "i", "j"]):
-            ids, n, side = g["rep"].to_numpy(), g["n"].to_numpy(), g["side"].to_numpy()
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-            m = sig.shape[1]
-            within = g["i"].iloc[0] == g["j"].iloc[0]
-            left = np.arange(len(g)) if within else np.flatnonzero(side == 0)
-            right = left if within else np.flatnonzero(side == 1)
-            sets, a, b = UnionFind(), [], []
-            for x in left.tolist():
-                others = right[right > x] if within else right
-                if not len(others):
-                    continue
-                others = others[np.minimum(n[others], n[x]) >= ratio * np.maximum(n[others], n[x])]
-                same = (sig[others] == sig[x]).sum(1)
-                for y in others[same >= least * m].tolist():
-                    if ids[x] != ids[y] and sets.union(int(ids[x]), int(ids[y])):
-                        a.append(ids[x])
-                        b.append(ids[y])
-            new = [p for p in zip(a, b, strict=True) if p not in done]
+        for g in _groups(batches, ["g", "i", "j"]):
+            ids, side = g["id"].to_numpy(), g["side"].to_numpy()
+            within = side[0] == -1
+            left, right = (np.arange(len(g)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            if not len(left) or not len(right):
+                continue
+            x, y = test(g["payload"].tolist(), g["n"].to_numpy(), left, right, within)
+            joined = UnionFind()
+            new = [p for p in zip(ids[x].tolist(), ids[y].tolist(), strict=True) if p[0] != p[1] and joined.union(*p) and p not in done]
             if len(done) < 1_000_000:
                 done.update(new)
             if new:
@@ -93,6 +123,60 @@ def _alike(least: float, ratio: float):
     return run
 
 
+def _stars(test: Test):
+    """(g, id, n, payload, head, linked): whether each member (side 1) of a block is like its group's head (side 0)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["g", "i", "j"]):
+            side = g["side"].to_numpy()
+            head, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(head) and len(members):
+                linked = np.zeros(len(g), bool)
+                linked[test(g["payload"].tolist(), g["n"].to_numpy(), head, members, False)[1]] = True
+                yield g[["g", "id", "n", "payload"]].assign(head=g["id"].iloc[head[0]], linked=linked).iloc[members]
+        K.release()
+
+    return run
+
+
+def _spread(c: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(c, "n"), F.col(blocks)).cast("int")
+
+
+def _upto(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
+
+
+def _compare(rows: DataFrame, test: Test, tasks: int, weight: int) -> DataFrame:
+    """(a, b): links between the ``MEMBER`` rows of each group that leave its components as if all pairs had been compared.
+
+    A group within ``BLOCK_ROWS`` rows and ``weight`` elements of all its sets is one comparison. In a larger one every member is compared
+    with the head, the member of the least id; then the rest, those that aren't like it, with all, in pairs of blocks. What a group costs
+    is its size times the blocks of its rest: near copies of one text have little rest. No group meets in one task.
+    """
+    sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("id").alias("head"))
+    sizes = materialize(sizes.where("c > 1").select("g", "c", "head", F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("w") / weight)).cast("int").alias("blocks")), "sizes")
+    grouped = lambda df, what, shape: df.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(what, shape)
+    hot = hot_keys(sizes, rows.count())
+    joined = join_hot(rows, sizes, ["g"], hot)
+    small = grouped(joined.where("blocks = 1").select("g", "id", "n", "payload", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")), _links(test), "a long, b long")
+    if sizes.where("blocks > 1").isEmpty():
+        return small
+    large = joined.where("blocks > 1")
+    member = large.select("g", "id", "n", "payload", _spread("id", "blocks").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
+    first = large.where("id = head").groupBy("g", "blocks").agg(F.min(F.struct("id", "n", "payload")).alias("h")).select("g", "h.*", _upto("blocks").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    star = materialize(grouped(member.unionByName(first), _stars(test), f"{MEMBER}, head long, linked boolean"), "stars")
+    edges = small.unionByName(star.where("linked").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    blocks = lambda kept, n: star.where(kept).groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / weight)).cast("int").alias(n))
+    plan = materialize(blocks("not linked", "nr").join(blocks("true", "na"), "g"), "blocks")
+    if plan.isEmpty():
+        return edges
+    placed = join_hot(star, plan, ["g"], hot)
+    left = placed.where("not linked").select("g", "id", "n", "payload", _spread("id", "nr").alias("i"), _upto("na").alias("j"), F.lit(0).alias("side"))
+    right = placed.select("g", "id", "n", "payload", _upto("nr").alias("i"), _spread("id", "na").alias("j"), F.lit(1).alias("side"))
+    return edges.unionByName(grouped(left.unionByName(right), _links(test), "a long, b long"))
+
+
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets left x right, from products of 0/1 matrices over slices of the shared shingles."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -115,40 +199,21 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def _confirm(width: int, percent: int):
-    """Links of a block of documents on their full shingle sets, as the edges of a spanning forest."""
+def _full_sets(width: int):
+    """Whole texts to full shingle sets, as sorted 64-bit numbers."""
+    schema = pa.schema([("g", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["cluster", "i", "j"]):
-            data, offsets = K.text_buffers(pa.array(g["text"], pa.large_string()))
-            sets = [s for lo, hi in K.pieces(offsets) for s in K.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)]
-            ids, side = g["doc_id"].to_numpy(), g["side"].to_numpy()
-            within = g["i"].iloc[0] == g["j"].iloc[0]
-            left = np.arange(len(g)) if within else np.flatnonzero(side == 0)
-            right = left if within else np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
-                continue
-            n = np.array([len(s) for s in sets])
-            both = _overlaps(sets, left, right).astype(np.int64)
-            union = n[left][:, None] + n[right][None, :] - both
-            x, y = np.nonzero((100 * both >= percent * union) & (both > 0))
-            joined = UnionFind()
-            out = [(p, q) for p, q in zip(ids[left[x]].tolist(), ids[right[y]].tolist(), strict=True) if p != q and joined.union(p, q)]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-            del data, sets, both, union
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_buffers(batch.column(2))
+            for lo, hi in K.pieces(offsets):
+                sets = K.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
         K.release()
 
     return run
 
 
-def _blocks(df: DataFrame, size: str) -> DataFrame:
-    """Rows with a group's number of blocks (column ``size``) to a row for each pair of blocks that the row's own block is in."""
-    own = F.pmod(F.xxhash64("spread"), F.col(size)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(size).cast("int") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (o < F.col("own")).cast("int").alias("side")))
-    return df.withColumn("own", own).withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j", "p.side").drop("p", "own", "spread", size)
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = 32, rows: int = 5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
@@ -156,54 +221,56 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     space separates words, A-Z count as a-z; a text of fewer words is one shingle). Components are those of the graph of all links.
 
     Plan: (1) one Arrow pass makes set digests, SuperMinHash signatures and band keys; equal sets become one class under its least id;
-    (2) keys that two classes share make buckets; in a bucket, pairs whose signatures agree to 5.5 standard deviations below the limit
-    join candidate clusters (only spanning edges leave the task); (3) clusters are verified block by block on full sets recomputed from
-    the whole texts; (4) components of the confirmed links. Large buckets and clusters are cut into pairs of blocks of bounded size, so
-    no group meets in one task; nothing goes to the driver but counts. The chance that banding misses a pair at the limit is
-    (1 - J**rows)**bands, 4e-6 at J = 0.8 and 7e-9 at 0.85 by default.
+    (2) keys that two classes share make buckets, whose members are joined to candidate clusters where signatures agree to 5.5 standard
+    deviations below the limit; (3) clusters are verified on the full sets of their whole texts; (4) components of the confirmed links.
+    Within a bucket or cluster, members are compared with a head first, and only what isn't like it with all others, block by block
+    (``_compare``), so that no group meets in one task and a group of near copies costs its size; nothing goes to the driver but counts.
+    The chance that banding misses a pair at the limit is (1 - J**rows)**bands, 4e-6 at J = 0.8 and 7e-9 at 0.85 by default.
 
     Null and empty texts have no shingles, are linked with nothing and are kept. Rows that share a doc_id are one document in the graph
-    and share its fate. A null doc_id can't be named by a component: its component is its class's, if any other row has one, and it is
-    kept only if there is none. An empty table gives an empty result; other columns are not looked at.
+    and share its fate; rows that repeat it with the same set are compared once. A null doc_id can't be named by a component: its
+    component is its class's, if any other row has one, and it is kept only if there is none. An empty table gives an empty result; other
+    columns are not looked at.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = materialize(source.mapInArrow(_signatures(width, bands, rows, seed), "doc_id long, n long, d1 long, d2 long, sig binary, keys array<long>"), "marks")
-    classes = materialize(marks.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = marks.where("n > 0").join(classes.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["n", "d1", "d2", "doc_id"], "left_semi")
-    banded = materialize(reps.select("doc_id", F.explode("keys").alias("key")).distinct(), "bands")
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK_ROWS)).drop("c")
-    members = banded.join(shared, "key").join(reps.select("doc_id", "n", "sig"), "doc_id").select("key", F.col("doc_id").alias("rep"), "n", "sig", "blocks", F.col("doc_id").alias("spread"))
+    body = ["n", "d1", "d2"]
+    classes = materialize(marks.where("n > 0").groupBy(*body).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.count("*").alias("c")), "classes")
+    banded = materialize(classes.where("rep is not null").select("rep", F.explode("keys").alias("key")).distinct(), "bands")
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = join_hot(banded, shared.select("key"), ["key"], hot_keys(shared, banded.count())).join(classes.select("rep", "n", "sig"), "rep")
+    members = materialize(members.select(F.col("key").alias("g"), F.col("rep").alias("id"), "n", F.col("sig").alias("payload")), "members")
     limit = percent / 100
     least = limit - 5.5 * (limit * (1 - limit) / (bands * rows)) ** 0.5
-    near = _blocks(members, "blocks").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_alike(least, limit), "a long, b long")
-    clusters = connected_components(near)
-    heads = clusters.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct()
-    inside = materialize(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).unionByName(heads), "inside")
-    sizes = inside.join(reps.select("doc_id", "n"), "doc_id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    inside = inside.join(sizes, "cluster")
-    known = inside.count()
-    inside = F.broadcast(inside) if known <= BROADCAST_ROWS else inside
-    texts = source.join(inside, "doc_id").withColumn("spread", F.col("doc_id"))
-    links = _blocks(texts, "blocks").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(_confirm(width, percent), "a long, b long")
-    found = connected_components(links)
-    named = classes.where("rep is not null").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("group"))
-    out = marks.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    clusters = connected_components(_compare(members, _signatures_agree(least, limit), python_tasks(spark, members.count(), BUCKET_TASK), 2**62))
+    heads = clusters.select(F.col("component").alias("id"), F.col("component").alias("g")).distinct()
+    inside = materialize(clusters.select(F.col("node").alias("id"), F.col("component").alias("g")).unionByName(heads), "inside")
+    texts = source.withColumnRenamed("doc_id", "id").join(maybe_broadcast(inside, inside.count()), "id").select("g", "id", "text")
+    sets = materialize(texts.mapInArrow(_full_sets(width), MEMBER).withColumn("h", F.xxhash64("payload")).dropDuplicates(["id", "n", "h"]).drop("h"), "sets")
+    found = connected_components(_compare(sets, _sets_overlap(percent), python_tasks(spark, sets.count(), SET_TASK), BLOCK_SHINGLES))
+    named = materialize(classes.select(*body, "rep", "c").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*body, "c", F.coalesce("component", "rep").alias("group")), "named")
+    drop_scratch(classes, banded, shared, members, clusters, inside, sets, found)
+    out = marks.select("doc_id", *body)
+    whole = join_hot(out.where("n > 0"), named.drop("c"), body, hot_keys(named, marks.count())).unionByName(out.where("n = 0").withColumn("group", F.lit(None).cast("long")))
     component = F.coalesce("group", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", **more) -> DataFrame:
     """``docs`` with one row of each component of near duplicates; every column stays as it is.
 
     Rows are judged each on its own, under a written row number: rows of one id may fall to different components, and null ids are like any
-    other. A component keeps the row of its least id (nulls last), the first written of these. Rows without shingles all stay.
+    other. A component keeps the row of its least id (nulls last), the first written of these. Rows without shingles (null, empty and
+    blank texts) all stay. An empty table gives an empty one.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     marks = materialize(near_duplicates(numbered, percent, id_col="__row", **more).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component")), "components")
-    joint = materialize(marks.groupBy("__component").agg(F.count("*").alias("c")).where("c > 1").select("__component"), "joint")
-    members = materialize(marks.join(maybe_broadcast(joint, joint.count()), "__component"), "members")
+    joint = materialize(marks.groupBy("__component").agg(F.count("*").alias("c")).where("c > 1"), "joint")
+    members = materialize(join_hot(marks, joint.select("__component"), ["__component"], hot_keys(joint, marks.count())), "members")
     place = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     first = numbered.select("__row", id_col).join(members, "__row").groupBy("__component").agg(F.min(place).alias("__first")).select(F.col("__first.row").alias("__row"))
     gone = materialize(members.select("__row").join(first, "__row", "left_anti"), "gone")
+    drop_scratch(marks, joint, members)
     return numbered.join(maybe_broadcast(gone, gone.count()), "__row", "left_anti").drop("__row").select(*[F.col(f"`{c}`") for c in docs.columns])

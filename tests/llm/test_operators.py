@@ -229,3 +229,40 @@ def test_toxicity(spark, odd):
     m = score_toxicity(docs, fitted).join(labels.withColumnRenamed("toxic", "y"), "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").toPandas()
     assert ((m.score >= 0.5) == (m.y == 1)).mean() > max((m.y == 1).mean(), (m.y == 0).mean()) + 0.04  # better than calling every row clean
     assert drop_toxic(df, fitted).columns == df.columns and train(docs, labels.limit(0))[1:] == ({}, 0.5)
+
+
+def test_near_duplicates_of_repeated_rows_and_large_groups(spark):
+    """Repeated rows of one id cost their number; a group of near copies is settled by its head, in small blocks the rest too."""
+    r = np.random.default_rng(8)
+    words = ["w%d" % i for i in range(500)]
+    base = r.choice(words, 120).tolist()
+    rows = [(1, " ".join(base))] * 3000
+    for i in range(2, 1300):
+        copy = list(base)
+        copy[int(r.integers(0, 120))] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    far = list(base)
+    far[0:60:6] = ["y"] * 10
+    rows += [(2000, " ".join(far)), (2001, " ".join([*far, "tail"])), (2002, " ".join(r.choice(words, 50)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 85).dropDuplicates().toPandas().set_index("doc_id").sort_index()
+    assert (got.loc[1:1299].component_id == 1).all() and got.loc[2002].component_id == 2002
+    assert got.loc[2000].component_id == 2000 and got.loc[2001].component_id == 2000 and len(got) == 1302
+
+
+def test_compare_leaves_the_components_of_all_pairs(spark, monkeypatch):
+    """With blocks of four rows, star edges and the rest's blocks join what comparing all pairs joins."""
+    from lumenvec.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    r = np.random.default_rng(9)
+    sets = [np.unique(np.r_[K.mix(np.arange(g * 40, g * 40 + 40, dtype=K.U))[: int(r.integers(20, 41))], K.mix(np.arange(1000 + 10 * i, 1000 + 10 * i + int(r.integers(0, 8)), dtype=K.U))]) for i, g in enumerate(r.integers(0, 4, 60))]
+    df = spark.createDataFrame([(0, i, len(s), s.tobytes()) for i, s in enumerate(sets)], near_dup.MEMBER)
+    found = connected_components(near_dup._compare(df, near_dup._sets_overlap(60), 3, 2**62)).toPandas()
+    up = {i: i for i in range(60)} | dict(zip(found.node, found.component))
+    joined = near_dup.UnionFind()
+    for a in range(60):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 60 * (len(sets[a]) + len(sets[b]) - both):
+                joined.union(a, b)
+    assert up == {i: joined.find(i) for i in range(60)} and len(set(up.values())) > 1
