@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import BROADCAST_ROWS, materialize, small_batches
+from lumenvec.llm.common import BROADCAST_ROWS, drop_scratch, hot_keys, join_hot, materialize, maybe_broadcast, small_batches
 from lumenvec.llm.suffix_sort import deep_shallow
 
 LENGTH, GRAM = 200, 64
@@ -60,64 +60,73 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _scan(length: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("spot", pa.int64())])
+    """(k1, k2, hash, spot): the anchors of each text as lists; a spot packs position, least and most d."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hash", pa.list_(pa.int64())), ("spot", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = K.text_buffers(batch.column(1))
-            out = []
-            for i in np.flatnonzero(np.diff(offsets) >= length).tolist():
-                doc = data[offsets[i] : offsets[i + 1]]
+            data, offsets = K.text_buffers(batch.column(2))
+            at = np.flatnonzero(np.diff(offsets) >= length)
+            hashes, spots, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+            for i in at.tolist():
+                doc, n = data[offsets[i] : offsets[i + 1]], 0
                 for lo in range(0, len(doc) - length + 1, PIECE):
                     h, pos, dlo, dhi = anchors(doc[lo : lo + PIECE + length - 1], length, gram)
-                    out.append((np.full(len(h), keys[i]), h, (pos + lo) << 16 | dlo << 8 | dhi))
-            for lo in range(0, len(out), 500):
-                part = out[lo : lo + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in part])) for j in range(3)], schema=schema)
+                    hashes.append(h)
+                    spots.append((pos + lo) << 16 | dlo << 8 | dhi)
+                    n += len(h)
+                ends.append(ends[-1] + n)
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (hashes, spots)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *lists], schema=schema)
         K.release()
 
     return run
 
 
+#: Columns of the bytes around anchors; ``copies`` is the number of rows that have the text.
+CONTEXT = "hash long, k1 long, k2 long, copies long, spot long, context binary"
+
+
 def _contexts(length: int):
-    schema = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("spot", pa.int64()), ("context", pa.binary())])
+    """The bytes of all windows of each anchor, from (k1, k2, copies, text, hash list, spot list)."""
+    schema = pa.schema([("hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("copies", pa.int64()), ("spot", pa.int64()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            data, offsets = K.text_buffers(batch.column(1))
+            data, offsets = K.text_buffers(batch.column(3))
             raw = data.tobytes()
-            hashes, spots, counts = batch.column(2).flatten(), batch.column(3).flatten().to_numpy(zero_copy_only=False), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            hashes, spots, counts = batch.column(4).flatten(), batch.column(5).flatten().to_numpy(zero_copy_only=False), batch.column(4).value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), counts)
             for lo in range(0, len(spots), 20_000):
-                part = spots[lo : lo + 20_000]
-                doc = np.repeat(np.arange(len(keys)), counts)[lo : lo + 20_000]
+                part, doc = spots[lo : lo + 20_000], owner[lo : lo + 20_000]
                 pos, dlo, dhi = part >> 16, part >> 8 & 255, part & 255
                 a, b = offsets[doc] + pos - dhi, offsets[doc] + pos - dlo + length
-                yield pa.RecordBatch.from_arrays([hashes.slice(lo, len(part)), pa.array(np.asarray(keys, np.int64)[doc]), pa.array(part), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], schema=schema)
+                owned = [batch.column(j).take(pa.array(doc)) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([hashes.slice(lo, len(part)), *owned, pa.array(part), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], schema=schema)
 
     return run
 
 
 def _windows(length: int):
-    """(w1, w2, key, start) for each window of an anchor: 128-bit hashes of their bytes."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("key", pa.int64()), ("start", pa.int64())])
+    """(w1, w2, k1, k2, copies, start) for each window of an anchor: 128-bit hashes of their bytes."""
+    schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "k1", "k2", "copies", "start")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, spot, context in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for i, (spot, context) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 c = np.frombuffer(context, np.uint8)
                 w1, w2 = _gram_hashes(c, length), _gram_hashes(c, length, 0x5A)
                 start = (spot >> 16) - (spot & 255) + np.arange(len(w1))
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(len(w1), key)), pa.array(start)], schema=schema)
+                own = [np.full(len(w1), batch.column(j)[i].as_py()) for j in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *map(pa.array, own), pa.array(start)], schema=schema)
 
     return run
 
 
-def repeated_spans(group: np.ndarray, key: np.ndarray, spot: np.ndarray, contexts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end) of runs of windows that occur more than once among whole groups of contexts.
+def repeated_spans(group: np.ndarray, copies: np.ndarray, spot: np.ndarray, contexts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, end) of runs of windows that occur more than once among whole groups of contexts; place is that of the context.
 
-    Equal contexts are one class; a class of two is repeated throughout. Of the others, the bytes right of the anchor and those left of it
+    Equal contexts are one class; a class of two copies is repeated throughout. Of the others, the bytes right of the anchor and those left of it
     (backwards) are sorted deep-shallow. Two occurrences share the window d bytes before the anchor iff their right common prefix reaches
     length - d and their left one d: the sorted common prefixes give classes for each d, and a class pair held twice is a repeat.
     """
@@ -125,7 +134,7 @@ def repeated_spans(group: np.ndarray, key: np.ndarray, spot: np.ndarray, context
     cls = np.array([seen.setdefault(x, len(seen)) for x in zip(group.tolist(), (spot & 0xFFFF).tolist(), contexts, strict=True)], np.int64)
     first = np.full(len(seen), -1, np.int64)
     first[cls[::-1]] = np.arange(len(cls))[::-1]
-    many = np.bincount(cls, minlength=len(seen)) > 1
+    many = np.bincount(cls, copies, len(seen)) > 1
     g = group[first]
     dlo, dhi = (spot[first] >> 8 & 255), (spot[first] & 255)
     w = length - gram + 1
@@ -165,24 +174,24 @@ def repeated_spans(group: np.ndarray, key: np.ndarray, spot: np.ndarray, context
     reps = np.diff(begin)[c1]
     at = member[np.repeat(begin[c1], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
     pos = spot[at] >> 16
-    return key[at], pos - np.repeat(to_d - 1, reps), pos - np.repeat(from_d, reps) + length
+    return at, pos - np.repeat(to_d - 1, reps), pos - np.repeat(from_d, reps) + length
 
 
 def _sort(length: int, gram: int):
-    schema = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "start", "end")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            h, k, s = (np.concatenate([x[j] for x in rows]) for j in range(3))
-            out = repeated_spans(h, k, s, [c for x in rows for c in x[3]], length, gram)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
+            hashes, k1, k2, copies, spots = (np.concatenate([x[j] for x in rows]) for j in range(5))
+            at, start, end = repeated_spans(hashes, copies, spots, [c for x in rows for c in x[5]], length, gram)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[at], k2[at], start, end)], schema=schema)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
-                held.append((*(part.column(j).to_numpy(zero_copy_only=False) for j in range(3)), part.column(3).to_pylist()))
+                held.append((*(part.column(j).to_numpy(zero_copy_only=False) for j in range(5)), part.column(5).to_pylist()))
                 if sum(len(x[0]) for x in held) >= BATCH:
                     h = held[-1][0]
                     cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
@@ -203,7 +212,7 @@ def _sort(length: int, gram: int):
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = []
-        for starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for starts, ends in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             merged: list[int] = []
             for s, e in sorted(zip(starts, ends, strict=True)):
                 if merged and s <= merged[-1]:
@@ -211,7 +220,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     merged += [s, e]
             spans.append(merged)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int64()))], ["key", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64()))], ["k1", "k2", "spans"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,37 +247,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gian
     Every byte covered by a ``length``-byte string that also starts elsewhere in the corpus, in the same document or another, goes.
     Strings lie within one document, may overlap, and are judged on the input.
 
-    Plan: (1) one pass finds content-defined anchors, about one in 69 bytes, so that equal windows have equal anchors; (2) anchor hashes
-    that occur once are dropped, which leaves little but true repeats; (3) the bytes around the others meet by anchor hash and are suffix
-    sorted deep-shallow, which decides every window exactly, byte by byte; (4) spans are merged and cut from the texts. Anchors of more
-    than ``giant`` occurrences are decided by counting 128-bit hashes of their windows in a distributed aggregate instead, so no group is
-    larger than that in a task. Texts move only for documents with repeated anchors, if their keys may be broadcast.
+    Plan: (1) one pass finds content-defined anchors, about one in 69 bytes, so that equal windows have equal anchors, and equal texts
+    become one with the number of their copies; (2) anchor hashes that occur once are dropped, which leaves little but true repeats;
+    (3) the bytes around the others meet by anchor hash and are suffix sorted deep-shallow, which decides every window exactly, byte by
+    byte; (4) spans are merged and cut from the texts. Anchors of more than ``giant`` occurrences in different texts are decided by
+    counting 128-bit hashes of their windows in a distributed aggregate instead, so no group is larger than that in a task. Anchors and
+    texts with over a thousandth of all rows are broadcast to their join, so that their rows stay where they are. Texts move once for
+    documents with repeated anchors, and not at all for the cut if the spans may be broadcast.
 
     Null texts are empty; texts shorter than ``length`` lose nothing unless other strings cover them, which can't be. Repeated rows,
-    under one id too, are occurrences like any other. Null ids stay. An empty table gives an empty result; other columns are not
-    looked at. ``length`` - ``gram`` must be below 255.
+    under one id too, are occurrences like any other, and cost no more than their number. Null ids stay. An empty table gives an empty
+    result; other columns are not looked at. ``length`` - ``gram`` must be below 255.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    marks = materialize(rows.select("key", "text").mapInArrow(_scan(length, gram), "key long, hash long, spot long"), "anchors")
-    counts = marks.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
-    mine = marks.join(counts, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "spot", "c")).alias("x"))
-    mine = materialize(mine.select("key", "x.hash", "x.spot", "x.c"), "repeated")
-    keys = mine.count()
-    sought = rows.select("key", "text").join(F.broadcast(mine.select("key")), "key", "left_semi") if keys <= BROADCAST_ROWS else rows.select("key", "text")
-    here = sought.join(mine, "key")
-    pick = lambda test: F.filter(F.arrays_zip("hash", "spot", "c"), lambda x: test(x["c"]))
-    shape = "hash long, key long, spot long, context binary"
-    some = here.withColumn("x", pick(lambda c: c <= giant)).select("key", "text", F.col("x.hash").alias("hash"), F.col("x.spot").alias("spot")).where("size(hash) > 0")
-    spans = some.mapInArrow(_contexts(length), shape).repartition("hash").sortWithinPartitions("hash").mapInArrow(_sort(length, gram), "key long, start long, end long")
-    if not mine.where(F.exists("c", lambda c: c > giant)).isEmpty():
-        huge = here.withColumn("x", pick(lambda c: c > giant)).select("key", "text", F.col("x.hash").alias("hash"), F.col("x.spot").alias("spot")).where("size(hash) > 0")
-        windows = materialize(huge.mapInArrow(_contexts(length), shape).mapInArrow(_windows(length), "w1 long, w2 long, key long, start long"), "windows")
-        again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = spans.unionByName(windows.join(again, ["w1", "w2"]).select("key", "start", (F.col("start") + length).alias("end")))
-    merged = spans.groupBy("key").agg(F.collect_list("start").alias("a"), F.collect_list("end").alias("b")).mapInArrow(_merge, "key long, spans array<long>")
+    key = ["k1", "k2"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(gram), "text").alias("k2"))
+    marks = materialize(rows.select(*key, "text").mapInArrow(_scan(length, gram), "k1 long, k2 long, hash array<long>, spot array<long>"), "anchors")
+    once = materialize(marks.groupBy(*key).agg(F.count("*").alias("copies"), F.first(F.struct("hash", "spot")).alias("x")).select(*key, "copies", "x.*"), "texts")
+    flat = once.select(*key, "copies", F.explode(F.arrays_zip("hash", "spot")).alias("x")).select(*key, "copies", "x.*")
+    counts = materialize(flat.groupBy("hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("c")).where("copies > 1").select("hash", "c"), "hashes")
+    total = once.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0))).first()[0]
+    mine = join_hot(flat, counts, ["hash"], hot_keys(counts, total)).groupBy(*key, "copies").agg(F.collect_list(F.struct("hash", "spot", "c")).alias("x"))
+    mine = materialize(mine.select(*key, "copies", "x.hash", "x.spot", "x.c"), "repeated")
+    here = rows.select(*key, "text").join(maybe_broadcast(mine.select(*key), mine.count()), key, "left_semi").dropDuplicates(key).join(mine, key)
+
+    def around(test) -> DataFrame:
+        x = F.filter(F.arrays_zip("hash", "spot", "c"), lambda x: test(x["c"]))
+        some = here.withColumn("x", x).select(*key, "copies", "text", F.col("x.hash").alias("hash"), F.col("x.spot").alias("spot")).where("size(hash) > 0")
+        return some.mapInArrow(_contexts(length), CONTEXT)
+
+    spans = around(lambda c: c <= giant).repartition("hash").sortWithinPartitions("hash").mapInArrow(_sort(length, gram), "k1 long, k2 long, start long, end long")
+    if not counts.where(F.col("c") > giant).isEmpty():
+        windows = materialize(around(lambda c: c > giant).mapInArrow(_windows(length), "w1 long, w2 long, k1 long, k2 long, copies long, start long"), "windows")
+        again = materialize(windows.groupBy("w1", "w2").agg(F.sum("copies").alias("copies"), F.count("*").alias("c")).where("copies > 1").drop("copies"), "again")
+        found = join_hot(windows, again.select("w1", "w2"), ["w1", "w2"], hot_keys(again, windows.count()))
+        spans = spans.unionByName(found.select(*key, "start", (F.col("start") + length).alias("end")))
+    merged = spans.groupBy(*key).agg(F.collect_list("start").alias("a"), F.collect_list("end").alias("b")).mapInArrow(_merge, "k1 long, k2 long, spans array<long>")
     merged = materialize(merged, "spans")
     n, size = merged.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    side = F.broadcast(merged) if n <= BROADCAST_ROWS and size <= BROADCAST_SPANS else merged
-    return rows.join(side, "key", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    cut = lambda df: df.select("doc_id", "text", "spans").mapInArrow(_cut, shape)
+    if n <= BROADCAST_ROWS and size <= BROADCAST_SPANS:
+        out = cut(rows.join(F.broadcast(merged), key, "left"))
+    else:
+        often = materialize(hot_keys(once, once.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0], "copies").select(*key), "often")
+        out = cut(rows.join(F.broadcast(often), key, "left_anti").join(merged, key, "left"))
+        if not often.isEmpty():
+            out = out.unionByName(cut(rows.join(F.broadcast(often), key, "left_semi").join(F.broadcast(merged.join(F.broadcast(often), key, "left_semi")), key, "left")))
+    drop_scratch(marks, counts)
+    return out

@@ -266,3 +266,17 @@ def test_compare_leaves_the_components_of_all_pairs(spark, monkeypatch):
             if 100 * both >= 60 * (len(sets[a]) + len(sets[b]) - both):
                 joined.union(a, b)
     assert up == {i: joined.find(i) for i in range(60)} and len(set(up.values())) > 1
+
+
+@pytest.mark.parametrize("spans", [2_000_000, 0])
+def test_repeats_of_repeated_rows(spark, monkeypatch, spans):
+    """Many rows of one id and text cost their number, whether or not the spans are broadcast; an empty table gives an empty result."""
+    from lumenvec.llm import repeats
+
+    monkeypatch.setattr(repeats, "BROADCAST_SPANS", spans)
+    r = np.random.default_rng(1)
+    one, other = (" ".join(r.choice(["w%d" % i for i in range(300)], 300)) for _ in range(2))
+    df = spark.createDataFrame([(1, one)] * 3000 + [(2, other), (3, "tail " + other[100:500]), (4, None)], "doc_id long, text string").repartition(5)
+    got = Counter((x.doc_id, x.n_removed, x.n_spans) for x in remove_repeats(df).collect())
+    assert got == Counter({(1, len(one), 1): 3000, (2, 400, 1): 1, (3, 400, 1): 1, (4, 0, 0): 1})
+    assert remove_repeats(df.limit(0)).count() == 0
