@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.llm.common import materialize, maybe_broadcast
 
 #: Tokens of a window, and the share of an item's windows that makes a leak.
 WINDOW, COVERAGE = 8, 0.5
+#: Anchors (a hash and a width each) that may be broadcast to the documents' tokens; they are counted first.
+ANCHORS = 1_000_000
+#: Non-slot words that an item must have at least for its templates to say anything.
+LEAST_WORDS = 2
 #: Words after a number that count as units.
 UNITS = "kg g mg t lb lbs oz km m cm mm mi ft in mph kmh h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years l ml cl gal c f k w kw v a hz mb gb tb kb usd eur gbp dollars dollar euros euro cents cent percent degrees degree".split()
 _PUNCTUATION = "!\"#$&'()*+-;<=>?@[\\]^_`{|}~«»“”‘’–—…¿¡·•\t\n\r\x0b\x0c"
 _NUMERIC_MARKS = ".,:/%€£"
-#: Private-use characters that mark numbers, names and units; a text's own are blanked first.
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: Private-use characters that mark numbers, names and units, and that join the parts of one value; a text's own are blanked first.
+NUMBER, NAME, UNIT, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
 _CAPITALS = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isupper() and len(chr(c).lower()) == 1)
 
 
@@ -27,20 +31,31 @@ def _plain(c: Column, chars: str) -> Column:
     return F.translate(c, chars + _CAPITALS, " " * len(chars) + _CAPITALS.lower())
 
 
-def canonical_tokens(text: Column) -> Column:
-    """Lower-case words (Latin letters), with a mark before numbers, units behind a number and names: ``NUMBER``, ``UNIT``, ``NAME``.
+def _unmarked(text: Column) -> Column:
+    c = F.coalesce(text.cast("string"), F.lit(""))
+    own = NUMBER + NAME + UNIT + JOINT
+    return F.when(c.rlike(f"[{own}]"), _blank(c, own)).otherwise(c)
+
+
+def literal_tokens(text: Column) -> Column:
+    """Lower-case words (Latin letters); punctuation parts words; null gives none."""
+    return F.array_remove(F.split(_plain(_unmarked(text), _PUNCTUATION + _NUMERIC_MARKS), " "), "")
+
 
-    A name is a capitalised word that follows a word or a comma, semicolon or colon, so not at the start of a sentence. Punctuation parts
-    words; null gives no tokens.
+def template_tokens(text: Column) -> Column:
+    """As ``literal_tokens``, with a mark before slots: ``NUMBER``, ``UNIT`` (behind a number) and ``NAME``.
+
+    A capitalised word is a name wherever it stands, behind a quote, a bracket, a line break or at the start of a sentence too; document
+    and item are read alike. Names one behind the other are one slot, and so are numbers.
     """
-    c = F.coalesce(text.cast("string"), F.lit(""))
-    marked = F.contains(c, F.lit(NUMBER)) | F.contains(c, F.lit(NAME)) | F.contains(c, F.lit(UNIT))
-    c = F.when(marked, _blank(c, NUMBER + NAME + UNIT)).otherwise(c)
-    c = F.regexp_replace(c, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:] )\p{L}+", f"{NAME}$0")
+    c = _unmarked(text)
+    c = F.regexp_replace(c, r"\s{1,3}(?=\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\p{L}{0,30}\s{1,3})", JOINT)
+    c = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}{JOINT}])(?=\p{{Lu}})", NAME)
     digits = F.regexp_replace(c, r"([$€£])(?=\d)", " ")
     digits = F.regexp_replace(digits, r"(?<!\d)[.,:/]|[.,:/](?!\d)", " ")
-    digits = F.regexp_replace(digits, r"\d+(?:[.,:/]\d+)*", f" {NUMBER}$0 ")
-    digits = F.regexp_replace(digits, rf"(?i)({NUMBER}[\d.,:/]+) +(%|(?:{'|'.join(UNITS)})(?!\p{{L}}))", f"$1 {UNIT}$2")
+    digits = F.regexp_replace(digits, r"(?<=\d) {1,3}(?=\d)", JOINT)
+    digits = F.regexp_replace(digits, rf"\d+(?:[.,:/{JOINT}]\d+)*", f" {NUMBER}$0 ")
+    digits = F.regexp_replace(digits, rf"(?i)({NUMBER}[\d.,:/{JOINT}]+) +{NAME}?(%|(?:{'|'.join(UNITS)})(?!\p{{L}}))", f"$1 {UNIT}$2")
     c = F.when(c.rlike(r"\d"), _plain(digits, _PUNCTUATION)).otherwise(_plain(c, _PUNCTUATION + _NUMERIC_MARKS))
     return F.array_remove(F.split(c, " "), "")
 
@@ -51,12 +66,10 @@ _SLOT = f"substring(x, 1, 1) in ('{NUMBER}', '{NAME}', '{UNIT}')"
 def _window(w: str) -> str:
     """SQL for struct<k, slots> of a window ``w`` of tokens: its key, and its slot values if it has any.
 
-    The key hashes the words with slots as placeholders, and which slots hold equal values. Windows that are slots for the most part say
-    little as templates; they keep their values, so that only the same values match.
+    The key hashes the words with slots as placeholders, and which slots hold equal values.
     """
     return f"""transform(array(filter({w}, x -> {_SLOT})), slots -> named_struct(
         'k', case when size(slots) = 0 then xxhash64({w})
-                  when 2 * size(slots) > size({w}) then xxhash64({w}, 'as it stands')
                   else xxhash64(transform({w}, x -> if({_SLOT}, substring(x, 1, 1), x)), transform(slots, x -> array_position(slots, x))) end,
         'slots', slots))[0]"""
 
@@ -66,74 +79,113 @@ _ANCHOR = f"array_max(transform(slice(w, 1, greatest(1, size(w) - 1)), (x, i) ->
 
 
 def _pair(x: str, y: str) -> str:
-    """SQL for the key of a token and the one behind it, the latter as a placeholder if it is a slot."""
-    return f"xxhash64({x}, if({_SLOT.replace('(x', '(' + y)}, substring({y}, 1, 1), {y}))"
+    """SQL for the key of a token and the one behind it; slots are placeholders."""
+    shown = lambda t: f"if({_SLOT.replace('(x', '(' + t)}, substring({t}, 1, 1), {t})"
+    return f"xxhash64({shown(x)}, {shown(y)})"
+
+
+def _kinds(text: Column) -> Column:
+    """(template, tokens): the literal reading of a text, and its template reading if that has a slot."""
+    read = F.array(F.struct(F.lit(False).alias("template"), literal_tokens(text).alias("tokens")), F.struct(F.lit(True).alias("template"), template_tokens(text).alias("tokens")))
+    return F.filter(read, lambda k: ~k["template"] | F.exists(k["tokens"], lambda x: F.substring(x, 1, 1).isin(NUMBER, NAME, UNIT)))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, width, windows, ipos, anchor, k, islots, iat): an item shorter than ``window`` tokens is one window of its own width; none without tokens.
+    """(item_id, template, width, length, windows, ipos, anchor, k, islots, iat): the windows of each item's two readings.
 
-    ``iat`` has the places of the slots in the item, in the order of ``islots``.
+    An item shorter than ``window`` tokens is one window of its own width; an item without tokens has none. Template windows without a
+    word are left out, and so are the templates of items with fewer than ``LEAST_WORDS`` different words, which would fit too much: these
+    are found by their literal windows. ``iat`` has the places of the slots in the item, in the order of ``islots``.
     """
-    items = benchmark.select(F.col(id_col).alias("item_id"), canonical_tokens(F.col(text_col)).alias("tokens")).where("size(tokens) > 0").distinct()
-    items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window))).withColumn("windows", F.size("tokens") - F.col("width") + 1)
-    items = items.select("item_id", "width", "windows", F.posexplode(F.expr("transform(sequence(1, windows), i -> slice(tokens, i, width))")).alias("ipos", "w"))
+    items = benchmark.select(F.col(id_col).alias("item_id"), F.explode(_kinds(F.col(text_col))).alias("r")).select("item_id", "r.*").where("size(tokens) > 0").distinct()
+    items = items.where(f"not template or size(array_distinct(filter(tokens, x -> not {_SLOT}))) >= {LEAST_WORDS}")
+    items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window))).withColumn("length", F.size("tokens"))
+    items = items.withColumn("ws", F.expr(f"filter(transform(sequence(1, length - width + 1), i -> named_struct('ipos', i - 1, 'w', slice(tokens, i, width))), y -> exists(y.w, x -> not {_SLOT}))"))
+    items = items.select("item_id", "template", "width", "length", F.size("ws").alias("windows"), F.explode("ws").alias("y")).select("*", "y.*")
     items = items.withColumn("x", F.expr(_window("w"))).withColumn("at", F.expr(_ANCHOR))
     items = items.withColumn("anchor", F.expr(_pair("get(w, at)", "coalesce(get(w, at + 1), '')")))
     places = F.expr(f"filter(transform(w, (x, i) -> if({_SLOT}, ipos + i, null)), i -> i is not null)")
-    return items.select("item_id", "width", "windows", "ipos", "anchor", F.col("x.k").alias("k"), F.col("x.slots").alias("islots"), places.alias("iat"))
+    return items.select("item_id", "template", "width", "length", "windows", "ipos", "anchor", F.col("x.k").alias("k"), F.col("x.slots").alias("islots"), places.alias("iat"))
 
 
-#: SQL for the one-to-one part of an alignment's ``slots``, one struct (iat, islots, slots) per place: the pairs of values that stand at
+#: SQL for the one-to-one part of a candidate's ``slots``, one struct (iat, islots, slots) per place: the pairs of values that stand at
 #: most of the places of the item's value and at most of the places of the document's.
 _MAPPING = """case when size(pairs) = size(array_distinct(pairs.islots)) and size(pairs) = size(array_distinct(pairs.slots)) then pairs
     else filter(pairs, p -> 2 * size(filter(slots, q -> q.islots = p.islots and q.slots = p.slots)) > greatest(size(filter(slots, q -> q.islots = p.islots)), size(filter(slots, q -> q.slots = p.slots)))) end"""
 
+BODY = ["b1", "b2"]
+
+
+def _bodies(text: Column) -> list[Column]:
+    """A text's 128-bit key."""
+    return [F.xxhash64(text).alias("b1"), F.xxhash64(F.lit(17), text).alias("b2")]
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, n_slots, reparameterised): the documents that hold a benchmark item.
 
-    A leak has at least ``coverage`` of the item's windows. A window whose slots hold the item's own values counts as it is. Along one
-    alignment (document position less item position) the values in the item's slots and those in the document's must map one to one; where
-    they don't, a pair of values stands if it fills most of the places of both, and the other windows with values of no such pair don't count.
-    ``reparameterised`` says that some value differs, so that the text is the item with other numbers, names or units.
-
-    All is native SQL. Each benchmark window has an anchor, its longest word and the one behind; documents' word pairs are joined with the anchors,
-    and only windows around those that meet one are hashed and joined with the benchmark's. Both benchmark sides are broadcast while they are few,
-    so that documents don't move. Null and empty texts and items match nothing; equal rows of a document count once; rows that share
-    an id are judged each on its own, and the best match is returned. Null ids stay null. Empty tables give an empty result.
+    A leak has at least ``coverage`` of the windows of one of the item's readings: the literal one, case-folded, or that with typed
+    placeholders. A template window whose slots hold the item's own values counts as it is. Over all windows of a candidate, a stretch of
+    the document whose windows lie about as in the item (their shift changes by no more than half of the item from one to the next), the
+    values in the item's slots and those in the document's must map one to one; where they don't, a pair of values stands if it fills most
+    of the places of both, and the other windows with values of no such pair don't count. ``reparameterised`` says that some value
+    differs, so that the text is the item with other numbers, names or units.
+
+    All is native SQL. Each benchmark window has an anchor, its longest word and the token behind; documents' token pairs are joined with
+    the anchors, and only windows around those that meet one are hashed and joined with the benchmark's. Up to ``ANCHORS`` anchors are
+    broadcast, so that documents don't move; beyond that narrow rows of pairs are shuffled and the tokens are fetched afterwards. Null and
+    empty texts and items match nothing; a text is judged once, however many rows have it; rows that share an id are judged each on its
+    own, and the best match is returned. Null ids stay null. Empty tables give an empty result; other columns are not looked at.
     """
-    best = _judged(docs, benchmark, window, coverage, id_col, text_col).groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "matched", "windows", "n_slots", "reparameterised")).alias("b"))
+    leaks = judge_texts(docs, benchmark, window, coverage, text_col)
+    found = docs.select(F.col(id_col).alias("doc_id"), *_bodies(F.col(text_col))).join(maybe_broadcast(leaks, leaks.count()), BODY)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (~F.col("reparameterised")).alias("plain"), "matched", "windows", "n_slots", "reparameterised")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), "b.windows", "b.coverage", "b.n_slots", "b.reparameterised")
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The leaks of each text of an id: the columns of ``find_leaks`` and ``body``, the text's hash."""
+def _met_windows(docs: DataFrame, starts: DataFrame, known: int, single: bool, text_col: str) -> DataFrame:
+    """(b1, b2, template, pos, w): windows of documents around a pair of tokens that is an anchor."""
+    base = docs.select(F.col(text_col).alias("text"), *_bodies(F.col(text_col)))
+    rows = base.select(*BODY, F.explode(_kinds(F.col("text"))).alias("r")).select(*BODY, "r.template", F.col("r.tokens").alias("t"))
+    pairs = rows.select("*", F.posexplode("t").alias("p", "token")).withColumn("h", F.expr(_pair("token", "coalesce(get(t, p + 1), '')")))
+    if single:  # items of one token stand without the next
+        pairs = pairs.withColumn("h", F.explode(F.array_distinct(F.array("h", F.expr(_pair("token", "''"))))))
+    around = "transform(if(size(t) < width, cast(array() as array<int>), sequence(greatest(0, p - width + 1), least(p, size(t) - width))), s -> named_struct('pos', s, 'w', slice(t, s + 1, width)))"
+    if known <= ANCHORS:
+        found = pairs.join(F.broadcast(starts), ["template", "h"])
+    else:
+        spots = materialize(pairs.select(*BODY, "template", "p", "h").join(starts, ["template", "h"]).select(*BODY, "template", "p", "width").distinct(), "spots")
+        gathered = spots.groupBy(*BODY, "template").agg(F.collect_list(F.struct("p", "width")).alias("at"))
+        found = rows.join(gathered, [*BODY, "template"]).select(*BODY, "template", "t", F.explode("at").alias("at")).select("*", "at.*")
+    return found.select(*BODY, "template", F.explode(F.expr(around)).alias("x")).select(*BODY, "template", "x.*")
+
+
+def judge_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
+    """The leaks of each text, as a written table: its key (b1, b2) and the columns of ``find_leaks`` but doc_id."""
     bench = materialize(benchmark_windows(benchmark, window), "windows")
-    known = bench.count()
-    starts = bench.select(F.col("anchor").alias("h"), "width").distinct()
+    starts = materialize(bench.select("template", F.col("anchor").alias("h"), "width").distinct(), "anchors")
     single = not bench.where("width = 1").isEmpty()
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = base.select("doc_id", F.xxhash64("text").alias("body"), canonical_tokens(F.col("text")).alias("t"))
-    found = rows.select("doc_id", "body", "t", F.posexplode("t").alias("p", "token")).withColumn("h", F.expr(_pair("token", "coalesce(get(t, p + 1), '')")))
-    if single:  # items of one token stand without the next
-        found = found.withColumn("h", F.explode(F.array_distinct(F.array("h", F.expr(_pair("token", "''"))))))
-    found = found.join(maybe_broadcast(starts, known), "h")
-    found = found.select("doc_id", "body", F.explode(F.expr("transform(if(size(t) < width, cast(array() as array<int>), sequence(greatest(0, p - width + 1), least(p, size(t) - width))), s -> named_struct('pos', s, 'w', slice(t, s + 1, width)))").alias("x")).alias("x"))
-    found = found.select("doc_id", "body", F.col("x.pos").alias("pos"), F.col("x.w").alias("w")).withColumn("x", F.expr(_window("w")))
-    part = found.select("doc_id", "body", "pos", F.size("w").alias("width"), F.col("x.k").alias("k"), F.col("x.slots").alias("slots"))
-    out = part.join(maybe_broadcast(bench.drop("anchor"), known), ["k", "width"])
-    hits = out.select("doc_id", "body", "item_id", "windows", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.arrays_zip("iat", "islots", "slots").alias("slots"))
-    lined = hits.groupBy("doc_id", "body", "item_id", "windows", "diagonal").agg(F.collect_set(F.struct("ipos", "slots")).alias("met"))
+    met = _met_windows(docs, starts, starts.count(), single, text_col).withColumn("x", F.expr(_window("w")))
+    part = met.select(*BODY, "template", "pos", F.size("w").alias("width"), F.col("x.k").alias("k"), F.col("x.slots").alias("slots"))
+    out = part.join(maybe_broadcast(bench.drop("anchor"), bench.count()), ["template", "k", "width"])
+    group = [*BODY, "item_id", "template", "windows"]
+    hits = out.select(*group, "length", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.arrays_zip("iat", "islots", "slots").alias("slots")).distinct()
+    along = Window.partitionBy(*group).orderBy("shift")
+    hits = hits.withColumn("new", (2 * (F.col("shift") - F.lag("shift").over(along)) > F.col("length")).cast("int")).withColumn("candidate", F.coalesce(F.sum("new").over(along), F.lit(0)))
+    lined = hits.groupBy(*group, "candidate").agg(F.collect_set(F.struct("ipos", "slots")).alias("met"))
     lined = lined.withColumn("slots", F.expr("array_distinct(flatten(met.slots))")).withColumn("pairs", F.expr("array_distinct(transform(slots, p -> struct(p.islots, p.slots)))"))
     lined = lined.withColumn("mapping", F.expr(_MAPPING))
     lined = lined.withColumn("met", F.expr("filter(met, m -> forall(m.slots, p -> p.islots = p.slots) or forall(m.slots, p -> array_contains(mapping, struct(p.islots, p.slots))))")).where("size(met) > 0")
-    lined = lined.select("doc_id", "body", "item_id", "windows", F.col("met.ipos").alias("ipos"), F.expr("array_distinct(transform(flatten(met.slots), p -> struct(p.islots, p.slots)))").alias("pairs"))
-    judged = lined.groupBy("doc_id", "body", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("matched"), F.max(F.size("pairs")).alias("n_slots"), F.max(F.exists("pairs", lambda p: p["islots"] != p["slots"])).alias("reparameterised"))
-    return judged.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
+    lined = lined.select(*group, F.col("met.ipos").alias("ipos"), F.expr("array_distinct(transform(flatten(met.slots), p -> struct(p.islots, p.slots)))").alias("pairs"))
+    judged = lined.groupBy(*group).agg(F.size(F.array_distinct(F.flatten(F.collect_list("ipos")))).alias("matched"), F.max(F.size("pairs")).alias("n_slots"), F.max(F.exists("pairs", lambda p: p["islots"] != p["slots"])).alias("reparameterised"))
+    return materialize(judged.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage), "leaks")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item, every column as it is. The text alone decides, whatever the id."""
-    gone = materialize(_judged(docs, benchmark, text_col=text_col, **more).select(F.col("body").alias("__gone")).distinct(), "leaks")
-    return docs.join(maybe_broadcast(gone, gone.count()), F.xxhash64(docs[text_col]) == gone["__gone"], "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item, every column as it is. The text alone decides, whatever the id.
+
+    Rows with null and empty texts stay. An empty table on either side takes nothing away.
+    """
+    gone = materialize(judge_texts(docs, benchmark, text_col=text_col, **more).select(*[F.col(b).alias(f"__{b}") for b in BODY]).distinct(), "gone")
+    b1, b2 = _bodies(docs[text_col])
+    return docs.join(maybe_broadcast(gone, gone.count()), (b1 == gone["__b1"]) & (b2 == gone["__b2"]), "left_anti")

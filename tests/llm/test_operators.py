@@ -280,3 +280,100 @@ def test_repeats_of_repeated_rows(spark, monkeypatch, spans):
     got = Counter((x.doc_id, x.n_removed, x.n_spans) for x in remove_repeats(df).collect())
     assert got == Counter({(1, len(one), 1): 3000, (2, 400, 1): 1, (3, 400, 1): 1, (4, 0, 0): 1})
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_leaks_probes(spark, odd, monkeypatch):
+    """Inserted words don't hide a conflict, case-folded copies and longer names are found, also names behind quotes and line breaks."""
+    from lumenvec.llm import decontaminate
+
+    df, _ = odd
+    item = "In Paris, Alice has 12 apples and buys 5 kg more for Bob, so Alice now owns how many apples in total?"
+    clash = "So in Rome, Carol has 40 apples and buys 7 lbs more for Dave, so then Eve now owns how many apples in total?"
+    long = "So in New York, Mary Ann has 40 000 apples and buys 7 lbs more for Dave, so Mary Ann now owns how many apples in total?"
+    quoted = "So in Rome,\n(\"Carol\" has 40 apples and buys 7 lbs more for  Dave, so Carol now owns how many apples in total?"
+    mix = "mix 3 kg, 5 kg and 7 kg"
+    bench = spark.createDataFrame([(7, item), (8, mix), (9, "12 + 5"), (10, "Hello")], "item_id long, text string")
+    rows = [(1, clash), (2, item.lower()), (3, long), (4, quoted), (5, "now mix 4 kg, 6 kg and 9 kg well"), (6, "Of 13 + 6 say HELLO"), (7, "x " * 5000 + item + " y" * 5000), (8, "12 + 5"), (None, item.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(2, 7, False), (3, 7, True), (4, 7, True), (5, 8, True), (6, 10, False), (7, 7, False), (8, 9, False), (None, 7, False)]
+    for anchors in (decontaminate.ANCHORS, 0):
+        monkeypatch.setattr(decontaminate, "ANCHORS", anchors)
+        got = [(r.doc_id, r.item_id, r.reparameterised) for r in find_leaks(docs.unionByName(docs), bench).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(df, bench).count() == 0
+
+
+def test_leaks_brute(spark):
+    """All windows of all documents, without anchors, and the candidates' mappings in plain Python, on a whole table."""
+    import regex
+
+    from lumenvec.llm import decontaminate as d
+
+    def literal(t):
+        return regex.sub(f"[{regex.escape(d._PUNCTUATION + d._NUMERIC_MARKS)}]", " ", t).lower().split(" ")
+
+    def template(t):
+        t = regex.sub(r"\s{1,3}(?=\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\p{L}{0,30}\s{1,3})", d.JOINT, t)
+        t = regex.sub(rf"(?<![\p{{L}}\p{{N}}{d.JOINT}])(?=\p{{Lu}})", d.NAME, t)
+        t = regex.sub(r"[$€£](?=\d)", " ", t)
+        t = regex.sub(r"(?<!\d)[.,:/]|[.,:/](?!\d)", " ", t)
+        t = regex.sub(r"(?<=\d) {1,3}(?=\d)", d.JOINT, t)
+        t = regex.sub(rf"\d+(?:[.,:/{d.JOINT}]\d+)*", rf" {d.NUMBER}\g<0> ", t)
+        t = regex.sub(rf"(?i)({d.NUMBER}[\d.,:/{d.JOINT}]+) +{d.NAME}?(%|(?:{'|'.join(d.UNITS)})(?!\p{{L}}))", rf"\1 {d.UNIT}\2", t)
+        return regex.sub(f"[{regex.escape(d._PUNCTUATION)}]", " ", t if regex.search(r"\d", t) else regex.sub("[.,:/%€£]", " ", t)).lower().split(" ")
+
+    def readings(t):
+        for kind, read in ((False, literal), (True, template)):
+            tokens = [x for x in read(t or "") if x]
+            if tokens and (not kind or any(x[0] in d.NUMBER + d.NAME + d.UNIT for x in tokens)):
+                yield kind, tokens
+
+    def slot(x):
+        return x[0] in d.NUMBER + d.NAME + d.UNIT
+
+    def key(w):
+        slots = [x for x in w if slot(x)]
+        return tuple(x[0] if slot(x) else x for x in w), tuple(slots.index(x) for x in slots)
+
+    items = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect():
+        for kind, t in readings(r.text):
+            if kind and len({x for x in t if not slot(x)}) < d.LEAST_WORDS:
+                continue
+            n = min(8, len(t))
+            ws = {i: t[i : i + n] for i in range(len(t) - n + 1) if not all(slot(x) for x in t[i : i + n])}
+            items[r.item_id, kind] = (len(t), n, ws)
+    lookup = {}
+    for k, (_, n, ws) in items.items():
+        for i, w in ws.items():
+            lookup.setdefault((k[1], n, key(w)), []).append((k, i))
+    widths = {(kind, n) for kind, n, _ in lookup}
+    want = set()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for r in docs.collect():
+        hits = {}
+        for kind, t in readings(r.text):
+            for n in (n for k, n in widths if k == kind):
+                for s in range(len(t) - n + 1):
+                    for item, i in lookup.get((kind, n, key(t[s : s + n])), []):
+                        w = items[item][2][i]
+                        hits.setdefault(item, set()).add((s - i, i, tuple((i + j, x, t[s + j]) for j, x in enumerate(w) if slot(x))))
+        for item, found in hits.items():
+            length, _, ws = items[item]
+            groups, last = [], None
+            for h in sorted(found):
+                if last is None or 2 * (h[0] - last) > length:
+                    groups.append(set())
+                groups[-1].add(h[1:])
+                last = h[0]
+            matched = set()
+            for g in groups:
+                places = {p for _, slots in g for p in slots}
+                pairs = {p[1:] for p in places}
+                if len(pairs) > len({a for a, _ in pairs}) or len(pairs) > len({b for _, b in pairs}):
+                    pairs = {(a, b) for a, b in pairs if 2 * sum(p[1:] == (a, b) for p in places) > max(sum(p[1] == a for p in places), sum(p[2] == b for p in places))}
+                matched |= {i for i, slots in g if all(a == b for _, a, b in slots) or all((a, b) in pairs for _, a, b in slots)}
+            if len(matched) >= d.COVERAGE * len(ws):
+                want.add((r.doc_id, item[0]))
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).collect()}
+    assert got == want and want
