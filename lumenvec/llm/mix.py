@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.llm.common import materialize
@@ -41,46 +41,56 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...
     return ranked.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def apportion(targets: DataFrame, seats: int) -> DataFrame:
-    """Adds ``quota``: Sainte-Lague seats of each source out of ``seats`` by its target.
+def apportion(targets: DataFrame, houses: list[int]) -> DataFrame:
+    """``targets`` with ``upto``: Sainte-Lague seats of each source by its target, in each of the ``houses`` of so many seats.
 
-    The floor of target / divisor less one is below every source's quota, so it is given outright; the rest, at most two or so for each
-    source, go one by one to the highest quotients target / (2 * held + 1).
+    With n sources and q a source's exact share of the seats, the divisor that fits lies so near the mean one that its quota is within
+    q * n / (2 * seats) + 1.5 of q. What lies below is given outright; the rest, about two quotients for each source, go one by one to
+    the highest, target / (2 * held + 1). Ties go to the source that is first by code point.
     """
-    whole = Window.partitionBy(F.lit(0))
-    sure = F.greatest(F.lit(0), F.floor(F.lit(float(seats)) * F.col("target") / F.sum("target").over(whole)) - 1).cast("long")
-    base = targets.withColumn("sure", F.when(F.col("target") > 0, sure).otherwise(F.lit(0).cast("long")))
-    base = base.withColumn("open", F.lit(seats).cast("long") - F.sum("sure").over(whole))
-    asks = base.where("target > 0").select("source", "open", "target", "sure", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("k"))
-    asks = asks.withColumn("quotient", F.col("target") / (2 * (F.col("sure") + F.col("k")) + 1))
-    won = asks.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("quotient"), F.col("source").asc_nulls_last()))).where("r <= open")
-    more = won.groupBy("source").agg(F.count("*").alias("more")).withColumnRenamed("source", "__source")
-    return base.join(more, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("quota", F.col("sure") + F.coalesce("more", F.lit(0))).drop("__source", "more", "sure", "open")
+    whole = Window.partitionBy("house")
+    base = targets.select("source", "target", F.posexplode(F.array(*[F.lit(n).cast("long") for n in houses])).alias("house", "seats"))
+    share = F.when(F.sum("target").over(whole) > 0, F.col("seats") * F.col("target") / F.sum("target").over(whole)).otherwise(F.lit(0.0))
+    base = base.withColumn("share", share).withColumn("off", F.col("share") * F.count("*").over(whole) / (2 * F.greatest("seats", F.lit(1))) + 1.5)
+    base = base.withColumn("sure", F.greatest(F.lit(0.0), F.floor(F.col("share") - F.col("off"))).cast("long")).withColumn("most", F.ceil(F.col("share") + F.col("off")).cast("long"))
+    base = base.withColumn("open", F.col("seats") - F.sum("sure").over(whole))
+    asks = base.select("house", "source", "sure", "open", "target", F.explode(F.sequence("sure", "most")).alias("held"))
+    asks = asks.withColumn("quotient", F.col("target") / (2 * F.col("held") + 1))
+    order = Window.partitionBy("house").orderBy(F.desc("quotient"), F.col("source").asc_nulls_last(), "held")
+    won = asks.withColumn("won", ((F.row_number().over(order) <= F.col("open")) & (F.col("target") > 0)).cast("long"))
+    quotas = won.groupBy("house", "source").agg((F.first("sure") + F.sum("won")).alias("quota"))
+    upto = quotas.groupBy(F.col("source").alias("__source")).agg(F.transform(F.sort_array(F.collect_list(F.struct("house", "quota"))), lambda x: x["quota"]).alias("upto"))
+    return targets.join(upto, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
 def shard_quotas(targets: DataFrame, seats: int, shards: int = SHARDS) -> DataFrame:
-    """(source, shard, quota): integer block quotas of each shard; the house grows shard by shard, so the sums are the apportionment itself."""
-    now, last = None, None
-    for k in range(1, shards + 1):
-        upto = apportion(targets, seats * k // shards).select("source", F.lit(k - 1).alias("shard"), F.col("quota").alias("upto"))
-        now = upto if now is None else now.unionByName(upto)
-    last = Window.partitionBy("source").orderBy("shard")
-    return now.select("source", "shard", (F.col("upto") - F.coalesce(F.lag("upto").over(last), F.lit(0))).alias("quota"))
+    """``targets`` with ``upto``: for each shard, the seats that the source has in it and those before.
+
+    The house grows shard by shard, and no source loses a seat when it grows, so differences are the shards' quotas, and the last are the
+    apportionment of all seats.
+    """
+    return apportion(targets, [seats * k // shards for k in range(1, shards + 1)])
 
 
-def _taken(block: Column) -> Column:
-    """Whether this ``pass`` takes a block: every whole pass does, the last one if the seeded permutation puts it among the first ``extra``."""
-    return (F.col("pass") < F.col("whole")) | (F.pmod(F.col("step") * block + F.col("start"), F.col("blocks")) < F.col("extra"))
+#: SQL for the place of block ``b`` in one pass of the seeded permutation, and for the blocks of a document.
+_PLACE = "pmod(step * b + start, blocks)"
+_BLOCKS = "sequence(first_word div block_words, (first_word + size - 1) div block_words)"
+#: SQL for a document's words in block ``b``.
+_WORDS = "(least(first_word + size, (b + 1) * block_words) - greatest(first_word, b * block_words))"
+#: SQL for the number of takes of block ``b`` that the first ``q`` places of all passes hold.
+_TAKES = f"(q div blocks + if({_PLACE} < q % blocks, 1L, 0L))"
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, source, size, source_size, target, taken, first_word, block_words, whole, extra, blocks, step, start).
+def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, source, size, source_size, target, taken, shard_words, first_word, block_words, upto, blocks, step, start).
 
     Size counts words (runs of bytes that aren't ASCII white space). A source's documents are put in a seeded order and cut end to end
-    into blocks of equal words; Sainte-Lague quotas in words say how many blocks each source gives (repeats after all its blocks are
-    used), and a seeded permutation of the block numbers which. ``taken`` counts a document's words in taken blocks. A source has blocks
-    of ``block_words``, whatever the others' size; only one whose own target is worth fewer than 256 of them has finer blocks, and gives
-    a run of these from a seeded start, as blocks shorter than a document would otherwise leave scattered pieces of each.
+    into blocks of equal words. Sainte-Lague quotas in words, for each shard, say how many blocks each source gives it: ``upto`` counts a
+    source's blocks in the shards up to each, repeats after all its blocks are used. A seeded permutation puts the block numbers in order,
+    and shard k takes the places from upto[k - 1] to upto[k] of its passes. ``shard_words`` counts a document's words for each shard, and
+    ``taken`` all of them. A source has blocks of ``block_words``, whatever the others' size; only one whose own target is worth fewer
+    than 256 of them has finer blocks, and gives a run of these from a seeded start, as blocks shorter than a document would otherwise
+    leave scattered pieces of each.
 
     The order needs no global sort: sums over 1024 hash ranges of each source give every range its offset. Targets and quotas are tables
     with a row per source. Null ids and texts are fine: a null
@@ -96,11 +106,11 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS,
     targets = materialize(source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size"))), "targets")
     total = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = F.greatest(F.least(F.lit(block_words).cast("long"), F.floor(F.col("target") / FINE)), F.lit(max(1, -(-int(total) // 2**30))).cast("long"))
-    plan = apportion(targets, round(total)).withColumn("block_words", block)
+    plan = shard_quotas(targets, round(total), shards).withColumn("block_words", block)
     plan = plan.withColumn("blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / F.col("block_words"))))
-    plan = plan.withColumn("quota", F.least(F.round(F.col("quota") / F.col("block_words")).cast("long"), 2 * F.col("blocks")))
+    plan = plan.withColumn("upto", F.expr("transform(upto, q -> least(cast(round(q / block_words) as bigint), 2 * blocks))"))
     step = F.coalesce(F.when(F.col("block_words") < block_words, F.lit(1).cast("long")), *[F.when(F.col("blocks") % p != 0, F.pmod(F.lit(p), F.col("blocks"))) for p in PRIMES])
-    plan = plan.select("source", "source_size", "target", "block_words", "blocks", F.expr("quota div blocks").alias("whole"), (F.col("quota") % F.col("blocks")).alias("extra"), step.alias("step"), F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source"), F.col("blocks")).alias("start"))
+    plan = materialize(plan.select("source", "source_size", "target", "block_words", "blocks", "upto", step.alias("step"), F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source"), F.col("blocks")).alias("start")), "plan")
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     spots = offsets.withColumnRenamed("source", "__s").join(plan.withColumnRenamed("source", "__p"), F.col("__s").eqNullSafe(F.col("__p"))).drop("__p").withColumnRenamed("range", "__r")
@@ -108,26 +118,31 @@ def mix_sources(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS,
     placed = narrow.withColumn("in_range", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(spots, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
     placed = placed.withColumn("first_word", F.col("offset") + F.col("in_range"))
-    taken = F.expr("""case when size = 0 then 0L else aggregate(sequence(first_word div block_words, (first_word + size - 1) div block_words), 0L, (acc, b) -> acc
-        + (whole + if(pmod(step * b + start, blocks) < extra, 1L, 0L)) * (least(first_word + size, (b + 1) * block_words) - greatest(first_word, b * block_words))) end""")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "first_word", "block_words", "whole", "extra", "blocks", "step", "start", *[F.col(f"__keep_{c}").alias(c) for c in keep])
+    upto = F.expr(f"case when size = 0 then transform(upto, q -> 0L) else transform(upto, q -> aggregate({_BLOCKS}, 0L, (acc, b) -> acc + {_TAKES} * {_WORDS})) end")
+    placed = placed.withColumn("words_upto", upto).withColumn("taken", F.element_at("words_upto", -1)).withColumn("shard_words", F.expr("transform(words_upto, (x, i) -> x - if(i = 0, 0L, words_upto[i - 1]))"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "shard_words", "first_word", "block_words", "upto", "blocks", "step", "start", *[F.col(f"__keep_{c}").alias(c) for c in keep])
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, **cols) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each pass gives a document's words of that pass as one row, its text as it stands where
-    the whole of it is taken. ``n_chars``, if there is one, is counted anew."""
+def mixed_documents(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shards: int = SHARDS, by_shard: bool = False, **cols) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each pass over a source gives a document's words of that pass as one row.
+
+    The text is as it stands where the whole of it is taken; words that aren't are left out, each with the white space behind it.
+    ``n_chars``, if there is one, is counted anew. ``by_shard`` parts the rows by shard too and adds columns ``pass`` and ``shard``.
+    Documents without words (null, empty and blank texts) aren't in the mix. An empty table gives an empty one.
+    """
     names = docs.columns
     text_col = cols.get("text_col", "text")
-    held = mix_sources(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in names])), seed, block_words, keep=("__all",), **cols).where("taken > 0")
-    passes = F.expr("filter(sequence(0L, whole), p -> p < whole or extra > 0)")
-    rows = held.withColumn("pass", F.explode(passes))
-    used = F.expr("filter(sequence(first_word div block_words, (first_word + size - 1) div block_words), b -> pass < whole or pmod(step * b + start, blocks) < extra)")
-    rows = rows.withColumn("used", used).where("size(used) > 0")
-    every = F.expr("size(used) = (first_word + size - 1) div block_words - first_word div block_words + 1")
+    held = mix_sources(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in names])), seed, block_words, shards, keep=("__all",), **cols).where("taken > 0")
+    # the share of a pass or of a shard in it: places from lo to hi of the permutation
+    parts = "transform(sequence(0L, upto[size(upto) - 1] div blocks), p -> named_struct('pass', p, 'shard', -1, 'lo', 0L, 'hi', least(blocks, upto[size(upto) - 1] - p * blocks)))"
+    if by_shard:
+        parts = f"flatten(transform({parts}, y -> transform(upto, (q, i) -> named_struct('pass', y.pass, 'shard', i, 'lo', greatest(0L, if(i = 0, 0L, upto[i - 1]) - y.pass * blocks), 'hi', least(y.hi, q - y.pass * blocks)))))"
+    rows = held.withColumn("part", F.explode(F.expr(f"filter({parts}, y -> y.hi > y.lo)")))
+    rows = rows.withColumn("used", F.expr(f"filter({_BLOCKS}, b -> {_PLACE} >= part.lo and {_PLACE} < part.hi)")).where("size(used) > 0")
+    every = F.expr(f"size(used) = size({_BLOCKS})")
     rows = rows.withColumn("__text", F.col(f"__all.{text_col}"))
-    words = F.expr(f"regexp_extract_all(__text, '{WORD}', 0)".replace("\\", "\\\\"))
-    cut = F.array_join(F.filter(words, lambda w, i: _taken(F.floor((F.col("first_word") + i) / F.col("block_words")))), " ")
-    text = F.when(every, F.col("__text")).otherwise(cut)
-    rows = rows.withColumn("__new", text)
+    words = F.regexp_extract_all("__text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.array_join(F.filter(words, lambda w, i: F.array_contains("used", F.floor((F.col("first_word") + i) / F.col("block_words")))), "")
+    rows = rows.withColumn("__new", F.when(every, F.col("__text")).otherwise(cut))
     out = [F.col("__new").alias(c) if c == text_col else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"__all.`{c}`").alias(c) for c in names]
-    return rows.select(*out)
+    return rows.select(*out, *([F.col("part.pass").alias("pass"), F.col("part.shard").alias("shard")] if by_shard else []))

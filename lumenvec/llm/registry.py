@@ -42,7 +42,7 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_word", "block_words")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_join("shard_words", " ").alias("shard_words"), "first_word", "block_words")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

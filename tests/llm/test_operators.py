@@ -377,3 +377,46 @@ def test_leaks_brute(spark):
                 want.add((r.doc_id, item[0]))
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).collect()}
     assert got == want and want
+
+
+def test_apportionment_seat_by_seat(spark):
+    """Quotas of every house equal seats given one by one to the highest quotient, also far from the exact shares."""
+    import heapq
+
+    from lumenvec.llm.mix import apportion
+
+    r = np.random.default_rng(6)
+    for case in range(4):
+        n = [3, 28, 40, 7][case]
+        sizes = [float(x) for x in (r.pareto(0.4, n) + 0.01 if case else [6.0, 2.0, 4.0])]
+        sizes[-1] = 0.0 if case == 3 else sizes[-1]
+        names = [f"s{i:02d}" for i in range(n - 1)] + [None]
+        houses = [5, 17, 400, 20_000]
+        got = {x.source: x.upto for x in apportion(spark.createDataFrame(list(zip(names, sizes)), "source string, target double"), houses).collect()}
+        heap = [(-t, i, 0) for i, t in enumerate(sizes) if t > 0]
+        heapq.heapify(heap)
+        held, given = [0] * n, 0
+        for h, house in enumerate(houses):
+            while given < house:
+                _, i, k = heapq.heappop(heap)
+                held[i], given = k + 1, given + 1
+                heapq.heappush(heap, (-sizes[i] / (2 * k + 3), i, k + 1))
+            assert [got[x][h] for x in names] == held
+
+
+def test_shards_of_the_mix_meet_their_quotas(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, "\n".join(f"d{i}w{k}" for k in range(int(r.integers(20, 300)))), ["a", "b", None][i % 3 if i % 7 else 0], "en", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    got = mix_sources(df, block_words=64, shards=4).toPandas()
+    assert (got.taken == got.shard_words.map(sum)).all()
+    for _, g in got.groupby("source", dropna=False):
+        first = g.iloc[0]
+        words = np.sum(g.shard_words.tolist(), 0)
+        quota = np.diff([0, *first.upto]) * first.block_words
+        assert (abs(words - quota) <= first.block_words).all()  # the last block may be short
+        assert abs(words.sum() - first.target) <= 2 * first.block_words
+    made = mixed_documents(df, block_words=64, shards=4, by_shard=True).toPandas()
+    words = made.text.str.split().str.len().groupby(made.shard).sum()
+    assert words.tolist() == np.sum(got.shard_words.tolist(), 0).tolist() and "\n" in made.text[0] and " " not in "".join(made.text)
+    assert not made.duplicated(["doc_id", "pass", "shard"]).any()
