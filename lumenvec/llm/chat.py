@@ -2,43 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Turn numbers that one part of a rendered dialogue spans, so that a very long conversation is many rows.
 PART_TURNS = 256
+#: Messages of a part at about most, where many share a turn number or have none.
+PART_MESSAGES = 1024
+#: Parts of a conversation that meet its participants in one task.
+JOIN_PARTS = 64
 END = "<|end|>\n"
 
 
-def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
-    """(conv_id, perspective, part, n_turns, rendered, mask): every dialogue once for each participant.
+def _hash(c: Column) -> Column:
+    """The first eight hex digits of the MD5 as a number, which other engines can compute too."""
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+
+
+def shown_name(role: Column) -> Column:
+    """A role as a name in a head: characters other than letters, digits, ``_``, ``.`` and ``-`` become ``%`` and their UTF-8 bytes in hex,
+    so that different roles have different names."""
+    escaped = F.array_join(F.transform(F.split(role, ""), lambda c: F.when(c.rlike(r"^[\p{L}\p{N}_.-]?$"), c).otherwise(F.concat(F.lit("%"), F.hex(F.encode(c, "UTF-8"))))), "")
+    return F.when(role.rlike(r"[^\p{L}\p{N}_.-]"), escaped).otherwise(role)
+
+
+def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
+    """(conv_id, perspective, part, section, n_turns, rendered, mask): every dialogue once for each participant.
 
     Participants are the roles of a conversation but ``system``. From a participant's perspective its own turns are the assistant's,
-    others' are those of users named by their role, and system turns stay so:
+    others' are those of users named by their role (``shown_name``), and system turns stay so:
     ``<|assistant|>\\ntext<|end|>\\n``, ``<|user:name|>\\n...``, ``<|system|>\\n...``. ``mask`` lists the character spans [from, to) of the
     part that are trained on: text and end mark of the perspective's own turns, also when the text is empty.
 
-    Turns go by number, then role, then text, nulls first; turns equal in all are one message. A part holds the turns whose number is in
-    the same run of ``part_turns`` numbers (null: part -1); parts bound what meets in one row, however long the conversation. Null
-    roles are the participant ``unknown``; characters of a role other than letters, digits, ``_``, ``.`` and ``-`` become ``_`` in its name.
-    Null texts are empty; ``<|`` in a text becomes ``< |``. A conversation of only system turns has no perspective. An empty table gives
-    an empty result.
+    Turns go by number, then role, then text, nulls first; repeated rows are messages of their own. A part holds the turns whose number is
+    in the same run of ``part_turns`` numbers (null: part -1). A part of more than ``part_messages`` messages, as where many share a turn
+    number or have none, is dealt into sections by a hash of each message, equal ones in turn, and each section is ordered like a part; so
+    parts and sections bound what meets in one row, however long the conversation. Null roles are one participant, whose perspective is
+    null and who is ``<|user|>`` to others. Null texts are empty; ``<|`` in a text becomes ``< |``. A conversation of only system turns
+    has no perspective. A null conv_id is one more conversation. An empty table gives an empty result; other columns are not looked at.
     """
-    role = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
     text = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.distinct().withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"))
-    people = rows.where(F.col("role") != system).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective")).distinct()
-    both = parts.join(people, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
-
-    def head(m):
-        name = F.regexp_replace(m["role"], r"[^\p{L}\p{N}_.-]", "_")
-        return F.when(m["role"] == F.col("perspective"), "<|assistant|>\n").when(m["role"] == system, "<|system|>\n").otherwise(F.concat(F.lit("<|user:"), name, F.lit("|>\n")))
-
-    pieces = F.transform("msgs", lambda m: F.struct(head(m).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), (m["role"] == F.col("perspective")).alias("own")))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), text.alias("text"))
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
+    sizes = rows.groupBy(F.col("conv_id").alias("__conv"), F.col("part").alias("__part")).agg(F.ceil(F.sum("copies") / part_messages).alias("sections"))
+    crowded = sizes.where("sections > 1")
+    spread = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    placed = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part")), "left").drop("__conv", "__part").withColumn("copy", spread)
+    message = F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.coalesce("role", F.lit("")), F.col("text"))
+    section = F.when(F.col("sections").isNull(), F.lit(0).cast("long")).otherwise((_hash(message) + F.col("copy")) % F.col("sections"))
+    placed = placed.select("conv_id", "part", section.alias("section"), "turn", "role", "text")
+    parts = placed.groupBy("conv_id", "part", "section").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"))
+    people = rows.where(~F.col("role").eqNullSafe(F.lit(system))).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective")).distinct()
+    salts = sizes.groupBy(F.col("__conv").alias("__c")).agg(F.greatest(F.lit(1), F.ceil(F.sum("sections") / JOIN_PARTS)).alias("salts"))
+    people = people.join(salts, F.col("__conv").eqNullSafe(F.col("__c"))).select("__conv", "perspective", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("__salt"), "salts")
+    parts = parts.join(salts, F.col("conv_id").eqNullSafe(F.col("__c"))).withColumn("__s", F.pmod(F.xxhash64("part", "section"), F.col("salts"))).drop("__c", "salts")
+    both = parts.join(people.drop("salts"), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("__s") == F.col("__salt"))).drop("__conv", "__s", "__salt")
+    own = lambda m: m["role"].eqNullSafe(F.col("perspective"))
+    head = lambda m: F.when(own(m), "<|assistant|>\n").when(m["role"] == system, "<|system|>\n").when(m["role"].isNull(), "<|user|>\n").otherwise(F.concat(F.lit("<|user:"), shown_name(m["role"]), F.lit("|>\n")))
+    pieces = F.transform("msgs", lambda m: F.struct(head(m).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), own(m).alias("own")))
     both = both.withColumn("pieces", pieces)
     spans = F.expr("""aggregate(pieces, struct(0 as at, cast(array() as array<struct<from:int,to:int>>) as spans),
         (acc, p) -> struct(acc.at + length(p.head) + length(p.body) as at,
             if(p.own, array_append(acc.spans, struct(acc.at + length(p.head) as from, acc.at + length(p.head) + length(p.body) as to)), acc.spans) as spans), acc -> acc.spans)""")
-    return both.select("conv_id", "perspective", "part", F.size("msgs").alias("n_turns"), F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"), spans.alias("mask"))
+    return both.select("conv_id", "perspective", "part", "section", F.size("msgs").alias("n_turns"), F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"), spans.alias("mask"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import lower_ascii, materialize, maybe_broadcast
+from lumenvec.llm.common import hot_keys, join_hot, lower_ascii, materialize, maybe_broadcast
 
 #: URLs of one sweep at about most, unless the rules of one host are more.
 SWEEP_ROWS = 4096
+#: Hosts of a range of keys at about most, and the hashed sample of keys that the ranges are cut at.
+RANGE_HOSTS, CUT_SAMPLE = 50_000, 20_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -36,16 +38,50 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return prefixes.join(around, ["host", "outer"]).groupBy("host", "path").agg(F.sort_array(F.collect_list(entry), asc=False).alias("stack"))
 
 
+def open_rules(hosts: DataFrame, ruled: DataFrame) -> DataFrame:
+    """(host, at): for each host (host, key) the places of hosts with rules (at, key) whose key begins its own: a sweep over sorted keys.
+
+    A key's subdomains are the interval of keys that begin with it, and intervals are nested or apart. Each opening carries the stack of
+    the intervals it lies in, and itself; the stack at a host is that of the last opening before it, without those that have closed,
+    whose keys don't begin the host's. Keys are swept in ranges, cut at a bounded sample, and what is open at a cut is opened there again.
+    """
+    spark = hosts.sparkSession
+    outer = ruled.select(F.col("at").alias("__at"), F.col("key").alias("__key"))
+    labels = F.split("key", r"\.")
+    begins = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit(".")))
+    entry = F.struct(F.length("__key").alias("n"), F.col("__key").alias("key"), F.col("__at").alias("at"))
+
+    def stacked(keys: DataFrame) -> DataFrame:
+        return keys.select("key", F.explode(begins).alias("__key")).join(outer, "__key").groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("stack"))
+
+    ranges = -(-hosts.count() // RANGE_HOSTS)
+    sample = [r.key for r in hosts.select("key").orderBy(F.xxhash64("key"), "key").limit(CUT_SAMPLE).collect()] if ranges > 1 else []  # bounded
+    cuts = sorted({sorted(sample)[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    below = lambda some: F.size(F.filter(some, lambda c: c <= F.col("key")))
+    run = 1 + int(len(cuts) ** 0.5)  # a key's range: first among every run-th cut, then among the cuts of that run
+    number = (below(F.lit(cuts[run - 1 :: run])) * run + below(F.slice(F.lit(cuts), below(F.lit(cuts[run - 1 :: run])) * run + 1, F.lit(run)))) if len(cuts) > run else below(F.lit(cuts)) if cuts else F.lit(0)
+    openings = stacked(ruled.select("key").distinct())
+    if cuts:
+        openings = openings.unionByName(stacked(spark.createDataFrame([(c,) for c in cuts], "key string"))).dropDuplicates(["key"])
+    nothing = F.lit(None).cast(openings.schema["stack"].dataType)
+    events = openings.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack").unionByName(hosts.select("key", F.lit(1).alias("kind"), "host", nothing.alias("stack")))
+    sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.withColumn("range", number).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1 and stack is not null")
+    return swept.select("host", F.explode(F.expr("filter(stack, x -> startswith(key, x.key))")).alias("x")).select("host", F.col("x.at").alias("at"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: (page_id, host, path, rule, verdict).
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest rule (host and path together, then the
     longer host) wins; without one the rule is null and the verdict is ``default``.
 
-    Plan: each distinct URL makes a probe for every suffix of its host that is some rule's host. Probes and rules are put in the order of
-    (reversed host, path): there a rule's prefix is an interval, and intervals are nested or apart. The sweep carries the stack of the
-    last rule opened; those whose interval has closed no longer begin the path and are popped, and the top of what is left wins. A host
-    with many URLs is swept in several salted runs, each with that host's rules, so no host meets in one task. All is native SQL.
+    Plan: in the order of reversed hosts a rule's host and its subdomains are an interval. A sweep over the distinct hosts of the URLs and
+    the hosts with rules (``open_rules``) tells which of the latter are open at each host. For each of them a URL makes a probe, and a
+    second sweep, over the paths of that host's rules and of its probes, does the same for path prefixes: it carries the stack of the
+    last rule opened, those that have closed no longer begin the path and are popped, and the top of what is left wins. A host
+    with many URLs is swept in several salted runs, each with that host's rules, so no host meets in one task. Stacks are made once, from
+    the rules alone, by joining each rule with those whose host or path begins its own. All is native SQL.
 
     Null URLs have an empty host and path and the default verdict. Repeated rows give repeated rows. Empty tables of pages or rules are
     fine. Other columns are not looked at.
@@ -56,9 +92,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     stacks = materialize(rule_stacks(rules).withColumn("key", host_key(F.col("host"))), "rules")
     hosts = stacks.groupBy("host", "key").agg(F.count("*").alias("rules"))
     known = hosts.count()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    probes = rows.select("page_id", F.col("host").alias("full"), "path", F.explode(F.array_distinct(suffixes)).alias("host")).join(maybe_broadcast(hosts, known), "host")
+    full = materialize(rows.groupBy("host").agg(F.count("*").alias("c")).withColumn("key", host_key(F.col("host"))), "hosts")
+    at = materialize(open_rules(full.select("host", "key"), hosts.select(F.col("host").alias("at"), "key")), "open")
+    fits = at.groupBy("host").agg(F.collect_list("at").alias("ats"))  # one entry per label of the host at most
+    probes = join_hot(rows, fits, ["host"], hot_keys(full, full.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]))
+    probes = probes.select("page_id", F.col("host").alias("full"), "path", F.explode("ats").alias("host")).join(maybe_broadcast(hosts, known), "host")
     probes = materialize(probes.select("page_id", "full", "path", "host", "key", "rules"), "probes")
     runs = probes.groupBy("host", "key", "rules").agg(F.count("*").alias("n")).select("host", "key", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP_ROWS), "rules")).alias("runs"))
     opened = stacks.join(runs, ["host", "key"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1))).select("key", "run", "host", "path", F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("full"), "stack")

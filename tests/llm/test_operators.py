@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
 from lumenvec.llm.ann import nearest_neighbours
@@ -213,11 +214,32 @@ def test_neighbours_brute(spark):
 
 
 def test_chat(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", None), (1, 3, None, "z"), (None, None, "ann", "q"), (1, 1, "ann", "hi <|x")], "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", None), (1, 3, None, "z"), (None, None, "ann", "q"), (1, 1, "ann", "hi <|x"), (2, 1, "a!", "p"), (2, 2, "a?", "q"), (2, 3, "unknown", ""), (2, 4, None, "r"), (3, 1, "system", "alone")]
+    turns = spark.createDataFrame([(*x, "extra", 0) for x in rows], "conv_id long, turn long, role string, text string, perspective string, part int")
     got = {(r.conv_id, r.perspective): r for r in rotate_perspectives(turns).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, None), (None, "ann"), (2, "a!"), (2, "a?"), (2, "unknown"), (2, None)}
     r = got[1, "ann"]
-    assert r.rendered.startswith("<|system|>\ns<|end|>\n<|assistant|>\nhi < |x<|end|>\n<|user:bob|>\n") and [r.rendered[a:b] for a, b in r["mask"]] == ["hi < |x<|end|>\n"]
+    assert r.rendered == "<|system|>\ns<|end|>\n" + "<|assistant|>\nhi < |x<|end|>\n" * 2 + "<|user:bob|>\n<|end|>\n<|user|>\nz<|end|>\n" and r.n_turns == 5
+    assert [r.rendered[a:b] for a, b in r["mask"]] == ["hi < |x<|end|>\n"] * 2
+    assert got[2, None].rendered == "<|user:a%21|>\np<|end|>\n<|user:a%3F|>\nq<|end|>\n<|user:unknown|>\n<|end|>\n<|assistant|>\nr<|end|>\n"
+    assert rotate_perspectives(turns.limit(0)).count() == 0
+
+
+def test_chat_bounds_parts_and_equals_its_sql(spark):
+    """A conversation of many turns, many messages without turn, one message repeated; against the registered SQL."""
+    import duckdb
+
+    from lumenvec.llm.registry import ORACLE_SQL
+
+    rows = [(1, i, ["ann", "bob", "ce c"][i % 3], f"t{i}") for i in range(600)] + [(1, None, ["ann", None][i % 2], f"n{i}") for i in range(3000)] + [(2, 5, "ann", "same")] * 2500
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = rotate_perspectives(turns).withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["from"], s["to"])), ";")).toPandas()
+    assert out.n_turns.max() < 1300 and out[out.conv_id == 2].n_turns.sum() == 2500
+    con = duckdb.connect()
+    con.register("conversations", turns.toPandas().astype({"turn": "Int64"}))
+    want = con.execute(ORACLE_SQL["op1_chat"]).df()
+    cols = ["conv_id", "perspective", "part", "section", "n_turns", "rendered", "mask"]
+    assert sorted(map(str, out[cols].fillna("-").values.tolist())) == sorted(map(str, want[cols].fillna("-").values.tolist()))
 
 
 def test_toxicity(spark, odd):
@@ -420,3 +442,26 @@ def test_shards_of_the_mix_meet_their_quotas(spark):
     words = made.text.str.split().str.len().groupby(made.shard).sum()
     assert words.tolist() == np.sum(got.shard_words.tolist(), 0).tolist() and "\n" in made.text[0] and " " not in "".join(made.text)
     assert not made.duplicated(["doc_id", "pass", "shard"]).any()
+
+
+def test_urls_brute(spark, monkeypatch):
+    """Nested and sibling hosts and paths in many ranges, against every rule for every URL; clashing columns."""
+    from lumenvec.llm import url_rules
+
+    monkeypatch.setattr(url_rules, "RANGE_HOSTS", 7)
+    r = np.random.default_rng(10)
+    label = lambda: ["a", "b", "ab", "a-b", "c1"][int(r.integers(0, 5))]
+    host = lambda most: ".".join(label() for _ in range(int(r.integers(1, most))))
+    path = lambda: "/" + "/".join(label() for _ in range(int(r.integers(0, 3))))
+    rules = {(host(4), path()): ["block", "allow"][int(r.integers(0, 2))] for _ in range(60)} | {("b", "/"): "block"}
+    urls = ["https://" + host(5).upper() + path() + ["", "?q=/a", "#x"][int(r.integers(0, 3))] for _ in range(400)] + [None, "no", "x://", "http://b./", "http://a..b/"]
+    pages = spark.createDataFrame([(i, u, "k", "h", 0) for i, u in enumerate(urls)], "page_id long, url string, key string, host string, range int")
+    table = spark.createDataFrame([(v, h, p) for (h, p), v in rules.items()], "verdict string, host string, path string")
+    for row in judge_urls(pages, table).collect():
+        u = urls[row.page_id] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        h = rest.split("/")[0].split("?")[0].split("#")[0]
+        p = rest[len(h) :].split("?")[0].split("#")[0]
+        fit = [(len(x) + len(y), len(x), x + y, v) for (x, y), v in rules.items() if (h.lower() == x or h.lower().endswith("." + x)) and p.startswith(y)]
+        best = max(fit, default=(0, 0, None, "allow"))
+        assert (row.host, row.path, row.rule, row.verdict) == (h.lower(), p, best[2], best[3]), u
