@@ -113,7 +113,7 @@ class Encoder:
 
 _ENCODERS: dict[int, Encoder] = {}
 
-SHAPE = "pack_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
+SHAPE = "pack_id long, n_tokens int, doc_ids array<long>, doc_rows array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
 def _pack_partition(ranks: bytes, row_tokens: int, pool_tokens: int, pad: int):
@@ -121,23 +121,23 @@ def _pack_partition(ranks: bytes, row_tokens: int, pool_tokens: int, pad: int):
         key = hash(ranks)
         if key not in _ENCODERS:
             _ENCODERS[key] = Encoder(ranks)
-        encoder, part, done = _ENCODERS[key], TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, int, bytes]] = []
+        encoder, part, done, seen = _ENCODERS[key], TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[int | None, int, bytes, int]] = []
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal done, held
             rows = pack([len(x[2]) // 2 for x in held], row_tokens)
             for lo in range(0, len(rows), 512):
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(8)]
                 for row in rows[lo : lo + 512]:
                     segs = [held[i] for i in row]
                     cu = np.cumsum([0, *(len(x[2]) // 2 for x in segs)]).astype(np.int32)
                     ids = b"".join(x[2] for x in segs)
                     ids += np.full(row_tokens - len(ids) // 2, pad, "<u2").tobytes()
-                    for c, v in zip(cols, (part << 33 | done, int(cu[-1]), [x[0] for x in segs], [x[1] for x in segs], cu, cu[:-1], ids), strict=True):
+                    for c, v in zip(cols, (part << 33 | done, int(cu[-1]), [x[0] for x in segs], [x[3] for x in segs], [x[1] for x in segs], cu, cu[:-1], ids), strict=True):
                         c.append(v)
                     done += 1
-                types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+                types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SHAPE.split(", ")])
             held = []
 
@@ -148,8 +148,9 @@ def _pack_partition(ranks: bytes, row_tokens: int, pool_tokens: int, pad: int):
                 for doc, text in zip(ids.slice(lo, 256).to_pylist(), batch.column(1).slice(lo, 256).to_pylist(), strict=True):
                     raw = encoder.encode(text) if text else b""
                     for k, a in enumerate(range(0, len(raw), 2 * row_tokens)):
-                        held.append((doc, k, raw[a : a + 2 * row_tokens]))
+                        held.append((doc, k, raw[a : a + 2 * row_tokens], part << 33 | seen))
                         size += min(2 * row_tokens, len(raw) - a) // 2
+                    seen += 1
                     if size >= pool_tokens:
                         yield from emit()
                         size = 0
@@ -160,14 +161,14 @@ def _pack_partition(ranks: bytes, row_tokens: int, pool_tokens: int, pad: int):
 
 
 def pack_documents(docs: DataFrame, row_tokens: int = ROW_TOKENS, tokenizer: str = TOKENIZER, pool_tokens: int = POOL_TOKENS, pad: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packed rows: (pack_id, n_tokens, doc_ids, pieces, cu_seqlens, position_resets, input_ids).
+    """Packed rows: (pack_id, n_tokens, doc_ids, doc_rows, pieces, cu_seqlens, position_resets, input_ids).
 
     ``input_ids`` holds ``row_tokens`` little-endian uint16 ids, padded at the end with ``pad``. Segment i of a row is piece ``pieces[i]`` of
-    document ``doc_ids[i]`` at [cu_seqlens[i], cu_seqlens[i + 1]); positions begin anew at each of ``position_resets``. Documents over
-    ``row_tokens`` are split at that many tokens, so its pieces in order are the document's ids without loss; no special ids are added.
+    document ``doc_ids[i]``, the row ``doc_rows[i]`` of this job's input (ids may repeat, these don't), at [cu_seqlens[i], cu_seqlens[i + 1]); positions begin anew at each of ``position_resets``. Documents over
+    ``row_tokens`` are split at that many tokens, so their pieces in order are the document's ids without loss; no special ids are added.
 
     Each task packs pools of at most about ``pool_tokens`` tokens of its own partition by best-fit-decreasing, so nothing is shuffled and
-    memory is bounded; a lost task redoes its own partition. Null and empty texts have no ids and are in no row. Null ids stay null in
+    memory is bounded; a lost task redoes its own partition. Which segments share a row depends on the partitions of ``docs``. Null and empty texts have no ids and are in no row. Null ids stay null in
     ``doc_ids``; repeated rows are packed as often as they come. The vocabulary, of at most 65,536 ids, is read on the driver and shipped.
     An empty table gives an empty result; other columns are not looked at.
     """

@@ -53,6 +53,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed token ids; documents without ids are in no row."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 

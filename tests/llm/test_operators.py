@@ -152,12 +152,38 @@ def test_packing_round_trip(spark, odd):
     for t in ["a  b", " x \n y ", "foo\n bar", "it's  12 kg…", " a b"]:
         assert np.frombuffer(e.encode(t), "<u2").tolist() == e.encoding.encode_ordinary(t)
     got = {}
-    for r in pack_documents(df.where("doc_id is not null").dropDuplicates(["doc_id"]), row_tokens=64).collect():
+    for r in pack_documents(df, row_tokens=64).collect():
         ids = np.frombuffer(r.input_ids, "<u2")
-        for d, k, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:]):
-            got[d, k] = ids[a:b].tolist()
-    for d, t in {r[0]: r[1] for r in rows if r[0] is not None}.items():
-        assert sum((got.get((d, k), []) for k in range(4000)), []) == e.encoding.encode_ordinary(t or "")
+        assert (np.array(r.position_resets) == r.cu_seqlens[:-1]).all() and len(ids) == 64 and (ids[r.n_tokens :] == 50256).all()
+        for d, k, p, a, b in zip(r.doc_ids, r.doc_rows, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:]):
+            assert (k, p) not in got
+            got[k, p] = d, ids[a:b].tolist()
+    whole = {}
+    for (k, p), (d, ids) in sorted(got.items()):
+        whole.setdefault((k, d), []).extend(ids)
+    want = Counter((r[0], tuple(e.encoding.encode_ordinary(r[1] or ""))) for r in rows)
+    assert Counter((d, tuple(ids)) for (_, d), ids in whole.items()) == Counter({x: n for x, n in want.items() if x[1]})
+    assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_best_fit_decreasing_brute():
+    """Each piece, longest first, goes to the open row with the least room that is enough."""
+    r = np.random.default_rng(12)
+    for _ in range(20):
+        lengths = r.integers(0, 33, 120).tolist()
+        rooms, rows = [], []
+        for i in sorted((i for i, n in enumerate(lengths) if n), key=lambda i: (-lengths[i], i)):
+            fit = [(room, -k) for k, room in enumerate(rooms) if room >= lengths[i]]
+            if fit:
+                k = -min(fit)[1]
+            else:
+                k = len(rooms)
+                rooms.append(32)
+                rows.append([])
+            rooms[k] -= lengths[i]
+            rows[k].append(i)
+        got = pack(lengths, 32)
+        assert sorted(32 - sum(lengths[i] for i in x) for x in got) == sorted(rooms) and sorted(sum(got, [])) == sorted(sum(rows, []))
 
 
 def test_best_fit():
