@@ -30,15 +30,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again: a short lineage that survives lost executors.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there is deleted by ``clear_scratch`` or when the driver's Python ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
 
-    The table is deleted by ``clear_scratch`` or when the driver's Python ends.
-    """
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again: a short lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ from lumenvec.llm.mix import mix_sources
 from lumenvec.llm.near_dup import near_duplicates
 from lumenvec.llm.packing import pack_documents
 from lumenvec.llm.repeats import remove_repeats
-from lumenvec.llm.shard import shard_documents
+from lumenvec.llm.shard import shard_documents, temporary_map
 from lumenvec.llm.toxic import score_toxicity, train
 from lumenvec.llm.url_rules import judge_urls
 
@@ -38,7 +38,8 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"))
+    """A new store's map deals slots evenly, as version 1; it is edited for the bytes of the documents and stored as version 2."""
+    return shard_documents(table(spark, sf_dir, "documents"), map_path=temporary_map(spark, 8))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import materialize
+from lumenvec.llm.common import materialize, scratch_path
 
 SLOTS = 4096
 #: Hash parts of a slot within which rows are numbered; slots * CELLS bounds the table of counts.
@@ -30,7 +30,7 @@ def slot_rows(docs: DataFrame, shards: int, slots: int = SLOTS, id_col: str = "d
     return narrow.join(F.broadcast(hot), "digest", "left").select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("vslot"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CELLS)).cast("int").alias("cell"))
 
 
-def plan_map(loads: dict[int, int], shards: int, slots: int = SLOTS, old: dict[int, int] | None = None, slack: float = 0.01) -> dict[int, int]:
+def plan_map(loads: dict[int, int], shards: int, slots: int = SLOTS, old: dict[int, int] | None = None, slack: float = 0.001) -> dict[int, int]:
     """Slot to shard. Without ``old``: longest processing time first. With it: an edit that moves few slots.
 
     An edit keeps every slot whose shard still exists, deals the others to the lightest shards, then moves slots from the heaviest to
@@ -65,6 +65,11 @@ def plan_map(loads: dict[int, int], shards: int, slots: int = SLOTS, old: dict[i
     return place
 
 
+def even_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
+    """The map that a new store starts with, before any bytes are known: slots dealt in turn."""
+    return {v: v % shards for v in range(slots)}
+
+
 def map_table(spark: SparkSession, place: dict[int, int], version: int) -> DataFrame:
     """A slot-to-shard map as a table (version, vslot, shard); it has one row per slot."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"vslot": v, "shard": s} for v, s in sorted(place.items())])), "array<struct<vslot int, shard int>>")).alias("x")).select(F.lit(version).alias("version"), "x.vslot", "x.shard")
@@ -95,6 +100,13 @@ def rebalance(spark: SparkSession, rows: DataFrame, path: str, shards: int, slot
     return version + 1, place
 
 
+def temporary_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> str:
+    """The path of a store whose first version is ``even_map``, in the shared folder until the driver's Python ends."""
+    path = scratch_path(spark, "slot-map")
+    write_map(spark, even_map(shards, slots), 1, path)
+    return path
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None, **cols) -> DataFrame:
     """One row per row of ``docs``: (doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version).
 

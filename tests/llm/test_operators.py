@@ -14,9 +14,9 @@ from lumenvec.llm.mix import mix_sources, mixed_documents
 from lumenvec.llm.near_dup import drop_near_duplicates, near_duplicates
 from lumenvec.llm.packing import TOKENIZER, CapacityTree, Encoder, pack, pack_documents
 from lumenvec.llm.repeats import remove_repeats
-from lumenvec.llm.shard import plan_map, shard_documents
+from lumenvec.llm.shard import even_map, plan_map, read_map, shard_documents, temporary_map, write_map
 from lumenvec.llm.suffix_sort import deep_shallow
-from lumenvec.llm.toxic import drop_toxic, score_toxicity, train
+from lumenvec.llm.toxic import drop_toxic, sample, score_toxicity, train
 from lumenvec.llm.url_rules import judge_urls
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, shard int, component_id long"
@@ -120,6 +120,30 @@ def test_shards(spark, odd):
     assert shard_documents(df.limit(0)).count() == 0
 
 
+def test_shards_brute(spark, tmp_path):
+    """Sizes, checksums, equal texts together and near equal bytes; a stored map is edited, version by version, and few slots move."""
+    import zlib
+
+    r = np.random.default_rng(11)
+    rows = [(i, "é" * int(r.integers(0, 400)) + str(i % 900), "b", 5) for i in range(3000)] + [(5000, None, None, None), (5001, "", "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, law string, shard int")
+    got = shard_documents(df, shards=4, map_path=temporary_map(spark, 4)).toPandas().set_index("doc_id")
+    texts = {i: (t or "").encode() for i, t, *_ in rows}
+    assert all(got["size"][i] == len(b) + 1 and got.text_crc32[i] == zlib.crc32(b) for i, b in texts.items()) and set(got.law) == {"bytes"}
+    assert (got.map_version == 2).all() and got.grown_shard.isna().all()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 4 and loads.max() < 1.01 * loads.mean() and got.groupby("text_crc32").shard.nunique().max() == 1
+    path = str(tmp_path / "map")
+    write_map(spark, even_map(4), 1, path)
+    four = shard_documents(df, shards=4, map_path=path).toPandas()
+    five = shard_documents(df, shards=5, map_path=path).toPandas()
+    old, new = read_map(spark, path, 2)[1], read_map(spark, path)[1]
+    assert (read_map(spark, path)[0], set(four.map_version), set(five.map_version)) == (3, {2}, {3}) and read_map(spark, path, 1)[1] == even_map(4)
+    moved = [v for v in old if old[v] != new[v]]
+    loads = five.groupby("shard")["size"].sum()
+    assert len(loads) == 5 and loads.max() < 1.01 * loads.mean() and sum(new[v] == 4 for v in moved) > 0.8 * len(moved) and len(moved) < 0.4 * len(old)
+
+
 def test_mix(spark, odd):
     df, _ = odd
     got = mix_sources(df).toPandas()
@@ -268,6 +292,22 @@ def test_chat_bounds_parts_and_equals_its_sql(spark):
     assert sorted(map(str, out[cols].fillna("-").values.tolist())) == sorted(map(str, want[cols].fillna("-").values.tolist()))
 
 
+#: Held-out toxic rows of sf0.1 that must be found, and clean ones that may be called toxic, as shares.
+RECALL, ALARMS = 0.6, 0.02
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Repeated rows of an id count once; class, byte and fold bounds hold; null labels, ids and texts are left out."""
+    rows = [(i, "x" * (100 if i != 3 else 10_000), "en") for i in range(60)] + [(7, "x" * 100, "en")] * 50 + [(7, "other", "de"), (61, None, "en"), (None, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(7, 0), (8, None), (None, 1)], "doc_id long, toxic int")
+    got = sample(docs, labels, rows={0: 15, 1: 10}).toPandas()
+    assert got.doc_id.is_unique and (got.y == 0).sum() == 15 and (got.y == 1).sum() <= 10 and (got.fold != 0).all() and 61 not in set(got.doc_id)
+    few = sample(docs, labels, rows={0: 15, 1: 10}, most_bytes=800).toPandas()
+    assert 0 < few.text.str.len().sum() <= 800 and set(few.doc_id) < set(got.doc_id)
+    assert sample(docs.limit(0), labels).count() == 0 and train(docs, labels.limit(0))[1:] == ({}, 0.5)
+
+
 def test_toxicity(spark, odd):
     df, _ = odd
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
@@ -275,7 +315,10 @@ def test_toxicity(spark, odd):
     got = score_toxicity(df, fitted)
     assert got.count() == df.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     m = score_toxicity(docs, fitted).join(labels.withColumnRenamed("toxic", "y"), "doc_id").where("crc32(cast(doc_id as string)) % 5 = 0").toPandas()
-    assert ((m.score >= 0.5) == (m.y == 1)).mean() > max((m.y == 1).mean(), (m.y == 0).mean()) + 0.04  # better than calling every row clean
+    toxic, clean = m[m.y == 1], m[m.y == 0]
+    recall, alarms = (toxic.score >= 0.5).mean(), (clean.score >= 0.5).mean()
+    print(f"held-out recall {recall:.3f} of {len(toxic)}, false alarms {alarms:.4f} of {len(clean)}")
+    assert recall >= RECALL and alarms <= ALARMS
     assert drop_toxic(df, fitted).columns == df.columns and train(docs, labels.limit(0))[1:] == ({}, 0.5)
 
 
