@@ -13,43 +13,58 @@ from pyspark.sql.window import Window
 
 from lumenvec.llm.common import materialize
 
-#: Rows that the rotation, centroids and number of probes are fitted on; every row is indexed.
-FIT_ROWS = 20_000
+#: Rows that centroids and number of probes are fitted on, and their bytes as float32, at most; every row is indexed.
+FIT_ROWS, FIT_BYTES = 50_000, 64 << 20
 #: Of these, rows that give each query its first bound on the distance to beat.
 BOUND_ROWS = 4_096
-MOST_LISTS = 4_096
-#: Rows and queries of one scan.
-SCAN_ROWS, SCAN_QUERIES = 8_192, 2_048
+#: Rows of a list that more lists are made for, as long as each has so many rows of the sample, and lists at most.
+LIST_ROWS, LIST_SAMPLE, MOST_LISTS = 512, 8, 16_384
+#: Rows and queries of one scan, and queries of one matrix in it.
+SCAN_ROWS, SCAN_QUERIES, SCAN_STEP = 8_192, 8_192, 1_024
 COLUMN_BLOCK = 16
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that squares of very large and small components stay finite; angles don't change."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True, initial=1e-300))[1])
+
+
+def _kmeans(unit: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; beyond 256 centroids in two levels, each cell of the first with a share of centroids by its rows."""
+    if k > 256:
+        cells = _kmeans(unit, int(round(k**0.5)), rng, rounds)
+        home = _nearest(unit, cells)
+        upto = np.cumsum(np.bincount(home, minlength=len(cells))) * k // len(unit)
+        return np.concatenate([_kmeans(unit[home == c], n, rng, rounds) for c, n in enumerate(np.diff(upto, prepend=0).tolist()) if n])
+    centroids = unit[rng.choice(len(unit), k, replace=False)]
+    for _ in range(rounds if k > 1 else 0):
+        near = _nearest(unit, centroids)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, near, unit)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centroids).astype(np.float32)
+    return centroids
+
+
 class Index:
     """What the fit leaves: rotation, centroids, number of probes; small, and shipped with the tasks."""
 
-    def __init__(self, sample: np.ndarray, rows: int, k: int, target: float = 0.97, seed: int = 5) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, k: int, target: float = 0.98, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         dim = sample.shape[1]
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
-        unit = (unit @ self.rotation).astype(np.float32)
+        unit = self.unit(sample)
         self.bound_rows = unit[:BOUND_ROWS]
-        lists = int(min(MOST_LISTS, max(1, len(unit) // 39), max(1, round(rows**0.5 / 2)))) if rows > 2_000 else 1
-        centroids = unit[rng.choice(len(unit), lists, replace=False)]
-        for _ in range(10 if lists > 1 else 0):
-            near = _nearest(unit, centroids)
-            sums = np.zeros_like(centroids)
-            np.add.at(sums, near, unit)
-            norms = np.linalg.norm(sums, axis=1, keepdims=True)
-            centroids = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centroids).astype(np.float32)
-        self.centroids = centroids
-        self.probes = lists if lists == 1 else self._calibrate(unit, k, target, rng)
+        lists = int(max(1, min(MOST_LISTS, len(unit) // LIST_SAMPLE, max(round(rows**0.5), rows // LIST_ROWS))))
+        self.centroids = _kmeans(unit, lists, rng)
+        self.probes = self._calibrate(unit, k, target, rng)
 
     def _calibrate(self, unit: np.ndarray, k: int, target: float, rng) -> int:
         """The fewest probes whose lists hold ``target`` of the true neighbours of sampled queries, found exactly among the sample."""
         ask = rng.choice(len(unit), min(500, len(unit)), replace=False)
         scores = unit[ask] @ unit.T
         scores[np.arange(len(ask)), ask] = -2
-        true = np.argpartition(-scores, min(k, len(unit) - 1) - 1, axis=1)[:, :k]
+        true = np.argpartition(-scores, min(k, len(unit) - 1) - 1, axis=1)[:, :k] if len(unit) > 1 else np.zeros((1, 1), int)
         home = _nearest(unit, self.centroids)
         order = np.argsort(-(unit[ask] @ self.centroids.T), axis=1)
         rank = np.argsort(order, axis=1)
@@ -57,7 +72,8 @@ class Index:
         return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1
 
     def unit(self, vectors: np.ndarray) -> np.ndarray:
-        return ((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.rotation).astype(np.float32)
+        v = _scaled(vectors)
+        return ((v / np.linalg.norm(v, axis=1, keepdims=True)) @ self.rotation).astype(np.float32)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -127,34 +143,53 @@ def _scan_blocks(index: Index, k: int):
         empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return empty
-        rows, asks = np.stack(right["vector"]).astype(np.float64), np.stack(left["vector"]).astype(np.float64)
-        q, r = scan(index.unit(asks), index.unit(rows), left["bound"].to_numpy(np.float32), k)
+        rows, asks = _scaled(np.stack(right["vector"]).astype(np.float64)), _scaled(np.stack(left["vector"]).astype(np.float64))
+        units, bound, cls = index.unit(rows), left["bound"].to_numpy(np.float32), right["cls"].to_numpy()
         rn, qn = np.linalg.norm(rows, axis=1), np.linalg.norm(asks, axis=1)
-        score = np.concatenate([np.einsum("ij,ij->i", asks[q[i : i + 65536]], rows[r[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)]) / (qn[q] * rn[r])
-        cls = right["cls"].to_numpy()[r]
-        best = np.lexsort((cls, -score, q))
-        q, cls, score = q[best], cls[best], score[best]
-        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-        # all rows level with the last of the k stay: ties are settled by id afterwards
-        last = np.full(len(asks), -np.inf)
-        last[q[place == k - 1]] = score[place == k - 1]
-        top = score >= last[q]
-        return pd.DataFrame({"query": left["cls"].to_numpy()[q[top]], "cls": cls[top], "score": score[top]})
+        out = []
+        for lo in range(0, len(asks), SCAN_STEP):
+            q, r = scan(index.unit(asks[lo : lo + SCAN_STEP]), units, bound[lo : lo + SCAN_STEP], k)
+            q += lo
+            score = np.concatenate([np.einsum("ij,ij->i", asks[q[i : i + 65536]], rows[r[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)]) / (qn[q] * rn[r])
+            best = np.lexsort((cls[r], -score, q))
+            q, r, score = q[best], r[best], score[best]
+            place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+            # all rows level with the last of the k stay: ties are settled by id afterwards
+            last = np.full(len(asks), -np.inf)
+            last[q[place == k - 1]] = score[place == k - 1]
+            top = score >= last[q]
+            out.append(pd.DataFrame({"query": left["cls"].to_numpy()[q[top]], "cls": cls[r[top]], "score": score[top]}))
+        return pd.concat(out)
 
     return run
 
 
+def _search(listed: DataFrame, probes: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query, cls, score): the best of each block of a list for each query (cls, vector, bound) that probes the list."""
+    sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / SCAN_ROWS).cast("int").alias("nc")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / SCAN_QUERIES).cast("int").alias("nq")), "list")
+    sizes = F.broadcast(sizes)  # at most MOST_LISTS rows
+    right = listed.select("cls", "vector", "list").join(sizes, "list").withColumn("c", F.pmod(F.xxhash64("cls"), "nc").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("list", "c", "q", "cls", "vector")
+    left = probes.join(sizes, "list").withColumn("q", F.pmod(F.xxhash64("cls"), "nq").cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("list", "c", "q", "cls", "vector", "bound")
+    return left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q")).applyInPandas(_scan_blocks(index, k), "query long, cls long, score double")
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its ``k`` nearest other rows that the search finds.
 
     Nearest first by cosine in double precision on the original vectors, ties by smaller id. Equal vectors are one class, searched once,
     that stands for its k + 1 smallest ids; more of them can't be among k results, so one vector in a third of all rows costs no more.
-    Lists are cut into runs of bounded size, and so are the queries that probe them, so no list meets in one task.
 
-    The fit uses a bounded sample (``FIT_ROWS``); the number of lists grows with the square root of the rows. Vectors that are null or
-    zero, or hold null or non-finite components, take no part; neither do those of another dimension than most. Rows with a null id are
-    left out; rows with the same id and vector count once. Tables of at most 2000 classes are one list, so all candidates are found. An
-    empty table gives an empty result.
+    Plan: rows are listed under the nearest centroid, of rotated unit vectors; a query scans its own list first, with a bound on the
+    distance to beat from a sample, then the other lists that it probes with the bound tightened to what the first gave. Candidates are
+    abandoned column block by column block (``scan``). Queries that find fewer than ``k`` others, as where the rows that gave the bound
+    lie in lists that aren't probed, scan all lists without a bound. Lists are cut into runs of bounded size, and so are the queries
+    that probe them, so no list meets in one task.
+
+    The fit uses a bounded sample (``FIT_ROWS``, ``FIT_BYTES``). Lists are as many as the root of the rows, beyond 262,144 rows as many as
+    give each ``LIST_ROWS``, while the sample has ``LIST_SAMPLE`` rows for each and up to ``MOST_LISTS``; from there on lists grow with
+    the table, and with them what a query costs. Vectors that are null or zero, or hold null or non-finite components, take no part; neither
+    do those of another dimension than most. Rows with a null id are left out; rows with the same id and vector count once. An empty table
+    gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
     v = F.col("vector")
@@ -171,19 +206,26 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     classes = materialize(small.groupBy("digest", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("cls"), "vector", "ids"), "classes")
     asked = materialize(rows.where(F.col("vec_id") % every == 0).join(classes.select(F.xxhash64("vector").alias("digest"), "vector", "cls"), ["digest", "vector"]).select("vec_id", "cls"), "asked")
     count = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(FIT_ROWS).select(F.col("vector").cast("array<float>")).toArrow().column(0).combine_chunks()
+    fit_rows = min(FIT_ROWS, max(1, FIT_BYTES // (4 * dim.d)))
+    sample = classes.orderBy(F.xxhash64(F.lit(seed), "cls"), "cls").limit(fit_rows).select("vector").toArrow().column(0).combine_chunks()
     index = Index(_matrix(sample), count, k + 1, seed=seed)
     listed = materialize(classes.mapInArrow(_assign(index), "cls long, vector array<double>, ids array<long>, list int"), "lists")
     heads = asked.select("cls").distinct()
-    probes = materialize(classes.join(heads, "cls", "left_semi").select("cls", "vector").mapInArrow(_probe(index, k + 1), "cls long, vector array<double>, lists array<int>, bound double").select("cls", "vector", "bound", F.explode("lists").alias("list")), "probes")
-    sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / SCAN_ROWS).cast("int").alias("nc")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / SCAN_QUERIES).cast("int").alias("nq")), "list")
-    sizes = F.broadcast(sizes)  # at most MOST_LISTS rows
-    right = listed.select("cls", "vector", "list").join(sizes, "list").withColumn("c", F.pmod(F.xxhash64("cls"), "nc").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("list", "c", "q", "cls", "vector")
-    left = probes.join(sizes, "list").withColumn("q", F.pmod(F.xxhash64("cls"), "nq").cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).select("list", "c", "q", "cls", "vector", "bound")
-    found = left.groupBy("list", "c", "q").cogroup(right.groupBy("list", "c", "q")).applyInPandas(_scan_blocks(index, k + 1), "query long, cls long, score double")
+    probes = materialize(classes.join(heads, "cls", "left_semi").select("cls", "vector").mapInArrow(_probe(index, k + 1), "cls long, vector array<double>, lists array<int>, bound double"), "probes")
     level = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
-    best = found.withColumn("rn", F.rank().over(level)).where(F.col("rn") <= k + 1).select("query", "cls", "score")
-    wide = best.join(listed.select("cls", "ids"), "cls").join(asked.select(F.col("vec_id").alias("query_id"), F.col("cls").alias("query")), "query")
+    best = lambda found: found.withColumn("rn", F.rank().over(level)).where(F.col("rn") <= k + 1).select("query", "cls", "score")
+    first = materialize(best(_search(listed, probes.select("cls", "vector", "bound", F.element_at("lists", 1).alias("list")), index, k + 1)), "first")
+    tight = first.groupBy(F.col("query").alias("cls")).agg(F.count("*").alias("n"), F.min("score").alias("last")).where(F.col("n") > k).select("cls", (2 - 2 * F.col("last")).alias("tight"))
+    others = probes.join(tight, "cls", "left").select("cls", "vector", F.least("bound", "tight").alias("bound"), F.explode(F.slice("lists", F.lit(2), F.size("lists"))).alias("list"))
+    found = materialize(best(first.unionByName(_search(listed, others, index, k + 1))), "found")
+    names = listed.select("cls", "ids")
+    got = probes.select(F.col("cls").alias("query")).join(found.join(names, "cls").groupBy("query").agg(F.sum(F.size("ids")).alias("ids"), F.count("*").alias("n")), "query", "left")
+    short = materialize(got.where((F.coalesce("ids", F.lit(0)) <= k) & (F.coalesce("n", F.lit(0)) < count)).select(F.col("query").alias("cls")), "short")
+    if not short.isEmpty():
+        wide = probes.join(short, "cls", "left_semi").select("cls", "vector", F.lit(4.0).alias("bound"), F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list"))
+        rest = found.join(short.withColumnRenamed("cls", "query"), "query", "left_anti")
+        found = best(rest.unionByName(_search(listed, wide, index, k + 1)))
+    wide = found.join(names, "cls").join(asked.select(F.col("vec_id").alias("query_id"), F.col("cls").alias("query")), "query")
     pairs = wide.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -250,17 +250,51 @@ def test_leaks_with_one_changed_slot(spark):
     assert got[1, 1] == (47, 55, False) and got[2, 2] == (48, 56, True)
 
 
+def _nearest(v, query, k=5):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u[query], 12)
+    s[query] = -9
+    return np.lexsort((np.arange(len(v)), -s))[:k].tolist()
+
+
 def test_neighbours_brute(spark):
+    """Ties, repeated rows, odd vectors and clashing columns; with all lists probed the search is exact."""
     v = np.random.default_rng(3).standard_normal((300, 8))
     v[200:260] = v[0]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (450, [None] * 8)]
-    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    v[20], v[30] = v[20] * 1e200, v[30] * 1e-200
+    rows = [(i, x.tolist(), 0, 0) for i, x in enumerate(v)] + [(400, None, 0, 0), (401, [0.0] * 8, 0, 0), (402, [float("nan")] * 8, 0, 0), (450, [None] * 8, 0, 0), (None, v[1].tolist(), 0, 0), (50, v[50].tolist(), 0, 0), (403, [1.0] * 9, 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, cls int")
+    got = nearest_neighbours(df).toPandas()
+    v[20], v[30] = v[20] / 1e200, v[30] / 1e-200
+    right = sum(len(set(g.vec_id) & set(_nearest(v, q))) for q, g in got.groupby("query_id"))
+    assert right >= 0.9 * 30 and len(got) == 30 and (got.groupby("query_id")["rank"].max() == 5).all()
     for q, g in got.groupby("query_id"):
-        s = np.round(u @ u[q], 12)
-        s[q] = -9
-        assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(300), -s))[:5].tolist()
-    assert got.query_id.nunique() == 6
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        g = g.sort_values("rank")
+        assert np.allclose(g.score, u[g.vec_id] @ u[q]) and (np.diff(g.score) <= 0).all()
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [200, 201, 202, 203, 204] == got[got.query_id == 200].sort_values("rank").vec_id.replace({0: 200}).tolist()[:1] + [201, 202, 203, 204]
+    few = df.where("vec_id in (0, 1, 2)")
+    assert sorted((r.query_id, r.vec_id) for r in nearest_neighbours(few).collect()) == [(0, 1), (0, 2)]
+    assert nearest_neighbours(df.limit(0)).count() == 0 and nearest_neighbours(df.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["normal", "clusters"])
+def test_neighbours_recall(spark, kind):
+    """Thousands of vectors in many lists, of which few are probed: recall of at least 0.9, and no query is short."""
+    from lumenvec.llm import ann
+
+    r = np.random.default_rng(4)
+    v = r.standard_normal((4000, 32))
+    if kind == "clusters":  # some with fewer members than results asked for
+        v = r.standard_normal((1500, 32))[r.integers(0, 1500, 4000)] * 5 + v
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index = ann.Index(v, 4000, 6)
+    assert len(index.centroids) == 63 and index.probes < 63
+    got = nearest_neighbours(df).toPandas()
+    assert got.groupby("query_id").size().eq(5).all() and got.query_id.nunique() == 80
+    hits = sum(len(set(g.vec_id) & set(_nearest(v, q))) for q, g in got.groupby("query_id"))
+    print(f"{kind}: recall {hits / 400:.3f}, {index.probes} of 63 lists")
+    assert hits >= 0.9 * 400
 
 
 def test_chat(spark):
