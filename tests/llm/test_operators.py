@@ -327,7 +327,7 @@ def test_chat_bounds_parts_and_equals_its_sql(spark):
 
 
 #: Held-out toxic rows of sf0.1 that must be found, and clean ones that may be called toxic, as shares.
-RECALL, ALARMS = 0.6, 0.02
+RECALL, ALARMS = 0.9, 0.01
 
 
 def test_toxicity_sample_is_bounded(spark):
