@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
 from lumenvec.llm.common import drop_scratch, hot_keys, join_hot, materialize, maybe_broadcast, python_tasks, small_batches
-from lumenvec.llm.components import UnionFind, connected_components
+from lumenvec.llm.components import LOCAL_EDGES, UnionFind, connected_components
 
 #: Documents of one comparison block, and shingles of their sets together.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Rows of a task that compares signatures of buckets, and of one that compares full sets.
 BUCKET_TASK, SET_TASK = 20_000, 2_000
 
@@ -42,46 +42,59 @@ def _signatures(width: int, bands: int, rows: int, seed: int):
     return run
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that arrive sorted by ``keys``; one group is in memory at a time."""
+def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of whole groups of rows that arrive sorted by ``keys``; a batch and one group more are in memory at a time."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
         k = pdf[keys].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        parts = [pdf.iloc[a:b] for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)], strict=True)]
-        if held and (held[-1][keys].iloc[-1].to_numpy() != k[0]).any():
+        other = np.flatnonzero((k != k[-1]).any(1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield pd.concat([*held, pdf.iloc[:cut]])
+            held = []
+        elif held and (held[-1][keys].iloc[-1].to_numpy() != k[0]).any():
             yield pd.concat(held)
             held = []
-        held.append(parts[0])
-        for part in parts[1:]:
-            yield pd.concat(held) if len(held) > 1 else held[0]
-            held = [part]
+        held.append(pdf.iloc[cut:])
     if held:
         yield pd.concat(held)
 
 
+def _ends(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where groups begin in sorted rows, and their end."""
+    k = pdf[keys].to_numpy()
+    return np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, len(pdf)]
+
+
 #: (payloads, set sizes, left places, right places, whether both are one group) to the places of the pairs that are alike.
 Test = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]
+#: Groups up to so many rows, most of all, are tested together where the test has a form for pairs.
+SMALL_GROUP = 32
 
 
-def _signatures_agree(least: float, ratio: float) -> Test:
-    """Signatures agree in a share of ``least`` of their places, and the sizes allow a similarity of ``ratio``."""
+class Signatures:
+    """The test that signatures agree in a share of ``least`` of their places, and that the sizes allow a similarity of ``ratio``."""
 
-    def test(payloads, n, left, right, within):
+    def __init__(self, least: float, ratio: float) -> None:
+        self.least, self.ratio = least, ratio
+
+    def pairs(self, sig: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        fits = np.minimum(n[x], n[y]) >= self.ratio * np.maximum(n[x], n[y])
+        fits[fits] = (sig[x[fits]] == sig[y[fits]]).sum(1) >= self.least * sig.shape[1]
+        return fits
+
+    def __call__(self, payloads, n, left, right, within):
         sig = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1)
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left.tolist():
             others = right[right > x] if within else right
-            others = others[np.minimum(n[others], n[x]) >= ratio * np.maximum(n[others], n[x])]
-            hit = others[(sig[others] == sig[x]).sum(1) >= least * sig.shape[1]]
+            hit = others[self.pairs(sig, n, np.full(len(others), x), others)]
             xs.append(np.full(len(hit), x))
             ys.append(hit)
         return np.concatenate(xs), np.concatenate(ys)
 
-    return test
-
 
 def _sets_overlap(percent: int) -> Test:
     """100 * intersection >= percent * union of full shingle sets."""
@@ -101,23 +114,35 @@ MEMBER = "g long, id long, n long, payload binary"
 
 
 def _links(test: Test):
-    """Pairs that are alike within each group (side -1) or between the sides of a pair of blocks, as the edges of a spanning forest."""
+    """Pairs that are alike within each group (side -1) or between the sides of a pair of blocks, as the edges of a task's spanning forest."""
+    keys = ["g", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[tuple[int, int]] = set()
-        for g in _groups(batches, ["g", "i", "j"]):
-            ids, side = g["id"].to_numpy(), g["side"].to_numpy()
-            within = side[0] == -1
-            left, right = (np.arange(len(g)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            if not len(left) or not len(right):
-                continue
-            x, y = test(g["payload"].tolist(), g["n"].to_numpy(), left, right, within)
-            joined = UnionFind()
-            new = [p for p in zip(ids[x].tolist(), ids[y].tolist(), strict=True) if p[0] != p[1] and joined.union(*p) and p not in done]
-            if len(done) < 1_000_000:
-                done.update(new)
+        joined = UnionFind()
+        for pdf in _whole(batches, keys):
+            ends = _ends(pdf, keys)
+            size = np.diff(ends)
+            ids, side, n = pdf["id"].to_numpy(), pdf["side"].to_numpy(), pdf["n"].to_numpy()
+            found = []
+            together = (size <= SMALL_GROUP) & (side[ends[:-1]] == -1) & isinstance(test, Signatures)
+            if together.any():
+                sig = np.frombuffer(b"".join(pdf["payload"]), np.uint8).reshape(len(pdf), -1)
+                group = np.repeat(np.where(together, np.arange(len(size)), -1 - np.arange(len(size))), size)
+                for d in range(1, int(size[together].max())):
+                    x = np.flatnonzero((group[d:] == group[:-d]) & (group[d:] >= 0))
+                    x = x[test.pairs(sig, n, x, x + d)]
+                    found.append((x, x + d))
+            for lo, hi in zip(ends[:-1][~together].tolist(), ends[1:][~together].tolist(), strict=True):
+                within = side[lo] == -1
+                left, right = (np.arange(hi - lo),) * 2 if within else (np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1))
+                if len(left) and len(right):
+                    x, y = test(pdf["payload"].iloc[lo:hi].tolist(), n[lo:hi], left, right, within)
+                    found.append((x + lo, y + lo))
+            new = [(p, q) for x, y in found for p, q in zip(ids[x].tolist(), ids[y].tolist(), strict=True) if p != q and joined.union(p, q)]
             if new:
                 yield pd.DataFrame(new, columns=["a", "b"], dtype="int64")
+            if len(joined.up) > LOCAL_EDGES:
+                joined = UnionFind()
         K.release()
 
     return run
@@ -127,13 +152,16 @@ def _stars(test: Test):
     """(g, id, n, payload, head, linked): whether each member (side 1) of a block is like its group's head (side 0)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["g", "i", "j"]):
-            side = g["side"].to_numpy()
-            head, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if len(head) and len(members):
-                linked = np.zeros(len(g), bool)
-                linked[test(g["payload"].tolist(), g["n"].to_numpy(), head, members, False)[1]] = True
-                yield g[["g", "id", "n", "payload"]].assign(head=g["id"].iloc[head[0]], linked=linked).iloc[members]
+        for pdf in _whole(batches, ["g", "i", "j"]):
+            ends = _ends(pdf, ["g", "i", "j"])
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                g = pdf.iloc[lo:hi]
+                side = g["side"].to_numpy()
+                head, members = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                if len(head) and len(members):
+                    linked = np.zeros(len(g), bool)
+                    linked[test(g["payload"].tolist(), g["n"].to_numpy(), head, members, False)[1]] = True
+                    yield g[["g", "id", "n", "payload"]].assign(head=g["id"].iloc[head[0]], linked=linked).iloc[members]
         K.release()
 
     return run
@@ -244,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     members = materialize(members.select(F.col("key").alias("g"), F.col("rep").alias("id"), "n", F.col("sig").alias("payload")), "members")
     limit = percent / 100
     least = limit - 5.5 * (limit * (1 - limit) / (bands * rows)) ** 0.5
-    clusters = connected_components(_compare(members, _signatures_agree(least, limit), python_tasks(spark, members.count(), BUCKET_TASK), 2**62))
+    clusters = connected_components(_compare(members, Signatures(least, limit), python_tasks(spark, members.count(), BUCKET_TASK), 2**62))
     heads = clusters.select(F.col("component").alias("id"), F.col("component").alias("g")).distinct()
     inside = materialize(clusters.select(F.col("node").alias("id"), F.col("component").alias("g")).unionByName(heads), "inside")
     texts = source.withColumnRenamed("doc_id", "id").join(maybe_broadcast(inside, inside.count()), "id").select("g", "id", "text")
