@@ -1,6 +1,6 @@
 """Queries over sources and sinks: each writes its whole table to a scratch folder and reads it back.
 
-The folder lies in ``spark.checkpoint.dir``, which all executors share; in a session without one, as in tests, in a local temporary folder.
+The folder lies in ``spark.checkpoint.dir``, which all executors share; in a local session without one, as in tests, in a temporary folder.
 A sink replaces what an earlier run left, so that a repeated job ends in the same state.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.catalogue import _df, _sql, _table
+from lumenvec.catalogue import _df, _table
 from lumenvec.plans import sinks
 from lumenvec.sources import binary
 
@@ -24,6 +24,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own for each call."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lumenvec-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -100,6 +102,127 @@ for _kind, _name in (("fbin", "sc11_fbin"), ("u8bin", "sc11_u8bin"), ("bvecs", "
         return x.agg(F.count("*").alias("n"), (F.round(total, 4) if kind == "fbin" else total).alias("s"))
 
 
+@_df("sc06_binary_files", "select r_name as name, length(r_name) as n from region")
+def _(spark, d):
+    """Whole files as rows: one file for each region, its folder's name from the path and its bytes' number."""
+    path = scratch(spark, "blobs")
+    _table(spark, d, "region").select(F.col("r_name").alias("value"), F.col("r_name").alias("folder")).repartition("folder").write.option("lineSep", "|").partitionBy("folder").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.url_decode(F.regexp_extract("path", "folder=([^/]*)/", 1)).alias("name"), (F.length("content") - 1).cast("long").alias("n"))
+
+
+@_df("sc23_size_by_path", "select concat('lang=', coalesce(lang, '__HIVE_DEFAULT_PARTITION__')) as folder, cast(1 as bigint) as files, true as filled from documents group by lang")
+def _(spark, d):
+    """Files of an export by the first folder of their path, from the listing alone."""
+    path = scratch(spark, "listing")
+    _table(spark, d, "documents").select("doc_id", "lang").repartition("lang").write.partitionBy("lang").parquet(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    return files.groupBy(F.regexp_extract("path", "(lang=[^/]*)/", 1).alias("folder")).agg(F.count("*").alias("files"), (F.sum("length") > 0).alias("filled"))
+
+
+def _decoded(spark, d, encode, kind: str):
+    """Batches of vectors as the bytes of one file each, decoded again by the format's parser."""
+    parse, shape = binary._PARSERS[kind]
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"raw": [encode(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"]).astype(np.float32))]})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in shape.split(", ")]
+        for pdf in batches:
+            for raw in pdf["raw"]:
+                a, b = parse(bytes(raw))
+                yield pd.DataFrame({names[0]: list(a), names[1]: list(b)})
+
+    return _table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(written, "raw binary").mapInPandas(read, shape)
+
+
+@_df("sc13_npy", "select count(*) as n, round(sum(x), 3) as s from (select unnest(embedding) as x from embeddings) t where abs(x) > 1e9 union all select count(*), 0 from embeddings")
+def _(spark, d):
+    """Half-float arrays: their rows, and how many coordinates are off by more than a half float may be."""
+    import io
+
+    def encode(ids, v):
+        out = io.BytesIO()
+        np.save(out, v.astype(np.float16))
+        return out.getvalue()
+
+    x = _decoded(spark, d, encode, "npy")
+    wild = x.select(F.explode("vec").alias("x")).where("abs(x) > 1e9").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 3).alias("s"))
+    return wild.unionByName(x.agg(F.count("*").alias("n"), F.lit(0.0).alias("s")))
+
+
+@_df("sc14_truth", "select vec_id as id, cast(64 as integer) as k, round(sum(x), 4) as s from (select vec_id, unnest(embedding) as x from embeddings) t group by vec_id")
+def _(spark, d):
+    """Ground truth with 64 neighbours a query: here each row's own id and the places behind it, with its coordinates as distances."""
+    encode = lambda ids, v: np.array(v.shape, "<u4").tobytes() + (ids[:, None] + np.arange(v.shape[1])).astype("<u4").tobytes() + v.astype("<f4").tobytes()
+    rows = _decoded(spark, d, encode, "truth")
+    return rows.select(F.get("neighbors", F.lit(0)).alias("id"), F.size("neighbors").alias("k"), F.round(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x), 4).alias("s"))
+
+
+@_df("sc15_range_truth", "select vec_id as id, cast(len(list_filter(embedding, lambda x: x > 0.1)) as integer) as k from embeddings where len(list_filter(embedding, lambda x: x > 0.1)) > 0")
+def _(spark, d):
+    """Range-search truth: as many neighbours as a row has coordinates over a tenth; the row's id stands for each."""
+
+    def encode(ids, v):
+        n = (v > np.float32(0.1)).sum(1)
+        return np.array([len(v), n.sum()], "<i4").tobytes() + n.astype("<i4").tobytes() + np.repeat(ids, n).astype("<i4").tobytes() + v[v > np.float32(0.1)].astype("<f4").tobytes()
+
+    rows = _decoded(spark, d, encode, "range_truth").where("size(neighbors) > 0")
+    return rows.select(F.get("neighbors", F.lit(0)).alias("id"), F.size("neighbors").alias("k"))
+
+
+@_df("sc16_csr", "select i, count(*) as n, round(sum(x), 4) as s from (select unnest(range(0, 64)) as i, unnest(embedding) as x from embeddings) t where x > 0 group by i")
+def _(spark, d):
+    """Sparse rows of the positive coordinates, summed by place."""
+
+    def encode(ids, v):
+        n = (v > 0).sum(1)
+        return np.array([*v.shape, n.sum()], "<i8").tobytes() + np.r_[0, np.cumsum(n)].astype("<i8").tobytes() + np.nonzero(v > 0)[1].astype("<i4").tobytes() + v[v > 0].astype("<f4").tobytes()
+
+    cells = _decoded(spark, d, encode, "csr").select(F.explode(F.arrays_zip("indices", "values")).alias("x")).select(F.col("x.indices").cast("long").alias("i"), F.col("x.values").cast("double").alias("x"))
+    return cells.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("s"))
+
+
+def _through(spark, d, encode, decode):
+    """Documents as bytes of an interchange format, batch by batch, and back."""
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"raw": [encode(pdf)]})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for raw in pdf["raw"]:
+                yield from decode(bytes(raw))
+
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return docs.mapInPandas(written, "raw binary").mapInPandas(read, "doc_id long, text string")
+
+
+@_df("sc19_row_binary", "select doc_id, coalesce(text, '') as text from documents")
+def _(spark, d):
+    """Rows as a 64-bit number and a string with its length before it, seven bits a byte."""
+    return _through(spark, d, lambda pdf: b"".join(int(i).to_bytes(8, "little", signed=True) + binary.varint(len(t)) + t for i, t in zip(pdf["doc_id"], (x.encode() if x is not None else b"" for x in pdf["text"]))), binary.parse_row_binary)
+
+
+@_df("sc20_arrow_stream", "select doc_id, text from documents")
+def _(spark, d):
+    """Arrow IPC streams, whose small batches are put together to batches of up to 32,768 rows."""
+    import pyarrow as pa
+
+    def encode(pdf):
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(pdf[["doc_id", "text"]], preserve_index=False).cast(pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table, max_chunksize=100)
+        return sink.getvalue().to_pybytes()
+
+    return _through(spark, d, encode, binary.parse_arrow_stream)
+
+
 # Sinks
 @_df("sk01_append_named", "select o_orderkey, o_custkey from orders union all select o_orderkey, o_custkey from orders")
 def _(spark, d):
@@ -152,11 +275,21 @@ def _(spark, d):
     return spark.read.schema("p_partkey long, p_size int").parquet(f"{path}-kept")
 
 
-@_df("sk08_add_column", "select p_partkey, p_size * 3 as triple from part")
+@_df("sk04_outfile", "select page_id, md5(url) as h from pages")
+def _(spark, d):
+    """The result of a query as Parquet files."""
+    path = scratch(spark, "outfile")
+    _table(spark, d, "pages").select("page_id", F.md5("url").alias("h")).write.parquet(path)
+    return spark.read.schema("page_id long, h string").parquet(path)
+
+
+@_df("sk08_add_column", "select p_partkey, cast(p_size as bigint) as p_size, p_size * 3 as triple from part")
 def _(spark, d):
+    """A column added to a stored table and another's type widened: a new version of the table beside the old one."""
     path = scratch(spark, "columns")
-    _table(spark, d, "part").select("p_partkey", (F.col("p_size") * 3).alias("triple")).write.parquet(path)
-    return spark.read.schema("p_partkey long, triple int").parquet(path)
+    _table(spark, d, "part").select("p_partkey", "p_size").write.parquet(f"{path}/version=1")
+    sinks.alter(spark, f"{path}/version=1", f"{path}/version=2", {"triple": "p_size * 3", "p_size": "cast(p_size as bigint)"})
+    return spark.read.schema("p_partkey long, p_size long, triple int").parquet(f"{path}/version=2")
 
 
 @_df("sk09_z_order", "select p_partkey as x, p_size as y from part")
@@ -166,7 +299,15 @@ def _(spark, d):
     return spark.read.schema("x long, y int").parquet(path)
 
 
-_sql("sk10_collapse", "select l_partkey, cast(sum(l_linenumber) as bigint) as n from lineitem group by l_partkey")
+@_df("sk10_collapse", "select l_partkey, cast(sum(l_linenumber) as bigint) as n, cast(2 * count(*) as bigint) as loads from lineitem group by l_partkey")
+def _(spark, d):
+    """A summing table takes two loads as they come and is collapsed to a row for each key afterwards."""
+    path = scratch(spark, "summing")
+    part = _table(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").cast("long").alias("n"), F.lit(1).cast("long").alias("loads"))
+    sinks.append_named(part, f"{path}/open", ["l_partkey", "n", "loads"])
+    sinks.append_named(part.withColumn("n", F.lit(0).cast("long")), f"{path}/open", ["l_partkey", "n", "loads"])
+    sinks.collapse(spark, f"{path}/open", f"{path}/collapsed", ["l_partkey"], ["n", "loads"])
+    return spark.read.schema("l_partkey long, n long, loads long").parquet(f"{path}/collapsed")
 
 
 @_df("sk11_resume", "select doc_id, quality from labels")

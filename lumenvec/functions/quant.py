@@ -33,7 +33,10 @@ def encode(v: Column, bits: int, scale: float) -> Column:
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda x: None if x is None else np.searchsorted(cuts, np.asarray(x, np.float64) * scale, side="right").astype(np.int32))
+            held = [np.zeros(0) if x is None else np.asarray(x, np.float64) for x in s]
+            flat = np.searchsorted(cuts, np.concatenate(held or [np.zeros(0)]) * scale, side="right").astype(np.int32)
+            parts = np.split(flat, np.cumsum([len(x) for x in held])[:-1])
+            yield pd.Series([None if x is None else p for x, p in zip(s, parts)], index=s.index, dtype=object)
 
     return run(doubles(v))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,9 +26,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda of ``body`` the value itself would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return F.transform(doubles(v), lambda x: x / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    return let(F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)), lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -73,11 +79,22 @@ def signs(dim: int, seed: str = "rotate") -> list[float]:
 
 
 def hadamard_rotate(v: Column, dim: int, seed: str = "rotate") -> Column:
-    """Seeded sign flips, then the Hadamard transform of blocks of the largest power of two that divides ``dim``; lengths are kept."""
+    """Seeded sign flips, then the Hadamard transform of blocks of the largest power of two that divides ``dim``; lengths are kept.
+
+    log2 rounds of sums and differences of pairs, each round's array computed once.
+    """
     block = dim & -dim
-    flipped = F.zip_with(doubles(v), F.array(*[F.lit(s) for s in signs(dim, seed)]), lambda x, s: x * s)
-    entry = lambda i: F.aggregate(F.transform(F.slice(flipped, (F.floor(i / block) * block + 1).cast("int"), block), lambda x, j: F.when(F.bit_count(j.bitwiseAND(i % block)) % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda a, x: a + x) / math.sqrt(block)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), entry)
+    x = F.zip_with(doubles(v), F.lit(signs(dim, seed)), lambda x, s: x * s / math.sqrt(block))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def pairs(h: int) -> Callable[[Column], Column]:
+        return lambda y: F.transform(places, lambda i: F.when(i.bitwiseAND(F.lit(h)) == 0, F.get(y, i) + F.get(y, i + h)).otherwise(F.get(y, i - h) - F.get(y, i)))
+
+    step = 1
+    while step < block:
+        x = let(x, pairs(step))
+        step *= 2
+    return F.when(F.size(v) == dim, x)
 
 
 def project3(v: Column, slices: list[tuple[int, int]]) -> list[Column]:

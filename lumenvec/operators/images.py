@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,21 +24,31 @@ def _shares(side: int, new: int) -> np.ndarray:
     return np.maximum(0, np.minimum(edges[1:, None], np.arange(1, side + 1)) - np.maximum(edges[:-1, None], np.arange(side))) * new / side
 
 
+def _stacked(batches: Iterator[pd.Series], shape: tuple[int, int], shrink: Callable[[np.ndarray], np.ndarray]) -> Iterator[pd.Series]:
+    """``shrink`` of all rasters of a batch at once, as bytes; null, and bytes that are no raster of that shape, give null."""
+    for s in batches:
+        out = [None] * len(s)
+        at = [i for i, raw in enumerate(s) if raw is not None and len(raw) == shape[0] * shape[1] * 3]
+        if at:
+            small = shrink(np.frombuffer(b"".join(s.iloc[i] for i in at), np.uint8).reshape(len(at), *shape, 3))
+            for i, raster in zip(at, small, strict=True):
+                out[i] = raster.tobytes()
+        yield pd.Series(out, dtype=object)
+
+
+def _in_light(pixels: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Square rasters times weights of old pixels for new ones, along both sides, in linear light."""
+    small = np.einsum("ia,nabc,jb->nijc", w, _linear(pixels / 255.0), w, optimize=True)
+    return np.rint(np.clip(_curve(np.clip(small, 0, 1)), 0, 1) * 255).astype(np.uint8)
+
+
 def shrink_area(raster: Column, side: int, new: int) -> Column:
     """Square rasters by the mean of covered areas in linear light; null, and bytes that are no raster of that side, give null."""
     w = _shares(side, new)
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(raw):
-            if raw is None or len(raw) != side * side * 3:
-                return None
-            light = _linear(np.frombuffer(raw, np.uint8).reshape(side, side, 3) / 255.0)
-            small = np.einsum("ia,abc,jb->ijc", w, light, w)
-            return np.rint(_curve(small) * 255).astype(np.uint8).tobytes()
-
-        for s in batches:
-            yield s.map(one)
+        return _stacked(batches, (side, side), lambda x: _in_light(x, w))
 
     return run(raster)
 
@@ -49,8 +59,7 @@ def shrink_nearest(raster: Column, side: int, new: int) -> Column:
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda raw: None if raw is None or len(raw) != side * side * 3 else np.frombuffer(raw, np.uint8).reshape(side, side, 3)[np.ix_(at, at)].tobytes())
+        return _stacked(batches, (side, side), lambda x: x[:, at][:, :, at])
 
     return run(raster)
 
@@ -67,10 +76,10 @@ def _lanczos(side: int, new: int, lobes: int) -> np.ndarray:
 
 
 def crop_square(pixels: np.ndarray) -> np.ndarray:
-    """The largest square in the middle of rows by columns by channels."""
-    h, w = pixels.shape[:2]
+    """The largest square in the middle of rasters by rows by columns by channels."""
+    h, w = pixels.shape[1:3]
     n = min(h, w)
-    return pixels[(h - n) // 2 : (h - n) // 2 + n, (w - n) // 2 : (w - n) // 2 + n]
+    return pixels[:, (h - n) // 2 : (h - n) // 2 + n, (w - n) // 2 : (w - n) // 2 + n]
 
 
 def shrink_lanczos(raster: Column, height: int, width: int, new: int, lobes: int = 4) -> Column:
@@ -80,14 +89,6 @@ def shrink_lanczos(raster: Column, height: int, width: int, new: int, lobes: int
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(raw):
-            if raw is None or len(raw) != height * width * 3:
-                return None
-            light = _linear(crop_square(np.frombuffer(raw, np.uint8).reshape(height, width, 3)) / 255.0)
-            small = np.clip(np.einsum("ia,abc,jb->ijc", w, light, w), 0, 1)
-            return np.rint(np.clip(_curve(small), 0, 1) * 255).astype(np.uint8).tobytes()
-
-        for s in batches:
-            yield s.map(one)
+        return _stacked(batches, (height, width), lambda x: _in_light(crop_square(x), w))
 
     return run(raster)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenvec.functions import vec
 
-#: Query sets of at most so many rows are broadcast; larger ones are joined with the pool in blocks.
+#: Query sets of at most so many rows are broadcast; of larger ones each partition meets each of the pool's in a task of its own.
 BROADCAST_QUERIES = 10_000
 
 
@@ -28,30 +30,41 @@ def top_k(pairs: DataFrame, k: int, dist: str = "dist") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def distances(pool: DataFrame, queries: DataFrame, own: bool = False) -> DataFrame:
+    """(qid, key, dist): cosine distances of every query from every pool row, null for zero vectors; norms are computed once a row.
+
+    ``own`` keeps the pairs of a row with itself.
+    """
+    normed = lambda df, c: df.withColumn(c, vec.doubles(F.col(c))).withColumn(f"{c}_norm", F.nullif(vec.norm(F.col(c)), F.lit(0.0)))
+    pairs = (against if own else pair_up)(normed(pool, "vec"), normed(queries, "ref"))
+    return pairs.select("qid", "key", (1 - vec.dot(F.col("vec"), F.col("ref")) / (F.col("vec_norm") * F.col("ref_norm"))).alias("dist"))
+
+
 def exact(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(pair_up(pool, queries).withColumn("dist", vec.cosine_distance(F.col("vec"), F.col("ref"))).select("qid", "key", "dist"), k)
+    return top_k(distances(pool, queries), k)
+
+
+def truncated(pool: DataFrame, queries: DataFrame, k: int, cut: Column, dims: int, digits: int = 15) -> DataFrame:
+    """Top-k by distance, rounded to ``digits``, on the first ``dims`` coordinates of a precision-cut pool; vectors cut to zero come last."""
+    pairs = distances(pool.withColumn("vec", F.slice(cut, 1, dims)), queries.withColumn("ref", F.slice("ref", 1, dims)))
+    return top_k(pairs.withColumn("dist", F.coalesce(F.round("dist", digits), F.lit(2.0))), k)
 
 
-def truncated(pool: DataFrame, queries: DataFrame, k: int, cut: Column, dims: int) -> DataFrame:
-    """Top-k by distance on the first ``dims`` coordinates of a precision-cut pool; distances of vectors cut to zero are null and last."""
-    cut_pool = pool.withColumn("vec", F.slice(cut, 1, dims))
-    pairs = pair_up(cut_pool, queries.withColumn("ref", F.slice("ref", 1, dims)))
-    d = vec.cosine_distance(F.col("vec"), F.col("ref"))
-    return top_k(pairs.withColumn("dist", F.coalesce(d, F.lit(2.0))).select("qid", "key", "dist"), k)
+def rescore(candidates: DataFrame, pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query by exact distance among ``candidates`` (qid, key)."""
+    back = candidates.select("qid", "key").join(pool, "key").join(F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries, "qid")
+    return top_k(back.select("qid", "key", vec.cosine_distance(F.col("vec"), F.col("ref")).alias("dist")), k)
 
 
-def two_stage(pool: DataFrame, queries: DataFrame, k: int, multiplier: int) -> DataFrame:
-    """Sign codes find k * multiplier candidates; these are scored exactly and cut to k."""
-    codes = pool.select("key", F.transform(vec.doubles(F.col("vec")), lambda x: F.when(x < 0, -1.0).otherwise(1.0)).alias("vec"))
-    near = top_k(pair_up(codes, queries).withColumn("dist", -vec.dot(F.col("vec"), F.col("ref"))).select("qid", "key", "dist"), k * multiplier).select("qid", "key")
-    back = near.join(pool, "key").join(F.broadcast(queries), "qid") if queries.count() <= BROADCAST_QUERIES else near.join(pool, "key").join(queries, "qid")
-    return top_k(back.withColumn("dist", vec.cosine_distance(F.col("vec"), F.col("ref"))).select("qid", "key", "dist"), k)
+def two_stage(pool: DataFrame, queries: DataFrame, k: int, multiplier: int, codes: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``codes`` (qid, key, dist) of pool and queries find k * multiplier candidates; these are scored exactly and cut to k."""
+    return rescore(top_k(codes(pool, queries), k * multiplier), pool, queries, k)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """The mean share of the true top-k among the found ones."""
-    hit = truth.select("qid", "key").join(found.select("qid", "key", F.lit(1).alias("hit")), ["qid", "key"], "left")
-    return hit.groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / k).alias("r")).agg(F.round(F.avg("r"), 6).alias("recall"))
+    """The mean share of the true top-k, fewer if the pool has no more, among the found ones."""
+    hit = truth.where(F.col("rank") <= k).select("qid", "key").join(found.where(F.col("rank") <= k).select("qid", "key", F.lit(1).alias("hit")), ["qid", "key"], "left")
+    return hit.groupBy("qid").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("r")).agg(F.round(F.avg("r"), 6).alias("recall"))
 
 
 def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:

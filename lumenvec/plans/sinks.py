@@ -30,3 +30,13 @@ def write_buckets(df: DataFrame, path: str, key: str, buckets: int = 512) -> Non
 def delete_where(spark: SparkSession, path: str, new_path: str, predicate: str) -> None:
     """Rows for which the predicate isn't true, written to a new place."""
     spark.read.parquet(path).where(f"not coalesce({predicate}, false)").write.mode("overwrite").parquet(new_path)
+
+
+def alter(spark: SparkSession, path: str, new_path: str, columns: dict[str, str]) -> None:
+    """A copy of a table with columns added, or replaced where they are there, by SQL over the old ones."""
+    spark.read.parquet(path).withColumns({name: F.expr(sql) for name, sql in columns.items()}).write.mode("overwrite").parquet(new_path)
+
+
+def collapse(spark: SparkSession, path: str, new_path: str, keys: list[str], sums: list[str]) -> None:
+    """A copy of a table with one row for each key, its other columns summed."""
+    spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).write.mode("overwrite").parquet(new_path)

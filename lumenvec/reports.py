@@ -78,12 +78,13 @@ _sql("tk12_extreme_pairs", "with l as (select label, i, avg(cast(AT[embedding;i]
 
 @_df("rp13_overlap_matrix")
 def _(spark, d):
-    """The overlap at 10 of each two of four representations, over the first 20 vectors."""
-    pool, asked = _pool(spark, d), _asked(spark, d, 20)
+    """The overlap at 10 of each two of four representations, of the queries."""
+    pool, asked = _pool(spark, d), _asked(spark, d)
     views = {"whole": lambda c: vec.doubles(F.col(c)), "half": lambda c: F.slice(c, 1, 32), "signs": lambda c: F.transform(c, lambda x: F.when(x < 0, -1.0).otherwise(1.0)), "short": lambda c: vec.to_bf16(F.col(c), 9)}
     found = reduce(lambda a, b: a.unionByName(b), [search.exact(pool.withColumn("vec", f("vec")), asked.withColumn("ref", f("ref")), 10).select(F.lit(n).alias("view"), "qid", "key") for n, f in views.items()])
     other = found.withColumnRenamed("view", "other")
-    return found.join(other, ["qid", "key"]).where("view < other").groupBy("view", "other").agg(F.round(F.count("*") / 200, 6).alias("overlap"))
+    asked = asked.agg((F.count("*") * 10).alias("most"))
+    return found.join(other, ["qid", "key"]).where("view < other").groupBy("view", "other").agg(F.count("*").alias("n")).crossJoin(F.broadcast(asked)).select("view", "other", F.round(F.col("n") / F.col("most"), 6).alias("overlap"))
 
 
 @_df("ml13_export_weights")
@@ -127,7 +128,7 @@ def _(spark, d):
 @_df("ve26_expansion")
 def _(spark, d):
     """Recall at 10 of one-bit codes after expansion by Gaussian rows and by a tight frame of two bases."""
-    pool, asked = _pool(spark, d), _asked(spark, d, 20)
+    pool, asked = _pool(spark, d), _asked(spark, d)
     truth = search.exact(pool, asked, 10)
     plans = [("gaussian", x, projections.matrix("gaussian", int(64 * x), 64)) for x in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)] + [("frame", 2.0, projections.matrix("orthogonal", 128, 64))]
     runs = []

@@ -57,6 +57,54 @@ def parse_csr(raw: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return np.split(np.frombuffer(raw, "<i4", nnz, at), ptr[1:-1]), np.split(np.frombuffer(raw, "<f4", nnz, at + 4 * nnz), ptr[1:-1])
 
 
+def varint(n: int) -> bytes:
+    """A length as seven bits a byte, least first, the top bit set on all but the last."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def parse_row_binary(raw: bytes, rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """(doc_id, text) rows of a 64-bit number and a string behind its length, in frames of so many."""
+    at, ids, texts = 0, [], []
+    while at < len(raw):
+        ids.append(int.from_bytes(raw[at : at + 8], "little", signed=True))
+        at, n, shift = at + 8, 0, 0
+        while True:
+            byte = raw[at]
+            at += 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                break
+        texts.append(raw[at : at + n].decode("utf-8", "replace"))
+        at += n
+        if len(ids) == rows:
+            yield pd.DataFrame({"doc_id": ids, "text": texts})
+            ids, texts = [], []
+    if ids:
+        yield pd.DataFrame({"doc_id": ids, "text": texts})
+
+
+def parse_arrow_stream(raw: bytes, rows: int = 32_768) -> Iterator[pd.DataFrame]:
+    """The batches of an Arrow IPC stream, put together to frames of up to so many rows."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    with pa.ipc.open_stream(raw) as stream:
+        for batch in stream:
+            if held and n + batch.num_rows > rows:
+                yield pa.Table.from_batches(held).to_pandas()
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).to_pandas()
+
+
 _PARSERS = {
     **{k: (lambda raw, k=k: parse_bin(raw, k), "id long, vec array<float>") for k in _KINDS},
     "bvecs": (parse_bvecs, "id long, vec array<float>"),

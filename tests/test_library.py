@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lumenvec import catalogue
-from lumenvec.functions import colour, projections, quant, vec
-from lumenvec.operators import gram, images
+from lumenvec.functions import codec, colour, projections, quant, vec
+from lumenvec.operators import gram, images, ranks
 from lumenvec.plans.sinks import write_chunk
 from lumenvec.sources import binary
 
@@ -20,7 +20,7 @@ def rows(values):
     return sorted(tuple("%.6g" % v if isinstance(v, float) else str(v) for v in r) for r in values)
 
 
-@pytest.mark.parametrize("name", ["se02_batch_knn", "se04_two_stage", "ve11_hadamard", "tx04_top_words", "ag09_latest_version", "mp01_tile", "ml12_auc", "rp05_pareto", "st11_html_text", "pf16_tolerant_cast", "ve07_truncated_distance", "ve15_encode", "ve18_float8", "rp11_cka", "rp14_triplets", "mp02_colour", "se09_contrasting_labels", "sc05_text_lines", "sk06_chunk_once", "sk09_z_order", "sk11_resume"])
+@pytest.mark.parametrize("name", ["se02_batch_knn", "se04_two_stage", "ve11_hadamard", "tx04_top_words", "ag09_latest_version", "mp01_tile", "ml12_auc", "rp05_pareto", "st11_html_text", "pf16_tolerant_cast", "ve07_truncated_distance", "ve15_encode", "ve18_float8", "rp11_cka", "rp14_triplets", "mp02_colour", "se09_contrasting_tokens", "ve22_codec", "rp03_codec_recall", "rp12_rank_correlation", "rp04_exactness_control", "se10_knn_overlap", "ve08_int8_distance", "ve09_masked_codes", "ve12_standardised", "tk07_row_numbers", "tk08_equi_depth", "ve19_quantile_codebook", "ml09_macro_f1", "ar18_literal", "sc19_row_binary", "sc20_arrow_stream", "sk08_add_column", "sk10_collapse", "jn09_lookup_default", "st01_strings", "ag19_bootstrap", "sc05_text_lines", "sk06_chunk_once", "sk09_z_order", "sk11_resume"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -139,3 +139,51 @@ def test_lanczos_keeps_flat_colour_and_crops(spark):
     got = {r.i: r.t for r in spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in rows], "i int, b binary").select("i", images.shrink_lanczos(F.col("b"), 6, 8, 2).alias("t")).collect()}
     assert bytes(got[0]) == bytes([10, 120, 250]) * 4 and bytes(got[1]) == bytes([200]) * 12
     assert got[2] is None and got[3] is None and got[4] is None
+
+
+def test_ranks_in_many_ranges(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(a) if a < 8 else None, float(b), int(i)) for i, (a, b) in enumerate(zip(r.integers(0, 9, 700), r.integers(0, 40, 700)))]
+    df = spark.createDataFrame(rows, "a long, b double, i long")
+    got = [(x.a, x.b, x.i) for x in ranks.row_numbers(df, ["a", "b", "i"], rows=50).orderBy("rn").collect()]
+    assert got == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    assert sorted(x.rn for x in ranks.row_numbers(df, ["a", "b", "i"], rows=50).collect()) == list(range(700))
+    want = {v: np.mean([k for k, y in enumerate(sorted(x[1] for x in rows), 1) if y == v]) for v in {x[1] for x in rows}}
+    assert all(x.r == want[x.b] for x in ranks.average_ranks(df, "b", rows=50).collect())
+    assert ranks.row_numbers(df.limit(0), ["a"]).count() == 0
+
+
+def test_codec_estimates_cosines(spark):
+    """Estimates are near the true cosines, two bits nearer than one; zero and null vectors have none."""
+    v = np.random.default_rng(2).standard_normal((300, 128))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [0.0] * 128), (901, None)]
+    df = spark.createDataFrame(rows, "key long, vec array<double>").select("key", codec.encode(F.col("vec"), 128).alias("code"))
+    asked = spark.createDataFrame([(v[0].tolist(),)], "ref array<double>").select(codec.prepare(F.col("ref"), 128).alias("q"))
+    got = df.crossJoin(asked).select("key", *[codec.cosine(F.col("code"), F.col("q"), b, 128).alias(f"c{b}") for b in (1, 2)]).toPandas().set_index("key").sort_index()
+    true = v @ v[0] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[0])
+    off = [np.abs(got[c].loc[:299] - true).mean() for c in ("c1", "c2")]
+    assert off[1] < off[0] < 0.08 and off[1] < 0.05 and got.loc[900:].isna().all().all()
+    assert len(df.first().code.s) == 4
+
+
+def test_kernels_compute_lengths_once(spark):
+    v = np.random.default_rng(3).standard_normal((20, 48))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(20, [0.0] * 48), (21, None)], "i int, v array<double>")
+    got = {r.i: (r.u, r.h) for r in df.select("i", vec.l2_normalize(F.col("v")).alias("u"), vec.hadamard_rotate(F.col("v"), 48).alias("h")).collect()}
+    flips = np.array(vec.signs(48))
+    block = np.array([[1.0 - 2 * ((i & j).bit_count() & 1) for j in range(16)] for i in range(16)]) / 4
+    for i in range(20):
+        assert np.allclose(got[i][0], v[i] / np.linalg.norm(v[i]))
+        assert np.allclose(got[i][1], np.concatenate([block @ (v[i] * flips)[k : k + 16] for k in (0, 16, 32)]))
+    assert got[20][0] == [0.0] * 48 and got[21] == (None, None)
+
+
+def test_a_stream_appends_each_file_once(spark, tmp_path):
+    from lumenvec.streaming.incremental import enrich_available
+
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in range(2):
+        spark.range(part * 5, part * 5 + 5).write.mode("append").parquet(source)
+        enrich_available(spark, source, "id long", lambda df: df.withColumn("twice", F.col("id") * 2), target, state)
+    got = spark.read.parquet(target).collect()
+    assert sorted((r.id, r.twice) for r in got) == [(i, 2 * i) for i in range(10)]
