@@ -369,11 +369,13 @@ def _(spark, d):
 
 
 # Maps
-@_df("mp01_tile", "with p as (select list_sum(cast(embedding[1:32] as double[])) as a, list_sum(cast(embedding[33:64] as double[])) as b, label from embeddings), c as (select cast(floor(greatest(0, least(0.999999, (a + 4) / 8)) * 32) as bigint) * 32 + cast(floor(greatest(0, least(0.999999, (b + 4) / 8)) * 32) as bigint) as pos, label from p), g as (select pos, count(*) as n, avg(label) as z from c group by pos) select s.pos, coalesce(n, 0) as n, round(coalesce(z, 0), 6) as z from (select unnest(range(0, 1024)) as pos) s left join g on g.pos = s.pos")
+@_df("mp01_tile", "with p as (select list_sum(cast(embedding[1:32] as double[])) as a, list_sum(cast(embedding[33:64] as double[])) as b, label from embeddings), c as (select cast(floor((a + 1) / 2 * 32) as bigint) * 32 + cast(floor((b + 1) / 2 * 32) as bigint) as pos, label from p where a >= -1 and a < 1 and b >= -1 and b < 1), g as (select pos, count(*) as n, avg(label) as z from c group by pos) select s.pos, coalesce(n, 0) as n, round(coalesce(z, 0), 6) as z from (select unnest(range(0, 1024)) as pos) s left join g on g.pos = s.pos")
 def _(spark, d):
+    """Counts and mean labels of the points in one tile of the map, by pixel, empty ones too."""
     a, b = vec.project3(F.col("embedding"), [(1, 32), (33, 32)])
-    cell = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(0.999999), (v + 4) / 8)) * 32)
-    g = _table(spark, d, "embeddings").groupBy((cell(a) * 32 + cell(b)).alias("pos")).agg(F.count("*").alias("n"), F.avg("label").alias("z"))
+    inside = _table(spark, d, "embeddings").select(a.alias("a"), b.alias("b"), "label").where("a >= -1 and a < 1 and b >= -1 and b < 1")
+    cell = lambda v: F.floor((F.col(v) + 1) / 2 * 32)
+    g = inside.groupBy((cell("a") * 32 + cell("b")).alias("pos")).agg(F.count("*").alias("n"), F.avg("label").alias("z"))
     return spark.range(1024).withColumnRenamed("id", "pos").join(g, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("z", F.lit(0.0)), 6).alias("z"))
 
 
