@@ -39,7 +39,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("packing", packing)]
 
-#: Trained scores, seeded block selection and token ids have no SQL; the stages are tested against brute force instead.
+#: Trained scores, seeded block selection and token ids have no SQL. tests/llm has each stage on odd input, and its operator against brute
+#: force, an exact round trip or held-out labels.
 ORACLE_SQL = None
 
 
