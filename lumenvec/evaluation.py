@@ -258,6 +258,41 @@ def _(spark, d):
     return reduce(lambda a, b: a.unionByName(b), runs)
 
 
+_VIEWS = {"whole": "e", "half": "e[1:32]", "signs": "list_transform(e, lambda x: case when x < 0 then -1e0 else 1e0 end)", "short": f"list_transform(e, lambda x: {_cut(9)})"}
+
+
+@_df("rp13_overlap_matrix", "with v as (select vec_id, cast(embedding as double[]) as e from embeddings), views as (" + " union all ".join(f"select '{n}' as view, vec_id, {x} as v from v" for n, x in _VIEWS.items()) + f"), d as (select p.view, q.vec_id as qid, p.vec_id as key, round(list_cosine_distance(p.v, q.v), 9) as d from views p join views q on p.view = q.view where {ASKED.replace('vec_id', 'q.vec_id')} and p.vec_id <> q.vec_id), r as (select view, qid, key from (select *, row_number() over (partition by view, qid order by d, key) as rk from d) x where rk <= 10) select a.view, b.view as other, round(count(*) * 1e0 / (10 * (select count(*) from embeddings where {ASKED})), 6) as overlap from r a join r b using (qid, key) where a.view < b.view group by a.view, b.view")
+def _(spark, d):
+    """The overlap at 10 of each two of four representations."""
+    pool, asked = _pool(spark, d), _asked(spark, d)
+    views = {"whole": vec.doubles, "half": lambda v: F.slice(v, 1, 32), "signs": lambda v: F.transform(v, lambda x: F.when(x < 0, -1.0).otherwise(1.0)), "short": lambda v: vec.to_bf16(v, 9)}
+    near = lambda f: search.top_k(search.distances(pool.withColumn("vec", f(F.col("vec"))), asked.withColumn("ref", f(F.col("ref")))).withColumn("dist", F.round("dist", 9)), 10)
+    found = reduce(lambda a, b: a.unionByName(b), [near(f).select(F.lit(n).alias("view"), "qid", "key") for n, f in views.items()])
+    most = asked.agg((F.count("*") * 10).alias("most"))
+    both = found.join(found.withColumnRenamed("view", "other"), ["qid", "key"]).where("view < other").groupBy("view", "other").agg(F.count("*").alias("n"))
+    return both.crossJoin(F.broadcast(most)).select("view", "other", F.round(F.col("n") / F.col("most"), 6).alias("overlap"))
+
+
+_RATES = [(b, n) for b in (1, 2, 4, 8) for n in (16, 32, 64)]
+
+
+def _rate_sql(bits: int, dims: int) -> str:
+    coded = f"list_transform(e[1:{dims}], lambda x: cast({_LEVELS[bits] if bits in _LEVELS else quant.gaussian_codebook(bits)[1]} as double[])[1 + len(list_filter(cast({quant.gaussian_codebook(bits)[0]} as double[]), lambda t: t <= x * 8))])"
+    return f"select {bits} as bits, {dims} as dims, q.vec_id as qid, p.vec_id as key, round(list_cosine_distance(p.v, q.v), 9) as d from (select vec_id, {coded} as v from v) p, (select vec_id, e[1:{dims}] as v from v where {ASKED}) q where p.vec_id <> q.vec_id"
+
+
+@_df("rp18_rate_grid", f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings), {_PAIRED}, cells as ({' union all '.join(_rate_sql(*c) for c in _RATES)}), placed as (select *, row_number() over (partition by bits, dims, qid order by d, key) as c from cells), per as (select bits, dims, qid, count_if(c <= 10 and t <= 10) / 10e0 as r from placed join truth using (qid, key) group by bits, dims, qid), g as (select bits, dims, round(avg(r), 6) as recall, cast(bits * dims // 8 as integer) as bytes from per group by bits, dims) select *, recall >= coalesce(max(recall) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from g")
+def _(spark, d):
+    """Recall at 10 over dimensions and bits of Gaussian codes, with the frontier of bytes."""
+    pool, asked = _pool(spark, d), _asked(spark, d)
+    truth = search.exact(pool, asked, 10)
+    runs = []
+    for bits, dims in _RATES:
+        cut = quant.decode(quant.encode(F.col("vec"), bits, 8.0), bits, 8.0)
+        runs.append(search.recall(search.truncated(pool, asked, 10, cut, dims, 9), truth, 10).select(F.lit(bits).alias("bits"), F.lit(dims).alias("dims"), "recall", F.lit(bits * dims // 8).alias("bytes")))
+    return search.pareto(reduce(lambda a, b: a.unionByName(b), runs), "bytes", "recall")
+
+
 @_df("rp17_drift", "select dims, round(avg(c), 6) as mean, round(quantile_cont(c, 0.5), 6) as median, round(quantile_cont(c, 0.1), 6) as p10 from (" + " union all ".join(f"select {n} as dims, list_inner_product(e[1:{n}], e[1:{n}]) / sqrt(list_inner_product(e[1:{n}], e[1:{n}]) * list_inner_product(e, e)) as c from (select cast(embedding as double[]) as e from embeddings) t" for n in (16, 32, 48)) + ") u group by dims")
 def _(spark, d):
     """The cosine between a vector and its cut to fewer coordinates, the rest zero, by their number."""

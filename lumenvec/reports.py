@@ -76,17 +76,6 @@ def _(spark, d):
 _sql("tk12_extreme_pairs", "with l as (select label, i, avg(cast(AT[embedding;i] as double)) as x from embeddings cross join (select EACH[SERIES[1;64]] as i) s group by label, i), p as (select a.label as a, b.label as b, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) as c from l a join l b on a.i = b.i and a.label < b.label group by a.label, b.label), r as (select *, row_number() over (order by c desc, a, b) as top, row_number() over (order by c, a, b) as low from p) select a, b, round(c, 6) as c from r where top <= 5 or low <= 5")
 
 
-@_df("rp13_overlap_matrix")
-def _(spark, d):
-    """The overlap at 10 of each two of four representations, of the queries."""
-    pool, asked = _pool(spark, d), _asked(spark, d)
-    views = {"whole": lambda c: vec.doubles(F.col(c)), "half": lambda c: F.slice(c, 1, 32), "signs": lambda c: F.transform(c, lambda x: F.when(x < 0, -1.0).otherwise(1.0)), "short": lambda c: vec.to_bf16(F.col(c), 9)}
-    found = reduce(lambda a, b: a.unionByName(b), [search.exact(pool.withColumn("vec", f("vec")), asked.withColumn("ref", f("ref")), 10).select(F.lit(n).alias("view"), "qid", "key") for n, f in views.items()])
-    other = found.withColumnRenamed("view", "other")
-    asked = asked.agg((F.count("*") * 10).alias("most"))
-    return found.join(other, ["qid", "key"]).where("view < other").groupBy("view", "other").agg(F.count("*").alias("n")).crossJoin(F.broadcast(asked)).select("view", "other", F.round(F.col("n") / F.col("most"), 6).alias("overlap"))
-
-
 @_df("ml13_export_weights")
 def _(spark, d):
     """The weights of a multinomial logistic regression as a table: class, feature (0 is the intercept), weight."""

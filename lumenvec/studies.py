@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from lumenvec.catalogue import _PAIRS, _asked, _df, _pool, _sql, _table
@@ -170,19 +168,6 @@ _sql("rp08_merge_runs", "select k, v from (select k, v, row_number() over (parti
 _sql("rp21_integrity", "select coalesce(a.k, b.k) as k, coalesce(n, 0) = coalesce(m, 0) as whole from (select doc_id as k, count(*) as n from documents group by doc_id) a full join (select doc_id as k, count(*) as m from labels group by doc_id) b on a.k = b.k")
 
 
-@_df("rp18_rate_grid")
-def _(spark, d):
-    """Recall at 10 over dimensions and bits, with the frontier of bytes."""
-    pool, asked = _pool(spark, d), _asked(spark, d)
-    truth = search.exact(pool, asked, 10)
-    runs = []
-    for bits in (1, 2, 4, 8):
-        for dims in (16, 32, 64):
-            cut = quant.decode(quant.encode(F.col("vec"), bits, 8.0), bits, 8.0)
-            runs.append(search.recall(search.truncated(pool, asked, 10, cut, dims), truth, 10).select(F.lit(bits).alias("bits"), F.lit(dims).alias("dims"), "recall", F.lit(bits * dims // 8).alias("bytes")))
-    return search.pareto(reduce(lambda a, b: a.unionByName(b), runs), "bytes", "recall")
-
-
 # Models
 _sql("ml06_standardize", f"with {_LONG}, m as (select i, avg(x) as mu, stddev_pop(x) as sd from l group by i) select l.vec_id, round(sum((x - mu) / greatest(sd, 1e-6)), 5) as s from l join m on l.i = m.i group by l.vec_id")
 
