@@ -24,29 +24,33 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation from every participant's perspective; the mask as text ``from-to;from-to``."""
+    """Every conversation from every participant's perspective; the mask as text ``from-to;from-to``. Null ids and roles are one more each; an empty table gives no rows."""
     out = rotate_perspectives(table(spark, sf_dir, "conversations"))
     return out.withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["from"], s["to"])), ";"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item. Null and empty texts hold none; null ids stay null; empty tables give no rows."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector. Odd vectors and null ids take no part; an empty table gives no rows."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new store's map deals slots evenly, as version 1; it is edited for the bytes of the documents and stored as version 2."""
+    """A new store's map deals slots evenly, as version 1; it is edited for the bytes of the documents and stored as version 2. Null texts have size 1; an empty table gives no rows."""
     return shard_documents(table(spark, sf_dir, "documents"), map_path=temporary_map(spark, 8))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, and for each shard. Null texts have none; a null source is the last; an empty table gives no rows."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.array_join("shard_words", " ").alias("shard_words"), "first_word", "block_words")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled ones. Null and empty texts are scored as texts without words; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -54,20 +58,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed token ids; documents without ids are in no row."""
+    """Packed token ids; documents without ids, null texts among them, are in no row; an empty table gives no rows."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated passages. Null texts are empty; null ids stay; an empty table gives no rows."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages. A null url has an empty host and path and the default verdict; an empty table gives no rows."""
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
     return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"select * from values {values} as rules(verdict, host, path)"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates at 85 percent. Null and empty texts are linked with nothing; an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
