@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenvec.llm.common import materialize, maybe_broadcast
+
 #: Turn numbers that one part of a rendered dialogue spans, so that a very long conversation is many rows.
 PART_TURNS = 256
 #: Messages of a part at about most, where many share a turn number or have none.
@@ -37,26 +39,39 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, part_mes
     Turns go by number, then role, then text, nulls first; repeated rows are messages of their own. A part holds the turns whose number is
     in the same run of ``part_turns`` numbers (null: part -1). A part of more than ``part_messages`` messages, as where many share a turn
     number or have none, is dealt into sections by a hash of each message, equal ones in turn, and each section is ordered like a part; so
-    parts and sections bound what meets in one row, however long the conversation. Null roles are one participant, whose perspective is
+    parts and sections bound what meets in one row, however long the conversation. Texts are shuffled once; those of a conversation of
+    more than one part meet its participants in a second, salted join. Null roles are one participant, whose perspective is
     null and who is ``<|user|>`` to others. Null texts are empty; ``<|`` in a text becomes ``< |``. A conversation of only system turns
     has no perspective. A null conv_id is one more conversation. An empty table gives an empty result; other columns are not looked at.
     """
     text = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), text.alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
-    sizes = rows.groupBy(F.col("conv_id").alias("__conv"), F.col("part").alias("__part")).agg(F.ceil(F.sum("copies") / part_messages).alias("sections"))
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
+    sizes = materialize(rows.groupBy(F.col("conv_id").alias("__conv"), F.col("part").alias("__part")).agg(F.ceil(F.count("*") / part_messages).alias("sections")), "sizes")
     crowded = sizes.where("sections > 1")
-    spread = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    placed = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part")), "left").drop("__conv", "__part").withColumn("copy", spread)
-    message = F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.coalesce("role", F.lit("")), F.col("text"))
-    section = F.when(F.col("sections").isNull(), F.lit(0).cast("long")).otherwise((_hash(message) + F.col("copy")) % F.col("sections"))
-    placed = placed.select("conv_id", "part", section.alias("section"), "turn", "role", "text")
-    parts = placed.groupBy("conv_id", "part", "section").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"))
-    people = rows.where(~F.col("role").eqNullSafe(F.lit(system))).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective")).distinct()
-    salts = sizes.groupBy(F.col("__conv").alias("__c")).agg(F.greatest(F.lit(1), F.ceil(F.sum("sections") / JOIN_PARTS)).alias("salts"))
-    people = people.join(salts, F.col("__conv").eqNullSafe(F.col("__c"))).select("__conv", "perspective", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("__salt"), "salts")
-    parts = parts.join(salts, F.col("conv_id").eqNullSafe(F.col("__c"))).withColumn("__s", F.pmod(F.xxhash64("part", "section"), F.col("salts"))).drop("__c", "salts")
-    both = parts.join(people.drop("salts"), F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("__s") == F.col("__salt"))).drop("__conv", "__s", "__salt")
+    long = sizes.groupBy(F.col("__conv").alias("__c")).agg(F.sum("sections").alias("sections")).where("sections > 1").select("__c", F.ceil(F.col("sections") / JOIN_PARTS).alias("salts"))
+    many, longs = crowded.count(), materialize(long, "long")
+    message = ["conv_id", "turn", "role", "text", "part"]
+    placed = rows.select(*message, F.lit(0).cast("long").alias("section"))
+    if many:
+        inside = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
+        dealt = rows.join(maybe_broadcast(crowded, many), inside).groupBy(*message, "sections").agg(F.count("*").alias("copies"))
+        dealt = dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        body = F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.coalesce("role", F.lit("")), F.col("text"))
+        dealt = dealt.select(*message, ((_hash(body) + F.col("copy")) % F.col("sections")).alias("section"))
+        placed = placed.join(maybe_broadcast(crowded, many), inside, "left_anti").unionByName(dealt)
+    of_long = F.col("conv_id").eqNullSafe(F.col("__c"))
+    count = longs.count()
+    placed = placed.join(maybe_broadcast(longs, count), of_long, "left").withColumn("salts", F.coalesce("salts", F.lit(0).cast("long"))).drop("__c")
+    parts = placed.groupBy("conv_id", "part", "section", "salts").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"))
+    speaks = lambda role: ~role.eqNullSafe(F.lit(system))
+    both = parts.where("salts = 0").withColumn("perspective", F.explode(F.array_distinct(F.filter("msgs.role", speaks)))).drop("salts")
+    if count:
+        people = rows.where(speaks(F.col("role"))).join(maybe_broadcast(longs, count), of_long).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective"), "salts").distinct()
+        people = people.select("__conv", "perspective", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("__salt"))
+        several = parts.where("salts > 0").withColumn("__s", F.pmod(F.xxhash64("part", "section"), F.col("salts")))
+        several = several.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("__s") == F.col("__salt")))
+        both = both.unionByName(several.select(*both.columns))
     own = lambda m: m["role"].eqNullSafe(F.col("perspective"))
     head = lambda m: F.when(own(m), "<|assistant|>\n").when(m["role"] == system, "<|system|>\n").when(m["role"].isNull(), "<|user|>\n").otherwise(F.concat(F.lit("<|user:"), shown_name(m["role"]), F.lit("|>\n")))
     pieces = F.transform("msgs", lambda m: F.struct(head(m).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"), own(m).alias("own")))
