@@ -37,75 +37,59 @@ def _unmarked(text: Column) -> Column:
     return F.when(c.rlike(f"[{own}]"), _blank(c, own)).otherwise(c)
 
 
-def literal_tokens(text: Column) -> Column:
-    """Lower-case words (Latin letters); punctuation parts words; null gives none."""
-    return F.array_remove(F.split(_plain(_unmarked(text), _PUNCTUATION + _NUMERIC_MARKS), " "), "")
+def readings(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with a row for each reading of a text: ``template``, ``t`` (tokens) and ``shown`` (the same with slots as placeholders).
 
-
-def template_tokens(text: Column) -> Column:
-    """As ``literal_tokens``, with a mark before slots: ``NUMBER``, ``UNIT`` (behind a number) and ``NAME``.
-
-    A capitalised word is a name wherever it stands, behind a quote, a bracket, a line break or at the start of a sentence too; document
-    and item are read alike. Names one behind the other are one slot, and so are numbers.
+    The literal reading has the lower-case words (Latin letters); punctuation parts words. The template reading has a mark before slots:
+    ``NUMBER``, ``UNIT`` (behind a number) and ``NAME``; there is none if a text has no slot. A capitalised word is a name wherever it
+    stands, behind a quote, a bracket, a line break or at the start of a sentence too; document and item are read alike. Names one behind
+    the other are one slot, and so are numbers. Null has no tokens. Each step is a column of its own, so that it is computed once.
     """
-    c = _unmarked(text)
-    c = F.regexp_replace(c, r"\s{1,3}(?=\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\p{L}{0,30}\s{1,3})", JOINT)
-    c = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}{JOINT}])(?=\p{{Lu}})", NAME)
-    digits = F.regexp_replace(c, r"([$€£])(?=\d)", " ")
+    words = lambda c: F.array_remove(F.split(c, " "), "")
+    df = df.withColumn("__u", _unmarked(F.col(text_col)))
+    joined = F.regexp_replace("__u", r"\s{1,3}(?=\p{Lu})(?<=(?<![\p{L}\p{N}])\p{Lu}\p{L}{0,30}\s{1,3})", JOINT)
+    df = df.withColumn("__c", F.regexp_replace(joined, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{JOINT}])", NAME))
+    digits = F.regexp_replace("__c", r"([$€£])(?=\d)", " ")
     digits = F.regexp_replace(digits, r"(?<!\d)[.,:/]|[.,:/](?!\d)", " ")
     digits = F.regexp_replace(digits, r"(?<=\d) {1,3}(?=\d)", JOINT)
     digits = F.regexp_replace(digits, rf"\d+(?:[.,:/{JOINT}]\d+)*", f" {NUMBER}$0 ")
     digits = F.regexp_replace(digits, rf"(?i)({NUMBER}[\d.,:/{JOINT}]+) +{NAME}?(%|(?:{'|'.join(UNITS)})(?!\p{{L}}))", f"$1 {UNIT}$2")
-    c = F.when(c.rlike(r"\d"), _plain(digits, _PUNCTUATION)).otherwise(_plain(c, _PUNCTUATION + _NUMERIC_MARKS))
-    return F.array_remove(F.split(c, " "), "")
+    df = df.withColumn("__d", F.when(F.col("__c").rlike(r"\d"), _plain(digits, _PUNCTUATION)).otherwise(_plain(F.col("__c"), _PUNCTUATION + _NUMERIC_MARKS)))
+    df = df.withColumn("__l", words(_plain(F.col("__u"), _PUNCTUATION + _NUMERIC_MARKS))).withColumn("__t", words(F.col("__d"))).withColumn("__s", words(F.regexp_replace("__d", f"([{NUMBER}{NAME}{UNIT}])[^ ]+", "$1")))
+    kind = lambda template, t, shown: F.struct(F.lit(template).alias("template"), F.col(t).alias("t"), F.col(shown).alias("shown"))
+    kinds = F.when(F.col("__d").rlike(f"[{NUMBER}{NAME}{UNIT}]"), F.array(kind(False, "__l", "__l"), kind(True, "__t", "__s"))).otherwise(F.array(kind(False, "__l", "__l")))
+    return df.withColumn("__r", F.explode(kinds)).select(*[c for c in df.columns if not c.startswith("__") and c != text_col], "__r.*")
 
 
 _SLOT = f"substring(x, 1, 1) in ('{NUMBER}', '{NAME}', '{UNIT}')"
 
 
-def _window(w: str) -> str:
-    """SQL for struct<k, slots> of a window ``w`` of tokens: its key, and its slot values if it has any.
-
-    The key hashes the words with slots as placeholders, and which slots hold equal values.
-    """
-    return f"""transform(array(filter({w}, x -> {_SLOT})), slots -> named_struct(
-        'k', case when size(slots) = 0 then xxhash64({w})
-                  else xxhash64(transform({w}, x -> if({_SLOT}, substring(x, 1, 1), x)), transform(slots, x -> array_position(slots, x))) end,
-        'slots', slots))[0]"""
+def _shown(tokens: str) -> str:
+    """SQL for tokens with slots as placeholders."""
+    return f"transform({tokens}, x -> if({_SLOT}, substring(x, 1, 1), x))"
 
 
 #: SQL for the place in a window ``w``, its last token excepted, of its longest word; a slot only where there is no word.
 _ANCHOR = f"array_max(transform(slice(w, 1, greatest(1, size(w) - 1)), (x, i) -> named_struct('word', not {_SLOT}, 'n', length(x), 'x', x, 'i', i))).i"
 
 
-def _pair(x: str, y: str) -> str:
-    """SQL for the key of a token and the one behind it; slots are placeholders."""
-    shown = lambda t: f"if({_SLOT.replace('(x', '(' + t)}, substring({t}, 1, 1), {t})"
-    return f"xxhash64({shown(x)}, {shown(y)})"
-
-
-def _kinds(text: Column) -> Column:
-    """(template, tokens): the literal reading of a text, and its template reading if that has a slot."""
-    read = F.array(F.struct(F.lit(False).alias("template"), literal_tokens(text).alias("tokens")), F.struct(F.lit(True).alias("template"), template_tokens(text).alias("tokens")))
-    return F.filter(read, lambda k: ~k["template"] | F.exists(k["tokens"], lambda x: F.substring(x, 1, 1).isin(NUMBER, NAME, UNIT)))
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, template, width, length, windows, ipos, anchor, k, islots, iat): the windows of each item's two readings.
 
     An item shorter than ``window`` tokens is one window of its own width; an item without tokens has none. Template windows without a
     word are left out, and so are the templates of items with fewer than ``LEAST_WORDS`` different words, which would fit too much: these
-    are found by their literal windows. ``iat`` has the places of the slots in the item, in the order of ``islots``.
+    are found by their literal windows. The key ``k`` hashes the tokens with slots as placeholders; ``islots`` has the values of the slots
+    and ``iat`` their places in the item.
     """
-    items = benchmark.select(F.col(id_col).alias("item_id"), F.explode(_kinds(F.col(text_col))).alias("r")).select("item_id", "r.*").where("size(tokens) > 0").distinct()
+    items = readings(benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")), "text").withColumnRenamed("t", "tokens").drop("shown").where("size(tokens) > 0").distinct()
     items = items.where(f"not template or size(array_distinct(filter(tokens, x -> not {_SLOT}))) >= {LEAST_WORDS}")
     items = items.withColumn("width", F.least(F.size("tokens"), F.lit(window))).withColumn("length", F.size("tokens"))
     items = items.withColumn("ws", F.expr(f"filter(transform(sequence(1, length - width + 1), i -> named_struct('ipos', i - 1, 'w', slice(tokens, i, width))), y -> exists(y.w, x -> not {_SLOT}))"))
     items = items.select("item_id", "template", "width", "length", F.size("ws").alias("windows"), F.explode("ws").alias("y")).select("*", "y.*")
-    items = items.withColumn("x", F.expr(_window("w"))).withColumn("at", F.expr(_ANCHOR))
-    items = items.withColumn("anchor", F.expr(_pair("get(w, at)", "coalesce(get(w, at + 1), '')")))
+    items = items.withColumn("shown", F.expr(_shown("w"))).withColumn("at", F.expr(_ANCHOR))
+    anchor = F.expr("xxhash64(get(shown, at), coalesce(get(shown, at + 1), ''), template)")
     places = F.expr(f"filter(transform(w, (x, i) -> if({_SLOT}, ipos + i, null)), i -> i is not null)")
-    return items.select("item_id", "template", "width", "length", "windows", "ipos", "anchor", F.col("x.k").alias("k"), F.col("x.slots").alias("islots"), places.alias("iat"))
+    return items.select("item_id", "template", "width", "length", "windows", "ipos", anchor.alias("anchor"), F.xxhash64("shown").alias("k"), F.expr(f"filter(w, x -> {_SLOT})").alias("islots"), places.alias("iat"))
 
 
 #: SQL for the one-to-one part of a candidate's ``slots``, one struct (iat, islots, slots) per place: the pairs of values that stand at
@@ -144,32 +128,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
 
 def _met_windows(docs: DataFrame, starts: DataFrame, known: int, single: bool, text_col: str) -> DataFrame:
-    """(b1, b2, template, pos, w): windows of documents around a pair of tokens that is an anchor."""
+    """(b1, b2, template, t, shown, width, s): places s of the tokens of documents where a window around an anchor begins."""
     base = docs.select(F.col(text_col).alias("text"), *_bodies(F.col(text_col)))
-    rows = base.select(*BODY, F.explode(_kinds(F.col("text"))).alias("r")).select(*BODY, "r.template", F.col("r.tokens").alias("t"))
-    pairs = rows.select("*", F.posexplode("t").alias("p", "token")).withColumn("h", F.expr(_pair("token", "coalesce(get(t, p + 1), '')")))
+    rows = readings(base, "text")
+    pairs = rows.select("*", F.posexplode("shown").alias("p", "token")).withColumn("h", F.expr("xxhash64(token, coalesce(get(shown, p + 1), ''), template)"))
     if single:  # items of one token stand without the next
-        pairs = pairs.withColumn("h", F.explode(F.array_distinct(F.array("h", F.expr(_pair("token", "''"))))))
-    around = "transform(if(size(t) < width, cast(array() as array<int>), sequence(greatest(0, p - width + 1), least(p, size(t) - width))), s -> named_struct('pos', s, 'w', slice(t, s + 1, width)))"
+        pairs = pairs.withColumn("h", F.explode(F.array_distinct(F.array("h", F.expr("xxhash64(token, '', template)")))))
     if known <= ANCHORS:
-        found = pairs.join(F.broadcast(starts), ["template", "h"])
+        found = pairs.join(F.broadcast(starts), "h")
     else:
-        spots = materialize(pairs.select(*BODY, "template", "p", "h").join(starts, ["template", "h"]).select(*BODY, "template", "p", "width").distinct(), "spots")
+        spots = materialize(pairs.select(*BODY, "template", "p", "h").join(starts, "h").select(*BODY, "template", "p", "width").distinct(), "spots")
         gathered = spots.groupBy(*BODY, "template").agg(F.collect_list(F.struct("p", "width")).alias("at"))
-        found = rows.join(gathered, [*BODY, "template"]).select(*BODY, "template", "t", F.explode("at").alias("at")).select("*", "at.*")
-    return found.select(*BODY, "template", F.explode(F.expr(around)).alias("x")).select(*BODY, "template", "x.*")
+        found = rows.join(gathered, [*BODY, "template"]).select(*BODY, "template", "t", "shown", F.explode("at").alias("at")).select("*", "at.*")
+    around = F.expr("sequence(greatest(0, p - width + 1), least(p, size(t) - width))")
+    return found.where("size(t) >= width").select(*BODY, "template", "t", "shown", "width", F.explode(around).alias("s"))
 
 
 def judge_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
     """The leaks of each text, as a written table: its key (b1, b2) and the columns of ``find_leaks`` but doc_id."""
     bench = materialize(benchmark_windows(benchmark, window), "windows")
-    starts = materialize(bench.select("template", F.col("anchor").alias("h"), "width").distinct(), "anchors")
+    starts = materialize(bench.select(F.col("anchor").alias("h"), "width").distinct(), "anchors")
     single = not bench.where("width = 1").isEmpty()
-    met = _met_windows(docs, starts, starts.count(), single, text_col).withColumn("x", F.expr(_window("w")))
-    part = met.select(*BODY, "template", "pos", F.size("w").alias("width"), F.col("x.k").alias("k"), F.col("x.slots").alias("slots"))
-    out = part.join(maybe_broadcast(bench.drop("anchor"), bench.count()), ["template", "k", "width"])
+    met = _met_windows(docs, starts, starts.count(), single, text_col).withColumn("k", F.expr("xxhash64(slice(shown, s + 1, width))"))
+    out = met.join(maybe_broadcast(bench.drop("anchor"), bench.count()), ["template", "k", "width"])
     group = [*BODY, "item_id", "template", "windows"]
-    hits = out.select(*group, "length", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.arrays_zip("iat", "islots", "slots").alias("slots")).distinct()
+    slots = F.expr(f"filter(slice(t, s + 1, width), x -> {_SLOT})")
+    hits = out.select(*group, "length", "ipos", (F.col("s") - F.col("ipos")).alias("shift"), "iat", "islots", slots.alias("slots"))
+    hits = hits.select(*group, "length", "ipos", "shift", F.arrays_zip("iat", "islots", "slots").alias("slots")).distinct()
     along = Window.partitionBy(*group).orderBy("shift")
     hits = hits.withColumn("new", (2 * (F.col("shift") - F.lag("shift").over(along)) > F.col("length")).cast("int")).withColumn("candidate", F.coalesce(F.sum("new").over(along), F.lit(0)))
     lined = hits.groupBy(*group, "candidate").agg(F.collect_set(F.struct("ipos", "slots")).alias("met"))
