@@ -62,15 +62,19 @@ class Index:
     def _calibrate(self, unit: np.ndarray, k: int, target: float, rng) -> int:
         """The fewest probes whose lists hold ``target`` of the true neighbours of sampled queries, found exactly among the sample."""
         ask = rng.choice(len(unit), min(500, len(unit)), replace=False)
-        scores = unit[ask] @ unit.T
-        scores[np.arange(len(ask)), ask] = -2
-        true = np.argpartition(-scores, min(k, len(unit) - 1) - 1, axis=1)[:, :k] if len(unit) > 1 else np.zeros((1, 1), int)
+        true = np.concatenate([self._neighbours(unit, ask[i : i + 25], k) for i in range(0, len(ask), 25)])  # in steps: a row of scores is as long as the sample
         home = _nearest(unit, self.centroids)
         order = np.argsort(-(unit[ask] @ self.centroids.T), axis=1)
         rank = np.argsort(order, axis=1)
         need = np.sort(rank[np.arange(len(ask))[:, None], home[true]].ravel())
         return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1
 
+    @staticmethod
+    def _neighbours(unit: np.ndarray, ask: np.ndarray, k: int) -> np.ndarray:
+        scores = unit[ask] @ unit.T
+        scores[np.arange(len(ask)), ask] = -2
+        return np.argpartition(-scores, min(k, len(unit) - 1) - 1, axis=1)[:, :k] if len(unit) > 1 else np.zeros((1, 1), np.int64)
+
     def unit(self, vectors: np.ndarray) -> np.ndarray:
         v = _scaled(vectors)
         return ((v / np.linalg.norm(v, axis=1, keepdims=True)) @ self.rotation).astype(np.float32)
@@ -154,10 +158,7 @@ def _scan_blocks(index: Index, k: int):
             best = np.lexsort((cls[r], -score, q))
             q, r, score = q[best], r[best], score[best]
             place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-            # all rows level with the last of the k stay: ties are settled by id afterwards
-            last = np.full(len(asks), -np.inf)
-            last[q[place == k - 1]] = score[place == k - 1]
-            top = score >= last[q]
+            top = place < k  # of equal scores those of the least ids, which settle ties
             out.append(pd.DataFrame({"query": left["cls"].to_numpy()[q[top]], "cls": cls[r[top]], "score": score[top]}))
         return pd.concat(out)
 
@@ -213,7 +214,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     heads = asked.select("cls").distinct()
     probes = materialize(classes.join(heads, "cls", "left_semi").select("cls", "vector").mapInArrow(_probe(index, k + 1), "cls long, vector array<double>, lists array<int>, bound double"), "probes")
     level = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
-    best = lambda found: found.withColumn("rn", F.rank().over(level)).where(F.col("rn") <= k + 1).select("query", "cls", "score")
+    best = lambda found: found.withColumn("rn", F.row_number().over(level)).where(F.col("rn") <= k + 1).select("query", "cls", "score")
     first = materialize(best(_search(listed, probes.select("cls", "vector", "bound", F.element_at("lists", 1).alias("list")), index, k + 1)), "first")
     tight = first.groupBy(F.col("query").alias("cls")).agg(F.count("*").alias("n"), F.min("score").alias("last")).where(F.col("n") > k).select("cls", (2 - 2 * F.col("last")).alias("tight"))
     others = probes.join(tight, "cls", "left").select("cls", "vector", F.least("bound", "tight").alias("bound"), F.explode(F.slice("lists", F.lit(2), F.size("lists"))).alias("list"))
