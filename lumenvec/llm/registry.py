@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenvec.llm.ann import nearest_neighbours
+from lumenvec.llm.bin_completion import pack_sequences
 from lumenvec.llm.chat import rotate_perspectives
 from lumenvec.llm.common import table
 from lumenvec.llm.decontaminate import find_leaks
 from lumenvec.llm.mix import mix_sources
 from lumenvec.llm.near_dup import near_duplicates
 from lumenvec.llm.packing import pack_documents
+from lumenvec.llm.repair import damaged, digests, repair
 from lumenvec.llm.repeats import remove_repeats
 from lumenvec.llm.shard import shard_documents, temporary_map
 from lumenvec.llm.toxic import score_toxicity, train
 from lumenvec.llm.url_rules import judge_urls
+from lumenvec.llm.variants import spelling_variants
 
 #: The rules of op9.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -78,7 +81,28 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_ann, op4_shard, op5_mix, op6_toxicity, op7_pack, op8_repeats, op9_urls, op10_near_dup)}
+def op11_fewest_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 ids as the search finds. Null and empty texts are the one id 0; null ids stay; an empty table gives no rows."""
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and the cheapest repair. Null ids are a conversation; one that lost all rows has zeros and an empty repair; an empty table gives no rows."""
+    turns = table(spark, sf_dir, "conversations")
+    report, messages = repair(damaged(turns))
+    every = turns.select("conv_id").distinct()
+    with_report = every.join(report.withColumnRenamed("conv_id", "__r"), F.col("conv_id").eqNullSafe(F.col("__r")), "left")
+    both = with_report.join(digests(messages).withColumnRenamed("conv_id", "__d"), F.col("conv_id").eqNullSafe(F.col("__d")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their forms and roots. Null texts have no words; an empty table gives no rows."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_ann, op4_shard, op5_mix, op6_toxicity, op7_pack, op8_repeats, op9_urls, op10_near_dup, op11_fewest_sequences, op12_repair, op13_variants)}
 
 ORACLE_SQL: dict[str, str] = {}
 
