@@ -10,7 +10,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +47,6 @@ def _(spark, d):
     return raw.select(F.expr("try_cast(c1 as bigint)").alias("c_custkey"), F.expr("coalesce(try_cast(c3 as int), 0)").alias("c_nationkey"), F.round(F.expr("try_cast(c4 as double)"), 2).alias("bal"), F.col("c2").alias("c_name"))
 
 
-@_df("sc18_json_lines", "select doc_id, text, lang from documents")
-def _(spark, d):
-    path = scratch(spark, "json")
-    _table(spark, d, "documents").select("doc_id", "text", "lang").write.json(path)
-    return spark.read.option("lineSep", "\n").option("mode", "PERMISSIVE").schema("doc_id long, text string, lang string").json(path)
-
-
 @_df("sc21_headed_csv", "select o_orderkey, o_orderpriority from orders where o_orderstatus = 'F'")
 def _(spark, d):
     path = scratch(spark, "csv")
@@ -62,46 +54,6 @@ def _(spark, d):
     return spark.read.option("header", True).schema("o_orderkey long, o_orderstatus string, o_orderpriority string").csv(path).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
 
 
-def _encoded(kind: str):
-    """Batches of vectors as the bytes of one file each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["embedding"]).astype(np.float32)
-            codes = np.rint(v * 127 + 128).clip(0, 255).astype(np.uint8)
-            head = np.array(v.shape, "<u4").tobytes()
-            if kind == "fbin":
-                raw = head + v.astype("<f4").tobytes()
-            elif kind == "u8bin":
-                raw = head + codes.tobytes()
-            elif kind == "bvecs":
-                raw = np.hstack([np.full((len(v), 1), v.shape[1], "<i4").view(np.uint8), codes]).tobytes()
-            yield pd.DataFrame({"raw": [raw]})
-
-    return run
-
-
-for _kind, _name in (("fbin", "sc11_fbin"), ("u8bin", "sc11_u8bin"), ("bvecs", "sc12_bvecs")):
-
-    @_df(_name, "select count(*) as n, " + ("round(sum(x), 4) as s" if _kind == "fbin" else "sum(greatest(0, least(255, round_even(cast(x as float) * 127 + 128, 0)))) as s") + " from (select unnest(embedding) as x from embeddings) t")
-    def _(spark, d, kind=_kind):
-        """The table as binary vector files' bytes, decoded again by the format's reader."""
-        parse, shape = binary._PARSERS[kind]
-
-        def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for raw in pdf["raw"]:
-                    ids, v = parse(bytes(raw))
-                    yield pd.DataFrame({"id": ids, "vec": list(v)})
-
-        files = _table(spark, d, "embeddings").select("embedding").mapInPandas(_encoded(kind), "raw binary")
-        x = files.mapInPandas(decoded, shape).select(F.explode("vec").alias("x"))
-        total = F.sum(F.col("x").cast("double"))
-        return x.agg(F.count("*").alias("n"), (F.round(total, 4) if kind == "fbin" else total).alias("s"))
-
-
 @_df("sc06_binary_files", "select r_name as name, length(r_name) as n from region")
 def _(spark, d):
     """Whole files as rows: one file for each region, its folder's name from the path and its bytes' number."""
@@ -111,79 +63,6 @@ def _(spark, d):
     return files.select(F.url_decode(F.regexp_extract("path", "folder=([^/]*)/", 1)).alias("name"), (F.length("content") - 1).cast("long").alias("n"))
 
 
-@_df("sc23_size_by_path", "select concat('lang=', coalesce(lang, '__HIVE_DEFAULT_PARTITION__')) as folder, cast(1 as bigint) as files, true as filled from documents group by lang")
-def _(spark, d):
-    """Files of an export by the first folder of their path, from the listing alone."""
-    path = scratch(spark, "listing")
-    _table(spark, d, "documents").select("doc_id", "lang").repartition("lang").write.partitionBy("lang").parquet(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
-    return files.groupBy(F.regexp_extract("path", "(lang=[^/]*)/", 1).alias("folder")).agg(F.count("*").alias("files"), (F.sum("length") > 0).alias("filled"))
-
-
-def _decoded(spark, d, encode, kind: str):
-    """Batches of vectors as the bytes of one file each, decoded again by the format's parser."""
-    parse, shape = binary._PARSERS[kind]
-
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"raw": [encode(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"]).astype(np.float32))]})
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in shape.split(", ")]
-        for pdf in batches:
-            for raw in pdf["raw"]:
-                a, b = parse(bytes(raw))
-                yield pd.DataFrame({names[0]: list(a), names[1]: list(b)})
-
-    return _table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(written, "raw binary").mapInPandas(read, shape)
-
-
-@_df("sc13_npy", "select count(*) as n, round(sum(x), 3) as s from (select unnest(embedding) as x from embeddings) t where abs(x) > 1e9 union all select count(*), 0 from embeddings")
-def _(spark, d):
-    """Half-float arrays: their rows, and how many coordinates are off by more than a half float may be."""
-    import io
-
-    def encode(ids, v):
-        out = io.BytesIO()
-        np.save(out, v.astype(np.float16))
-        return out.getvalue()
-
-    x = _decoded(spark, d, encode, "npy")
-    wild = x.select(F.explode("vec").alias("x")).where("abs(x) > 1e9").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 3).alias("s"))
-    return wild.unionByName(x.agg(F.count("*").alias("n"), F.lit(0.0).alias("s")))
-
-
-@_df("sc14_truth", "select vec_id as id, cast(64 as integer) as k, round(sum(x), 4) as s from (select vec_id, unnest(embedding) as x from embeddings) t group by vec_id")
-def _(spark, d):
-    """Ground truth with 64 neighbours a query: here each row's own id and the places behind it, with its coordinates as distances."""
-    encode = lambda ids, v: np.array(v.shape, "<u4").tobytes() + (ids[:, None] + np.arange(v.shape[1])).astype("<u4").tobytes() + v.astype("<f4").tobytes()
-    rows = _decoded(spark, d, encode, "truth")
-    return rows.select(F.get("neighbors", F.lit(0)).alias("id"), F.size("neighbors").alias("k"), F.round(F.aggregate("distances", F.lit(0.0), lambda a, x: a + x), 4).alias("s"))
-
-
-@_df("sc15_range_truth", "select vec_id as id, cast(len(list_filter(embedding, lambda x: x > 0.1)) as integer) as k from embeddings where len(list_filter(embedding, lambda x: x > 0.1)) > 0")
-def _(spark, d):
-    """Range-search truth: as many neighbours as a row has coordinates over a tenth; the row's id stands for each."""
-
-    def encode(ids, v):
-        n = (v > np.float32(0.1)).sum(1)
-        return np.array([len(v), n.sum()], "<i4").tobytes() + n.astype("<i4").tobytes() + np.repeat(ids, n).astype("<i4").tobytes() + v[v > np.float32(0.1)].astype("<f4").tobytes()
-
-    rows = _decoded(spark, d, encode, "range_truth").where("size(neighbors) > 0")
-    return rows.select(F.get("neighbors", F.lit(0)).alias("id"), F.size("neighbors").alias("k"))
-
-
-@_df("sc16_csr", "select i, count(*) as n, round(sum(x), 4) as s from (select unnest(range(0, 64)) as i, unnest(embedding) as x from embeddings) t where x > 0 group by i")
-def _(spark, d):
-    """Sparse rows of the positive coordinates, summed by place."""
-
-    def encode(ids, v):
-        n = (v > 0).sum(1)
-        return np.array([*v.shape, n.sum()], "<i8").tobytes() + np.r_[0, np.cumsum(n)].astype("<i8").tobytes() + np.nonzero(v > 0)[1].astype("<i4").tobytes() + v[v > 0].astype("<f4").tobytes()
-
-    cells = _decoded(spark, d, encode, "csr").select(F.explode(F.arrays_zip("indices", "values")).alias("x")).select(F.col("x.indices").cast("long").alias("i"), F.col("x.values").cast("double").alias("x"))
-    return cells.groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("s"))
 
 
 def _through(spark, d, encode, decode):
@@ -292,13 +171,6 @@ def _(spark, d):
     return spark.read.schema("p_partkey long, p_size long, triple int").parquet(f"{path}/version=2")
 
 
-@_df("sk09_z_order", "select p_partkey as x, p_size as y from part")
-def _(spark, d):
-    path = scratch(spark, "z")
-    sinks.write_z_ordered(_table(spark, d, "part").select(F.col("p_partkey").alias("x"), F.col("p_size").alias("y")), path)
-    return spark.read.schema("x long, y int").parquet(path)
-
-
 @_df("sk10_collapse", "select l_partkey, cast(sum(l_linenumber) as bigint) as n, cast(2 * count(*) as bigint) as loads from lineitem group by l_partkey")
 def _(spark, d):
     """A summing table takes two loads as they come and is collapsed to a row for each key afterwards."""

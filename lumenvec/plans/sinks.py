@@ -1,12 +1,10 @@
-"""Sinks: named-column appends, idempotent chunks, one-file exports and Z-ordered copies."""
+"""Sinks: named-column appends, idempotent chunks and copies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.functions.vec import morton
-
 
 def append_named(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("append").parquet(path)
@@ -17,16 +15,6 @@ def write_chunk(df: DataFrame, path: str, chunk: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(path)
 
 
-def write_z_ordered(df: DataFrame, path: str, x: str = "x", y: str = "y", files: int = 8) -> None:
-    """A copy whose files and row groups are ranges of the Z-order, so that a tile reads few of them."""
-    z = df.withColumn("zkey", morton(F.col(x), F.col(y)))
-    z.repartitionByRange(files, "zkey").sortWithinPartitions("zkey").write.mode("overwrite").parquet(path)
-
-
-def write_buckets(df: DataFrame, path: str, key: str, buckets: int = 512) -> None:
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
 def delete_where(spark: SparkSession, path: str, new_path: str, predicate: str) -> None:
     """Rows for which the predicate isn't true, written to a new place."""
     spark.read.parquet(path).where(f"not coalesce({predicate}, false)").write.mode("overwrite").parquet(new_path)

@@ -13,7 +13,6 @@ _sql("tk01_order", "select p_partkey, p_brand from part order by p_brand desc, p
 _sql("tk04_last_by_key", "select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1")
 _sql("tk10_rank_by_sort", "select o_orderkey, row_number() over (partition by o_orderstatus order by o_totalprice, o_orderkey) - 1 as r from orders")
 _sql("ag12_smallest_k", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as rn from orders) t where rn <= 3")
-_sql("jn11_buckets", "select o.bucket, count(*) as n, round(sum(c_acctbal), 4) as s from (select HASH[o_custkey] % 16 as bucket, o_custkey from orders) o join (select HASH[c_custkey] % 16 as bucket, c_custkey, c_acctbal from customer) c on o.bucket = c.bucket and o_custkey = c_custkey group by o.bucket")
 _sql("ar02_filter", "select vec_id, LEN[FILTER[embedding;x > 0.1]] as n from embeddings")
 _sql("ar04_max", "select doc_id, MAXOF[MAP[SPLIT[text; ];length(x)]] as n from documents")
 _sql("ar13_count_equal", "select doc_id, LEN[FILTER[SPLIT[lower(text); ];x = 'the']] as n from documents")
