@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenvec.llm.common import materialize, maybe_broadcast, small_batches
 from lumenvec.llm.kernels import release
+from lumenvec.llm.packing import PATTERN
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
@@ -28,13 +29,33 @@ NODES, FILLINGS, STEPS = 20_000, 24, 2_000
 _TOUCHING = re.compile(r"\s | \s")
 
 
+def fast_encoder(model: str):
+    """The byte pair merges of a byte-level ``tokenizers`` file as a ``tiktoken`` encoding with the same ids, or None where ids aren't in the order of merges."""
+    import json
+
+    import tiktoken
+
+    said = json.loads(model)
+    vocabulary, merges = said["model"]["vocab"], said["model"].get("merges", [])
+    ordered = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    split = said.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer")
+    if not plain or said["model"]["type"] != "BPE" or None in ordered or ordered != sorted(ordered) or len(vocabulary) != 256 + len(set(ordered)):
+        return None
+    # Fixed value of byte-level vocabularies: bytes that print stand for themselves, the others in turn for the characters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """Ids of a ``tokenizers`` file as little-endian uint32. Words between single spaces are encoded once and kept; the ids are those of the whole text."""
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer, self.fast = Tokenizer.from_str(model), fast_encoder(model)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -45,23 +66,29 @@ class WordEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def ordinary(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens' strings."""
+        return np.array(self.fast.encode_ordinary(text), "<u4") if self.fast else self.ids(text)
+
     def encode(self, text: str) -> bytes:
-        if _TOUCHING.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.ids(text).tobytes()
+        if _TOUCHING.search(text):
+            return self.ordinary(text).tobytes()
         first, *words = text.split(" ")
         known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        fresh = {}
-        if new:
-            ids = self.ids(" " + " ".join(new))
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(new, cuts.tolist(), strict=True):
-                fresh[w] = raw[4 * at : 4 * cut]
-                at = cut
-            if len(known) < CACHE_WORDS:
-                known.update(fresh)
-        return self.ids(first).tobytes() + b"".join([fresh.get(w) or known[w] for w in words])
+        new = list(set(words).difference(known))
+        if not new:
+            return self.ordinary(first).tobytes() + b"".join([known[w] for w in words])
+        ids = self.ordinary(" " + " ".join(new))
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
+        raw, at, fresh = ids.tobytes(), 0, {}
+        for w, cut in zip(new, (4 * cuts).tolist(), strict=True):
+            fresh[w] = raw[at:cut]
+            at = cut
+        if len(known) < CACHE_WORDS:
+            known.update(fresh)
+        return self.ordinary(first).tobytes() + b"".join([known.get(w) or fresh[w] for w in words])
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
