@@ -385,26 +385,10 @@ _sql("mp08_quantile_hue", "select event_id, round(greatest(0e0, least(1e0, (valu
 _sql("mp09_edge_clamp", "select round(100e0 * count_if(value <= lo or value >= hi) / count(*), 6) as pct from events cross join (select QUANT[value;0.001] as lo, QUANT[value;0.999] as hi from events) s")
 
 # Models and evaluation
-_sql("ml08_evaluate", "select round(avg(case when (p > 0.5) = (toxic = 1) then 1e0 else 0e0 end), 6) as acc, round(avg(p), 6) as mean, round(stddev_pop(p), 6) as sd from (select toxic, 1 / (1 + exp(-(n_chars / 1000e0 - 2))) as p from documents join labels on documents.doc_id = labels.doc_id) t")
 _sql("ml11_majority", "select label, count(*) as n from embeddings group by label order by n desc, label limit 1")
-@_df("ml12_auc", "with t as (select toxic, n_chars from documents join labels on documents.doc_id = labels.doc_id where HASH[documents.doc_id] % 4 = 0) select round((sum(case when toxic = 1 then r else 0 end) - np * (np + 1) / 2e0) / (np * nn), 6) as auc from (select toxic, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2e0 as r, sum(toxic) over () as np, sum(1 - toxic) over () as nn from t) u group by np, nn")
-def _(spark, d):
-    """The rank-sum form, on the held-out quarter of a hash split."""
-    scored = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id").where(vec.hash_int(F.col("doc_id")) % 4 == 0).select("toxic", "n_chars")
-    up = F.sum(F.when(F.col("toxic") == 1, F.col("r")).otherwise(0.0))
-    sums = ranks.average_ranks(scored, "n_chars").agg(up.alias("s"), F.sum("toxic").alias("np"), F.sum(1 - F.col("toxic")).alias("nn"))
-    return sums.select(F.round((F.col("s") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn")), 6).alias("auc"))
-
-
 _sql("ml14_weak_labels", "select page_id, case when url like '%spam%' or url like '%pills%' then 1 else 0 end as y from pages where url like '%spam%' or url like '%pills%' or HASH[page_id] % 4 = 0")
 
 
-@_df("ml05_sigmoid_scores", "select vec_id, round(1 / (1 + exp(-(list_inner_product(cast(embedding as double[]), list_transform(range(0, 64), lambda i: (i % 5 - 2) / 2.0e0)) + 0.1))), 6) as p from embeddings")
-def _(spark, d):
-    w = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 5 - 2) / 2.0).alias("w"), F.lit(0.1).alias("b"))
-    return _table(spark, d, "embeddings").crossJoin(F.broadcast(w)).select("vec_id", F.round(1 / (1 + F.exp(-(vec.dot(F.col("embedding"), F.col("w")) + F.col("b")))), 6).alias("p"))
-
-
 @_df("ml01_logits_argmax_softmax", "with z as (select vec_id, list_transform([1, 2, 3], lambda c: list_inner_product(cast(embedding as double[]), list_transform(range(0, 64), lambda i: ((i * c) % 7 - 3) / 2.0e0))) as l from embeddings) select vec_id, cast(list_position(l, list_max(l)) as integer) as cls, round(exp(list_max(l) - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) as p from z")
 def _(spark, d):
     weights = lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i * c) % 7 - 3) / 2.0)
