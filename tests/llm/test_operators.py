@@ -567,3 +567,29 @@ def test_urls_brute(spark, monkeypatch):
         fit = [(len(x) + len(y), len(x), x + y, v) for (x, y), v in rules.items() if (h.lower() == x or h.lower().endswith("." + x)) and p.startswith(y)]
         best = max(fit, default=(0, 0, None, "allow"))
         assert (row.host, row.path, row.rule, row.verdict) == (h.lower(), p, best[2], best[3]), u
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mix_takes_whole_blocks_of_one_size_on_given_tables(spark, sf):
+    """The same blocks for every source, quotas that are Sainte-Lague seats one by one, a seeded choice of blocks, words near targets."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = mix_sources(docs).toPandas()
+    assert set(got.block_words) == {2048}
+    plan = got.drop_duplicates("source").sort_values("source")
+    total = round(plan.target.sum() / 2048)
+    seats = [0] * len(plan)
+    for n in range(1, total + 1):
+        best = max(range(len(plan)), key=lambda k: (plan.target.iloc[k] / (2 * seats[k] + 1), -k))
+        seats[best] += 1
+        if n in [total * k // 8 for k in range(1, 9)]:
+            shard = max(k for k in range(1, 9) if total * k // 8 == n)
+            assert [u[shard - 1] for u in plan.upto] == [min(s, 2 * b) for s, b in zip(seats, plan.blocks)]
+    for _, g in got.groupby("source"):
+        first = g.iloc[0]
+        assert abs(g.taken.sum() - first.target) <= 1 or abs(g.taken.sum() - first.upto[-1] * 2048) <= 2048 and abs(first.target - first.upto[-1] * 2048) > 2048
+        if first.blocks > 4:
+            assert first.step > 1  # blocks are scattered by the permutation, not a run of the order
+        assert sum(0 < t % s for t, s in zip(g.taken, g["size"]) if s) <= 16 + (g["size"] > 2048).sum() * 2  # few documents are cut
+    assert (got.taken <= 2 * got["size"]).all()
+    again = mix_sources(docs.repartition(5)).toPandas()
+    assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
