@@ -18,16 +18,17 @@ CELLS = 16
 def slot_rows(docs: DataFrame, shards: int, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, vslot, cell): equal texts share a slot, unless they are more than half of a shard's fair share.
 
-    Such groups, fewer than 2 * shards of them, are dealt over all slots by doc_id. Size is the text's UTF-8 bytes plus 1.
+    Such groups, fewer than 2 * shards of them, are dealt over all slots by the place at which a row was written, whatever ids its rows
+    share; cells are dealt by that place too. Size is the text's UTF-8 bytes plus 1.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("digest"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("row"))
     narrow = materialize(narrow, "sizes")
     groups = narrow.groupBy("digest").agg(F.sum("size").alias("bytes"))
     total = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     hot = groups.join(F.broadcast(total), F.col("bytes") * 2 * shards > F.col("total")).select("digest", F.lit(True).alias("hot"))
-    key = F.when(F.col("hot"), F.xxhash64("digest", "doc_id")).otherwise(F.xxhash64("digest"))
-    return narrow.join(F.broadcast(hot), "digest", "left").select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("vslot"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CELLS)).cast("int").alias("cell"))
+    key = F.when(F.col("hot"), F.xxhash64("digest", "row")).otherwise(F.xxhash64("digest"))
+    return narrow.join(F.broadcast(hot), "digest", "left").select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("vslot"), F.pmod(F.xxhash64("row", F.lit(7)), F.lit(CELLS)).cast("int").alias("cell"))
 
 
 def plan_map(loads: dict[int, int], shards: int, slots: int = SLOTS, old: dict[int, int] | None = None, slack: float = 0.001) -> dict[int, int]:
@@ -114,8 +115,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_pa
     gaps, by virtual slot, then cell, then doc_id (rows that are equal in all are interchangeable); ``vslot`` is the virtual slot and
     ``grown_shard`` is null. With ``map_path`` the map stored there is edited and the next version stored, else it is version 1 of its own.
 
-    Equal texts stay together up to half of a shard's fair share; larger groups are dealt over all slots. Null texts have size 1 and the
-    CRC of no bytes. Null ids hash as one more id. An empty table gives an empty result; other columns are not looked at.
+    Equal texts stay together up to half of a shard's fair share; larger groups are dealt over all slots by row, so that shards are near
+    equal also where the rows of such a group share an id or have none; which of them goes where depends on the partitions. Null texts have
+    size 1 and the CRC of no bytes. Null ids are like any other. An empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = materialize(slot_rows(docs, shards, slots, **cols), "slots")
