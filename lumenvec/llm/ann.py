@@ -189,14 +189,15 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col:
     The fit uses a bounded sample (``FIT_ROWS``, ``FIT_BYTES``). Lists are as many as the root of the rows, beyond 262,144 rows as many as
     give each ``LIST_ROWS``, while the sample has ``LIST_SAMPLE`` rows for each and up to ``MOST_LISTS``; from there on lists grow with
     the table, and with them what a query costs. Vectors that are null or zero, or hold null or non-finite components, take no part; neither
-    do those of another dimension than most. Rows with a null id are left out; rows with the same id and vector count once. An empty table
+    do those of another dimension than most. Rows with a null id are left out; rows with the same id count once, those with different vectors
+    by the vector of the least hash. An empty table
     gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
     v = F.col("vector")
     fine = "vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null").where(fine)
-    rows = rows.withColumn("digest", F.xxhash64(v)).distinct()
+    rows = rows.withColumn("digest", F.xxhash64(v)).groupBy("vec_id").agg(F.min_by("vector", "digest").alias("vector"), F.min("digest").alias("digest"))
     dim = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     shape = "query_id long, rank int, vec_id long, score double"
     if dim is None:
