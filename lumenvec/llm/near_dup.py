@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import drop_scratch, hot_keys, join_hot, materialize, maybe_broadcast, python_tasks, small_batches
+from lumenvec.llm.common import drop_scratch, free_name, hot_keys, join_hot, materialize, maybe_broadcast, python_tasks, small_batches
 from lumenvec.llm.components import LOCAL_EDGES, UnionFind, connected_components
 
 #: Documents of one comparison block, and shingles of their sets together.
@@ -293,12 +293,13 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_
     other. A component keeps the row of its least id (nulls last), the first written of these. Rows without shingles (null, empty and
     blank texts) all stay. An empty table gives an empty one.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    marks = materialize(near_duplicates(numbered, percent, id_col="__row", **more).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component")), "components")
+    row = free_name(docs, "__row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marks = materialize(near_duplicates(numbered, percent, id_col=row, **more).select(F.col("doc_id").alias(row), F.col("component_id").alias("__component")), "components")
     joint = materialize(marks.groupBy("__component").agg(F.count("*").alias("c")).where("c > 1"), "joint")
     members = materialize(join_hot(marks, joint.select("__component"), ["__component"], hot_keys(joint, marks.count())), "members")
-    place = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    first = numbered.select("__row", id_col).join(members, "__row").groupBy("__component").agg(F.min(place).alias("__first")).select(F.col("__first.row").alias("__row"))
-    gone = materialize(members.select("__row").join(first, "__row", "left_anti"), "gone")
+    place = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    first = numbered.select(row, id_col).join(members, row).groupBy("__component").agg(F.min(place).alias("__first")).select(F.col("__first.row").alias(row))
+    gone = materialize(members.select(row).join(first, row, "left_anti"), "gone")
     drop_scratch(marks, joint, members)
-    return numbered.join(maybe_broadcast(gone, gone.count()), "__row", "left_anti").drop("__row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(maybe_broadcast(gone, gone.count()), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
