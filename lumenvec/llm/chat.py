@@ -6,21 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.llm.common import materialize, maybe_broadcast
+from lumenvec.llm.turns import in_order, numbered_long
 
-#: Turn numbers that one part of a rendered dialogue spans, so that a very long conversation is many rows.
-PART_TURNS = 256
-#: Messages of a part at about most, where many share a turn number or have none.
+#: Messages of a part of a rendered dialogue at most, so that a very long conversation is many rows.
 PART_MESSAGES = 1024
 #: Parts of a conversation that meet its participants in one task.
 JOIN_PARTS = 64
 END = "<|end|>\n"
 
 
-def _hash(c: Column) -> Column:
-    """The first eight hex digits of the MD5 as a number, which other engines can compute too."""
-    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
-
-
 def shown_name(role: Column) -> Column:
     """A role as a name in a head: characters other than letters, digits, ``_``, ``.`` and ``-`` become ``%`` and their UTF-8 bytes in hex,
     so that different roles have different names."""
@@ -28,49 +22,43 @@ def shown_name(role: Column) -> Column:
     return F.when(role.rlike(r"[^\p{L}\p{N}_.-]"), escaped).otherwise(role)
 
 
-def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
-    """(conv_id, perspective, part, section, n_turns, rendered, mask): every dialogue once for each participant.
+def rotate_perspectives(turns: DataFrame, part_messages: int = PART_MESSAGES, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
+    """(conv_id, perspective, part, first_message, n_turns, n_messages, rendered, mask): every dialogue once for each participant.
 
     Participants are the roles of a conversation but ``system``. From a participant's perspective its own turns are the assistant's,
     others' are those of users named by their role (``shown_name``), and system turns stay so:
     ``<|assistant|>\\ntext<|end|>\\n``, ``<|user:name|>\\n...``, ``<|system|>\\n...``. ``mask`` lists the character spans [from, to) of the
     part that are trained on: text and end mark of the perspective's own turns, also when the text is empty.
 
-    Turns go by number, then role, then text, nulls first; repeated rows are messages of their own. A part holds the turns whose number is
-    in the same run of ``part_turns`` numbers (null: part -1). A part of more than ``part_messages`` messages, as where many share a turn
-    number or have none, is dealt into sections by a hash of each message, equal ones in turn, and each section is ordered like a part; so
-    parts and sections bound what meets in one row, however long the conversation. Texts are shuffled once; those of a conversation of
-    more than one part meet its participants in a second, salted join. Null roles are one participant, whose perspective is
-    null and who is ``<|user|>`` to others. Null texts are empty; ``<|`` in a text becomes ``< |``. A conversation of only system turns
-    has no perspective. A null conv_id is one more conversation. An empty table gives an empty result; other columns are not looked at.
+    Messages go by turn number, then role, then text, nulls first; repeated rows are messages of their own. A dialogue of over
+    ``part_messages`` messages is in parts of so many neighbouring messages: ``first_message`` is the number of a part's first, from 0,
+    ``n_turns`` how many it has, ``n_messages`` how many the dialogue has, and the parts end to end are the whole dialogue. The order is
+    made by ranges, and places are counted from the ranges' sizes, so no conversation is one task's; parts of one conversation meet its
+    participants in a salted join. Null roles are one participant, whose perspective is null and who is ``<|user|>`` to others. Null texts
+    are empty; ``<|`` in a text becomes ``< |``. A conversation of only system turns has no perspective. A null conv_id is one more
+    conversation. An empty table gives an empty result; other columns are not looked at.
     """
     text = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), text.alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1).cast("long")))
-    sizes = materialize(rows.groupBy(F.col("conv_id").alias("__conv"), F.col("part").alias("__part")).agg(F.ceil(F.count("*") / part_messages).alias("sections")), "sizes")
-    crowded = sizes.where("sections > 1")
-    long = sizes.groupBy(F.col("__conv").alias("__c")).agg(F.sum("sections").alias("sections")).where("sections > 1").select("__c", F.ceil(F.col("sections") / JOIN_PARTS).alias("salts"))
-    many, longs = crowded.count(), materialize(long, "long")
-    message = ["conv_id", "turn", "role", "text", "part"]
-    placed = rows.select(*message, F.lit(0).cast("long").alias("section"))
+    rows = materialize(in_order(rows), "turns")
+    long, offsets, many = numbered_long(rows, part_messages)
+    placed = rows.withColumn("part", F.lit(0).cast("long")).withColumn("n_messages", F.lit(None).cast("long")).withColumn("salts", F.lit(0).cast("long"))
     if many:
-        inside = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
-        dealt = rows.join(maybe_broadcast(crowded, many), inside).groupBy(*message, "sections").agg(F.count("*").alias("copies"))
-        dealt = dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        body = F.concat_ws("|", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.coalesce("role", F.lit("")), F.col("text"))
-        dealt = dealt.select(*message, ((_hash(body) + F.col("copy")) % F.col("sections")).alias("section"))
-        placed = placed.join(maybe_broadcast(crowded, many), inside, "left_anti").unionByName(dealt)
-    of_long = F.col("conv_id").eqNullSafe(F.col("__c"))
-    count = longs.count()
-    placed = placed.join(maybe_broadcast(longs, count), of_long, "left").withColumn("salts", F.coalesce("salts", F.lit(0).cast("long"))).drop("__c")
-    parts = placed.groupBy("conv_id", "part", "section", "salts").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"))
+        is_long = F.col("conv_id").eqNullSafe(F.col("__conv"))
+        offsets = materialize(offsets.join(maybe_broadcast(long, many), F.col("__c").eqNullSafe(F.col("__conv"))).drop("__conv"), "offsets")
+        here = F.col("conv_id").eqNullSafe(F.col("__c")) & (F.shiftright("pos", 33) == F.col("__segment"))
+        met = rows.join(maybe_broadcast(offsets, offsets.count()), here, "left")
+        number = F.coalesce(F.col("__before") + F.col("pos") - F.col("__first"), F.lit(0))
+        salts = F.coalesce(F.ceil(F.col("total") / (part_messages * JOIN_PARTS)), F.lit(0))
+        placed = met.select(*rows.columns, F.floor(number / part_messages).alias("part"), F.col("total").alias("n_messages"), salts.alias("salts"))
+    parts = placed.groupBy("conv_id", "part", "salts", "n_messages").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("msgs"))
     speaks = lambda role: ~role.eqNullSafe(F.lit(system))
     both = parts.where("salts = 0").withColumn("perspective", F.explode(F.array_distinct(F.filter("msgs.role", speaks)))).drop("salts")
-    if count:
-        people = rows.where(speaks(F.col("role"))).join(maybe_broadcast(longs, count), of_long).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective"), "salts").distinct()
+    if many:
+        people = rows.where(speaks(F.col("role"))).join(maybe_broadcast(long, many), is_long).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective"), F.ceil(F.col("total") / (part_messages * JOIN_PARTS)).alias("salts")).distinct()
         people = people.select("__conv", "perspective", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("__salt"))
-        several = parts.where("salts > 0").withColumn("__s", F.pmod(F.xxhash64("part", "section"), F.col("salts")))
-        several = several.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("__s") == F.col("__salt")))
+        several = parts.where("salts > 0").withColumn("__s", F.pmod(F.xxhash64("part"), F.col("salts")))
+        several = several.join(people, is_long & (F.col("__s") == F.col("__salt")))
         both = both.unionByName(several.select(*both.columns))
     own = lambda m: m["role"].eqNullSafe(F.col("perspective"))
     head = lambda m: F.when(own(m), "<|assistant|>\n").when(m["role"] == system, "<|system|>\n").when(m["role"].isNull(), "<|user|>\n").otherwise(F.concat(F.lit("<|user:"), shown_name(m["role"]), F.lit("|>\n")))
@@ -79,4 +67,4 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS, part_mes
     spans = F.expr("""aggregate(pieces, struct(0 as at, cast(array() as array<struct<from:int,to:int>>) as spans),
         (acc, p) -> struct(acc.at + length(p.head) + length(p.body) as at,
             if(p.own, array_append(acc.spans, struct(acc.at + length(p.head) as from, acc.at + length(p.head) + length(p.body) as to)), acc.spans) as spans), acc -> acc.spans)""")
-    return both.select("conv_id", "perspective", "part", "section", F.size("msgs").alias("n_turns"), F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"), spans.alias("mask"))
+    return both.select("conv_id", "perspective", "part", (F.col("part") * part_messages).alias("first_message"), F.size("msgs").alias("n_turns"), F.coalesce("n_messages", F.size("msgs").cast("long")).alias("n_messages"), F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"), spans.alias("mask"))

@@ -108,29 +108,22 @@ ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op1_chat"] = r"""
 WITH turns AS (
-  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(cast(floor(turn / 256) AS BIGINT), -1) AS part
+  SELECT conv_id, role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, replace(coalesce(text, ''), '<|', '< |')) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n_messages
   FROM conversations),
-crowd AS (SELECT *, cast(ceil(count(*) OVER (PARTITION BY conv_id, part) / 1024) AS BIGINT) AS sections,
-                 row_number() OVER (PARTITION BY conv_id, turn, role, text) AS copy FROM turns),
-dealt AS (
-  SELECT *, CASE WHEN sections = 1 THEN 0
-                 ELSE (cast('0x' || substr(md5(coalesce(cast(turn AS VARCHAR), '') || '|' || coalesce(role, '') || '|' || text), 1, 8) AS BIGINT) + copy) % sections END AS section
-  FROM crowd),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role IS DISTINCT FROM 'system'),
 pieces AS (
-  SELECT t.*, p.perspective, t.role IS NOT DISTINCT FROM p.perspective AS own,
+  SELECT t.*, place // 1024 AS part, p.perspective, t.role IS NOT DISTINCT FROM p.perspective AS own,
          CASE WHEN t.role IS NOT DISTINCT FROM p.perspective THEN '<|assistant|>' WHEN t.role = 'system' THEN '<|system|>' WHEN t.role IS NULL THEN '<|user|>'
               ELSE '<|user:' || array_to_string(list_transform(string_split(t.role, ''), lambda c: CASE WHEN regexp_matches(c, '^[\p{L}\p{N}_.-]?$') THEN c ELSE '%' || hex(encode(c)) END), '') || '|>' END || chr(10) AS head,
          t.text || '<|end|>' || chr(10) AS body
-  FROM dealt t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part, section ORDER BY turn NULLS FIRST, role NULLS FIRST, text, copy
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS spot
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS spot
   FROM pieces)
-SELECT conv_id, perspective, part, section, cast(count(*) AS INTEGER) AS n_turns,
-       string_agg(head || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text, copy) AS rendered,
-       coalesce(string_agg(cast(spot AS BIGINT) || '-' || cast(spot + length(body) AS BIGINT), ';' ORDER BY turn NULLS FIRST, role NULLS FIRST, text, copy) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part, section
+SELECT conv_id, perspective, part, part * 1024 AS first_message, cast(count(*) AS INTEGER) AS n_turns, max(n_messages) AS n_messages, string_agg(head || body, '' ORDER BY place) AS rendered,
+       coalesce(string_agg(cast(spot AS BIGINT) || '-' || cast(spot + length(body) AS BIGINT), ';' ORDER BY place) FILTER (own), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part
 """
 
 ORACLE_SQL["op8_repeats"] = r"""

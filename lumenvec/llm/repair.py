@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenvec.llm.common import materialize, maybe_broadcast, small_batches
+from lumenvec.llm.turns import in_order
 
 #: Fixed value: ASCII white space.
 WHITE = " \t\n\x0b\x0c\r"
@@ -177,17 +178,6 @@ def _starts(blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conv_id": blocks.conv_id, "block": blocks.block, "start": starts})
 
 
-def in_order(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, pos): rows by conversation, turn, role and text (nulls first), dealt over tasks by ranges of that order.
-
-    ``pos`` grows along it. Equal rows may be apart, and a conversation may span tasks, so none is too large for one.
-    """
-    keys = ["conv_id", "turn", "role", "text"]
-    numbered = turns.select(*keys).withColumn("__row", F.monotonically_increasing_id())
-    ranged = numbered.repartitionByRange(*keys, "__row").sortWithinPartitions(*keys, "__row")
-    return ranged.select(*keys, F.monotonically_increasing_id().alias("pos"))
-
-
 def faults(rows: DataFrame) -> DataFrame:
     """(conv_id, pos, turn, code) of rows ``in_order``: initial of the role and the first fault, as ``back`` reads it."""
     trimmed = F.rtrim("text", F.lit(WHITE))
