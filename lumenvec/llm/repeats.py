@@ -59,25 +59,79 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return h[pos].view(np.int64), pos, pos - last, pos - first
 
 
+def periodic_runs(data: np.ndarray, hashes: np.ndarray, pos: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(start, end, period) of stretches that repeat at a period below a window's grams, found by anchors of one hash in a row.
+
+    They are at least a window and a period long, so each of their windows occurs again a period before or behind it.
+    """
+    same = np.flatnonzero(hashes[1:] == hashes[:-1])
+    out: list[tuple[int, int, int]] = []
+    for i in same.tolist():
+        p, at = int(pos[i + 1] - pos[i]), int(pos[i])
+        if out and out[-1][0] <= at and at + p < out[-1][1]:
+            continue  # inside a stretch that is known
+        step = 1 << 12
+        lo, hi = at, at
+        while hi < len(data) - p:  # forwards, then backwards, to where a byte isn't that of a period before
+            part = data[hi : min(hi + step, len(data) - p)] != data[hi + p : min(hi + step, len(data) - p) + p]
+            if part.any():
+                hi += int(part.argmax())
+                break
+            hi += len(part)
+            step *= 2
+        step = 1 << 12
+        while lo > 0:
+            a = max(0, lo - step)
+            part = (data[a:lo] != data[a + p : lo + p])[::-1]
+            if part.any():
+                lo -= int(part.argmax())
+                break
+            lo = a
+            step *= 2
+        if hi - lo >= length:
+            out.append((lo, hi + p, p))
+    return out
+
+
+def without_runs(hashes: np.ndarray, pos: np.ndarray, dlo: np.ndarray, dhi: np.ndarray, runs: list[tuple[int, int, int]], length: int) -> tuple[np.ndarray, ...]:
+    """Anchors without the windows of periodic stretches but for their first period's, which stand for all as occurrences."""
+    for start, end, p in runs:
+        first, last = pos - dhi, pos - dlo  # windows of an anchor
+        a, b = start + p, end - length
+        touched = (first <= b) & (last >= a)
+        if not touched.any():
+            continue
+        before, behind = touched & (first < a), touched & (last > b)
+        parts = [(hashes[~touched], pos[~touched], dlo[~touched], dhi[~touched]), (hashes[before], pos[before], pos[before] - (a - 1), dhi[before]), (hashes[behind], pos[behind], dlo[behind], pos[behind] - (b + 1))]
+        hashes, pos, dlo, dhi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, pos, dlo, dhi
+
+
 def _scan(length: int, gram: int):
-    """(k1, k2, hash, spot): the anchors of each text as lists; a spot packs position, least and most d."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hash", pa.list_(pa.int64())), ("spot", pa.list_(pa.int64()))])
+    """(k1, k2, hash, spot, runs): the anchors of each text as lists, a spot packing position, least and most d; starts and ends of periodic stretches."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("hash", longs), ("spot", longs), ("runs", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(2))
             at = np.flatnonzero(np.diff(offsets) >= length)
-            hashes, spots, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
+            hashes, spots, ends, stretches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0], []
             for i in at.tolist():
                 doc, n = data[offsets[i] : offsets[i + 1]], 0
+                stretches.append([])
                 for lo in range(0, len(doc) - length + 1, PIECE):
-                    h, pos, dlo, dhi = anchors(doc[lo : lo + PIECE + length - 1], length, gram)
+                    piece = doc[lo : lo + PIECE + length - 1]
+                    h, pos, dlo, dhi = anchors(piece, length, gram)
+                    if (h[1:] == h[:-1]).any() and (runs := periodic_runs(piece, h, pos, length)):
+                        h, pos, dlo, dhi = without_runs(h, pos, dlo, dhi, runs, length)
+                        stretches[-1] += [lo + x for run in runs for x in run[:2]]
                     hashes.append(h)
                     spots.append((pos + lo) << 16 | dlo << 8 | dhi)
                     n += len(h)
                 ends.append(ends[-1] + n)
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (hashes, spots)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *lists, pa.array(stretches, longs)], schema=schema)
         K.release()
 
     return run
@@ -113,12 +167,20 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (spot, context) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                c = np.frombuffer(context, np.uint8)
-                w1, w2 = _gram_hashes(c, length), _gram_hashes(c, length, 0x5A)
-                start = (spot >> 16) - (spot & 255) + np.arange(len(w1))
-                own = [np.full(len(w1), batch.column(j)[i].as_py()) for j in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *map(pa.array, own), pa.array(start)], schema=schema)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                contexts = part.column(5).to_pylist()
+                sizes = np.array([len(c) - length + 1 for c in contexts])
+                # contexts end to end; windows that reach into the next one are left out
+                flat = np.frombuffer(b"".join(contexts), np.uint8)
+                begin = np.cumsum(sizes + length - 1) - sizes - length + 1
+                inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = np.repeat(begin, sizes) + inner
+                w1, w2 = (_gram_hashes(flat, length, salt)[at] for salt in (0, 0x5A))
+                spot = part.column(4).to_numpy()
+                start = np.repeat((spot >> 16) - (spot & 255), sizes) + inner
+                own = [pa.array(np.repeat(part.column(j).to_numpy(), sizes)) for j in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), *own, pa.array(start)], schema=schema)
 
     return run
 
@@ -255,6 +317,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gian
     texts with over a thousandth of all rows are broadcast to their join, so that their rows stay where they are. Texts move once for
     documents with repeated anchors, and not at all for the cut if the spans may be broadcast.
 
+    Stretches of a short period, as runs of one byte are, are found in the first pass: each of their windows occurs again a period away, so
+    they go as they are, and the windows of one period stand for the others where texts meet. So a text of megabytes of one byte costs no more than
+    its scan.
+
     Null texts are empty; texts shorter than ``length`` lose nothing unless other strings cover them, which can't be. Repeated rows,
     under one id too, are occurrences like any other, and cost no more than their number. Null ids stay. An empty table gives an empty
     result; other columns are not looked at. ``length`` - ``gram`` must be below 255.
@@ -263,8 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gian
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = ["k1", "k2"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(gram), "text").alias("k2"))
-    marks = materialize(rows.select(*key, "text").mapInArrow(_scan(length, gram), "k1 long, k2 long, hash array<long>, spot array<long>"), "anchors")
-    once = materialize(marks.groupBy(*key).agg(F.count("*").alias("copies"), F.first(F.struct("hash", "spot")).alias("x")).select(*key, "copies", "x.*"), "texts")
+    marks = materialize(rows.select(*key, "text").mapInArrow(_scan(length, gram), "k1 long, k2 long, hash array<long>, spot array<long>, runs array<long>"), "anchors")
+    once = materialize(marks.groupBy(*key).agg(F.count("*").alias("copies"), F.first(F.struct("hash", "spot", "runs")).alias("x")).select(*key, "copies", "x.*"), "texts")
     flat = once.select(*key, "copies", F.explode(F.arrays_zip("hash", "spot")).alias("x")).select(*key, "copies", "x.*")
     counts = materialize(flat.groupBy("hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("c")).where("copies > 1").select("hash", "c"), "hashes")
     total = once.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0))).first()[0]
@@ -283,6 +349,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gian
         again = materialize(windows.groupBy("w1", "w2").agg(F.sum("copies").alias("copies"), F.count("*").alias("c")).where("copies > 1").drop("copies"), "again")
         found = join_hot(windows, again.select("w1", "w2"), ["w1", "w2"], hot_keys(again, windows.count()))
         spans = spans.unionByName(found.select(*key, "start", (F.col("start") + length).alias("end")))
+    own = once.where("size(runs) > 0").select(*key, F.explode(F.expr("transform(sequence(0, size(runs) div 2 - 1), i -> named_struct('start', runs[2 * i], 'end', runs[2 * i + 1]))")).alias("r"))
+    spans = spans.unionByName(own.select(*key, "r.start", "r.end"))
     merged = spans.groupBy(*key).agg(F.collect_list("start").alias("a"), F.collect_list("end").alias("b")).mapInArrow(_merge, "k1 long, k2 long, spans array<long>")
     merged = materialize(merged, "spans")
     n, size = merged.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()

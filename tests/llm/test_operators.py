@@ -96,6 +96,37 @@ def test_repeats_brute(spark, odd, giant):
     assert Counter(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("giant", [50_000, 2])
+def test_repeats_of_periodic_texts(spark, giant):
+    """Runs of many periods, alone, between other bytes, shorter and longer than a window and a period, some of which other texts share."""
+    r = np.random.default_rng(8)
+    letters = list("abcdef")
+    words = {p: "".join(r.choice(letters, p)) for p in (1, 2, 3, 7, 64, 136, 137, 150, 199, 200, 201)}
+    noise = lambda n: "".join(r.choice(list("ghijklmnop "), n))
+    texts = ["a" * 5000, noise(150) + "a" * 201 + noise(150), noise(90) + "a" * 200 + noise(90), "b" * 199, "b" * 201 + noise(10)]
+    texts += [noise(77) + (w * 2000)[: int(n)] + noise(60) for p, w in words.items() for n in (200, 200 + p - 1, 200 + p, 900)]
+    texts += [(words[3] * 200)[:400] + (words[7] * 200)[:500] + (words[3] * 200)[1:330], "xyz" + texts[9][50:300], None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = Counter(t[i : i + 200] for _, t in rows for i in range(len(t or "") - 199))
+    want = {}
+    for i, t in rows:
+        m = np.zeros(len(t or ""), bool)
+        for k in range(len(m) - 199):
+            m[k : k + 200] |= seen[t[k : k + 200]] > 1
+        want[i] = (int(m.sum()), hashlib.sha256(np.frombuffer((t or "").encode(), np.uint8)[~m].tobytes()).hexdigest())
+    assert {x.doc_id: (x.n_removed, x.kept_sha256) for x in remove_repeats(df, giant=giant).collect()} == want
+
+
+def test_repeats_of_megabytes_of_one_byte(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "a" * 2_000_000), (2, "ab" * 1_000_000), (3, "c" + "a" * 250 + "d"), (4, "short")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in remove_repeats(df).collect()}
+    assert got == {1: (2_000_000, 2_000_000, 1), 2: (2_000_000, 2_000_000, 1), 3: (252, 250, 1), 4: (5, 0, 0)} and time.perf_counter() - began < 60
+
+
 def test_deep_shallow_sorts():
     r = np.random.default_rng(2)
     m = r.integers(0, 2, (400, 40)).astype(np.uint8)
@@ -144,6 +175,16 @@ def test_shards_brute(spark, tmp_path):
     assert len(loads) == 5 and loads.max() < 1.01 * loads.mean() and sum(new[v] == 4 for v in moved) > 0.8 * len(moved) and len(moved) < 0.4 * len(old)
 
 
+@pytest.mark.parametrize("hot_id", [None, 7])
+def test_shards_of_a_hot_text_without_ids_of_its_own(spark, hot_id):
+    """Half of all rows have one text, and one id or none: shards stay within a percent, and slots have no gaps."""
+    rows = [(hot_id, "the same words in every row of this group " * 3)] * 3000 + [(100 + i, f"text {i} " * (i % 30)) for i in range(3000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=8).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() < 1.01 * loads.mean() and loads.min() > 0.99 * loads.mean()
+    assert got[got["size"] == 127].groupby("vslot").size().max() < 10 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_mix(spark, odd):
     df, _ = odd
     got = mix_sources(df).toPandas()
@@ -190,6 +231,23 @@ def test_packing_round_trip(spark, odd):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_packed_matrices_are_written_and_read_back(spark, odd, tmp_path):
+    """Ids, cumulative lengths and position resets from the written matrices give every document's ids, and positions from 0 in each segment."""
+    from lumenvec.llm.packing import position_ids, read_packed, write_packed
+
+    df, rows = odd
+    write_packed(pack_documents(df, row_tokens=128), str(tmp_path / "packed"))
+    e, pieces = Encoder(open(TOKENIZER, "rb").read()), {}
+    for r in read_packed(spark, str(tmp_path / "packed")).collect():
+        ids, places = np.frombuffer(r.input_ids, "<u2"), position_ids(np.array(r.cu_seqlens), 128)
+        assert len(ids) == len(places) == 128 and (places[list(r.position_resets)] == 0).all() and r.cu_seqlens[-1] == r.n_tokens
+        for k, piece, a, b in zip(r.doc_rows, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
+            assert places[a:b].tolist() == list(range(b - a))
+            pieces[k, piece] = ids[a:b].tolist()
+    docs = Counter(tuple(x for p in sorted(p for k2, p in pieces if k2 == k) for x in pieces[k, p]) for k in {k for k, _ in pieces})
+    assert docs == Counter(ids for r in rows if (ids := tuple(e.encoding.encode_ordinary(r[1] or ""))))
+
+
 def test_best_fit_decreasing_brute():
     """Each piece, longest first, goes to the open row with the least room that is enough."""
     r = np.random.default_rng(12)
@@ -318,14 +376,31 @@ def test_chat_bounds_parts_and_equals_its_sql(spark):
     rows = [(1, i, ["ann", "bob", "ce c"][i % 3], f"t{i}") for i in range(600)] + [(1, None, ["ann", None][i % 2], f"n{i}") for i in range(3000)] + [(2, 5, "ann", "same")] * 2500
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = rotate_perspectives(turns).withColumn("mask", F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["from"], s["to"])), ";")).toPandas()
-    assert out.n_turns.max() < 1300 and out[out.conv_id == 2].n_turns.sum() == 2500
+    assert out.n_turns.max() == 1024 and out[out.conv_id == 2].n_turns.sum() == 2500
     con = duckdb.connect()
     con.register("conversations", turns.toPandas().astype({"turn": "Int64"}))
     want = con.execute(ORACLE_SQL["op1_chat"]).df()
-    cols = ["conv_id", "perspective", "part", "section", "n_turns", "rendered", "mask"]
+    cols = ["conv_id", "perspective", "part", "first_message", "n_turns", "n_messages", "rendered", "mask"]
     assert sorted(map(str, out[cols].fillna("-").values.tolist())) == sorted(map(str, want[cols].fillna("-").values.tolist()))
 
 
+@pytest.mark.parametrize("part", [1, 7, 100, 5000])
+def test_chat_parts_are_the_whole_dialogue(spark, part):
+    """Parts end to end, masks shifted, are one rendering, in the order of turn, role and text; over several tasks too."""
+    rows = [(1, i // 3 if i % 5 else None, ["ann", "bob", None, "system"][i % 4], f"t{i * 7919 % 600:03d}") for i in range(600)] + [(None, 1, "x", "y"), (3, 1, "ann", "one"), (3, 1, "ann", "one")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = rotate_perspectives(turns, part_messages=part).toPandas()
+    ordered = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+    for who in ("ann", "bob", None):
+        mine = out[(out.conv_id == 1) & (out.perspective.isna() if who is None else out.perspective == who)].sort_values("part")
+        assert mine.first_message.tolist() == [part * k for k in range(-(-600 // part))] == (mine.n_turns.cumsum() - mine.n_turns).tolist() and set(mine.n_messages) == {600}
+        heads = [("<|assistant|>" if r[2] == who else "<|system|>" if r[2] == "system" else "<|user|>" if r[2] is None else f"<|user:{r[2]}|>") + "\n" for r in ordered]
+        assert "".join(mine.rendered) == "".join(h + r[3] + "<|end|>\n" for h, r in zip(heads, ordered, strict=True))
+        shifts = (mine.rendered.str.len().cumsum() - mine.rendered.str.len()).tolist()
+        whole = "".join(mine.rendered)
+        assert [whole[a + n : b + n] for n, spans in zip(shifts, mine["mask"], strict=True) for a, b in spans] == [r[3] + "<|end|>\n" for r in ordered if r[2] == who]
+
+
 #: Held-out toxic rows of sf0.1 that must be found, and clean ones that may be called toxic, as shares.
 RECALL, ALARMS = 0.9, 0.01
 
@@ -342,6 +417,25 @@ def test_toxicity_sample_is_bounded(spark):
     assert sample(docs.limit(0), labels).count() == 0 and train(docs, labels.limit(0))[1:] == ({}, 0.5)
 
 
+def test_toxicity_sample_leaves_one_long_text_out(spark):
+    """A text of over an eighth of the bound doesn't end the sample."""
+    docs = spark.createDataFrame([(i, "word " * (5000 if i % 10 == 0 else 10), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = sample(docs, labels, most_bytes=20_000).toPandas()
+    assert len(got) > 100 and got.text.str.len().max() == 50
+
+
+def test_neighbours_of_an_id_with_two_vectors(spark):
+    """Rows that share an id count as one candidate and one query."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(120, 8))
+    rows = [(i, v[i].tolist()) for i in range(120)] + [(i, (v[50] + 0.01 * r.normal(size=8)).tolist()) for i in (26, 50, 50, 99)] + [(26, v[26].tolist())]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert set(got.query_id) == {0, 50, 100}
+    for q, g in got.groupby("query_id"):
+        assert len(g) == g.vec_id.nunique() == 5 and q not in set(g.vec_id) and sorted(g["rank"]) == [1, 2, 3, 4, 5]
+
+
 def test_toxicity(spark, odd):
     df, _ = odd
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

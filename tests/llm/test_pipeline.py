@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenvec.llm.decontaminate import find_leaks
@@ -80,3 +81,15 @@ def test_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_columns_of_odd_names(spark, folder):
+    """Names with spaces, dots and colons, and those that the stages use themselves, come through every stage but the last."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("a b", "a.b", "x:y", "__row", "__all", "row", "score", "place", "__component"):
+        docs = docs.withColumn(name, F.lit(f"kept {name}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert [tuple(r) for r in out.select(*[f"`{c}`" for c in docs.columns[-9:]]).distinct().collect()] == [tuple(f"kept {c}" for c in docs.columns[-9:])]
+    assert corpus_pipeline.packing(spark, docs, folder).count() > 0
