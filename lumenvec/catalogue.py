@@ -149,7 +149,6 @@ def _(spark, d):
 _sql("ag01_counts", "select l_returnflag, count(*) as n, cast(count_if(l_discount > 0.05) as bigint) as big from lineitem group by l_returnflag")
 _sql("ag02_sum_avg_min_max", "select l_linestatus, round(sum(l_quantity), 4) as s, round(avg(l_extendedprice), 4) as m, min(l_shipdate) as lo, max(l_tax) as hi from lineitem group by l_linestatus")
 _sql("ag03_stddev", "select event_type, round(stddev_pop(value), 6) as sd from events group by event_type")
-_sql("ag04_quantiles", "select event_type, round(QUANT[value;0.01], 6) as p01, round(QUANT[value;0.5], 6) as p50, round(QUANT[value;0.99], 6) as p99 from events group by event_type")
 _sql("ag05_count_distinct", "select count(distinct user_id) as users, count(distinct event_type) as types from events")
 _sql("ag06_distinct", "select distinct lang, source from documents")
 _sql("ag07_any", "select o_custkey, min(o_orderpriority) as p from orders group by o_custkey")
@@ -157,9 +156,7 @@ _sql("ag08_arg_max", "select o_custkey, max_by(o_orderkey, o_totalprice) as best
 _sql("ag09_latest_version", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1")
 _sql("ag10_summing", "select l_partkey, cast(sum(l_linenumber) as bigint) as n from (select l_partkey, l_linenumber from lineitem union all select p_partkey, 1 from part) t group by l_partkey")
 _sql("ag13_having", "select lang, count(*) as n from documents group by lang having count(*) > 110")
-_sql("ag14_two_level", "select round(QUANT[n;0.9], 6) as q from (select user_id, cast(count(*) as double) as n from events group by user_id) t")
 _sql("ag15_average_of_metric", "select o_orderpriority, round(avg(n), 6) as m from (select o_orderpriority, o_custkey, count(*) as n from orders group by 1, 2) t group by o_orderpriority")
-_sql("ag17_size_survey", "select source, round(avg(n_chars), 4) as mean, round(QUANT[cast(n_chars as double);0.5], 4) as median, max(case when rn = greatest(1, cast(floor(0.9e0 * n) as bigint)) then n_chars end) as p90, max(n_chars) as most, round(100e0 * count(n_chars) / max(total), 4) as coverage from (select source, n_chars, row_number() over (partition by source order by n_chars) as rn, count(*) over (partition by source) as n, t.total from documents cross join (select count(*) as total from documents) t) x group by source")
 _sql("ag18_best_by_priority", "select conv_id, role, turn from (select *, row_number() over (partition by conv_id order by case role when 'system' then 0 when 'assistant' then 1 else 2 end, turn) as rn from conversations) t where rn = 1")
 _sql("ag22_most_common", "select event_type, count(*) as n from events group by event_type order by n desc, event_type limit 3")
 
@@ -379,10 +376,6 @@ def _(spark, d):
     return spark.range(1024).withColumnRenamed("id", "pos").join(g, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("z", F.lit(0.0)), 6).alias("z"))
 
 
-_sql("mp03_representative", "select HASH[vec_id] % 50 as cell, min_by(vec_id, HASH[vec_id] * 1000000 + vec_id) as key from embeddings group by 1")
-_sql("mp05_render_constants", "select min(value) as lo, max(value) as hi, round((min(value) + max(value)) / 2, 6) as centre from events")
-_sql("mp08_quantile_hue", "select event_id, round(greatest(0e0, least(1e0, (value - lo) / (hi - lo))), 6) as hue from events cross join (select QUANT[value;0.01] as lo, QUANT[value;0.99] as hi from events) s")
-_sql("mp09_edge_clamp", "select round(100e0 * count_if(value <= lo or value >= hi) / count(*), 6) as pct from events cross join (select QUANT[value;0.001] as lo, QUANT[value;0.999] as hi from events) s")
 
 # Models and evaluation
 _sql("ml11_majority", "select label, count(*) as n from embeddings group by label order by n desc, label limit 1")

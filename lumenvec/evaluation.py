@@ -293,14 +293,6 @@ def _(spark, d):
     return search.pareto(reduce(lambda a, b: a.unionByName(b), runs), "bytes", "recall")
 
 
-@_df("rp17_drift", "select dims, round(avg(c), 6) as mean, round(quantile_cont(c, 0.5), 6) as median, round(quantile_cont(c, 0.1), 6) as p10 from (" + " union all ".join(f"select {n} as dims, list_inner_product(e[1:{n}], e[1:{n}]) / sqrt(list_inner_product(e[1:{n}], e[1:{n}]) * list_inner_product(e, e)) as c from (select cast(embedding as double[]) as e from embeddings) t" for n in (16, 32, 48)) + ") u group by dims")
-def _(spark, d):
-    """The cosine between a vector and its cut to fewer coordinates, the rest zero, by their number."""
-    e = _table(spark, d, "embeddings").select(vec.doubles(F.col("embedding")).alias("e")).withColumn("n", vec.norm(F.col("e")))
-    cosines = reduce(lambda a, b: a.unionByName(b), [e.select(F.lit(k).alias("dims"), (vec.norm(F.slice("e", 1, k)) / F.col("n")).alias("c")) for k in (16, 32, 48)])
-    return cosines.groupBy("dims").agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.percentile("c", 0.5), 6).alias("median"), F.round(F.percentile("c", 0.1), 6).alias("p10"))
-
-
 # Reports around one query
 _ONE = "v as (select vec_id, cast(embedding as double[]) as e from embeddings), q as (select e as r from v where vec_id = 0)"
 

@@ -146,13 +146,6 @@ _sql("se05_candidates_keyword", f"with {_PAIRS1}, c as (select key, pairs.dist a
 _MAP = f"with {_V}, m as (select vec_id, label, SUM[PART[e;1;32]] as x, SUM[PART[e;33;32]] as y from v)"
 _sql("se07_nearest_point", f"{_MAP} select vec_id, label from m where x between -2 and 2 and y between -2 and 2 order by x * x + y * y, vec_id limit 1")
 
-@_df("se13_paired_similarity", f"select round(avg(c), 6) as m, round(min(c), 6) as lo, round(max(c), 6) as hi, round(quantile_cont(c, 0.1), 6) as p10 from (select 1 - list_cosine_distance(cast(embedding as double[]), list_transform(cast(embedding as double[]), lambda x: {_cut(9)})) as c from embeddings) t")
-def _(spark, d):
-    """The drift of a representation from another of the same rows (RP-17 asks the same)."""
-    c = _table(spark, d, "embeddings").select((1 - vec.cosine_distance(F.col("embedding"), vec.to_bf16(F.col("embedding"), 9))).alias("c"))
-    return c.agg(F.round(F.avg("c"), 6).alias("m"), F.round(F.min("c"), 6).alias("lo"), F.round(F.max("c"), 6).alias("hi"), F.round(F.percentile("c", 0.1), 6).alias("p10"))
-
-
 # Representation studies
 
 
@@ -172,8 +165,6 @@ _sql("ml06_standardize", f"with {_LONG}, m as (select i, avg(x) as mu, stddev_po
 
 # Maps and colours
 _DENSE = f"{_MAP}, c as (select cast(floor(greatest(0e0, least(0.999999e0, (x + 4) / 8)) * 32) as bigint) * 32 + cast(floor(greatest(0e0, least(0.999999e0, (y + 4) / 8)) * 32) as bigint) as pos, label from m), g as (select pos, count(*) as n, avg(label) as z from c group by pos)"
-_sql("mp06_density_quantile", f"{_DENSE} select round(QUANT[cast(n as double);0.99], 6) as q from g")
-_sql("mp07_projected_density", f"{_MAP} select cast(floor(greatest(0e0, least(1e0, x * 0.35 + 0.5)) * 1023) as bigint) as cell, count(*) as n from m group by 1")
 _A, _B = "(0.09e0 * cos(z / 10e0 * 2 * pi()))", "(0.09e0 * sin(z / 10e0 * 2 * pi()))"
 _CONES = [f"pow({p} * l + {q} * {_A} + {r} * {_B}, 3)" for p, q, r in colour.LAB_TO_CONES]
 _LIGHT = [f"greatest(0e0, least(1e0, {p} * c0 + {q} * c1 + {r} * c2))" for p, q, r in colour.CONES_TO_RGB]
