@@ -99,7 +99,6 @@ _sql("pf01_project", "select p_partkey, p_size * 2 + 1 as twice, p_retailprice /
 _sql("pf02_where", "select c_custkey from customer where (c_acctbal > 0 and c_mktsegment <> 'BUILDING') or not c_nationkey < 20")
 _sql("pf03_like_chain", "select page_id from pages where url like '%spam%' or url like '%cheap%' or url like '%/de/%' or url like '%casino%'")
 _sql("pf04_ilike", "select doc_id from documents where text ilike '%THE %' and text not ilike '%idiot%'")
-_sql("pf05_in_not_in", "select o_orderkey from orders where o_orderstatus in ('O', 'P') and o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
 _sql("pf06_not_empty", "select conv_id, turn from conversations where text <> '' and length(role) > 4")
 _sql("pf07_starts_with", "select page_id, url from pages where left(url, 8) = 'https://'")
 _sql("pf08_match", "select doc_id from documents where RLIKE[text;(and|the) th.*ing]")
@@ -285,10 +284,19 @@ def _(spark, d):
 
 @_df("tx04_top_words", f"{_IDF}, w as (select distinct doc_id, unnest({_TOKENS}) as token from documents), r as (select doc_id, w.token, row_number() over (partition by doc_id order by round(idf, 9) desc, w.token) as rn from w join idf on w.token = idf.token where cnt >= 20) select doc_id, rn as rank, token from r where rn <= 5")
 def _(spark, d):
-    docs = _table(spark, d, "documents")
-    idf = _idf(docs, 20)
+    """Texts are parted into tokens once and written; both their counts and the words of each document come from that."""
+    from lumenvec.exchange import scratch
+
+    path = scratch(spark, "tokens")
+    _table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("tokens")).write.parquet(path)
+    held = spark.read.parquet(path)
+    total = held.agg(F.sum(F.when(F.col("tokens").isNotNull(), F.size("tokens")))).first()[0] or 0
+    counts = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    counts.where("cnt >= 20").select("token", F.log(F.lit(float(total)) / F.col("cnt")).alias("idf")).write.parquet(f"{path}-idf")
+    words = held.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    idf = spark.read.parquet(f"{path}-idf")
     idf = F.broadcast(idf) if idf.count() <= LOOKUP_ROWS else idf  # counted; then tokens stay where their documents are
-    words = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token")).join(idf, "token")
+    words = words.join(idf, "token")
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("idf", 9)), "token")
     return words.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "rank", "token")
 
@@ -377,6 +385,18 @@ def _(spark, d):
 
 
 
+@_df("pf05_in_not_in", "select o_orderkey from orders where o_orderstatus in ('O', 'P') and o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+def _(spark, d):
+    """NOT IN spelled out: nothing if the list has a null, all rows if it is empty, else the rows whose key isn't null and isn't in it."""
+    listed = _table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
+    n, nulls = listed.agg(F.count("*"), F.count_if(F.col("c_custkey").isNull())).first()
+    orders = _table(spark, d, "orders").where("o_orderstatus in ('O', 'P')")
+    if not n:
+        return orders.select("o_orderkey")
+    kept = orders.where("o_custkey is not null").join(listed, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+    return kept.where(F.lit(not nulls))
+
+
 # Models and evaluation
 _sql("ml11_majority", "select label, count(*) as n from embeddings group by label order by n desc, label limit 1")
 _sql("ml14_weak_labels", "select page_id, case when url like '%spam%' or url like '%pills%' then 1 else 0 end as y from pages where url like '%spam%' or url like '%pills%' or HASH[page_id] % 4 = 0")
@@ -397,7 +417,8 @@ def _(spark, d):
     means = e.select("label", F.posexplode(vec.doubles(F.col("embedding"))).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     c = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select(F.col("label").alias("guess"), F.transform("s", lambda t: t["x"]).alias("c"))
     w = Window.partitionBy("vec_id").orderBy("dist", "guess")
-    s = e.crossJoin(F.broadcast(c)).select("vec_id", "label", "guess", F.round(vec.cosine_distance(F.col("embedding"), F.col("c")), 12).alias("dist"))
+    c = F.broadcast(c) if c.count() <= LOOKUP_ROWS else c  # a row per label
+    s = e.crossJoin(c).select("vec_id", "label", "guess", F.round(vec.cosine_distance(F.col("embedding"), F.col("c")), 12).alias("dist"))
     return s.withColumn("rn", F.row_number().over(w)).where("rn = 1").agg(F.round(F.avg((F.col("label") == F.col("guess")).cast("double")), 6).alias("acc"))
 
 

@@ -87,14 +87,6 @@ def _(spark, d):
 _PAIRED = f"pairs as (select q.vec_id as qid, p.vec_id as key, list_cosine_distance(cast(p.embedding as double[]), cast(q.embedding as double[])) as dist from embeddings p, embeddings q where {ASKED.replace('vec_id', 'q.vec_id')} and p.vec_id <> q.vec_id), truth as (select *, row_number() over (partition by qid order by dist, key) as t from pairs)"
 
 
-@_df("rp04_exactness_control", f"with {_PAIRED}, again as (select qid, key, row_number() over (partition by qid order by t) as r from truth where t <= 50) select round(avg(h), 6) as recall, bool_and(h = 1) as passes from (select qid, count_if(coalesce(r, 99) <= 10) / 10e0 as h from truth left join again using (qid, key) where t <= 10 group by qid) x")
-def _(spark, d):
-    """The two stages with whole vectors in place of codes: fewer candidates than rows, and recall must be 1."""
-    pool, asked = _pool(spark, d), _asked(spark, d)
-    recall = search.recall(search.two_stage(pool, asked, 10, 5, search.distances), search.exact(pool, asked, 10), 10)
-    return recall.select("recall", (F.col("recall") == 1).alias("passes"))
-
-
 @_df("rp01_truth", f"with {_PAIRED} select qid, list(key order by t) filter (t <= 10) as truth10, list(key order by t) filter (t <= 100) as truth100 from truth group by qid")
 def _(spark, d):
     """Queries with their true neighbours, nearest first."""
@@ -297,13 +289,13 @@ def _(spark, d):
 _ONE = "v as (select vec_id, cast(embedding as double[]) as e from embeddings), q as (select e as r from v where vec_id = 0)"
 
 
-@_df("se06_filtered", f"with {_ONE}, d as (" + " union all ".join(f"select {b} as bits, vec_id as key, round(list_cosine_distance(list_transform(e, lambda x: {_cut(b)}), r), 9) as d from v cross join q where vec_id <> 0" for b in (16, 8, 4)) + "), s as (select bits, key, d, row_number() over (partition by bits order by case when isnan(d) or d is null then 2e0 else d end, key) as rank from d join documents on doc_id = key where text not ilike '%idiot%') select bits, key, cast(rank as integer) as rank from s where rank <= 5")
+@_df("se06_filtered", f"with {_ONE}, d as (" + " union all ".join(f"select {b} as bits, vec_id as key, round(list_cosine_distance(list_transform(e, lambda x: {_cut(b)}), r), 9) as d from v cross join q where vec_id <> 0" for b in (16, 8, 4, 2, 1)) + "), s as (select bits, key, d, row_number() over (partition by bits order by case when isnan(d) or d is null then 2e0 else d end, key) as rank from d join documents on doc_id = key where text not ilike '%idiot%') select bits, key, cast(rank as integer) as rank from s where rank <= 5")
 def _(spark, d):
     """The nearest of the vectors whose text passes a filter, by the bits that vectors are cut to; the filter comes first."""
     fine = _table(spark, d, "documents").where("text not ilike '%idiot%'").select(F.col("doc_id").alias("key"))
     pool = _pool(spark, d).join(fine, "key", "left_semi")
     one = _pool(spark, d).where("key = 0").select(F.col("key").alias("qid"), F.col("vec").alias("ref"))
-    runs = [search.truncated(pool, one, 5, vec.to_bf16(F.col("vec"), b), DIM, 9).select(F.lit(b).alias("bits"), "key", "rank") for b in (16, 8, 4)]
+    runs = [search.truncated(pool, one, 5, vec.to_bf16(F.col("vec"), b), DIM, 9).select(F.lit(b).alias("bits"), "key", "rank") for b in (16, 8, 4, 2, 1)]
     return reduce(lambda a, b: a.unionByName(b), runs)
 
 

@@ -187,7 +187,6 @@ def _(spark, d):
 
 
 # Text
-_sql("tx01_corpus", "select doc_id, trim(concat(lang, ' ', text)) as doc, HASH[doc_id] % 512 as shard from documents where text <> '' and source is not null")
 _sql("tx05_truncate", "select doc_id, concat('query: ', substr(text, 1, 8000)) as t from documents")
 _sql("tx06_last_turn", "select conv_id, concat(role, chr(10), text) as t from (select *, row_number() over (partition by conv_id order by turn desc, text) as rn from conversations) x where rn = 1")
 
