@@ -173,3 +173,84 @@ reach(doc_id, c) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT e.b, r.c FROM
 SELECT s.doc_id, s.n AS n_shingles, min(r.c) AS component_id, s.doc_id = min(r.c) AS kept
 FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
 """
+
+#: DuckDB SQL: a column ``t`` with the table of CRC-32, made by its rule, and the CRC-32 of a text ``{s}`` by that table.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_BYTES = "flatten(list_transform(string_split({s}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [cast(unicode(x) AS BIGINT)] ELSE [cast(192 + (unicode(x) >> 6) AS BIGINT), cast(128 + (unicode(x) & 63) AS BIGINT)] END))"
+_CRC = "xor(list_reduce(list_prepend(cast(4294967295 AS BIGINT), " + _BYTES + "), lambda c, b: xor(t[cast((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)), cast(4294967295 AS BIGINT))"
+
+#: Costs from each state before a row, from those behind it (``a``) and the row's initial and fault; then with insertions before it.
+_HERE = [f"least(3 + a.c{q}, CASE WHEN fault < 2 THEN 2 + fault + a.c{n} ELSE 99999999 END, CASE WHEN fault < 2 AND ({keep}) THEN fault + CASE initial {whens} END ELSE 99999999 END)" for q, n, keep, whens in (
+    (0, 2, "initial IN ('s', 'u')", "WHEN 's' THEN a.c1 WHEN 'u' THEN a.c2"), (1, 2, "initial = 'u'", "WHEN 'u' THEN a.c2"), (2, 3, "initial = 'a'", "WHEN 'a' THEN a.c3"), (3, 2, "initial = 'u'", "WHEN 'u' THEN a.c2"))]
+
+ORACLE_SQL["op12_repair"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(s="concat(coalesce(cast(conv_id AS VARCHAR), ' '), ':', coalesce(cast(turn AS VARCHAR), ' '))")} % 20 AS kind
+  FROM conversations, {_CRC_TABLE} tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE kind <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+placed AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN body = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault
+  FROM numbered),
+sums AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate,
+         count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (i > 1 AND concat(before, initial) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM placed GROUP BY conv_id),
+behind(conv_id, i, c0, c1, c2, c3) AS (
+  SELECT conv_id, n + 1, 0, 4, 2, 0 FROM sums
+  UNION ALL
+  SELECT conv_id, i, least(h0, 2 + h2, 4 + h3), least(h1, 2 + h2, 4 + h3), least(h2, 2 + h3), least(h3, 2 + h2)
+  FROM (SELECT r.conv_id, r.i, {", ".join(f"{h} AS h{q}" for q, h in enumerate(_HERE))} FROM behind a JOIN placed r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.i - 1) t),
+costs AS (SELECT b.conv_id, b.i, [b.c0, b.c1, b.c2, b.c3] AS c, [a.c0, a.c1, a.c2, a.c3] AS a FROM behind b LEFT JOIN behind a ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND a.i = b.i + 1),
+steps AS (
+  SELECT c.conv_id, c.i, c.c, c.a, p.role, p.text, p.initial, p.fault, p.i IS NULL AS over FROM costs c LEFT JOIN placed p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.i),
+walk(conv_id, i, q, audit, lines, done) AS (
+  SELECT conv_id, cast(1 AS BIGINT), 0, '', cast([] AS VARCHAR[]), false FROM sums
+  UNION ALL
+  SELECT conv_id, CASE WHEN act IN ('D', 'K', 'R') THEN i + 1 ELSE i END,
+         CASE act WHEN 'D' THEN q WHEN 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN '' THEN q ELSE CASE WHEN q = 2 THEN 3 ELSE 2 END END,
+         audit || act,
+         CASE act WHEN 'K' THEN list_append(lines, concat(role, ':', text)) WHEN 'R' THEN list_append(lines, concat(CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END, text))
+                  WHEN 'I' THEN list_append(lines, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END) ELSE lines END,
+         act = ''
+  FROM (SELECT w.*, s.role, s.text, s.initial,
+               CASE WHEN s.over THEN CASE WHEN w.q IN (0, 3) THEN '' ELSE 'I' END
+                    WHEN 3 + s.a[w.q + 1] = s.c[w.q + 1] THEN 'D'
+                    WHEN 2 + s.c[CASE WHEN w.q = 2 THEN 4 ELSE 3 END] = s.c[w.q + 1] THEN 'I'
+                    WHEN s.fault < 2 AND ((w.q = 0 AND s.initial = 's' AND s.fault + s.a[2] = s.c[w.q + 1]) OR (w.q IN (0, 1, 3) AND s.initial = 'u' AND s.fault + s.a[3] = s.c[w.q + 1])
+                         OR (w.q = 2 AND s.initial = 'a' AND s.fault + s.a[4] = s.c[w.q + 1])) THEN 'K' ELSE 'R' END AS act
+        FROM walk w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i WHERE NOT w.done) t),
+repaired AS (SELECT conv_id, audit, array_to_string(lines, chr(10)) AS doc FROM walk WHERE done)
+SELECT o.conv_id, cast(coalesce(s.gaps, 0) AS BIGINT) AS gaps, cast(coalesce(s.blank, 0) AS BIGINT) AS blank, cast(coalesce(s.duplicate, 0) AS BIGINT) AS duplicate, cast(coalesce(s.truncated, 0) AS BIGINT) AS truncated,
+       cast(coalesce(s.illegal, 0) AS BIGINT) AS illegal, cast(coalesce(b.c0, 0) AS BIGINT) AS cost, coalesce(r.audit, '') AS audit, sha256(coalesce(r.doc, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN behind b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 1 LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLE_SQL["op13_variants"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_CRC.format(s="concat(cast(doc_id AS VARCHAR), ':', run)")} AS h FROM counted, {_CRC_TABLE} tab),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, cast(sum(n) AS BIGINT) AS n, length(word) AS size FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+dels AS (SELECT word, n, size, k, concat(substr(word, 1, k - 1), substr(word, k + 1)) AS del FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM words) t),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM dels a JOIN dels b ON a.del = b.del AND a.k = b.k AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM dels a JOIN words b ON a.del = b.word
+  UNION SELECT b.word, a.word, a.n FROM dels a JOIN words b ON a.del = b.word),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS rn FROM near),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word AND b.rn = 1),
+chain(word, here, form) AS (
+  SELECT word, word, form FROM forms
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.form = f.word)
+SELECT f.word, f.form, c.here AS root, f.n, cast(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""
