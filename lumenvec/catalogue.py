@@ -85,7 +85,7 @@ def _df(name: str, sql: str | None = None):
 _sql("sc01_scan", "select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey")
 _sql("sc02_key_range", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey >= 100 and l_orderkey < 900")
 _sql("sc03_keyset_page", "select doc_id, lang from documents where doc_id > 40 order by doc_id limit 25")
-_sql("sc10_numbers", "select n, n * n as square from (select EACH[SERIES[0;99]] as n) t")
+_sql("sc10_numbers", "select n, n * n as square from (select EACH[SERIES[cast(0 as bigint);cast(most as bigint)]] as n from (select count(*) - 1 as most from orders) c) t")
 _sql("sc17_json_path", "select event_id, JSON[props;k] as k, JSON[props;page] as page, length(props) as n from events")
 
 
@@ -435,7 +435,7 @@ def _(spark, d):
 
 # Representation studies
 _sql("rp05_pareto", "select bytes, v, v >= coalesce(max(v) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from (select p_size as bytes, max(p_retailprice) as v from part group by p_size) t")
-_sql("rp10_bytes_per_vector", "select b.n as bits, d.n as dims, INTDIV[b.n * d.n;8] as bytes from (select EACH[SERIES[1;16]] as n) b cross join (select m * 8 as n from (select EACH[SERIES[1;8]] as m) e) d")
+_sql("rp10_bytes_per_vector", "select b.n as bits, d.dims, INTDIV[b.n * d.dims;8] as bytes, INTDIV[b.n * d.dims;8] * d.vectors as total from (select EACH[SERIES[1;16]] as n) b cross join (select LEN[embedding] as dims, count(*) as vectors from embeddings where embedding is not null group by 1) d")
 
 
 @_df("rp07_pivot", "select l_returnflag, cast(count_if(l_linestatus = 'F') as bigint) as \"F\", cast(count_if(l_linestatus = 'O') as bigint) as \"O\" from lineitem group by l_returnflag")

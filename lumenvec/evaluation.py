@@ -202,15 +202,6 @@ def _(spark, d):
     return per.groupBy("k").agg(F.round(F.avg("o"), 6).alias("overlap"), F.round(F.avg(F.when(F.col("k") == 1, F.col("o"))), 6).alias("nearest_match"))
 
 
-@_df("rp15_neighbour_order", f"with {_HALVES}, r as (select qid, rank() over (partition by qid order by round(dist, 12)) as a, rank() over (partition by qid order by round(half, 12)) as b from both_), s as (select qid, corr(a, b) as c from r group by qid) select round(avg(c), 6) as spearman, count(*) as queries from s")
-def _(spark, d):
-    """The mean rank correlation of the orders in which two representations put all vectors around a query."""
-    whole, half = _halved(spark, d)
-    pairs = search.distances(*whole).join(search.distances(*half).withColumnRenamed("dist", "half"), ["qid", "key"])
-    r = pairs.select("qid", *[F.rank().over(Window.partitionBy("qid").orderBy(F.round(c, 12))).alias(n) for c, n in (("dist", "a"), ("half", "b"))])
-    return r.groupBy("qid").agg(F.corr("a", "b").alias("c")).agg(F.round(F.avg("c"), 6).alias("spearman"), F.count("*").alias("queries"))
-
-
 @_df("rp12_rank_correlation", f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings where {ASKED}), p as (select list_cosine_distance(a.e, b.e) as x, list_cosine_distance(a.e[1:32], b.e[1:32]) as y from v a, v b where a.vec_id < b.vec_id), r as (select rank() over (order by round(x, 12)) + (count(*) over (partition by round(x, 12)) - 1) / 2e0 as rx, rank() over (order by round(y, 12)) + (count(*) over (partition by round(y, 12)) - 1) / 2e0 as ry from p) select round(corr(rx, ry), 6) as rsa, count(*) as pairs from r")
 def _(spark, d):
     """Spearman correlation of the upper triangles of two distance matrices of the queries."""
@@ -273,18 +264,6 @@ def _rate_sql(bits: int, dims: int) -> str:
     return f"select {bits} as bits, {dims} as dims, q.vec_id as qid, p.vec_id as key, round(list_cosine_distance(p.v, q.v), 9) as d from (select vec_id, {coded} as v from v) p, (select vec_id, e[1:{dims}] as v from v where {ASKED}) q where p.vec_id <> q.vec_id"
 
 
-@_df("rp18_rate_grid", f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings), {_PAIRED}, cells as ({' union all '.join(_rate_sql(*c) for c in _RATES)}), placed as (select *, row_number() over (partition by bits, dims, qid order by d, key) as c from cells), per as (select bits, dims, qid, count_if(c <= 10 and t <= 10) / 10e0 as r from placed join truth using (qid, key) group by bits, dims, qid), g as (select bits, dims, round(avg(r), 6) as recall, cast(bits * dims // 8 as integer) as bytes from per group by bits, dims) select *, recall >= coalesce(max(recall) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from g")
-def _(spark, d):
-    """Recall at 10 over dimensions and bits of Gaussian codes, with the frontier of bytes."""
-    pool, asked = _pool(spark, d), _asked(spark, d)
-    truth = search.exact(pool, asked, 10)
-    runs = []
-    for bits, dims in _RATES:
-        cut = quant.decode(quant.encode(F.col("vec"), bits, 8.0), bits, 8.0)
-        runs.append(search.recall(search.truncated(pool, asked, 10, cut, dims, 9), truth, 10).select(F.lit(bits).alias("bits"), F.lit(dims).alias("dims"), "recall", F.lit(bits * dims // 8).alias("bytes")))
-    return search.pareto(reduce(lambda a, b: a.unionByName(b), runs), "bytes", "recall")
-
-
 # Reports around one query
 _ONE = "v as (select vec_id, cast(embedding as double[]) as e from embeddings), q as (select e as r from v where vec_id = 0)"
 

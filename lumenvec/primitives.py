@@ -86,7 +86,7 @@ _LONG = "x as (select vec_id, i, cast(AT[embedding;i] as double) as x from embed
 _sql("ml04_topics", f"with {_MODEL}, {_LONG}, z as (select vec_id, c, round(sum(x * w), 9) as z from x join w on x.i = w.i group by vec_id, c), r as (select *, row_number() over (partition by vec_id order by z desc, c) as rn from z) select vec_id, c as topic, round(z, 6) as z from r where rn = 1")
 _sql("ud06_weight_table", f"with w as (select i, ((i % 5) - 2) / 2e0 as w from (select EACH[SERIES[1;64]] as i) s), {_LONG} select vec_id, round(1 / (1 + exp(-(sum(x * w) + 0.1))), 6) as p from x join w on x.i = w.i group by vec_id")
 _sql("ml03_softmax", "with z as (select vec_id, AT[VEC[embedding];1] as a, AT[VEC[embedding];2] as b, AT[VEC[embedding];3] as c from embeddings), m as (select *, greatest(a, b, c) as m from z) select vec_id, round(exp(a - m) / (exp(a - m) + exp(b - m) + exp(c - m)), 6) as pa, round(exp(b - m) / (exp(a - m) + exp(b - m) + exp(c - m)), 6) as pb from m")
-_sql("ud03_table_functions", "select n, word from (select n, EACH[SPLIT[word_list;,]] as word from (select EACH[SERIES[1;5]] as n) a cross join (select 'a,b,c' as word_list) w) t")
+_sql("ud03_table_functions", "select p_partkey, n, word from (select p_partkey, n, EACH[SPLIT[p_name; ]] as word from (select p_partkey, p_name, EACH[SERIES[1;cast(p_size % 3 as int) + 1]] as n from part) a) t")
 
 
 _SPLIT = "e as (select vec_id, label, cast(embedding as double[]) as v, row_number() over (partition by label order by HASH[vec_id], vec_id) <= ceil(0.75e0 * count(*) over (partition by label)) as train from embeddings)"

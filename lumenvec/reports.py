@@ -98,11 +98,6 @@ def _(spark, d):
     return e.where("n > 0").agg(F.round(F.avg(vec.dot(F.col("p"), F.col("p")) / F.col("n")), 6).alias("ratio"), F.count("*").alias("rows"))
 
 
-@_df("ve16_sampled_codebook")
-def _(spark, d):
-    return spark.createDataFrame([(b, i, x) for b in (1, 2, 3, 4, 8) for i, x in enumerate(projections.sampled_codebook(b))], "bits int, code int, level double")
-
-
 _ROWS = {kind: projections.matrix(kind, 4, 64) for kind in projections.KINDS}
 
 

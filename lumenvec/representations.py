@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenvec.catalogue import _PAIRS, ASKED, ORACLE_SQL, _asked, _df, _pool, _table
-from lumenvec.evaluation import _PAIRED, _RATES, DIM, _rate_sql, codes
+from lumenvec.catalogue import ASKED, _asked, _df, _pool, _table
+from lumenvec.evaluation import _HALVES, _PAIRED, _RATES, DIM, _halved, _rate_sql, codes
 from lumenvec.exchange import scratch
 from lumenvec.functions import quant, vec
 from lumenvec.operators import gram, ranks, rotation, search
@@ -141,7 +141,10 @@ def _(spark, d):
 _TRIPLES = "trip as (select bits, dims, round(avg(case when (d0 < d1) = (t0 < t1) then 1e0 else 0e0 end), 6) as triplets from (select bits, dims, qid, key // 2 as pair, max(case when key % 2 = 0 then d end) as d0, max(case when key % 2 = 1 then d end) as d1, max(case when key % 2 = 0 then round(dist, 12) end) as t0, max(case when key % 2 = 1 then round(dist, 12) end) as t1 from cells join truth using (qid, key) group by 1, 2, 3, 4 having count(*) = 2) t group by bits, dims)"
 
 
-@_df("rp18_rate_grid", ORACLE_SQL["rp18_rate_grid"].replace(" select *, recall >=", f", {_TRIPLES} select g.*, triplets, recall >=").replace("as frontier from g", "as frontier from g join trip using (bits, dims)"))
+_RATE_SQL = f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings), {_PAIRED}, cells as ({' union all '.join(_rate_sql(*c) for c in _RATES)}), placed as (select *, row_number() over (partition by bits, dims, qid order by d, key) as c from cells), per as (select bits, dims, qid, count_if(c <= 10 and t <= 10) / 10e0 as r from placed join truth using (qid, key) group by bits, dims, qid), g as (select bits, dims, round(avg(r), 6) as recall, cast(bits * dims // 8 as integer) as bytes from per group by bits, dims) select *, recall >= coalesce(max(recall) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from g"
+
+
+@_df("rp18_rate_grid", _RATE_SQL.replace(" select *, recall >=", f", {_TRIPLES} select g.*, triplets, recall >=").replace("as frontier from g", "as frontier from g join trip using (bits, dims)"))
 def _(spark, d):
     """Recall at 10 and agreement of triplets over dimensions and bits of Gaussian codes, with the frontier of bytes; every pair is met once."""
     pool, asked = _pool(spark, d), _asked(spark, d).withColumn("ref", vec.doubles(F.col("ref")))
@@ -160,6 +163,72 @@ def _(spark, d):
     return search.pareto(F.broadcast(names).join(recall, "cell").join(agreement(met, ["cell"]), "cell").drop("cell"), "bytes", "recall")
 
 
+@_df("rp15_neighbour_order", f"with {_HALVES}, r as (select qid, rank() over (partition by qid order by round(dist, 12)) as a, rank() over (partition by qid order by round(half, 12)) as b from both_), s as (select qid, corr(a, b) as c from r group by qid) select round(avg(c), 6) as spearman, count(*) as queries from s")
+def _(spark, d):
+    """The mean rank correlation of the orders in which two representations put all vectors around a query. Ranks are numbers in ranges of
+    all pairs by query, so no query's pool is one task's; a query's offset changes no correlation."""
+    whole, half = _halved(spark, d)
+    path = scratch(spark, "orders")
+    pairs = search.distances(*whole).join(search.distances(*half).withColumnRenamed("dist", "half"), ["qid", "key"])
+    pairs.select("qid", "key", F.round("dist", 12).alias("a"), F.round("half", 12).alias("b")).write.parquet(path)
+    met = spark.read.parquet(path)
+    for c in "ab":
+        numbered = ranks.row_numbers(met, ["qid", c, "key"], name="__n")
+        met = numbered.drop("__n").join(numbered.groupBy("qid", c).agg(F.min("__n").alias(f"r{c}")), ["qid", c])
+    return met.groupBy("qid").agg(F.corr("ra", "rb").alias("c")).agg(F.round(F.avg("c"), 6).alias("spearman"), F.count("*").alias("queries"))
+
+
+@_df("tk10_rank_by_sort", "select o_orderkey, row_number() over (partition by o_orderstatus order by o_totalprice, o_orderkey) - 1 as r from orders")
+def _(spark, d):
+    """Places within each status, from numbers of the whole table in ranges: three statuses aren't three tasks."""
+    numbered = ranks.row_numbers(_table(spark, d, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey"), ["o_orderstatus", "o_totalprice", "o_orderkey"])
+    firsts = numbered.groupBy(F.col("o_orderstatus").alias("s")).agg(F.min("rn").alias("first"))
+    return numbered.join(firsts, F.col("o_orderstatus").eqNullSafe(F.col("s"))).select("o_orderkey", (F.col("rn") - F.col("first")).alias("r"))
+
+
+def _coded_sql(bits: int) -> str:
+    cuts, levels = quant.gaussian_codebook(bits)
+    return f"select {bits} as bits, code, round(cast({levels} as double[])[code + 1], 9) as level, count(*) as n from (select cast(len(list_filter(cast({cuts} as double[]), lambda t: t <= x * 8)) as integer) as code from (select unnest(cast(embedding as double[])) as x from embeddings) u) t group by code"
+
+
+@_df("ve14_codebook", " union all ".join(_coded_sql(b) for b in (1, 2, 4, 8)))
+def _(spark, d):
+    """The closed-form codebook of 256 levels and those of fewer bits that it contains: which levels the vectors' coordinates use, how often."""
+    e = _table(spark, d, "embeddings").select(vec.doubles(F.col("embedding")).alias("e"))
+    coded = e.select(F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), quant.encode(F.col("e"), b, 8.0).alias("codes")) for b in (1, 2, 4, 8)])).alias("c")).select("c.bits", F.explode("c.codes").alias("code"))
+    levels = F.create_map(*[x for b in (1, 2, 4, 8) for x in (F.lit(b), F.lit(quant.gaussian_codebook(b)[1]))])
+    return coded.groupBy("bits", "code").agg(F.count("*").alias("n")).select("bits", "code", F.round(F.get(levels[F.col("bits")], F.col("code")), 9).alias("level"), "n")
+
+
+#: Cells of the histogram of coordinates, and rounds of fitting.
+HISTOGRAM, ROUNDS = 8192, 40
+
+
+def lloyd_max(values: np.ndarray, counts: np.ndarray, bits: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Levels of least squared error for a weighted list of values in order: each the mean of the values that are nearest to it."""
+    cells = 1 << bits
+    upto = np.cumsum(counts)
+    levels = values[np.searchsorted(upto, (np.arange(cells) + 0.5) / cells * upto[-1])].astype(float)
+    for _ in range(rounds):
+        cell = np.searchsorted((levels[1:] + levels[:-1]) / 2, values, side="right")
+        n = np.bincount(cell, counts, cells)
+        levels = np.where(n > 0, np.bincount(cell, counts * values, cells) / np.maximum(n, 1), levels)
+    return levels
+
+
+@_df("ve16_sampled_codebook")
+def _(spark, d):
+    """Levels of 1, 2, 3, 4 and 8 bits fitted to all coordinates by rounds of nearest levels and means, over a histogram of bounded size."""
+    x = _table(spark, d, "embeddings").select(F.explode(vec.doubles(F.col("embedding"))).alias("x"))
+    lo, hi = x.agg(F.min("x"), F.max("x")).first()
+    if lo is None:
+        return spark.createDataFrame([], "bits int, code int, level double")
+    cell = F.floor((F.col("x") - lo) / max(hi - lo, 1e-300) * (HISTOGRAM - 1))
+    held = x.groupBy(cell.alias("c")).agg(F.avg("x").alias("v"), F.count("*").alias("n")).orderBy("c").collect()  # at most HISTOGRAM rows
+    values, counts = np.array([r["v"] for r in held]), np.array([r["n"] for r in held], float)
+    return spark.createDataFrame([(b, i, float(v)) for b in (1, 2, 3, 4, 8) for i, v in enumerate(lloyd_max(values, counts, b))], "bits int, code int, level double")
+
+
 # Guards
 class PathNotTaken(RuntimeError):
     """A two-stage search that didn't go by its codes."""

@@ -11,7 +11,6 @@ from lumenvec.operators import gram, images, ranks, search
 # Order, joins, scalars
 _sql("tk01_order", "select p_partkey, p_brand from part order by p_brand desc, p_partkey")
 _sql("tk04_last_by_key", "select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) t where rn = 1")
-_sql("tk10_rank_by_sort", "select o_orderkey, row_number() over (partition by o_orderstatus order by o_totalprice, o_orderkey) - 1 as r from orders")
 _sql("ag12_smallest_k", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as rn from orders) t where rn <= 3")
 _sql("ar02_filter", "select vec_id, LEN[FILTER[embedding;x > 0.1]] as n from embeddings")
 _sql("ar04_max", "select doc_id, MAXOF[MAP[SPLIT[text; ];length(x)]] as n from documents")
@@ -76,13 +75,6 @@ _sql("ve17_absmax_int8", f"with {_LONG}, m as (select i, max(abs(x)) as top from
 _sql("ve24_prefix", f"with {_V} select vec_id, round(sqrt(SUM[MAP[PART[e;1;16];x * x]]), 6) as n from v")
 
 
-@_df("ve14_codebook")
-def _(spark, d):
-    """The closed-form codebook of 256 levels and those of fewer bits that it contains."""
-    rows = [(b, i, lo) for b in (1, 2, 4, 8) for i, lo in enumerate(quant.gaussian_codebook(b)[1])]
-    return spark.createDataFrame(rows, "bits int, code int, level double")
-
-
 @_df("ve15_encode", f"select vec_id, cast(list_sum(list_transform(cast(embedding as double[]), lambda x: len(list_filter({quant.gaussian_codebook(4)[0]}, lambda t: t <= x * 8)))) as bigint) as s from embeddings")
 def _(spark, d):
     codes = _table(spark, d, "embeddings").select("vec_id", quant.encode(F.col("embedding"), 4, 8.0).alias("c"))

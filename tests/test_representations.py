@@ -90,3 +90,18 @@ def test_carried_positions(spark):
     axes = np.linalg.eigh(np.cov(m.T))[1][:, ::-1][:, :2]
     mine = fitted.set_index("key").loc[some.key][["x", "y"]].to_numpy()
     assert np.allclose(np.abs(mine), np.abs((m - m.mean(0)) @ axes), atol=1e-6)
+
+
+def test_levels_are_near_the_best(spark):
+    """Lloyd's levels on all coordinates: no level is off the mean of what it stands for, and the error falls with the bits."""
+    x = np.concatenate([r.embedding for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]).astype(float)
+    got = QUERIES["ve16_sampled_codebook"](spark, DATA).toPandas()
+    error = {}
+    for bits, g in got.groupby("bits"):
+        levels = g.sort_values("code").level.to_numpy()
+        assert len(levels) == 1 << bits and (np.diff(levels) >= 0).all()
+        cell = np.searchsorted((levels[1:] + levels[:-1]) / 2, x)
+        error[bits] = np.mean((x - levels[cell]) ** 2)
+        means = np.array([x[cell == k].mean() if (cell == k).any() else levels[k] for k in range(len(levels))])
+        assert np.abs(means - levels).max() < 0.01
+    assert error[1] > error[2] > error[3] > error[4] > error[8] and abs(error[1] / x.var() - 0.363) < 0.03
