@@ -19,7 +19,9 @@ _PUNCTUATION = "!\"#$&'()*+-;<=>?@[\\]^_`{|}~«»“”‘’–—…¿¡·•\
 _NUMERIC_MARKS = ".,:/%€£"
 #: Private-use characters that mark numbers, names and units, and that join the parts of one value; a text's own are blanked first.
 NUMBER, NAME, UNIT, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
-_CAPITALS = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isupper() and len(chr(c).lower()) == 1)
+#: Capitals of the Latin, Greek, Cyrillic, Armenian and Georgian blocks and their extensions, and a final sigma, with what they are folded to.
+_FOLDED = {chr(c): chr(c).lower() for a, b in ((0x41, 0x588), (0x10A0, 0x1100), (0x1E00, 0x2000)) for c in range(a, b) if chr(c).isupper() and len(chr(c).lower()) == 1} | {"\u03c2": "\u03c3"}
+_CAPITALS, _SMALL = "".join(_FOLDED), "".join(_FOLDED.values())
 
 
 def _blank(c: Column, chars: str) -> Column:
@@ -27,8 +29,8 @@ def _blank(c: Column, chars: str) -> Column:
 
 
 def _plain(c: Column, chars: str) -> Column:
-    """Punctuation as spaces and Latin capitals as small letters, in one pass."""
-    return F.translate(c, chars + _CAPITALS, " " * len(chars) + _CAPITALS.lower())
+    """Punctuation as spaces and capitals as small letters, in one pass."""
+    return F.translate(c, chars + _CAPITALS, " " * len(chars) + _SMALL)
 
 
 def _unmarked(text: Column) -> Column:
@@ -40,7 +42,7 @@ def _unmarked(text: Column) -> Column:
 def readings(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with a row for each reading of a text: ``template``, ``t`` (tokens) and ``shown`` (the same with slots as placeholders).
 
-    The literal reading has the lower-case words (Latin letters); punctuation parts words. The template reading has a mark before slots:
+    The literal reading has the lower-case words (``_FOLDED``); punctuation parts words. The template reading has a mark before slots:
     ``NUMBER``, ``UNIT`` (behind a number) and ``NAME``; there is none if a text has no slot. A capitalised word is a name wherever it
     stands, behind a quote, a bracket, a line break or at the start of a sentence too; document and item are read alike. Names one behind
     the other are one slot, and so are numbers. Null has no tokens. Each step is a column of its own, so that it is computed once.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenvec.llm.common import hot_keys, join_hot, lower_ascii, materialize, maybe_broadcast
 
+#: Copies of one row that are made in one task.
+COPIES = 10_000
 #: URLs of one sweep at about most, unless the rules of one host are more.
 SWEEP_ROWS = 4096
 #: Hosts of a range of keys at about most, and the hashed sample of keys that the ranges are cut at.
@@ -83,7 +85,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     with many URLs is swept in several salted runs, each with that host's rules, so no host meets in one task. Stacks are made once, from
     the rules alone, by joining each rule with those whose host or path begins its own. All is native SQL.
 
-    Null URLs have an empty host and path and the default verdict. Repeated rows give repeated rows. Empty tables of pages or rules are
+    Null URLs have an empty host and path and the default verdict. Repeated rows are judged once and give repeated rows, ``COPIES`` of one a
+    task at most where there are more. Empty tables of pages or rules are
     fine. Other columns are not looked at.
     """
     host, path = split_url(F.col("__url"))
@@ -92,10 +95,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     stacks = materialize(rule_stacks(rules).withColumn("key", host_key(F.col("host"))), "rules")
     hosts = stacks.groupBy("host", "key").agg(F.count("*").alias("rules"))
     known = hosts.count()
-    full = materialize(rows.groupBy("host").agg(F.count("*").alias("c")).withColumn("key", host_key(F.col("host"))), "hosts")
+    full = materialize(rows.groupBy("host").agg(F.count("*").alias("c"), F.max("copies").alias("most")).withColumn("key", host_key(F.col("host"))), "hosts")
     at = materialize(open_rules(full.select("host", "key"), hosts.select(F.col("host").alias("at"), "key")), "open")
     fits = at.groupBy("host").agg(F.collect_list("at").alias("ats"))  # one entry per label of the host at most
-    probes = join_hot(rows, fits, ["host"], hot_keys(full, full.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]))
+    total, most = full.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("most"), F.lit(0))).first()
+    probes = join_hot(rows, fits, ["host"], hot_keys(full, total))
     probes = probes.select("page_id", F.col("host").alias("full"), "path", F.explode("ats").alias("host")).join(maybe_broadcast(hosts, known), "host")
     probes = materialize(probes.select("page_id", "full", "path", "host", "key", "rules"), "probes")
     runs = probes.groupBy("host", "key", "rules").agg(F.count("*").alias("n")).select("host", "key", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP_ROWS), "rules")).alias("runs"))
@@ -107,5 +111,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     best = top.groupBy("page_id", F.col("full").alias("host"), "path").agg(F.max(F.struct((F.length("host") + F.col("top.n")).alias("n"), F.length("host").alias("h"), F.concat("host", "top.path").alias("rule"), F.col("top.verdict").alias("verdict"))).alias("won"))
     won = best.select(F.col("page_id").alias("__id"), F.col("host").alias("__host"), F.col("path").alias("__path"), "won")
     out = rows.join(won, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-    out = out.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return out.drop("copy")
+    out = out.select("page_id", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"), "copies")
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    if most > COPIES:  # many copies of one row are dealt over tasks before they are rows again
+        lots = out.withColumn("lot", times(F.ceil(F.col("copies") / COPIES))).repartition("page_id", "host", "lot")
+        out = lots.withColumn("copies", F.least(F.lit(COPIES).cast("long"), F.col("copies") - (F.col("lot") - 1) * COPIES)).drop("lot")
+    return out.withColumn("copy", times(F.col("copies"))).drop("copies", "copy")

@@ -285,6 +285,27 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0), rules).count() == 0 and judge_urls(pages, rules.limit(0)).where("rule is not null").count() == 0
 
 
+def test_urls_of_one_row_repeated(spark, monkeypatch):
+    """Many copies of one row come back as many, from several lots."""
+    from lumenvec.llm import url_rules
+
+    monkeypatch.setattr(url_rules, "COPIES", 7)
+    rows = [(None, None)] * 50 + [(1, "http://a.net/x")] * 7 + [(2, "http://b.org/fr/")] * 8 + [(3, "x://c")]
+    rules = spark.createDataFrame([("block", "net", "/"), ("allow", "org", "/fr/")], "verdict string, host string, path string")
+    got = Counter(tuple(r) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(3), rules).select("page_id", "rule", "verdict").collect())
+    assert got == {(None, None, "allow"): 50, (1, "net/", "block"): 7, (2, "org/fr/", "allow"): 8, (3, None, "allow"): 1}
+
+
+def test_leaks_in_other_scripts(spark):
+    """Upper-case copies of Greek, Cyrillic and Armenian items are found by their words."""
+    greek = " ".join("λόγος κόσμος άνθρωπος θάλασσα ουρανός δρόμος βιβλίο σχολείο πόλη χώρα μήνας ημέρα νύχτα φως νερό αέρας".split())
+    russian = "москва город река дорога книга школа страна месяц день ночь свет вода воздух земля небо море"
+    armenian = "քաղաք գետ ճանապարհ գիրք դպրոց երկիր ամիս օր գիշեր լույս ջուր օդ հող երկինք ծով լեռ"
+    bench = spark.createDataFrame(list(enumerate((greek, russian, armenian))), "item_id long, text string")
+    docs = spark.createDataFrame([(k, "x " + t.upper()) for k, t in enumerate((greek, russian, armenian))] + [(9, greek[:40])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_leaks(spark, odd):
     df, _ = odd
     item = "In Paris, Alice has 12 apples and buys 5 kg more for Bob, so Alice now owns how many apples in total?"
