@@ -282,9 +282,9 @@ def _(spark, d):
     return _idf(_table(spark, d, "documents"), 20).select("token", F.round("idf", 6).alias("idf"))
 
 
-@_df("tx04_top_words", f"{_IDF}, w as (select distinct doc_id, unnest({_TOKENS}) as token from documents), r as (select doc_id, w.token, row_number() over (partition by doc_id order by round(idf, 9) desc, w.token) as rn from w join idf on w.token = idf.token where cnt >= 20) select doc_id, rn as rank, token from r where rn <= 5")
-def _(spark, d):
-    """Texts are parted into tokens once and written; both their counts and the words of each document come from that."""
+def top_words(spark, d, wanted: DataFrame | None = None) -> DataFrame:
+    """Texts are parted into tokens once and written; both their counts and the words of each document come from that.
+    ``wanted`` has the doc_id of those whose words are asked for; counts are of all."""
     from lumenvec.exchange import scratch
 
     path = scratch(spark, "tokens")
@@ -293,7 +293,8 @@ def _(spark, d):
     total = held.agg(F.sum(F.when(F.col("tokens").isNotNull(), F.size("tokens")))).first()[0] or 0
     counts = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
     counts.where("cnt >= 20").select("token", F.log(F.lit(float(total)) / F.col("cnt")).alias("idf")).write.parquet(f"{path}-idf")
-    words = held.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    asked = held if wanted is None else held.join(wanted, "doc_id", "left_semi")
+    words = asked.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
     idf = spark.read.parquet(f"{path}-idf")
     idf = F.broadcast(idf) if idf.count() <= LOOKUP_ROWS else idf  # counted; then tokens stay where their documents are
     words = words.join(idf, "token")
@@ -301,6 +302,11 @@ def _(spark, d):
     return words.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "rank", "token")
 
 
+@_df("tx04_top_words", f"{_IDF}, w as (select distinct doc_id, unnest({_TOKENS}) as token from documents), r as (select doc_id, w.token, row_number() over (partition by doc_id order by round(idf, 9) desc, w.token) as rn from w join idf on w.token = idf.token where cnt >= 20) select doc_id, rn as rank, token from r where rn <= 5")
+def _(spark, d):
+    return top_words(spark, d)
+
+
 @_df("ve28_bag_of_words", f"with t as (select doc_id, cast('0x' || substr(md5(token), 1, 8) as bigint) % 8192 as bucket, count(*) as n from (select doc_id, unnest({_TOKENS}) as token from documents) t group by 1, 2) select doc_id, bucket, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) as w from t")
 def _(spark, d):
     """Texts move once, by document; words are counted before they are hashed, and all that follows stays in place."""

@@ -102,10 +102,6 @@ def project3(v: Column, slices: list[tuple[int, int]]) -> list[Column]:
     return [total(F.slice(doubles(v), a, n)) for a, n in slices]
 
 
-def to_u32(x: Column, lo, hi) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - lo) / (hi - lo))) * 4294967295).cast("long")
-
-
 def spread_bits(x: Column) -> Column:
     """31 bits with a zero between each two."""
     x = x.cast("long")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lumenvec.catalogue import _DIALECTS, _df, _sql, _table
+from lumenvec.catalogue import LOOKUP_ROWS, _DIALECTS, _df, _sql, _table
 from lumenvec.evaluation import _ROT, DIM
 from lumenvec.functions import text as tx
 from lumenvec.functions import vec
-from lumenvec.operators import images
+from lumenvec.operators import images, ranks
 
 _DIALECTS |= {
     "HAS": ("array_contains({0}, {1})", "list_contains({0}, {1})"),
@@ -95,12 +94,13 @@ _SPLIT = "e as (select vec_id, label, cast(embedding as double[]) as v, row_numb
 @_df("ml09_macro_f1", f"with {_SPLIT}, m as (select label, list(x order by i) as c from (select label, i, avg(x) as x from (select label, unnest(range(1, 65)) as i, unnest(v) as x from e where train) t group by label, i) u group by label), s as (select e.vec_id, e.label as y, m.label as guess, row_number() over (partition by e.vec_id order by round(list_cosine_distance(e.v, m.c), 12), m.label) as rn from e, m where not e.train), g as (select y, guess, count(*) as n from s where rn = 1 group by y, guess), k as (select distinct label as c from embeddings), f as (select c, coalesce(sum(n) filter (y = c and guess = c), 0) as hit, coalesce(sum(n) filter (guess = c), 0) as said, coalesce(sum(n) filter (y = c), 0) as is_ from k cross join g group by c) select c as label, cast(hit as bigint) as hit, cast(said as bigint) as said, cast(is_ as bigint) as real, round(case when said + is_ = 0 then 0 else 2e0 * hit / (said + is_) end, 6) as f1, round(avg(case when said + is_ = 0 then 0 else 2e0 * hit / (said + is_) end) over (), 6) as macro_f1 from f")
 def _(spark, d):
     """Per-class and macro F1 of the nearest class mean, on the quarter of a split that is stratified by class."""
-    place = Window.partitionBy("label").orderBy("h", "vec_id")
     e = _table(spark, d, "embeddings").select("vec_id", "label", vec.doubles(F.col("embedding")).alias("v"), vec.hash_int(F.col("vec_id")).alias("h"))
-    e = e.withColumn("train", F.row_number().over(place) <= F.ceil(0.75 * F.count("*").over(Window.partitionBy("label"))))
+    numbered = ranks.row_numbers(e, ["label", "h", "vec_id"])
+    firsts = numbered.groupBy("label").agg(F.min("rn").alias("first"), F.count("*").alias("n"))  # a row per class
+    e = numbered.join(firsts, "label").withColumn("train", F.col("rn") - F.col("first") + 1 <= F.ceil(0.75 * F.col("n")))
     means = e.where("train").select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     c = means.groupBy(F.col("label").alias("guess")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("c"))
-    near = e.where("not train").crossJoin(F.broadcast(c)).select("vec_id", "label", "guess", F.round(vec.cosine_distance(F.col("v"), F.col("c")), 12).alias("dist"))
+    near = e.where("not train").crossJoin(F.broadcast(c) if c.count() <= LOOKUP_ROWS else c).select("vec_id", "label", "guess", F.round(vec.cosine_distance(F.col("v"), F.col("c")), 12).alias("dist"))
     best = near.groupBy("vec_id", "label").agg(F.min(F.struct("dist", "guess"))["guess"].alias("guess")).groupBy("label", "guess").agg(F.count("*").alias("n"))
     sides = best.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(0).alias("said")), F.struct(F.col("guess").alias("c"), F.lit(1).alias("said")))).alias("s"), "n", (F.col("label") == F.col("guess")).alias("hit"))
     known = e.select(F.col("label").alias("c")).distinct()

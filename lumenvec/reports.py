@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from lumenvec.catalogue import ORACLE_SQL, QUERIES, _asked, _df, _pool, _sql, _table
+from lumenvec.catalogue import ORACLE_SQL, _asked, _df, _pool, _sql, _table, top_words
 from lumenvec.functions import projections, vec
 from lumenvec.operators import images, search
 
@@ -28,10 +28,10 @@ _sql("st18_human_size", f"select p_partkey, concat(cast(cast(n / pow(1024e0, {_S
 
 @_df("mp04_words_tile", "with top as (" + ORACLE_SQL["tx04_top_words"] + "), m as (select vec_id, list_sum(cast(embedding[1:32] as double[])) as x, list_sum(cast(embedding[33:64] as double[])) as y from embeddings) select vec_id, round(x, 6) as x, round(y, 6) as y, rank, token from m join top on vec_id = doc_id where x between -2 and 2 and y between -2 and 2")
 def _(spark, d):
-    """The top words of every record in one tile of the map; only the tile's records reach the join."""
+    """The top words of every record in one tile of the map; words are counted over all texts and ranked for the tile's records alone."""
     e = F.col("embedding")
     at = _table(spark, d, "embeddings").select("vec_id", *[c.alias(n) for c, n in zip(vec.project3(e, [(1, 32), (33, 32)]), "xy")]).where("x between -2 and 2 and y between -2 and 2")
-    words = QUERIES["tx04_top_words"](spark, d)
+    words = top_words(spark, d, at.select(F.col("vec_id").alias("doc_id")))
     return at.join(words, at.vec_id == words.doc_id).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "rank", "token")
 
 

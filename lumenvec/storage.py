@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenvec.catalogue import _PAIRS, QUERIES, _df, _table
@@ -98,20 +98,33 @@ def _map(spark, d) -> str:
     return path
 
 
+def _in_order(stored: DataFrame, key: str) -> DataFrame:
+    """The rows of a stored table with ``in_order``: whether a row's key is at least that of the row before it in its file and of all files before."""
+    rows = stored.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))  # a row per file
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    apart = files.select("__file", F.coalesce(F.col("lo") >= F.max("hi").over(earlier), F.lit(True)).alias("__apart"))
+    # a row's predecessor is at the place before, in the same stretch of a file or at the end of the one before it
+    cut = rows.withColumn("__stretch", F.floor(F.col("__row") / 100_000))
+    lasts = cut.groupBy("__file", (F.col("__stretch") + 1).alias("__stretch")).agg(F.max(F.struct("__row", F.col(key).alias("k")))["k"].alias("__last"))
+    inside = F.lag(key).over(Window.partitionBy("__file", "__stretch").orderBy("__row"))
+    checked = cut.join(lasts, ["__file", "__stretch"], "left").withColumn("__before", F.coalesce(inside, "__last")).join(apart, "__file")
+    return checked.withColumn("in_order", F.coalesce(F.col("__before") <= F.col(key), F.lit(True)) & F.col("__apart"))
+
+
+@_df("sk05_sorted_merge", "select vec_id, label, true as in_order from embeddings")
+def _(spark, d):
+    """Shards of a table merged in key order: ranges of the key are written side by side, and each row is checked to follow the one before."""
+    path = scratch(spark, "sorted")
+    _table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").write.parquet(path)
+    return _in_order(spark.read.parquet(path), "vec_id").select("vec_id", "label", "in_order")
+
+
 @_df("sk09_z_order", f"select l_orderkey, l_linenumber, {_Z} as zkey, true as in_order from (select l_orderkey, l_linenumber, {_XY['x']} as x, {_XY['y']} as y from lineitem) t")
 def _(spark, d):
     """A Z-ordered copy: the key of each row, and whether it is at least that of the row before it in its file and of all files before."""
-    from pyspark.sql import Window
-
-    rows = spark.read.parquet(_map(spark, d)).select("l_orderkey", "l_linenumber", "zkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    files = rows.groupBy("file").agg(F.min("zkey").alias("lo"), F.max("zkey").alias("hi"))  # a row per file
-    apart = files.withColumn("apart", F.coalesce(F.col("lo") >= F.max("hi").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))).select("file", "apart")
-    # a row's predecessor is at the place before, in the same stretch of a file or the one before it
-    stretch = Window.partitionBy("file", "stretch").orderBy("row")
-    cut = rows.withColumn("stretch", F.floor(F.col("row") / 100_000))
-    lasts = cut.groupBy("file", (F.col("stretch") + 1).alias("stretch")).agg(F.max(F.struct("row", "zkey"))["zkey"].alias("before"))
-    checked = cut.join(lasts, ["file", "stretch"], "left").withColumn("before", F.coalesce(F.lag("zkey").over(stretch), "before")).join(apart, "file")
-    return checked.select("l_orderkey", "l_linenumber", "zkey", (F.coalesce(F.col("before") <= F.col("zkey"), F.lit(True)) & F.col("apart")).alias("in_order"))
+    rows = _in_order(spark.read.parquet(_map(spark, d)), "zkey")
+    return rows.select("l_orderkey", "l_linenumber", "zkey", "in_order")
 
 
 #: A tile of the map: 32-bit coordinates, ends included.
