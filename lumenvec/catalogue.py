@@ -442,8 +442,3 @@ def _(spark, d):
 # Representation studies
 _sql("rp05_pareto", "select bytes, v, v >= coalesce(max(v) over (order by bytes range between unbounded preceding and 1 preceding), -1) as frontier from (select p_size as bytes, max(p_retailprice) as v from part group by p_size) t")
 _sql("rp10_bytes_per_vector", "select b.n as bits, d.dims, INTDIV[b.n * d.dims;8] as bytes, INTDIV[b.n * d.dims;8] * d.vectors as total from (select EACH[SERIES[1;16]] as n) b cross join (select LEN[embedding] as dims, count(*) as vectors from embeddings where embedding is not null group by 1) d")
-
-
-@_df("rp07_pivot", "select l_returnflag, cast(count_if(l_linestatus = 'F') as bigint) as \"F\", cast(count_if(l_linestatus = 'O') as bigint) as \"O\" from lineitem group by l_returnflag")
-def _(spark, d):
-    return _table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)

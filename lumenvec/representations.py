@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenvec.catalogue import ASKED, _asked, _df, _pool, _table
+from lumenvec.catalogue import ASKED, ORACLE_SQL, QUERIES, _asked, _df, _pool, _table
 from lumenvec.evaluation import _HALVES, _PAIRED, _RATES, DIM, _halved, _rate_sql, codes
 from lumenvec.exchange import scratch
 from lumenvec.functions import quant, vec
@@ -229,6 +229,40 @@ def _(spark, d):
     return spark.createDataFrame([(b, i, float(v)) for b in (1, 2, 3, 4, 8) for i, v in enumerate(lloyd_max(values, counts, b))], "bits int, code int, level double")
 
 
+# Reports over the rate grid
+_GRID_SQL = ORACLE_SQL["rp18_rate_grid"]
+
+
+@_df("rp06_value_per_byte", f"select bits, dims, recall, bytes, round(recall / bytes, 9) as worth from ({_GRID_SQL}) t where recall >= 0.5 order by recall / bytes desc, bytes, bits limit 1")
+def _(spark, d):
+    """The setting of the grid with the most recall a byte, of those with a recall of a half or more."""
+    grid = QUERIES["rp18_rate_grid"](spark, d).where("recall >= 0.5").withColumn("w", F.col("recall") / F.col("bytes"))
+    return grid.orderBy(F.desc("w"), "bytes", "bits").limit(1).select("bits", "dims", "recall", "bytes", F.round("w", 9).alias("worth"))
+
+
+@_df("rp07_pivot", f"select bits, max(case when dims = 16 then recall end) as d16, max(case when dims = 32 then recall end) as d32, max(case when dims = 64 then recall end) as d64 from ({_GRID_SQL}) t group by bits")
+def _(spark, d):
+    """Recalls as a table of bits by dimensions."""
+    return QUERIES["rp18_rate_grid"](spark, d).groupBy("bits").pivot("dims", [16, 32, 64]).agg(F.max("recall")).toDF("bits", "d16", "d32", "d64")
+
+
+_PLACES = "case bits when 8 then 0 when 4 then 1 when 2 then 2 else 3 end"
+
+
+@_df("rp08_merge_runs", f"with grid as ({_GRID_SQL}) select *, row_number() over (order by case sample when 'all' then 0 else 1 end, {_PLACES}, dims desc) as place from (select 'all' as sample, bits, dims, recall from grid where dims > 16 union all select 'small', bits, dims, recall from grid where bits < 8) t")
+def _(spark, d):
+    """Two runs of the grid merged: one that has no column for its sample gets the default, and rows are put in the order of samples, then of
+    bits as listed, then of dimensions from the largest."""
+    path = scratch(spark, "runs")
+    QUERIES["rp18_rate_grid"](spark, d).write.parquet(f"{path}/grid")
+    grid = spark.read.parquet(f"{path}/grid").select("bits", "dims", "recall")
+    grid.where("dims > 16").write.parquet(f"{path}/first")
+    grid.where("bits < 8").withColumn("sample", F.lit("small")).write.parquet(f"{path}/second")
+    runs = spark.read.parquet(f"{path}/first").unionByName(spark.read.parquet(f"{path}/second"), allowMissingColumns=True).fillna("all", ["sample"])
+    order = Window.orderBy(F.when(F.col("sample") == "all", 0).otherwise(1), F.expr(_PLACES), F.desc("dims"))  # a row per setting
+    return runs.select("sample", "bits", "dims", "recall", F.row_number().over(order).alias("place"))
+
+
 # Guards
 class PathNotTaken(RuntimeError):
     """A two-stage search that didn't go by its codes."""

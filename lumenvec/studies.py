@@ -147,8 +147,6 @@ def _(spark, d):
 
 
 _sql("rp14_triplets", f"with {_V}, t as (select vec_id as a, HASH[concat('b', vec_id)] % n as b, HASH[concat('c', vec_id)] % n as c from embeddings cross join (select count(*) as n from embeddings) s), w as (select DOT[p.e;q.e;64] - DOT[p.e;r.e;64] as f, DOT[p.e;q.e;32] - DOT[p.e;r.e;32] as h from t join v p on p.vec_id = a join v q on q.vec_id = b join v r on r.vec_id = c where a <> b and a <> c and b <> c) select round(avg(case when (f > 0) = (h > 0) then 1e0 else 0e0 end), 6) as agreement, count(*) as n from w")
-_sql("rp06_value_per_byte", "select max_by(p_partkey, p_retailprice / p_size) as best from part where p_retailprice > 1000 and p_size > 0")
-_sql("rp08_merge_runs", "select k, v from (select k, v, row_number() over (partition by k order by src desc) as rn from (select label as k, count(*) as v, 0 as src from embeddings group by label union all select toxic, count(*), 1 from labels group by toxic) u) t where rn = 1 order by case k when 1 then 0 when 0 then 1 else 2 end, k")
 _sql("rp21_integrity", "select coalesce(a.k, b.k) as k, coalesce(n, 0) = coalesce(m, 0) as whole from (select doc_id as k, count(*) as n from documents group by doc_id) a full join (select doc_id as k, count(*) as m from labels group by doc_id) b on a.k = b.k")
 
 
