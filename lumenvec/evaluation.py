@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenvec.catalogue import ASKED, _asked, _df, _pool, _table
+from lumenvec.exchange import scratch
 from lumenvec.functions import codec, quant, vec
 from lumenvec.operators import ranks, search
 from lumenvec.studies import _cut
@@ -226,21 +227,32 @@ def _fidelity_sql(bits: int, use: str) -> str:
 
 @_df("rp16_code_fidelity", f"with {_PAIRED}, uses as ({' union all '.join(_fidelity_sql(b, u) for b in _LEVELS for u in ('decoded', 'fixed', 'index'))}), placed as (select *, row_number() over (partition by bits, used, qid order by d, key) as c from uses), per as (select bits, used, qid, count_if(c <= 10 and t <= 10) / 10e0 as r from placed join truth using (qid, key) group by bits, used, qid), p as (select bits, used, corr(1 - d, 1 - dist) as pearson from uses join pairs using (qid, key) group by bits, used) select bits, used, round(avg(r), 6) as recall, round(any_value(pearson), 6) as pearson from per join p using (bits, used) group by bits, used")
 def _(spark, d):
-    """Recall at 10 and correlation with the true cosines of codes on both sides: decoded, as fixed-point levels, as raw numbers."""
-    pool, asked = _pool(spark, d), _asked(spark, d)
-    exact = search.distances(pool, asked)
-    truth = search.top_k(exact, 10)
-    runs = []
+    """Recall at 10 and correlation with the true cosines of codes on both sides: decoded, as fixed-point levels, as raw numbers. Every pair of a
+    query and a vector is met once and scored for all settings."""
+    settings = []
     for bits, levels in _LEVELS.items():
         fixed = [float(round(x * 127 / max(map(abs, levels)))) for x in levels]
-        index = [i - (len(levels) - 1) / 2 for i in range(len(levels))]
-        for used, values in (("decoded", levels), ("fixed", fixed), ("index", index)):
-            value = lambda df, c, b=bits, v=values: df.withColumn(c, F.transform(quant.encode(F.col(c), b, 8.0), lambda x: F.get(F.lit(v), x)))
-            dist = search.distances(value(pool, "vec"), value(asked, "ref")).withColumn("dist", F.round("dist", 9))
-            recall = search.recall(search.top_k(dist, 10), truth, 10)
-            pearson = dist.withColumnRenamed("dist", "d").join(exact, ["qid", "key"]).agg(F.round(F.corr(1 - F.col("d"), 1 - F.col("dist")), 6).alias("pearson"))
-            runs.append(recall.crossJoin(pearson).select(F.lit(bits).alias("bits"), F.lit(used).alias("used"), "recall", "pearson"))
-    return reduce(lambda a, b: a.unionByName(b), runs)
+        settings += [(bits, "decoded", levels), (bits, "fixed", fixed), (bits, "index", [i - (len(levels) - 1) / 2 for i in range(len(levels))])]
+
+    def sides(df: DataFrame, key: str, v: str) -> DataFrame:
+        coded = df.select(key, vec.doubles(F.col(v)).alias("e"), *[quant.encode(F.col(v), b, 8.0).alias(f"c{b}") for b in _LEVELS])
+        cell = lambda value: vec.let(value, lambda x: F.struct(x.alias("v"), F.nullif(vec.norm(x), F.lit(0.0)).alias("n")))
+        level = lambda values: lambda c: F.get(F.lit(values), c)
+        held = [cell(F.transform(f"c{b}", level(values))) for b, _, values in settings]
+        return coded.select(key, cell(F.col("e")).alias(f"{key}_whole"), F.array(*held).alias(f"{key}_cells"))
+
+    cosine = lambda p, q: 1 - vec.dot(p["v"], q["v"]) / (p["n"] * q["n"])
+    path = scratch(spark, "fidelity")
+    pairs = search.pair_up(sides(_pool(spark, d), "key", "vec"), sides(_asked(spark, d), "qid", "ref"))
+    scores = F.zip_with("key_cells", "qid_cells", lambda p, q: F.round(cosine(p, q), 9))
+    pairs.select("qid", "key", cosine(F.col("key_whole"), F.col("qid_whole")).alias("dist"), F.posexplode(scores).alias("cell", "d")).write.parquet(path)
+    met = spark.read.parquet(path)
+    place = lambda c: F.row_number().over(Window.partitionBy("cell", "qid").orderBy(c, "key"))
+    near = met.withColumn("t", place("dist")).withColumn("c", place("d")).where("t <= 10")
+    recall = near.groupBy("cell", "qid").agg((F.count_if(F.col("c") <= 10) / F.count("*")).alias("r")).groupBy("cell").agg(F.round(F.avg("r"), 6).alias("recall"))
+    pearson = met.groupBy("cell").agg(F.round(F.corr(1 - F.col("d"), 1 - F.col("dist")), 6).alias("pearson"))
+    names = spark.createDataFrame([(i, b, used) for i, (b, used, _) in enumerate(settings)], "cell int, bits int, used string")
+    return F.broadcast(names).join(recall, "cell").join(pearson, "cell").drop("cell")
 
 
 _VIEWS = {"whole": "e", "half": "e[1:32]", "signs": "list_transform(e, lambda x: case when x < 0 then -1e0 else 1e0 end)", "short": f"list_transform(e, lambda x: {_cut(9)})"}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenvec.catalogue import ASKED, ORACLE_SQL, QUERIES, _asked, _df, _pool, _table
-from lumenvec.evaluation import _HALVES, _PAIRED, _RATES, DIM, _halved, _rate_sql, codes
+from lumenvec.evaluation import _HALVES, _PAIRED, _RATES, _ROT, DIM, _halved, _rate_sql, codes
 from lumenvec.exchange import scratch
 from lumenvec.functions import quant, vec
 from lumenvec.operators import gram, ranks, rotation, search
@@ -80,6 +80,14 @@ def _(spark, d):
     return each.select("vec_id", "r.bits", F.round(1 - vec.cosine_distance(F.col("e"), F.col("r.b")), 6).alias("cosine"))
 
 
+@_df("ve20_rotated_codes", f"with {_ROT} select round(avg(list_inner_product(r, b) / sqrt(list_inner_product(r, r) * list_inner_product(b, b))), 6) as cosine from (select r, {_levels_sql(2).replace('list_transform(e,', 'list_transform(r,')} as b from rot) t")
+def _(spark, d):
+    """Two bits a coordinate after rotation, on a scale that depends on the dimension alone: mean cosine of the decoded vectors."""
+    e = _table(spark, d, "embeddings").select(vec.hadamard_rotate(F.col("embedding"), 64).alias("r"))
+    back = e.select("r", quant.decode(quant.encode(F.col("r"), 2, 8.0), 2, 8.0).alias("b"))
+    return back.agg(F.round(1 - F.avg(vec.cosine_distance(F.col("r"), F.col("b"))), 6).alias("cosine"))
+
+
 def _fitted(df: DataFrame, bits: int) -> Column:
     """Levels on the deviation of each coordinate, which the driver gets as a number for each."""
     rows = df.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.stddev_pop("x").alias("s")).orderBy("i").collect()

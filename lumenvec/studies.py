@@ -100,14 +100,6 @@ def _(spark, d):
     return at.groupBy("i", code.alias("code")).agg(F.round(F.avg("x"), 6).alias("level"))
 
 
-@_df("ve20_rotated_codes")
-def _(spark, d):
-    """Two bits a coordinate after rotation, on a scale that depends on the dimension alone: mean cosine of the decoded vectors."""
-    e = _table(spark, d, "embeddings").select(vec.hadamard_rotate(F.col("embedding"), 64).alias("r"))
-    back = e.select("r", quant.decode(quant.encode(F.col("r"), 2, 8.0), 2, 8.0).alias("b"))
-    return back.agg(F.round(1 - F.avg(vec.cosine_distance(F.col("r"), F.col("b"))), 6).alias("cosine"))
-
-
 _SIGN_ROWS = [[int(s) for s in vec.signs(64, f"project|{r}")] for r in range(8)]
 
 
