@@ -67,6 +67,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_driver(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans of many joins and small broadcasts leave some, which its JVM otherwise keeps as heap for good."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _at_exit() -> None:
     try:
         clear_scratch()
