@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenvec.llm.common import drop_scratch, materialize, table
+from lumenvec.llm.common import drop_scratch, free_driver, materialize, table
 from lumenvec.llm.decontaminate import drop_leaks
 from lumenvec.llm.mix import mixed_documents
 from lumenvec.llm.near_dup import drop_near_duplicates
@@ -18,6 +18,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are judged as texts without words and stay; a null language has the threshold of all; repeated rows share a
     verdict; without labels of both kinds the score is a constant; an empty table stays empty. Columns of any name come through.
     """
+    free_driver(spark)
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are judged one by one, so null and repeated ids are like any other; of a group the row of the least id stays, of these the first.
     Null, empty and blank texts are no group and all stay; an empty table stays empty. Columns of any name come through.
     """
+    free_driver(spark)
     return drop_near_duplicates(docs, percent=80)
 
 
@@ -36,6 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none and stay, as do all documents where the benchmark is empty; rows that share an id, or have none, are judged
     each by its text; an empty table stays empty. Columns of any name come through.
     """
+    free_driver(spark)
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null, empty, blank) aren't in the mix; a null source is a source, the last; equal rows are interchangeable;
     ``n_chars`` is counted anew; an empty table stays empty. Columns of any name come through.
     """
+    free_driver(spark)
     return mixed_documents(docs)
 
 
@@ -54,6 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without ids are in no row; null ids stay null; repeated rows are packed each; long texts are split without loss; an empty table
     gives no rows. Other columns are not looked at.
     """
+    free_driver(spark)
     return pack_documents(docs)
 
 
