@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenvec.catalogue import ORACLE_SQL, _asked, _df, _pool, _sql, _table, top_words
+from lumenvec.exchange import scratch
 from lumenvec.functions import projections, vec
-from lumenvec.operators import images, search
+from lumenvec.operators import blocks, images, search
 
 _sql("ar07_distinct", "select doc_id, LEN[DISTINCT[SPLIT[text; ]]] as n from documents where text is not null")
 _sql("st02_lower", "select c_custkey, lower(c_mktsegment) as segment, lower(c_name) as name from customer")
@@ -53,22 +57,38 @@ def _aside(spark, d):
     """A poorer variant of each hundredth vector (24 coordinates kept) against the whole catalogue, its own row too."""
     pool, asked = _pool(spark, d), _table(spark, d, "embeddings").where("vec_id % 100 = 0")
     asked = asked.select(F.col("vec_id").alias("qid"), F.concat(F.slice(vec.doubles(F.col("embedding")), 1, 24), F.array_repeat(F.lit(0.0), 40)).alias("ref"))
-    return pool, asked, lambda df: df.withColumn("dist", vec.cosine_distance(F.col("vec"), F.col("ref"))).select("qid", "key", "dist")
+    return pool, asked
 
 
 @_df("se11_cross_size", f"with {_ASIDE}, r as (select *, row_number() over (partition by qid order by dist, key) as rk from c) select round(avg(case when rk <= 1 then 1e0 else 0e0 end), 6) as at1, round(avg(case when rk <= 5 then 1e0 else 0e0 end), 6) as at5 from r where key = qid")
 def _(spark, d):
-    pool, asked, score = _aside(spark, d)
-    found = search.top_k(score(search.against(pool, asked)), 5).where("key = qid").select("qid", "rank")
+    pool, asked = _aside(spark, d)
+    found = search.exact(pool, asked, 5, own=True).where("key = qid").select("qid", "rank")
     ranks = asked.select("qid").join(found, "qid", "left")
     return ranks.agg(*[F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"at{k}") for k in (1, 5)])
 
 
 @_df("se12_cross_modal", f"with {_ASIDE} select round(avg(case when hit then 1e0 else 0e0 end), 6) as at1, round(avg(own), 6) as matching, round(avg(others), 6) as others, round(avg(own) - avg(others), 6) as gap from (select qid, arg_min(key, dist) = qid as hit, max(case when key = qid then 1 - dist end) as own, avg(case when key <> qid then 1 - dist end) as others from c group by qid) t")
 def _(spark, d):
-    pool, asked, score = _aside(spark, d)
-    own, cosine = F.col("key") == F.col("qid"), 1 - F.col("dist")
-    by = score(search.against(pool, asked)).groupBy("qid").agg((F.min_by("key", "dist") == F.col("qid")).alias("hit"), F.max(F.when(own, cosine)).alias("own"), F.avg(F.when(~own, cosine)).alias("others"))
+    pool, asked = _aside(spark, d)
+
+    def visit(q: blocks.Block, parts: Iterator[blocks.Block]) -> Iterator[pa.RecordBatch]:
+        """For each query of a block the nearest of a part, the cosine to its own row, and number and sum of the others."""
+        best, own = blocks.Nearest(q, 1, own=True), np.full(len(q.keys), np.nan)
+        n, total = np.zeros(len(q.keys), np.int64), np.zeros(len(q.keys))
+        for p in parts:
+            dist = blocks.cosine_distances(p, q)
+            best.add(p, [dist])
+            mine, live = q.keys[:, None] == p.keys[None, :], ~np.isnan(dist)
+            own = np.fmax(own, np.where(mine & live, 1 - dist, -np.inf).max(1))
+            n, total = n + (live & ~mine).sum(1), total + np.where(live & ~mine, 1 - dist, 0).sum(1)
+        own[~np.isfinite(own)] = np.nan
+        dist, key = (x[:, 0] for x in best.held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(q.keys), pa.array(dist, from_pandas=True), pa.array(key), pa.array(own, from_pandas=True), pa.array(n), pa.array(total)], ["qid", "dist", "key", "own", "n", "total"])
+
+    parts = blocks.meet(pool, asked, visit, "qid long, dist double, key long, own double, n long, total double")
+    first = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "key")))["key"]
+    by = parts.groupBy("qid").agg((first == F.col("qid")).alias("hit"), F.max("own").alias("own"), (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("others"))
     m, o = F.avg("own"), F.avg("others")
     return by.agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("at1"), F.round(m, 6).alias("matching"), F.round(o, 6).alias("others"), F.round(m - o, 6).alias("gap"))
 
@@ -112,14 +132,13 @@ def _(spark, d):
 @_df("ve26_expansion")
 def _(spark, d):
     """Recall at 10 of one-bit codes after expansion by Gaussian rows and by a tight frame of two bases."""
-    pool, asked = _pool(spark, d), _asked(spark, d)
-    truth = search.exact(pool, asked, 10)
     plans = [("gaussian", x, projections.matrix("gaussian", int(64 * x), 64)) for x in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)] + [("frame", 2.0, projections.matrix("orthogonal", 128, 64))]
-    runs = []
-    for kind, x, rows in plans:
-        coded = lambda df, c, rows=rows: df.withColumn(c, projections.project(F.col(c), rows, codes=True))
-        runs.append(search.recall(search.exact(coded(pool, "vec"), coded(asked, "ref"), 10), truth, 10).select(F.lit(kind).alias("kind"), F.lit(x).alias("times"), "recall"))
-    return reduce(lambda a, b: a.unionByName(b), runs)
+    coded = lambda df, key, c: df.select(key, c, *[projections.project(F.col(c), rows, codes=True).alias(f"p{i}") for i, (_, _, rows) in enumerate(plans)])
+    score = lambda p, q: [blocks.cosine_distances(p, q, i, i) for i in (*range(1, len(plans) + 1), 0)]
+    path = scratch(spark, "expansion")
+    blocks.nearest(coded(_pool(spark, d), "key", "vec"), coded(_asked(spark, d), "qid", "ref"), score, 10).write.parquet(path)
+    names = spark.createDataFrame([(i, kind, x) for i, (kind, x, _) in enumerate(plans)], "cell int, kind string, times double")
+    return F.broadcast(names).join(search.cell_recall(spark.read.parquet(path), len(plans), 10), "cell").drop("cell")
 
 
 @_df("mp11_lanczos")

@@ -41,7 +41,7 @@ _LONG = "l as (select vec_id, i, cast(AT[embedding;i] as double) as x from embed
 
 @_df("ve01_cosine", f"with {_PAIRS.format(q="q.vec_id % 100 = 0")} select qid, key, round(dist, 6) as dist from pairs")
 def _(spark, d):
-    return search.distances(_pool(spark, d), _asked(spark, d)).select("qid", "key", F.round("dist", 6).alias("dist"))
+    return search.distances(_pool(spark, d), _asked(spark, d), digits=6)
 
 
 @_df("ve03_normalize", "select vec_id, round(list_sum(list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_inner_product(cast(embedding as double[]), cast(embedding as double[]))))), 6) as s from embeddings")
@@ -67,8 +67,8 @@ for _name, _bits in (("ve05_bf16", 16), ("ve06_bf16_cut", 7)):
 
 @_df("ve07_truncated_distance", f"with v as (select vec_id, list_transform(cast(embedding[1:32] as double[]), lambda x: {_cut(7)}) as e, cast(embedding[1:32] as double[]) as r from embeddings) select q.vec_id as qid, p.vec_id as key, round(list_cosine_distance(p.e, q.r), 6) as dist from v p, v q where q.vec_id % 100 = 0 and p.vec_id <> q.vec_id")
 def _(spark, d):
-    pool = _pool(spark, d).withColumn("vec", F.slice(vec.to_bf16(F.col("vec"), 7), 1, 32))
-    return search.distances(pool, _asked(spark, d).withColumn("ref", F.slice("ref", 1, 32))).select("qid", "key", F.round("dist", 6).alias("dist"))
+    pool = _pool(spark, d).withColumn("vec", F.slice(quant.bf16_cut(F.col("vec"), 7), 1, 32))
+    return search.distances(pool, _asked(spark, d).withColumn("ref", F.slice("ref", 1, 32)), digits=6)
 
 
 _sql("ve17_absmax_int8", f"with {_LONG}, m as (select i, max(abs(x)) as top from l group by i) select l.vec_id, cast(sum(round(x / top * 127)) as bigint) as s from l join m on l.i = m.i where top > 0 group by l.vec_id")

@@ -1,9 +1,14 @@
 """Pairs in blocks against brute force: ties, odd vectors, tallies."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenvec import evaluation, reports, representations, studies  # noqa: F401  (they register queries)
+from lumenvec.catalogue import QUERIES
+from lumenvec.functions import quant, vec
 from lumenvec.operators import blocks, search
 
 SHAPE = "id long, v array<double>"
@@ -25,7 +30,7 @@ def _dist(a, b):
     dot = na = nb = 0.0
     for x, y in zip(a, b, strict=True):
         dot, na, nb = dot + x * y, na + x * x, nb + y * y
-    return 1 - dot / (na**0.5 * nb**0.5) if na and nb else None
+    return 1 - dot / (math.sqrt(na) * math.sqrt(nb)) if na and nb else None
 
 
 def test_nearest_breaks_ties_by_id_and_puts_rows_without_distance_last(sides):
@@ -62,3 +67,21 @@ def test_neighbouring_ids_share_a_block(spark):
 def test_codes_take_a_byte(spark):
     table = spark.createDataFrame([(i, [1.0, -1.0] * 32) for i in range(10)], SHAPE).coalesce(1)
     assert [len(r["p_values0"]) for r in blocks.packed(table, "p", 512).collect()] == [640]
+
+
+def test_bf16_in_batches_is_the_expression(spark):
+    values = [0.0, -0.0, 1.0, -1.0, 0.1, 1 / 3, 3.0e38, 1e-38, 1e-40, 2.0**-126, -5.4321, 1.00390625, 1.01171875]
+    table = spark.createDataFrame([(0, values), (1, None), (2, [])], SHAPE)
+    for bits in (2, 4, 8, 12, 16):
+        got = table.select(quant.bf16_cut(F.col("v"), bits).alias("a"), vec.to_bf16(F.col("v"), bits).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got)
+
+
+@pytest.mark.parametrize("name", ["rp02_recall_grid", "rp16_code_fidelity", "rp18_rate_grid", "rp13_overlap_matrix", "se10_knn_overlap", "se12_cross_modal", "ve08_int8_distance", "ve26_expansion", "rp15_neighbour_order", "rp04_exactness_control"])
+def test_no_task_meets_pairs_one_by_one(spark, name, monkeypatch):
+    """No query scores pairs row by row in a join of vectors with vectors."""
+    def row_by_row(*_):
+        raise AssertionError("pairs of single rows")
+
+    monkeypatch.setattr(search, "against", row_by_row)
+    QUERIES[name](spark, "/root/testdata/sf0.001").count()
