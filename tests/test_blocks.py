@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenvec import evaluation, reports, representations, studies  # noqa: F401  (they register queries)
-from lumenvec.catalogue import QUERIES
+from lumenvec import evaluation, primitives, reports, representations, storage, studies  # noqa: F401  (they register queries)
+from lumenvec.catalogue import ORACLE_SQL, QUERIES
 from lumenvec.functions import quant, vec
-from lumenvec.operators import blocks, search
+from lumenvec.operators import blocks, ranks, search
 
 SHAPE = "id long, v array<double>"
 
@@ -85,3 +85,33 @@ def test_no_task_meets_pairs_one_by_one(spark, name, monkeypatch):
 
     monkeypatch.setattr(search, "against", row_by_row)
     QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def _grown(spark, tmp_path, name, shifts):
+    table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    for column, by in shifts.items():
+        table = table.withColumn(column, F.col(column) + by)
+    table.write.parquet(f"{tmp_path}/{name}.parquet")
+
+
+@pytest.mark.parametrize(("query", "table", "shifts"), [("mt05_morton", "part", {"p_partkey": 120_000}), ("st15_dates", "events", {"event_id": 5_000_000}), ("sk09_z_order", "lineitem", {"l_partkey": 120_000})])
+def test_keys_of_larger_tables_are_as_in_sql(spark, tmp_path, query, table, shifts):
+    import duckdb
+
+    _grown(spark, tmp_path, table, shifts)
+    got = sorted(tuple(r) for r in QUERIES[query](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLE_SQL[query]).fetchall())
+
+
+def test_ranks_in_parts_correlate_as_whole_ranks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(a), float(b)) for g, a, b in zip(rng.integers(0, 3, 4000), rng.integers(0, 300, 4000), rng.integers(0, 300, 4000), strict=True)]
+    df = spark.createDataFrame(rows, "g long, a double, b double")
+    twice = ranks.rank_in_parts(ranks.rank_in_parts(df, "g", "a", 300), "g", "b", 300)
+    got = {r["g"]: r["c"] for r in ranks.correlations(ranks.part_moments(twice, "g", "a", "b"), "g", "a", "b").collect()}
+    for g in range(3):
+        a, b = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        first = lambda x: np.searchsorted(np.sort(x), x)
+        assert abs(got[g] - np.corrcoef(first(a), first(b))[0, 1]) < 1e-9
