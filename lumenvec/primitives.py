@@ -59,7 +59,8 @@ def _(spark, d):
 def _(spark, d):
     """A timestamp's day, text that is no timestamp, and seconds since the epoch."""
     epoch = F.timestamp_seconds(F.col("event_id") * 86400)
-    return _table(spark, d, "events").select("event_id", F.to_date("ts").cast("string").alias("day"), F.try_to_timestamp("event_type").isNull().alias("bad"), F.to_date(epoch).cast("string").alias("epoch_day"))
+    text = lambda c: F.regexp_replace(F.to_date(c).cast("string"), r"^\+", "")  # noqa: E731  (Spark puts a plus before years of five digits)
+    return _table(spark, d, "events").select("event_id", text(F.col("ts")).alias("day"), F.try_to_timestamp("event_type").isNull().alias("bad"), text(epoch).alias("epoch_day"))
 
 
 # Vectors and rasters
