@@ -56,6 +56,41 @@ def test_pairs_are_all_pairs_once(sides):
     assert search.distances(pool, asked, below=0.5).count() == sum(r["dist"] is not None and r["dist"] < 0.5 for r in got)
 
 
+def test_products_decide_only_what_they_can(spark, monkeypatch):
+    """Few pairs are summed from the left, with the results of summing all: ties, limits that lie on a distance, rows that share an id."""
+    from lumenvec.operators.blocks import Block
+
+    rng = np.random.default_rng(8)
+    v = np.round(rng.normal(size=(600, 16)), 1)
+    v[300:400], v[17], v[18] = v[200:300], 0, 1e200
+    keys, sizes = np.sort(np.append(np.arange(580), [100] * 20)), np.full(600, 16, np.int32)
+    p, q = Block(keys, [(v, sizes)]), Block(keys[::60], [(v[::60], sizes[::60])])
+    exact = blocks.cosine_distances(p, q)
+    rows, summed, whole = [], [], blocks._exact_at
+    monkeypatch.setattr(blocks, "meet", lambda pool, queries, visit, schema: rows.extend(r for b in visit(q, iter(pool)) for r in zip(*(c.to_pylist() for c in b.columns))))
+    monkeypatch.setattr(blocks, "_exact_at", lambda *x: summed.append(len(x[2])) or whole(*x))
+    for part in ([Block(keys[:17], [(v[:17], sizes[:17])]), Block(keys[19:], [(v[19:], sizes[19:])])], [p]):
+        held = np.concatenate([np.flatnonzero(np.isin(np.arange(600), np.arange(17))), np.arange(19, 600)]) if len(part) == 2 else np.arange(600)
+        for digits in (None, 3):
+            want = []
+            for a, x in enumerate(q.keys):
+                d = blocks.rounded(exact[a], digits)
+                ranked = sorted((np.inf if np.isnan(d[b]) else d[b], keys[b]) for b in held if keys[b] != x)[:7]
+                want += [(x, k, None if np.isinf(y) else y) for y, k in ranked]
+            rows.clear(), summed.clear()
+            blocks.close_nearest(part, None, 7, digits)
+            assert sorted(map(str, rows)) == sorted(str((int(x), int(k), y if y is None else float(y))) for x, k, y in want)
+            if len(part) == 2 and digits is None:
+                assert 0 < sum(summed) < exact.size / 4
+        limit = float(exact[1, held[40]])
+        rows.clear(), summed.clear()
+        blocks.close_pairs(part, None, 6, limit)
+        want = [(int(x), int(keys[b]), float(blocks.rounded(exact[a, b : b + 1], 6)[0])) for a, x in enumerate(q.keys) for b in held if keys[b] != x and exact[a, b] < limit]
+        assert sorted(rows) == sorted(want)
+        if len(part) == 2:
+            assert sum(summed) < exact.size / 20
+
+
 def test_neighbouring_ids_share_a_block(spark):
     table = spark.range(0, 3000).select(F.col("id").alias("key"), F.array(F.rand(1), F.rand(2)).alias("vec")).repartition(5)
     held = [np.frombuffer(r[0], np.int64) for r in blocks.packed(table, "p", 101, together=2).collect()]
