@@ -53,8 +53,10 @@ def _(spark, d):
 
 
 def _found(spark, d, name: str) -> DataFrame:
-    """The results of a search by query, in the order of query ids."""
-    return QUERIES[name](spark, d).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "key"))).alias("r")).orderBy("qid").select(F.col("r.key").alias("neighbors"), F.col("r.dist").cast("array<float>").alias("distances"))
+    """The results of a search by query, in the order of query ids. They are stored, as an order looks at its rows twice and a search should run once."""
+    path = scratch(spark, "found")
+    QUERIES[name](spark, d).write.parquet(path)
+    return spark.read.parquet(path).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "key"))).alias("r")).orderBy("qid").select(F.col("r.key").alias("neighbors"), F.col("r.dist").cast("array<float>").alias("distances"))
 
 
 _TRUTH = "select q.id, n.place, key, round(n.dist, 4) as dist from (select qid, row_number() over (order by qid) - 1 as id from (select distinct qid from pairs where {0}) t) q join (select qid, key, dist, row_number() over (partition by qid order by round(dist, 6), key) - 1 as place from pairs where {0}) n on q.qid = n.qid where {1}"
