@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -65,20 +67,31 @@ def _(spark, d):
 
 
 
-def _through(spark, d, encode, decode):
-    """Documents as bytes of an interchange format, batch by batch, and back."""
+#: Bytes of text that are encoded at once at about most; a longer text is alone.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch of (doc_id, text) in slices of about so many bytes of text, a row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (most or PIECE_BYTES), "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"raw": [encode(pdf)]})
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw in pdf["raw"]:
-                yield from decode(bytes(raw))
+def _through(spark, d, encode, decode):
+    """Documents as bytes of an interchange format, piece by piece, and back; a task holds the bytes of one piece."""
+    shape = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                for pdf in decode(encode(piece.to_pandas())):
+                    yield pa.RecordBatch.from_pandas(pdf[["doc_id", "text"]], shape, preserve_index=False)
 
-    docs = _table(spark, d, "documents").select("doc_id", "text")
-    return docs.mapInPandas(written, "raw binary").mapInPandas(read, "doc_id long, text string")
+    return _table(spark, d, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
 
 
 @_df("sc19_row_binary", "select doc_id, coalesce(text, '') as text from documents")
@@ -90,8 +103,6 @@ def _(spark, d):
 @_df("sc20_arrow_stream", "select doc_id, text from documents")
 def _(spark, d):
     """Arrow IPC streams, whose small batches are put together to batches of up to 32,768 rows."""
-    import pyarrow as pa
-
     def encode(pdf):
         sink = pa.BufferOutputStream()
         table = pa.Table.from_pandas(pdf[["doc_id", "text"]], preserve_index=False).cast(pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))

@@ -150,3 +150,13 @@ def test_ranks_in_parts_correlate_as_whole_ranks(spark):
         a, b = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
         first = lambda x: np.searchsorted(np.sort(x), x)
         assert abs(got[g] - np.corrcoef(first(a), first(b))[0, 1]) < 1e-9
+
+
+def test_pieces_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from lumenvec.exchange import pieces
+
+    texts = ["x" * n for n in (3, 900, 5, 0, 40, 50, 20)] + [None, "ä" * 30]
+    got = [p.column(1).to_pylist() for p in pieces(pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"]), 100)]
+    assert sum(got, []) == texts and all(len(g) == 1 or sum(len((t or "").encode()) for t in g) <= 100 for g in got) and len(got) == 4
