@@ -160,3 +160,17 @@ def test_pieces_are_bounded_by_bytes():
     texts = ["x" * n for n in (3, 900, 5, 0, 40, 50, 20)] + [None, "ä" * 30]
     got = [p.column(1).to_pylist() for p in pieces(pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"]), 100)]
     assert sum(got, []) == texts and all(len(g) == 1 or sum(len((t or "").encode()) for t in g) <= 100 for g in got) and len(got) == 4
+
+
+def test_bags_of_texts_without_id_are_one(spark, tmp_path):
+    """Texts without an id are counted where they lie, in many tasks, as one document; the SQL's result."""
+    import duckdb
+
+    rows = [(None if i % 2 else i // 4, None if i == 9 else f"w{i % 7} w{i % 5} Same same") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["ve28_bag_of_words"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan  # tasks by bytes of text
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, c.sql(ORACLE_SQL["ve28_bag_of_words"]).fetchall()))
