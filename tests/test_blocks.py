@@ -152,6 +152,25 @@ def test_ranks_in_parts_correlate_as_whole_ranks(spark):
         assert abs(got[g] - np.corrcoef(first(a), first(b))[0, 1]) < 1e-9
 
 
+def test_rank_correlation_of_pairs_in_ranges(spark):
+    """As over all pairs at once: ties, vectors without a distance, several ranges of bins."""
+    rng = np.random.default_rng(11)
+    v = np.round(rng.normal(size=(320, 6)), 1)
+    v[200:230], v[7] = v[100:130], 0
+    table = spark.createDataFrame([(i, x.tolist(), np.round(x).tolist()) for i, x in enumerate(v)], "key long, a array<double>, b array<double>")
+    asked = table.where("key % 40 = 0").select(F.col("key").alias("qid"), "a")
+
+    def score(p, q):
+        return [blocks.cosine_distances(p, q, 1, 0, digits=3), blocks.cosine_distances(p, q, 0, 0, 3, digits=9), blocks.cosine_distances(p, q, digits=12)]
+
+    p, q = (blocks.Block(np.arange(320)[::n], [(m[::n], np.full(len(m[::n]), 6, np.int32)) for m in (v, np.round(v))]) for n in (1, 40))
+    held = np.stack([x[q.keys[:, None] != p.keys[None, :]] for x in score(p, q)])
+    held = held[:, ~np.isnan(held).any(0)]
+    rank = [np.searchsorted(np.sort(x), x) + np.searchsorted(np.sort(x), x, "right") for x in held]
+    got = {r["cell"]: r["c"] for r in ranks.block_correlations(table, asked, score, [3, 9, 12], rows=300).collect()}
+    assert set(got) == {0, 1} and all(abs(got[c] - np.corrcoef(rank[c], rank[2])[0, 1]) < 1e-12 for c in got)
+
+
 def test_pieces_are_bounded_by_bytes():
     import pyarrow as pa
 
