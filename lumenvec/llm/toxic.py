@@ -1,32 +1,40 @@
-"""Toxicity: a convolutional text classifier over hashed word vectors, trained in numpy, with thresholds calibrated by language."""
+"""Toxicity: a convolutional text classifier over hashed word vectors, trained in shards by Spark's tasks, with thresholds calibrated by language."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenvec.llm import kernels as K
-from lumenvec.llm.common import small_batches
-
-#: Labelled rows of each class that the fit takes at most, and the bytes of all their texts together.
-FIT_ROWS = {1: 1_500, 0: 3_000}
-FIT_BYTES = 64 << 20
-#: Rows that the fit sees at least, repeats counted, within 40 epochs: a small sample is gone through more often.
-LEAST_ROWS_SEEN = 24_000
-#: Texts of the sample that a bucket must be in to have a vector at all, the share of words left out of each step, and the decay of
-#: vectors: without them a small sample is learned by heart.
+from lumenvec.llm.common import maybe_broadcast, small_batches
+
+#: Labelled rows of each class that ``sample`` takes unless told otherwise, and the bytes of all their texts together. The fit takes all.
+SAMPLE_ROWS = {1: 1_500, 0: 3_000}
+SAMPLE_BYTES = 64 << 20
+#: Labelled texts that are trained on in one piece, and their bytes, at about most. With more, each shard is trained on by itself and the
+#: shards' models are averaged after every pass.
+SHARD_ROWS, SHARD_BYTES = 8_192, 64 << 20
+#: Passes over all labelled rows at least, and rows that the fit sees at least, repeats counted, within 40 passes.
+LEAST_PASSES, LEAST_ROWS_SEEN = 3, 24_000
+#: Texts that a bucket must be in to have a vector at all, the share of words left out of each step, and the decay of
+#: vectors: without them a few rows are learned by heart.
 LEAST_TEXTS, WORD_DROPOUT, DECAY = 3, 0.3, 3e-4
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 #: Bytes of a word whose prefixes are hashed beside the word as a whole.
 PREFIXES = (3, 4, 5, 6)
 #: Languages with fewer positive calibration rows use the threshold of all.
 LEAST_POSITIVE = 10
+#: Words that are hashed or convolved at once, longer texts piece by piece; what weights are multiplied by to be summed
+#: as whole numbers, in whatever order they come.
+BLOCK, SCALE = 1 << 16, 1 << 24
 
 #: What parts words: ASCII other than letters and digits.
 _PARTS = np.zeros(256, bool)
@@ -39,8 +47,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     blank[_PARTS[data]] = 32
     starts, ends, counts = K.word_spans(blank, offsets)
     spans = [ends, *(np.minimum(starts + n, ends) for n in PREFIXES)]
-    hashed = [K.mix(K.span_hashes(data, starts, e) + K.U(i)) & K.U(BUCKETS - 1) for i, e in enumerate(spans)]
-    return np.stack(hashed, 1).astype(np.int32) if len(starts) else np.zeros((0, len(spans)), np.int32), counts
+    out = np.empty((len(starts), len(spans)), np.int32)
+    for lo in range(0, len(starts), BLOCK):
+        for i, e in enumerate(spans):
+            out[lo : lo + BLOCK, i] = K.mix(K.span_hashes(data, starts[lo : lo + BLOCK], e[lo : lo + BLOCK]) + K.U(i)) & K.U(BUCKETS - 1)
+    return out, counts
 
 
 class Cnn:
@@ -51,60 +62,97 @@ class Cnn:
         f = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
         self.p = {"e": f(BUCKETS, DIM, s=0.1), "w": f(sum(WIDTHS), DIM, FILTERS, s=0.3), "b": np.zeros((len(WIDTHS), FILTERS), np.float32), "v": f(len(WIDTHS) * FILTERS, s=0.3), "c": np.zeros(1, np.float32)}
 
-    def _padded(self, feats: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word vectors with max(WIDTHS) empty words behind each text, the row of each word, and where each text starts."""
-        pad = max(WIDTHS)
-        at = np.arange(len(feats)) + pad * np.repeat(np.arange(len(counts)), counts)
-        x = np.zeros((len(feats) + pad * len(counts), DIM), np.float32)
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Cnn:
+        """The model of what ``rows`` gave."""
+        self, at, flat = cls(), 0, rows.ravel()
+        for k, v in self.p.items():
+            self.p[k], at = flat[at : at + v.size].reshape(v.shape).astype(np.float32), at + v.size
+        return self
+
+    def rows(self) -> np.ndarray:
+        """All weights in rows of ``DIM``, the vectors first."""
+        flat = np.concatenate([v.ravel() for v in self.p.values()])
+        return np.append(flat, np.zeros(-len(flat) % DIM, np.float32)).reshape(-1, DIM)
+
+    def _vectors(self, feats: np.ndarray) -> np.ndarray:
         vec = self.p["e"][feats[:, 0]]
         for j in range(1, feats.shape[1]):
             vec = vec + self.p["e"][feats[:, j]]
-        x[at] = vec
-        return x, at, np.cumsum(counts + pad) - counts - pad
+        return vec
 
-    def _responses(self, x: np.ndarray) -> list[np.ndarray]:
-        out, k = [], 0
+    def _responses(self, x: np.ndarray) -> np.ndarray:
+        out, k = np.empty((len(x), len(WIDTHS) * FILTERS), np.float32), 0
         for i, width in enumerate(WIDTHS):
             r = np.zeros((len(x), FILTERS), np.float32)
             for j in range(width):
                 y = x[j:] @ self.p["w"][k + j]
                 r[: len(y)] += y
-            out.append(np.maximum(r + self.p["b"][i], 0))
+            out[:, i * FILTERS : (i + 1) * FILTERS] = np.maximum(r + self.p["b"][i], 0)
             k += width
         return out
 
+    def _blocks(self, feats: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces of texts, some ``BLOCK`` words together: the text of each, its first word there, where its responses begin and end, and all responses.
+
+        A position reads on over as many words as a filter is wide, which are empty behind a text; each text has one position behind its end.
+        """
+        pad = max(WIDTHS)
+        n = np.maximum(-(-counts // BLOCK), 1)
+        text = np.repeat(np.arange(len(counts)), n)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * BLOCK
+        left = counts[text] - first
+        words = np.minimum(left, BLOCK + pad - 1)
+        places = np.where(left > BLOCK, BLOCK, left + 1)
+        begin = (np.cumsum(counts) - counts)[text] + first
+        lo = 0
+        while lo < len(text):
+            hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(words[lo:]), BLOCK, "right")))
+            w = words[lo:hi]
+            before = np.cumsum(w) - w
+            start = before + pad * np.arange(len(w))
+            local = np.arange(int(w.sum()))
+            x = np.zeros((len(local) + pad * len(w), DIM), np.float32)
+            x[local + pad * np.repeat(np.arange(len(w)), w)] = self._vectors(feats[local + np.repeat(begin[lo:hi] - before, w)])
+            yield text[lo:hi], first[lo:hi], start, start + places[lo:hi], self._responses(x)
+            lo = hi
+
     def logits(self, feats: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        x, _, starts = self._padded(feats, counts)
-        pooled = np.concatenate([np.maximum.reduceat(r, starts) for r in self._responses(x)], 1)
+        pooled = np.zeros((len(counts), len(WIDTHS) * FILTERS), np.float32)
+        for text, _, lo, hi, r in self._blocks(feats, counts):
+            np.maximum.at(pooled, text, np.maximum.reduceat(r, np.stack([lo, hi], 1).ravel())[::2])
         return pooled @ self.p["v"] + self.p["c"]
 
     def step(self, feats: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean log loss; only the positions that won the maximum carry any."""
-        x, at, starts = self._padded(feats, counts)
-        ends = np.append(starts[1:], len(x))
-        rs = self._responses(x)
         n = len(counts)
         g = {k: np.zeros_like(v) for k, v in self.p.items() if k != "e"}
-        where = np.stack([np.concatenate([r[a:b].argmax(0) for r in rs]) + a for a, b in zip(starts, ends, strict=True)])
-        pooled = np.concatenate([np.take_along_axis(r, where[:, i * FILTERS : (i + 1) * FILTERS], 0) for i, r in enumerate(rs)], 1)
+        pooled, where = np.full((n, len(WIDTHS) * FILTERS), -1, np.float32), np.zeros((n, len(WIDTHS) * FILTERS), np.int64)
+        for text, first, lo, hi, r in self._blocks(feats, counts):
+            for t, f, a, b in zip(text.tolist(), first.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                at = r[a:b].argmax(0)
+                top = np.take_along_axis(r[a:b], at[None], 0)[0]
+                where[t] = np.where(top > pooled[t], at + f, where[t])
+                pooled[t] = np.maximum(top, pooled[t])
         err = (1 / (1 + np.exp(-np.clip(pooled @ self.p["v"] + self.p["c"], -30, 30))) - y) / n
         g["v"], g["c"] = pooled.T @ err, err.sum(keepdims=True)
         back = err[:, None] * self.p["v"][None, :] * (pooled > 0)
-        dx_rows, dx = [], []
+        words, dx = [], []
+        begin = (np.cumsum(counts) - counts)[:, None]
         k = 0
         for i, width in enumerate(WIDTHS):
             d, w = back[:, i * FILTERS : (i + 1) * FILTERS], where[:, i * FILTERS : (i + 1) * FILTERS]
             g["b"][i] = d.sum(0)
             for j in range(width):
-                rows = np.minimum(w + j, len(x) - 1)
-                g["w"][k + j] = np.einsum("nfd,nf->df", x[rows], d)
-                dx_rows.append(rows.ravel())
+                there = w + j < counts[:, None]
+                word = np.where(there, begin + w + j, -1)
+                x = np.zeros((n, FILTERS, DIM), np.float32)
+                x[there] = self._vectors(feats[word[there]])
+                g["w"][k + j] = np.einsum("nfd,nf->df", x, d)
+                words.append(word.ravel())
                 dx.append((d[:, :, None] * self.p["w"][k + j].T[None]).reshape(-1, DIM))
             k += width
-        rows, dx = np.concatenate(dx_rows), np.concatenate(dx)
-        back_to = np.full(len(x), -1)
-        back_to[at] = np.arange(len(at))
-        word = back_to[rows]
+        word, dx = np.concatenate(words), np.concatenate(dx)
         live = (word >= 0) & (dx != 0).any(1)
         buckets = feats[word[live]]
         g["rows"], inverse = np.unique(buckets, return_inverse=True)
@@ -112,21 +160,13 @@ class Cnn:
         np.add.at(g["e"], inverse.reshape(-1), np.repeat(dx[live], buckets.shape[1], 0))
         return g
 
-    def fit(self, texts: list[tuple[np.ndarray, int]], y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 4) -> None:
-        """Adam over mini-batches with words left out at random; vectors are updated only where a gradient falls.
-
-        Buckets of fewer than ``LEAST_TEXTS`` texts, and so of words never seen, have no vector.
-        """
-        rng = np.random.default_rng(seed)
-        seen = np.zeros(BUCKETS, np.int64)
-        for t in texts:
-            seen[np.unique(t)] += 1
-        known = seen >= LEAST_TEXTS
-        self.p["e"][~known] = 0
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, known: np.ndarray, epochs: Iterable[int], of: int, batch: int = 32, rate: float = 0.02, seed: int = 4) -> None:
+        """Adam over mini-batches with words left out at random, in the given ones of ``of`` epochs; vectors are updated only where a gradient falls, and of ``known`` buckets."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         t = 0
-        for epoch in range(epochs):
+        for epoch in epochs:
+            rng = np.random.default_rng([seed, epoch])
             order = rng.permutation(len(texts))
             for lo in range(0, len(order), batch):
                 part = order[lo : lo + batch]
@@ -135,7 +175,7 @@ class Cnn:
                 live = known[g["rows"]]
                 g["rows"], g["e"] = g["rows"][live], g["e"][live] + DECAY * self.p["e"][g["rows"][live]]
                 t += 1
-                lr = rate * (1 - 0.8 * epoch / epochs)
+                lr = rate * (1 - 0.8 * epoch / of)
                 for k in ("w", "b", "v", "c", "e"):
                     at = g["rows"] if k == "e" else slice(None)
                     m[k][at] = 0.9 * m[k][at] + 0.1 * g[k]
@@ -165,15 +205,15 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0)) / 2)
 
 
-def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", rows: dict[int, int] | None = None, most_bytes: int = FIT_BYTES) -> DataFrame:
-    """(doc_id, y, fold, lang, text): the labelled rows of the fit, at most ``rows`` of each class and ``most_bytes`` of text in all.
+def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", rows: dict[int, int] | None = None, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, y, fold, lang, text): some labelled rows to look at, at most ``rows`` of each class and ``most_bytes`` of text in all; ``train`` takes all.
 
     Ids are taken in the order of a hash; texts of over an eighth of ``most_bytes`` are left out, and of the others those that would go over
     ``most_bytes`` and all behind them. Rows whose
     crc32(id as text) mod 5 is 0 are never taken. Conflicting labels of an id count as the larger, null labels, ids and texts not at all.
     Of rows that share an id one text is taken, that of the least hash. Both bounds are applied before a text leaves its task.
     """
-    rows = rows or FIT_ROWS
+    rows = rows or SAMPLE_ROWS
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     ids = ids.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5).where("fold <> 0").withColumn("place", F.xxhash64(F.lit(11), "doc_id"))
     picked = None
@@ -188,28 +228,114 @@ def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return docs.join(F.broadcast(one), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "y", "fold", "lang", "text")
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", rows: dict[int, int] | None = None):
-    """(model, thresholds by language, threshold of all), fitted on a bounded, hash-ordered sample of labelled rows (``sample``).
+def labelled(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, y, fold, lang, text, h, bytes): every row of ``documents`` with a text and a label 0 or 1, but those whose crc32(id as text) mod 5, the fold, is 0.
+
+    Conflicting labels of an id count as the larger; null labels, ids and texts not at all. ``h`` is a hash of the text,
+    ``bytes`` its length.
+    """
+    y, fold = F.col(label_col).cast("int"), F.crc32(F.col("doc_id").cast("string")) % 5
+    ids = labels.where(y.isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(y).alias("y")).where(fold != 0)
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null")
+    docs = docs.withColumn("fold", fold).where("fold <> 0").withColumn("h", F.xxhash64("text")).withColumn("bytes", F.octet_length("text"))
+    return docs.join(maybe_broadcast(ids, ids.count()), "doc_id").select("doc_id", "y", "fold", "lang", "text", "h", "bytes")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, as its words' bucket numbers in 16 bits each, compressed."""
+    for batch in batches:
+        data, offsets = K.text_buffers(batch.column(batch.num_columns - 1))
+        packed = []
+        for lo, hi in K.pieces(offsets):
+            feats, counts = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            ends = np.cumsum(counts)
+            packed += [zlib.compress(feats[e - n : e].astype(np.uint16), 1) for e, n in zip(ends, counts, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "words"])
+    K.release()
+
+
+def _unpack(words: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(words), np.uint16).reshape(-1, 1 + len(PREFIXES))
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold each bucket."""
+    n = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for words in batch.column("words"):
+            n[np.unique(_unpack(words.as_py()))] += 1
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["row", "n"])
+
+
+def _trained(weights: np.ndarray, known: np.ndarray, epochs: range, of: int):
+    """Weights of a model of each shard, times its rows and ``SCALE``; a task may have several shards, one behind the other."""
+
+    def model(shard: int, texts: list[np.ndarray], y: list[int]) -> pa.RecordBatch:
+        cnn = Cnn.of(weights)
+        cnn.fit(texts, np.array(y), known, epochs, of, seed=4 + shard)
+        sums = np.rint(cnn.rows().astype(np.float64) * (len(y) * SCALE)).astype(np.int64)
+        columns = [np.arange(len(sums), dtype=np.int32), np.full(len(sums), len(y)), *sums.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["row", "n", *_PLACES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, y = None, [], []
+        for batch in batches:
+            for shard, label, words in zip(batch.column("shard").to_pylist(), batch.column("y").to_pylist(), batch.column("words"), strict=True):
+                if shard != now and texts:
+                    yield model(now, texts, y)
+                    texts, y = [], []
+                now = shard
+                texts.append(_unpack(words.as_py()))
+                y.append(label)
+        if texts:
+            yield model(now, texts, y)
+        K.release()
+
+    return run
+
+
+_PLACES = [f"p{i}" for i in range(DIM)]
+
+
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic"):
+    """(model, thresholds by language, threshold of all), fitted on every row of ``labelled``; rows of an id with equal texts count once.
 
-    Rows of fold 0 are never used; those of fold 1 calibrate the thresholds and are not trained on. Without rows of both classes the model
-    is a constant, and there are no thresholds by language.
+    Rows of fold 0 are never used; those of fold 1 calibrate the thresholds and are not trained on, or all do where fold 1 has few positive
+    rows. Shards of rows are dealt by a hash and trained on side by side, and after each pass over all rows their models are averaged by the
+    rows of each; up to ``SHARD_ROWS`` are one shard. Nothing depends on how the table is cut or on the cluster. Without rows of both classes the
+    model is a constant, and there are no thresholds by language. The driver holds the weights, whatever the table.
     """
-    got = sample(documents, labels, id_col, text_col, lang_col, label_col, rows).toPandas().sort_values("doc_id")
-    y = got["y"].to_numpy(np.int64)
-    fit = got["fold"].to_numpy() != 1
-    if len(np.unique(y[fit])) < 2:
-        return Constant(y[fit].mean() if fit.any() else 0.0), {}, 0.5
-    texts = []
-    for text in got["text"]:
-        data = np.frombuffer(text.encode(), np.uint8)
-        texts.append(features(data, np.array([0, len(data)]))[0])
-    model = Cnn()
-    model.fit([texts[i] for i in np.flatnonzero(fit)], y[fit], epochs=min(40, max(8, -(-LEAST_ROWS_SEEN // int(fit.sum())))))
-    scores = np.array([_sigmoid(model.logits(t, np.array([len(t)])))[0] for t in texts])
-    use = ~fit if y[~fit].sum() >= LEAST_POSITIVE else np.ones(len(y), bool)
-    overall = best_threshold(scores[use], y[use])
-    langs = got["lang"].fillna("").to_numpy()
-    by_lang = {x: best_threshold(scores[use & (langs == x)], y[use & (langs == x)]) for x in np.unique(langs[use]) if y[use & (langs == x)].sum() >= LEAST_POSITIVE}
+    spark = documents.sparkSession
+    small_batches(spark)
+    rows = labelled(documents, labels, id_col, text_col, lang_col, label_col)
+    fit = F.col("fold") != 1
+    sizes = rows.groupBy("doc_id", "h", "y", "bytes", fit.alias("fit")).agg(F.count("*").alias("rows")).groupBy("fit").agg(F.count("*").alias("n"), F.sum("y").alias("hit"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    held = {r["fit"]: r for r in sizes.collect()}  # two rows
+    n, hit = (held[True]["n"], held[True]["hit"]) if True in held else (0, 0)
+    if hit in (0, n):
+        return Constant(hit / n if n else 0.0), {}, 0.5
+    shards = max(-(-n // SHARD_ROWS), -(-held[True]["bytes"] // SHARD_BYTES))
+    packed = rows.where(fit).select("doc_id", "h", "y", "text").mapInArrow(_pack, "doc_id long, h long, y int, words binary")
+    if held[True]["rows"] > n:
+        packed = packed.dropDuplicates(["doc_id", "h"])
+    packed = packed.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "doc_id", "h"), F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "h").persist(StorageLevel.DISK_ONLY)
+    known = np.zeros(BUCKETS, bool)
+    known[packed.mapInArrow(_holding, "row int, n long").groupBy("row").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS).toArrow()["row"].to_numpy()] = True  # a row for each bucket
+    weights = Cnn().rows()
+    weights[:BUCKETS][~known] = 0
+    passes = min(40, max(LEAST_PASSES, -(-LEAST_ROWS_SEEN // n)))
+    for epochs in [range(passes)] if shards == 1 else [range(k, k + 1) for k in range(passes)]:
+        shape = ", ".join(["row int, n long", *(f"{p} long" for p in _PLACES)])
+        sums = packed.mapInArrow(_trained(weights, known, epochs, passes), shape).groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in _PLACES]).toArrow().sort_by("row")  # a row for each bucket and a few more
+        weights = (np.stack([sums[p].to_numpy() for p in _PLACES], 1) / (sums["n"].to_numpy()[:, None] * SCALE)).astype(np.float32)
+    packed.unpersist()
+    model = Cnn.of(weights)
+    use = rows.where(~fit) if False in held and held[False]["hit"] >= LEAST_POSITIVE else rows
+    scored = use.select("doc_id", "h", "lang", "y", "text").mapInArrow(_score(model), "doc_id long, h long, lang string, y int, score double").dropDuplicates(["doc_id", "h", "lang"]).select("lang", "y", "score").toPandas()
+    scores, y, langs = scored["score"].to_numpy(), scored["y"].to_numpy(np.int64), scored["lang"].fillna("").to_numpy()
+    overall = best_threshold(scores, y)
+    by_lang = {x: best_threshold(scores[langs == x], y[langs == x]) for x in np.unique(langs) if y[langs == x].sum() >= LEAST_POSITIVE}
     return model, {k: min(max(v, 0.05), 0.95) for k, v in by_lang.items()}, min(max(overall, 0.05), 0.95)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenvec.llm import kernels as K
+from lumenvec.llm import toxic
 from lumenvec.llm.ann import nearest_neighbours
 from lumenvec.llm.chat import rotate_perspectives
 from lumenvec.llm.components import connected_components
@@ -446,6 +447,40 @@ def test_toxicity_sample_leaves_one_long_text_out(spark):
     assert len(got) > 100 and got.text.str.len().max() == 50
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word that only toxic rows behind the first 1,500 hold is learned, by shards too; it doesn't matter how the tables are cut, or that rows are repeated."""
+    monkeypatch.setattr(toxic, "SHARD_ROWS", 700)
+    monkeypatch.setattr(toxic, "LEAST_ROWS_SEEN", 12_000)
+    r = np.random.default_rng(5)
+    ids = [x.id for x in spark.range(4_200).where("crc32(cast(id as string)) % 5 not in (0, 1)").orderBy(F.xxhash64(F.lit(11), "id")).collect()]
+    word = {k: "vile" if i < 1_500 else "quux" if i < 1_600 else "w0" for i, k in enumerate(ids)}
+    rows = [(k, " ".join([*r.choice([f"w{j}" for j in range(60)], 6), w]), "en") for k, w in word.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(w != "w0")) for k, w in word.items()], "doc_id long, toxic int")
+    fitted = train(docs, labels)
+    asked = spark.createDataFrame([(1, "w1 quux w7", None), (2, "w1 w0 w7", None), (3, "w1 vile w7", "en")], "doc_id long, text string, lang string")
+    assert [x.predicted for x in score_toxicity(asked, fitted).orderBy("doc_id").selectExpr("score >= 0.5 as predicted").collect()] == [True, False, True]
+    again = train(docs.union(docs.where("doc_id % 9 = 0")).repartition(7), labels.repartition(3))
+    assert (again[0].rows() == fitted[0].rows()).all()
+
+
+def test_toxicity_scores_texts_alone_and_in_pieces(monkeypatch):
+    """A text's score and gradients are the same beside others and alone, in one piece and in several; a text without words is like any other."""
+    texts = [b"", b"one", b"two words", b" ".join(b"w%d" % (i * i % 50) for i in range(100)), b"...", b"the end of it"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    feats, counts = toxic.features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    model, y = toxic.Cnn(), np.array([0, 1, 0, 1, 0, 1], np.float32)
+    whole, steps = model.logits(feats, counts), model.step(feats, counts, y)
+    alone = [model.logits(feats[e - n : e], np.array([n]))[0] for e, n in zip(np.cumsum(counts), counts, strict=True)]
+    np.testing.assert_allclose(whole, alone, atol=1e-5)
+    monkeypatch.setattr(toxic, "BLOCK", 7)
+    small = toxic.features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert (small[0] == feats).all() and (small[1] == counts).all()
+    np.testing.assert_allclose(whole, model.logits(feats, counts), atol=1e-5)
+    for k, v in model.step(feats, counts, y).items():
+        np.testing.assert_allclose(v, steps[k], atol=1e-5)
+
+
 def test_neighbours_of_an_id_with_two_vectors(spark):
     """Rows that share an id count as one candidate and one query."""
     r = np.random.default_rng(3)
