@@ -99,12 +99,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
 _MAPPING = """case when size(pairs) = size(array_distinct(pairs.islots)) and size(pairs) = size(array_distinct(pairs.slots)) then pairs
     else filter(pairs, p -> 2 * size(filter(slots, q -> q.islots = p.islots and q.slots = p.slots)) > greatest(size(filter(slots, q -> q.islots = p.islots)), size(filter(slots, q -> q.slots = p.slots)))) end"""
 
-BODY = ["b1", "b2"]
+BODY, ITEM = ["b1", "b2"], ["i1", "i2"]
 
 
-def _bodies(text: Column) -> list[Column]:
+def _bodies(text: Column, names: list[str] = BODY) -> list[Column]:
     """A text's 128-bit key."""
-    return [F.xxhash64(text).alias("b1"), F.xxhash64(F.lit(17), text).alias("b2")]
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(17), text).alias(names[1])]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,18 +119,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
     All is native SQL. Each benchmark window has an anchor, its longest word and the token behind; documents' token pairs are joined with
     the anchors, and only windows around those that meet one are hashed and joined with the benchmark's. Up to ``ANCHORS`` anchors are
-    broadcast, so that documents don't move; beyond that narrow rows of pairs are shuffled and the tokens are fetched afterwards. Null and
-    empty texts and items match nothing; a text is judged once, however many rows have it; rows that share an id are judged each on its
-    own, and the best match is returned. Null ids stay null. Empty tables give an empty result; other columns are not looked at.
+    broadcast, so that documents don't move; beyond that narrow rows of pairs are shuffled and the tokens are fetched afterwards. A window
+    goes to the benchmark's as its hash and its own tokens, without the text it is from. Null and empty texts and items match nothing; a
+    text is judged once, however many rows or items have it; rows that share an id are judged each on its own, and the best match is returned. Null ids stay null. Empty tables give an empty result; other columns are not looked at.
     """
     leaks = judge_texts(docs, benchmark, window, coverage, text_col)
-    found = docs.select(F.col(id_col).alias("doc_id"), *_bodies(F.col(text_col))).join(maybe_broadcast(leaks, leaks.count()), BODY)
+    items = benchmark.select("item_id", *_bodies(F.col("text"), ITEM)).distinct().join(leaks.select(*ITEM).distinct(), ITEM)
+    found = docs.select(F.col(id_col).alias("doc_id"), *_bodies(F.col(text_col))).join(maybe_broadcast(leaks, leaks.count()), BODY).join(items, ITEM)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (~F.col("reparameterised")).alias("plain"), "matched", "windows", "n_slots", "reparameterised")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.matched").cast("long").alias("matched"), "b.windows", "b.coverage", "b.n_slots", "b.reparameterised")
 
 
 def _met_windows(docs: DataFrame, starts: DataFrame, known: int, single: bool, text_col: str) -> DataFrame:
-    """(b1, b2, template, t, shown, width, s): places s of the tokens of documents where a window around an anchor begins."""
+    """(b1, b2, template, width, s, k, w): the windows around an anchor of documents: where they begin, their key and their tokens."""
     base = docs.select(F.col(text_col).alias("text"), *_bodies(F.col(text_col)))
     rows = readings(base, "text")
     pairs = rows.select("*", F.posexplode("shown").alias("p", "token")).withColumn("h", F.expr("xxhash64(token, coalesce(get(shown, p + 1), ''), template)"))
@@ -143,19 +144,20 @@ def _met_windows(docs: DataFrame, starts: DataFrame, known: int, single: bool, t
         gathered = spots.groupBy(*BODY, "template").agg(F.collect_list(F.struct("p", "width")).alias("at"))
         found = rows.join(gathered, [*BODY, "template"]).select(*BODY, "template", "t", "shown", F.explode("at").alias("at")).select("*", "at.*")
     around = F.expr("sequence(greatest(0, p - width + 1), least(p, size(t) - width))")
-    return found.where("size(t) >= width").select(*BODY, "template", "t", "shown", "width", F.explode(around).alias("s"))
+    windows = found.where("size(t) >= width").select(*BODY, "template", "t", "shown", "width", F.explode(around).alias("s"))
+    return windows.select(*BODY, "template", "width", "s", F.expr("xxhash64(slice(shown, s + 1, width))").alias("k"), F.expr("slice(t, s + 1, width)").alias("w"))
 
 
 def judge_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:
-    """The leaks of each text, as a written table: its key (b1, b2) and the columns of ``find_leaks`` but doc_id."""
-    bench = materialize(benchmark_windows(benchmark, window), "windows")
+    """The leaks of each text, as a written table: its key (b1, b2), that of the item's text (i1, i2) and the columns of ``find_leaks`` but the ids."""
+    texts = benchmark.select(F.struct(*_bodies(F.col("text"), ITEM)).alias("item_id"), "text").distinct()
+    bench = materialize(benchmark_windows(texts, window).select("item_id.*", "*").drop("item_id"), "windows")
     starts = materialize(bench.select(F.col("anchor").alias("h"), "width").distinct(), "anchors")
     single = not bench.where("width = 1").isEmpty()
-    met = _met_windows(docs, starts, starts.count(), single, text_col).withColumn("k", F.expr("xxhash64(slice(shown, s + 1, width))"))
+    met = _met_windows(docs, starts, starts.count(), single, text_col)
     out = met.join(maybe_broadcast(bench.drop("anchor"), bench.count()), ["template", "k", "width"])
-    group = [*BODY, "item_id", "template", "windows"]
-    slots = F.expr(f"filter(slice(t, s + 1, width), x -> {_SLOT})")
-    hits = out.select(*group, "length", "ipos", (F.col("s") - F.col("ipos")).alias("shift"), "iat", "islots", slots.alias("slots"))
+    group = [*BODY, *ITEM, "template", "windows"]
+    hits = out.select(*group, "length", "ipos", (F.col("s") - F.col("ipos")).alias("shift"), "iat", "islots", F.expr(f"filter(w, x -> {_SLOT})").alias("slots"))
     hits = hits.select(*group, "length", "ipos", "shift", F.arrays_zip("iat", "islots", "slots").alias("slots")).distinct()
     along = Window.partitionBy(*group).orderBy("shift")
     hits = hits.withColumn("new", (2 * (F.col("shift") - F.lag("shift").over(along)) > F.col("length")).cast("int")).withColumn("candidate", F.coalesce(F.sum("new").over(along), F.lit(0)))

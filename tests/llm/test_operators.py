@@ -766,3 +766,28 @@ def test_mix_takes_whole_blocks_of_one_size_on_given_tables(spark, sf):
     assert (got.taken <= 2 * got["size"]).all()
     again = mix_sources(docs.repartition(5)).toPandas()
     assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
+
+
+def test_leaks_of_many_items_move_no_texts(spark, monkeypatch):
+    """Where the benchmark's windows are too many to broadcast, its join gets no text's tokens; copies of an item are judged once, and all returned."""
+    from lumenvec.llm import decontaminate as d
+
+    item = "In Paris, Alice has 12 apples and buys 5 kg more for Bob, so Alice now owns how many apples in total?"
+    bench = spark.createDataFrame([(7, item), (8, item), (None, item), (9, "the quick brown fox jumps over the lazy dog today"), (7, "Hello")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 3000 + item), (2, "So in Rome, Carol has 40 apples and buys 7 lbs more for Dave, so Carol now owns how many apples in total?"), (3, "x")], "doc_id long, text string")
+    want = [(1, 7, False), (1, 8, False), (1, None, False), (2, 7, True), (2, 8, True), (2, None, True)]
+    joined = []
+
+    def shuffled(df, rows, *_):
+        joined.append(df)
+        return df
+
+    met, wide = d._met_windows, []
+    monkeypatch.setattr(d, "_met_windows", lambda *x: wide.append(met(*x)) or wide[-1])
+    for join in (d.maybe_broadcast, shuffled):
+        monkeypatch.setattr(d, "maybe_broadcast", join)
+        got = [(r.doc_id, r.item_id, r.reparameterised) for r in find_leaks(docs, bench).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert [r.doc_id for r in drop_leaks(docs, bench).collect()] == [3]
+    assert {(r.i1, r.i2) for r in joined[0].collect()} and len({(r.i1, r.i2) for r in joined[0].collect()}) < bench.count()
+    assert all(max(sum(len(x) for x in r.w) for r in w.collect()) < 200 and set(w.columns) == {"b1", "b2", "template", "width", "s", "k", "w"} for w in wide)
