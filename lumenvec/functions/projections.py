@@ -49,15 +49,14 @@ def project(v: Column, rows: np.ndarray, codes: bool = False) -> Column:
     """The products of a vector with every row, or their signs (+1 at zero) if ``codes``; null for null and for another length."""
 
     @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = [None] * len(s)
-            at = [i for i, x in enumerate(s) if x is not None and len(x) == rows.shape[1]]
-            if at:
-                p = np.stack([np.asarray(s.iloc[i], np.float64) for i in at]) @ rows.T
-                for i, x in zip(at, np.where(p < 0, -1.0, 1.0) if codes else p):
-                    out[i] = x
-            yield pd.Series(out, dtype=object)
+    def run(s: pd.Series) -> pd.Series:
+        out = [None] * len(s)
+        at = [i for i, x in enumerate(s) if x is not None and len(x) == rows.shape[1]]
+        if at:
+            p = np.stack([np.asarray(s.iloc[i], np.float64) for i in at]) @ rows.T
+            for i, x in zip(at, np.where(p < 0, -1.0, 1.0) if codes else p):
+                out[i] = x
+        return pd.Series(out, dtype=object)
 
     return run(doubles(v))
 

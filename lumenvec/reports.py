@@ -83,7 +83,7 @@ def _(spark, d):
             own = np.fmax(own, np.where(mine & live, 1 - dist, -np.inf).max(1))
             n, total = n + (live & ~mine).sum(1), total + np.where(live & ~mine, 1 - dist, 0).sum(1)
         own[~np.isfinite(own)] = np.nan
-        dist, key = (x[:, 0] for x in best.held[0])
+        dist, key = (x[:, 0] for x in best.found(0))
         yield pa.RecordBatch.from_arrays([pa.array(q.keys), pa.array(dist, from_pandas=True), pa.array(key), pa.array(own, from_pandas=True), pa.array(n), pa.array(total)], ["qid", "dist", "key", "own", "n", "total"])
 
     parts = blocks.meet(pool, asked, visit, "qid long, dist double, key long, own double, n long, total double")

@@ -193,3 +193,42 @@ def test_bags_of_texts_without_id_are_one(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, c.sql(ORACLE_SQL["ve28_bag_of_words"]).fetchall()))
+
+
+def test_vectors_travel_in_few_bytes(spark):
+    """Blocks keep every value in the fewest bytes: codes and cut vectors a byte or two a coordinate, floats four; parts of the pool are bounded."""
+    rng = np.random.default_rng(3)
+    cases = {"few": (rng.choice(rng.normal(size=200), (512, 64)), 1), "some": (rng.choice(rng.normal(size=900), (512, 64)), 2), "floats": (rng.normal(size=(512, 64)).astype(np.float32).astype(float), 4), "all": (rng.normal(size=(512, 64)), 8), "codes": (rng.integers(-127, 128, (512, 64)).astype(float), 1), "none": (np.zeros((3, 0)), 0)}
+    for m, size in cases.values():
+        values, book = blocks._squeezed(m)
+        assert len(values) == size * m.size and len(book) <= 8 * 1024
+        assert (blocks._unsqueezed(values, book, *m.shape) == m).all()
+    odd = np.array([[np.nan, 1e200, 0.1, np.inf] * 40] * 8)
+    assert np.array_equal(blocks._unsqueezed(*blocks._squeezed(odd), *odd.shape), odd, equal_nan=True)
+    table = spark.range(0, 200_000, 1, 3).select(F.col("id").alias("key"), F.array(F.rand(1)).alias("vec"))
+    met = blocks.meet(table, table.limit(1).withColumnRenamed("key", "qid"), lambda q, others: iter(()), "n long")
+    assert met.rdd.getNumPartitions() == 2 * max(spark.sparkContext.defaultParallelism, -(-200_000 // blocks.PART_ROWS))
+
+
+def test_waiting_pairs_are_the_nearest():
+    """Nearest in many small blocks as in one: ties, rows without a distance, a query's own row."""
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(900, 4)), 1)
+    v[100:160], v[5], v[890] = v[200:260], 0, 0
+    sizes = np.full(900, 4, np.int32)
+    q = blocks.Block(np.arange(0, 900, 89), [(v[::89], sizes[::89])])
+    for k in (1, 7, 40, 899):
+        for own in (False, True):
+            best = blocks.Nearest(q, k, own)
+            for lo in range(0, 900, 50):
+                p = blocks.Block(np.arange(lo, lo + 50), [(v[lo : lo + 50], sizes[lo : lo + 50])])
+                best.add(p, [blocks.cosine_distances(p, q, digits=6), -blocks.cosine_distances(p, q, digits=3)])
+            got = {}
+            for b in best.rows():
+                for cell, x, key, dist in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    got.setdefault((cell, x), []).append((dist is None, dist or 0.0, key))
+            whole = blocks.Block(np.arange(900), [(v, sizes)])
+            for cell, dist in enumerate((blocks.cosine_distances(whole, q, digits=6), -blocks.cosine_distances(whole, q, digits=3))):
+                for x, row in zip(q.keys.tolist(), dist.tolist(), strict=True):
+                    want = sorted((d != d, 0.0 if d != d else d, key) for key, d in enumerate(row) if own or key != x)[:k]
+                    assert sorted(got[cell, x]) == want
