@@ -232,3 +232,17 @@ def test_waiting_pairs_are_the_nearest():
                 for x, row in zip(q.keys.tolist(), dist.tolist(), strict=True):
                     want = sorted((d != d, 0.0 if d != d else d, key) for key, d in enumerate(row) if own or key != x)[:k]
                     assert sorted(got[cell, x]) == want
+
+
+@pytest.mark.parametrize("k", [3, 120, 2000])
+def test_many_nearest_hand_on_few_more(spark, sides, monkeypatch, k):
+    """The nearest of all parts together are among what is handed on, ties and rows without a distance too, and that is few more than ``k`` a query."""
+    pool, asked, rows = sides
+    score = lambda p, q: [blocks.cosine_distances(p, q), blocks.rounded(blocks.cosine_distances(p, q, dims=3), 2)]
+    monkeypatch.setattr(search, "limited", None)
+    near = search.many(pool, asked, score, 2, k).cache()
+    whole = search.top_k(blocks.nearest(pool, asked, score, k), k, by=("cell", "qid"))
+    flat = lambda df: sorted((r["cell"], r["qid"], r["rank"], r["key"], r["dist"]) for r in df.select("cell", "qid", "rank", "key", F.coalesce("dist", F.lit(9.0)).alias("dist")).collect())
+    assert flat(search.top_k(near, k, by=("cell", "qid"))) == flat(whole)
+    if k == 120:  # of 16 copies of 90 vectors a part's bin holds few more
+        assert near.where("cell = 0").count() < 15 * 2 * k
