@@ -97,6 +97,50 @@ def correlations(moments: DataFrame, group: str, a: str, b: str) -> DataFrame:
     return whole.select(group, ((n * xy - x * y) / F.nullif(F.sqrt(n * xx - x * x) * F.sqrt(n * yy - y * y), F.lit(0.0))).alias("c"))
 
 
+#: Pairs whose two distances a task holds at once at most.
+HELD_PAIRS = 1 << 23
+
+
+def _least_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 0; ties share the least."""
+    order = np.argsort(x)
+    held = x[order]
+    rank = np.empty(len(x))
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, held[1:] != held[:-1])[: len(x)], np.arange(len(x)), 0))
+    return rank
+
+
+def query_correlations(pool: DataFrame, queries: DataFrame, score: blocks.Score, rows: int) -> DataFrame:
+    """(qid, c): for each query the correlation of its ranks of the ``rows`` rows of ``pool`` by the two matrices of ``score``.
+
+    A task has as many queries at once as ``HELD_PAIRS`` allow, and ``rows`` may be no more than these. Pairs are ranked where they are scored,
+    so none is moved. Without a distance a pair comes last, of null vectors behind those; a row isn't ranked around itself.
+    """
+
+    def visit(q: blocks.Block, others: Iterator[blocks.Block]) -> Iterator[pa.RecordBatch]:
+        keys, held = [], []
+        for p in others:
+            keys.append(p.keys)
+            both = [np.where(np.isnan(x), 3.0, x) for x in score(p, q)]
+            for x in both:
+                x[:, p.sides[0][1] < 0] = 4.0
+                x[q.sides[0][1] < 0] = 4.0
+            held.append(both)
+        found = np.full(len(q.keys), np.nan)
+        all_keys = np.concatenate(keys)
+        for i, key in enumerate(q.keys):
+            apart = all_keys != key
+            a, b = (_least_ranks(np.concatenate([x[c][i] for x in held])[apart]) for c in (0, 1))
+            if len(a):
+                a, b = a - a.mean(), b - b.mean()
+                size = np.sqrt(a @ a) * np.sqrt(b @ b)
+                found[i] = (a @ b) / size if size else np.nan
+        some = np.array([(all_keys != key).any() for key in q.keys])
+        yield from blocks._batch(["qid", "c"], [q.keys[some], found[some]])
+
+    return blocks.meet(pool, queries, visit, "qid long, c double", query_rows=min(blocks.QUERY_ROWS, max(1, HELD_PAIRS // max(1, rows))))
+
+
 #: Bins of equal width that distances up to 2 are counted in, and pairs of a range of bins at about most.
 BINS, RANGE_PAIRS = 4096, 1_000_000
 #: Pairs that a task holds before it deals them out.

@@ -246,3 +246,23 @@ def test_many_nearest_hand_on_few_more(spark, sides, monkeypatch, k):
     assert flat(search.top_k(near, k, by=("cell", "qid"))) == flat(whole)
     if k == 120:  # of 16 copies of 90 vectors a part's bin holds few more
         assert near.where("cell = 0").count() < 15 * 2 * k
+
+
+def test_orders_around_queries_move_no_pairs(spark, sides, monkeypatch):
+    """Ranked where they are scored, in blocks of a few queries, as in ranges of all pairs; rows without a distance come last."""
+    pool, asked, _ = sides
+    asked = asked.where("qid < 1400")
+    score = lambda p, q: [blocks.cosine_distances(p, q, digits=12), blocks.cosine_distances(p, q, dims=3, digits=2)]
+    want = {}
+    filled = blocks.beside(pool, asked, score, ["a", "b"]).fillna(3.0)
+    for part in filled.toPandas().groupby("qid"):
+        a, b = (part[1][c].rank(method="min") for c in ("a", "b"))
+        want[part[0]] = a.corr(b)
+    monkeypatch.setattr(ranks, "HELD_PAIRS", 5 * 1404)
+    monkeypatch.setattr(blocks, "beside", None)
+    got = {r["qid"]: r["c"] for r in ranks.query_correlations(pool.where("vec is not null and forall(vec, x -> x is not null)"), asked, score, 1404).collect()}
+    odd = pool.where("vec is null or exists(vec, x -> x is null)").count()
+    assert odd == 2 and set(got) == set(want)
+    whole = {r["qid"]: r["c"] for r in ranks.query_correlations(pool, asked, score, 1404).collect()}
+    assert all(abs(whole[k] - want[k]) < 1e-4 and abs(got[k] - whole[k]) < 1e-2 for k in want)
+    assert QUERIES["rp15_neighbour_order"](spark, "/root/testdata/sf0.001").first()["queries"] == 5
